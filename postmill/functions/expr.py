@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,3 +12,10 @@ from pyspark.sql import functions as F
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def instant(moment: datetime | Column) -> Column:
+    """A point in time as a column; a datetime without a zone is UTC."""
+    if isinstance(moment, Column):
+        return moment
+    return F.lit(moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc))
