@@ -14,9 +14,7 @@ from postmill.vocab import PlaceVocab
 
 VERDICT_COLUMNS = ("filtered_out", "filter_reason", "location_class")
 CONTENT = [
-    f.name
-    for f in POSTING.fields
-    if f.name not in ("posting_key", "first_seen_at", "last_seen_at", "closed_at")
+    c for c in POSTING if c not in ("posting_key", "first_seen_at", "last_seen_at", "closed_at")
 ]
 # Feeds that tell which applicant system an employer uses.
 BOARD_SOURCES = ("greenhouse", "lever", "ashby")
@@ -139,7 +137,7 @@ def merge_postings(current: DataFrame, batch: DataFrame) -> DataFrame:
     )
     replaced_only = gone.join(fresh.select("posting_key"), "posting_key", "left_anti")
     return merged.join(replaced_only, "posting_key", "left_anti").select(
-        *[f.name for f in POSTING.fields], "change"
+        *POSTING, "change"
     )
 
 

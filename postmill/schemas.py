@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+def _columns(text: str) -> dict[str, str]:
+    """Column name -> type, from ``name type, name type``."""
+    return dict(item.split() for item in text.split(", "))
 
 
-RAW_POSTING = _struct(
+RAW_POSTING = _columns(
     "source string, source_job_id string, company_name string, title string, location string,"
     " description string, apply_url string, posted_at timestamp, remote_type_hint string,"
     " salary_min int, salary_max int, salary_source string"
 )
 
 # A posting as it is stored. ``posting_key`` is the content fingerprint.
-POSTING = _struct(
+POSTING = _columns(
     "posting_key string, company_key string, source string, source_job_id string, title string,"
     " location string, remote_type string, salary_min int, salary_max int, salary_source string,"
     " description string, apply_url string, posted_at timestamp, first_seen_at timestamp,"
@@ -26,44 +26,48 @@ POSTING = _struct(
     " location_class string"
 )
 
-COMPANY = _struct(
+COMPANY = _columns(
     "company_key string, name string, ats_type string, board_token string, verdict string,"
     " sector string, reason string, verdict_source string, decided_at timestamp"
 )
 
-SCORE = _struct(
+SCORE = _columns(
     "posting_key string, embed_similarity double, rule_score double, freshness_score double,"
     " total_score double, relevance_verdict string, rationale string, is_stretch boolean,"
     " model string, judged_at timestamp, scored_at timestamp"
 )
 
-APPLICATION = _struct(
+APPLICATION = _columns(
     "posting_key string, status string, applied_at timestamp, responded_at timestamp,"
     " interview_at timestamp, closed_at timestamp, notes string, updated_at timestamp"
 )
 
-SPEND = _struct(
+SPEND = _columns(
     "call_id string, created_at timestamp, day date, model string, purpose string,"
     " input_tokens long, cached_input_tokens long, cache_write_tokens long, output_tokens long,"
     " cost_usd decimal(10,6)"
 )
 
-ANSWER = _struct(
+ANSWER = _columns(
     "question string, answer string, category string, question_key string, updated_at timestamp"
 )
 
-RUN = _struct(
+RUN = _columns(
     "run_id string, started_at timestamp, finished_at timestamp, jobs_seen long, jobs_new long,"
     " jobs_filtered long, errors long, duration_ms long, budget_hit boolean, notes string"
 )
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+def ddl(schema: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in schema.items())
+
+
+def conform(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     """Project to ``schema``: absent columns become nulls, others are cast."""
     present = set(df.columns)
     return df.select(
         *[
-            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
+            (F.col(name) if name in present else F.lit(None)).cast(kind).alias(name)
+            for name, kind in schema.items()
         ]
     )

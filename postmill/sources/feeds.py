@@ -12,7 +12,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postmill.functions.pay import structured_pay
 from postmill.functions.text import (
@@ -32,17 +31,13 @@ class SourceSpec:
     of postings inside a payload, or is null where the payload root is that array."""
 
     name: str
-    schema: T.StructType
+    schema: str
     to_raw: Callable[[DataFrame], DataFrame]
     items: str | None = "jobs"
     needs_token: bool = True
     min_interval_seconds: int = 0
 
 
-def _ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 def _blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -54,7 +49,7 @@ def _first(*columns: Column) -> Column:
 
 # -- S1 ------------------------------------------------------------------------------------
 
-GREENHOUSE = _ddl(
+GREENHOUSE = (
     "jobs array<struct<id: bigint, title: string, company_name: string, absolute_url: string,"
     " content: string, first_published: string, updated_at: string, location: struct<name: string>>>,"
     " meta struct<total: bigint>"
@@ -80,7 +75,7 @@ def greenhouse_raw(payloads: DataFrame) -> DataFrame:
 
 # -- S2 ------------------------------------------------------------------------------------
 
-LEVER = _ddl(
+LEVER = (
     "id string, text string, categories struct<location: string>, descriptionPlain string,"
     " description string, lists array<struct<text: string, content: string>>,"
     " additionalPlain string, additional string, hostedUrl string, applyUrl string,"
@@ -117,7 +112,7 @@ def lever_raw(payloads: DataFrame) -> DataFrame:
 
 # -- S3 ------------------------------------------------------------------------------------
 
-ASHBY = _ddl(
+ASHBY = (
     "jobs array<struct<id: string, title: string, location: string, descriptionPlain: string,"
     " descriptionHtml: string, jobUrl: string, applyUrl: string, publishedAt: string,"
     " isListed: boolean, workplaceType: string, shouldDisplayCompensationOnJobPostings: boolean,"
@@ -159,7 +154,7 @@ def ashby_raw(payloads: DataFrame) -> DataFrame:
 
 # -- S4 ------------------------------------------------------------------------------------
 
-REMOTIVE = _ddl(
+REMOTIVE = (
     "jobs array<struct<id: bigint, url: string, title: string, company_name: string,"
     " description: string, publication_date: string, candidate_required_location: string>>"
 )
@@ -183,8 +178,8 @@ def remotive_raw(payloads: DataFrame) -> DataFrame:
 
 # -- S5, S6, F6 ----------------------------------------------------------------------------
 
-STORIES = _ddl("hits array<struct<objectID: string, title: string, created_at: string>>")
-THREAD = _ddl(
+STORIES = ("hits array<struct<objectID: string, title: string, created_at: string>>")
+THREAD = (
     "hits array<struct<objectID: string, comment_text: string, created_at: string,"
     " parent_id: bigint, story_id: bigint>>, nbPages int"
 )
@@ -273,9 +268,9 @@ SOURCES: dict[str, SourceSpec] = {
 CORRUPT = "_corrupt_record"
 
 
-def payload_schema(spec: SourceSpec) -> T.StructType:
-    """Payload fields, the board token from the path, and the text of unreadable payloads."""
-    return T.StructType([*spec.schema.fields, T.StructField(CORRUPT, T.StringType())])
+def payload_schema(spec: SourceSpec) -> str:
+    """Payload fields and the text of unreadable payloads."""
+    return f"{spec.schema}, {CORRUPT} string"
 
 
 def read_payloads(spark: SparkSession, landing: str, spec: SourceSpec) -> DataFrame:
