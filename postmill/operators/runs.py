@@ -28,7 +28,7 @@ def missing_runs(runs: DataFrame, first: datetime | Column, last: datetime | Col
     done = (
         runs.where(F.col("finished_at").isNotNull())
         .select(
-            (F.floor((F.unix_micros("started_at") - start) / step) * step + start)
+            (F.floor((F.unix_micros(F.col("started_at").cast("timestamp")) - start) / step) * step + start)
             .cast("long")
             .alias("_us")
         )
@@ -70,7 +70,7 @@ def source_state(attempts: DataFrame) -> DataFrame:
 def due_sources(state: DataFrame, intervals: DataFrame, as_of: datetime) -> DataFrame:
     """P14. Sources never fetched, or last started before ``min_interval_seconds`` ago.
     ``intervals(source, min_interval_seconds)`` lists every configured source."""
-    started = F.unix_micros("last_fetch_started_at")
+    started = F.unix_micros(F.col("last_fetch_started_at").cast("timestamp"))
     limit = F.unix_micros(instant(as_of)) - F.col("min_interval_seconds") * 1_000_000
     return (
         intervals.join(state, "source", "left")

@@ -250,9 +250,7 @@ def recent_runs(spark, sf):
 def missing_runs(spark, sf):
     from datetime import datetime
 
-    runs = events_as(spark, sf, RUNS).withColumns(
-        {c: F.col(c).cast("timestamp") for c in ("started_at", "finished_at")}
-    )
+    runs = events_as(spark, sf, RUNS)
     return N.missing_runs(runs, datetime(2024, 1, 1), datetime(2024, 1, 7), 10).select(stamp("tick"))
 
 
