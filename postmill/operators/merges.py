@@ -10,8 +10,10 @@ from postmill.functions.rules import RuleSet, apply_rules
 from postmill.operators.postings import is_open
 from postmill.operators.reports import STATUSES
 from postmill.schemas import POSTING, conform
+from postmill.session import stage
 from postmill.vocab import PlaceVocab
 
+IDS = ["source", "source_job_id"]
 VERDICT_COLUMNS = ("filtered_out", "filter_reason", "location_class")
 CONTENT = [
     c for c in POSTING if c not in ("posting_key", "first_seen_at", "last_seen_at", "closed_at")
@@ -23,24 +25,22 @@ BOARD_SOURCES = ("greenhouse", "lever", "ashby")
 def collapse_batch(batch: DataFrame) -> DataFrame:
     """One row per fingerprint: the latest sighting's content, and the first and last sighting.
 
-    ``batch`` has the posting columns plus ``seen_at`` and ``seq`` (its order of arrival).
+    ``batch`` has posting columns plus ``seen_at`` and ``seq`` (its order of arrival).
     ``max_by`` keeps one row per fingerprint and task before the shuffle, so a posting repeated
     in a third of the batch costs no more than any other.
     """
-    latest = F.max_by(F.struct(*CONTENT, "seq"), F.struct("seq")).alias("_row")
+    sighted = conform(batch, {**POSTING, "seen_at": "timestamp", "seq": "bigint"})
+    latest = F.max_by(F.struct(*CONTENT, "seq"), "seq").alias("_row")
     return (
-        batch.groupBy("posting_key")
+        sighted.groupBy("posting_key")
         .agg(latest, F.min("seen_at").alias("_first"), F.max("seen_at").alias("_last"))
-        .select(
-            "posting_key", "_row.*", F.col("_first").alias("first_seen_at"),
-            F.col("_last").alias("last_seen_at"),
-        )
+        .select("posting_key", "_row.*", "_first", "_last")
     )
 
 
-def merge_postings(current: DataFrame, batch: DataFrame) -> DataFrame:
-    """U1, U2. The stored postings after a batch, with ``change`` for every row:
-    ``new``, ``seen`` (refreshed), ``touched`` (only sighting and verdict) or ``kept``.
+def posting_changes(current: DataFrame, rows: DataFrame) -> DataFrame:
+    """U1, U2. The stored rows a batch changes, with ``change``: ``new``, ``seen`` (refreshed),
+    ``touched`` (only sighting and verdict) or ``replaced`` (gives way to an edited version).
 
     Identity is the fingerprint; ``(source, source_job_id)`` is unique as well, which gives:
 
@@ -49,100 +49,128 @@ def merge_postings(current: DataFrame, batch: DataFrame) -> DataFrame:
       and the verdict are updated, both postings keep their ids;
     * unknown fingerprint whose source id is stored: the posting was edited, so the newer
       content replaces the old row and ``first_seen_at`` is carried over.
+
+    ``rows`` is a collapsed batch, best a staged table since it is read several times. Only
+    stored rows that share a key with it take part: while the batch is small its keys are
+    broadcast and the stored table is scanned, not shuffled.
     """
     stored = conform(current, POSTING)
-    rows = collapse_batch(batch)
-    ids = ["source", "source_job_id"]
-
-    old_keys = stored.select("posting_key", F.col("first_seen_at").alias("_old_first"))
-    owners = stored.where(F.col("source_job_id").isNotNull()).select(
-        *ids, F.col("posting_key").alias("_owner"), F.col("first_seen_at").alias("_owner_first")
-    )
-    known = rows.join(old_keys, "posting_key", "left").join(owners, ids, "left")
-    matched, owned = F.col("_old_first").isNotNull(), F.col("_owner").isNotNull()
-    mine = owned & (F.col("_owner") == F.col("posting_key"))
-    role = F.when(
-        matched & owned & ~mine, "touched"  # the id is another posting's
-    ).otherwise("claims")
-    known = known.withColumn("_role", role).withColumn("_matched", matched)
-
-    # Who holds each source id after the batch. Stored postings are never dropped for one
-    # another: among them the owner, else the first sighted, keeps the id. An edited version
-    # replaces the holder when it came later.
-    claims = known.where((F.col("_role") == "claims") & F.col("source_job_id").isNotNull())
-    holder_rank = F.struct((~mine).cast("int"), F.col("seq"))
-    holds = claims.groupBy(*ids).agg(
-        F.min_by("posting_key", F.when(F.col("_matched"), holder_rank)).alias("_holder"),
-        F.min_by("seq", F.when(F.col("_matched"), holder_rank)).alias("_holder_seq"),
-        F.max_by("posting_key", F.when(~F.col("_matched"), F.col("seq"))).alias("_edited"),
-        F.max(F.when(~F.col("_matched"), F.col("seq"))).alias("_edited_seq"),
-        F.min("first_seen_at").alias("_id_first"),
+    batch_ids = rows.where(F.col("source_job_id").isNotNull()).select(*IDS).distinct()
+    own_ids = stored.select("posting_key", *IDS, "first_seen_at")
+    sighted = rows.select(F.col("posting_key").alias("_owner"), F.lit(True).alias("_owner_sighted"))
+    owners = (
+        own_ids.join(batch_ids, IDS, "left_semi")
+        .select(
+            *IDS, F.col("posting_key").alias("_owner"), F.col("first_seen_at").alias("_owner_first")
+        )
+        .join(sighted, "_owner", "left")
+    )
+    old = stored.join(rows.select("posting_key"), "posting_key", "left_semi")
+    known = rows.join(
+        old.select("posting_key", F.col("first_seen_at").alias("_old_first")), "posting_key", "left"
+    ).join(owners, IDS, "left")
+    matched = F.col("_old_first").isNotNull()
+    mine = F.col("_owner").eqNullSafe(F.col("posting_key"))
+    known = known.withColumns(
+        {"_matched": matched, "_claims": ~matched | F.col("_owner").isNull() | mine}
+    )
+
+    # Who holds each source id after the batch. Stored postings never give way to one another:
+    # among them the owner, else the first sighted, keeps the id. An edited version replaces the
+    # holder when it came later.
+    held = F.when(F.col("_matched"), F.struct((~mine).cast("int"), F.col("seq")))
+    edited = F.when(~F.col("_matched"), F.col("seq"))
+    claims = known.where(F.col("_claims") & F.col("source_job_id").isNotNull())
+    holds = claims.groupBy(*IDS).agg(
+        F.min_by("posting_key", held).alias("_holder"),
+        F.min_by("seq", held).alias("_holder_seq"),
+        F.max_by("posting_key", edited).alias("_edited"),
+        F.max(edited).alias("_edited_seq"),
+        F.min("_first").alias("_id_first"),
     )
     edit_wins = F.col("_edited").isNotNull() & (
         F.col("_holder").isNull() | (F.col("_edited_seq") > F.col("_holder_seq"))
     )
     holds = holds.select(
-        *ids, "_id_first",
+        *IDS, "_id_first",
         F.when(edit_wins, F.col("_edited")).otherwise(F.col("_holder")).alias("_winner"),
-        F.when(edit_wins, F.col("_holder")).alias("_replaced"),
+        F.when(edit_wins, F.col("_holder")).alias("_loser"),
     )
-    decided = known.join(holds, ids, "left")
     wins = F.col("source_job_id").isNull() | F.col("_winner").eqNullSafe(F.col("posting_key"))
-    lost = F.col("_replaced").eqNullSafe(F.col("posting_key"))
-    decided = decided.withColumn(
-        "_outcome",
-        F.when(F.col("_role") == "touched", "touched")
-        .when(wins & F.col("_matched"), "seen")
-        .when(wins, "new")
-        .when(F.col("_matched") & ~lost, "touched")
-        .otherwise("dropped"),
-    )
-    carried = F.least("first_seen_at", "_old_first", "_id_first", "_owner_first")
-    result = decided.withColumn(
-        "first_seen_at",
-        F.when(F.col("_outcome") == "new", carried).otherwise(
-            F.least("first_seen_at", "_old_first")
-        ),
-    )
-
-    # Stored rows that give way to an edited version: their owner key is another, new posting.
-    gone = (
-        decided.where((F.col("_outcome") == "new") & F.col("_owner").isNotNull())
-        .select(F.col("_owner").alias("posting_key"))
-        .unionByName(
-            decided.where((F.col("_outcome") == "dropped") & F.col("_matched")).select("posting_key")
+    decided = known.join(holds, IDS, "left").withColumn(
+        "change",
+        F.when(~F.col("_claims"), "touched")
+        .when(wins, F.when(F.col("_matched"), "seen").otherwise("new"))
+        .when(~F.col("_matched"), "dropped")
+        .when(F.col("_loser").eqNullSafe(F.col("posting_key")), "replaced")
+        .otherwise("touched"),
+    )
+    carried = F.least("_first", "_old_first", "_id_first", "_owner_first")
+    # An edit also gives the row it replaces, unless that posting was sighted and is decided
+    # itself.
+    edits = (
+        (F.col("change") == "new")
+        & F.col("_owner").isNotNull()
+        & F.col("_owner_sighted").isNull()
+    )
+    both = F.array(F.lit(False), F.lit(True))
+    outcome = (
+        decided.where(F.col("change") != "dropped")
+        .withColumn("_gone", F.explode(F.when(edits, both).otherwise(F.array(F.lit(False)))))
+        .withColumns(
+            {
+                "posting_key": F.when(F.col("_gone"), F.col("_owner")).otherwise(
+                    F.col("posting_key")
+                ),
+                "first_seen_at": F.when(F.col("change") == "new", carried).otherwise(
+                    F.least("_first", "_old_first")
+                ),
+                "change": F.when(F.col("_gone"), "replaced").otherwise(F.col("change")),
+            }
         )
-        .distinct()
     )
-    fresh = result.where(F.col("_outcome") != "dropped").select(
-        "posting_key", "first_seen_at", "last_seen_at", "_outcome", *CONTENT
+
+    before = F.struct(*[F.col(f"o.{c}") for c in CONTENT])
+    after = F.struct(*[F.col(f"n.{c}") for c in CONTENT])
+    touched = before
+    for name in VERDICT_COLUMNS:
+        touched = touched.withField(name, F.col(f"n.{name}"))
+    content = F.when(F.col("n.change") == "touched", touched).otherwise(after)
+    return (
+        outcome.alias("n")
+        .join(old.alias("o"), F.col("n.posting_key") == F.col("o.posting_key"), "left")
+        .select(
+            F.col("n.posting_key").alias("posting_key"),
+            content.alias("_content"),
+            F.col("n.first_seen_at").alias("first_seen_at"),
+            F.greatest(F.col("n._last"), F.col("o.last_seen_at")).alias("last_seen_at"),
+            F.col("o.closed_at").alias("closed_at"),
+            F.col("n.change").alias("change"),
+        )
+        .select("posting_key", "_content.*", "first_seen_at", "last_seen_at", "closed_at", "change")
+        .select(*POSTING, "change")
     )
-    left, right = stored.alias("o"), fresh.alias("n")
-    joined = left.join(right, F.col("o.posting_key") == F.col("n.posting_key"), "full_outer")
-    outcome = F.col("n._outcome")
 
-    def pick(name: str) -> Column:
-        refreshed = outcome.isin("new", "seen")
-        if name in VERDICT_COLUMNS:
-            refreshed = outcome.isNotNull()
-        return F.when(refreshed, F.col(f"n.{name}")).otherwise(F.col(f"o.{name}")).alias(name)
 
-    merged = joined.select(
-        F.coalesce(F.col("n.posting_key"), F.col("o.posting_key")).alias("posting_key"),
-        *[pick(c) for c in CONTENT],
-        F.coalesce(F.col("n.first_seen_at"), F.col("o.first_seen_at")).alias("first_seen_at"),
-        F.greatest(F.col("n.last_seen_at"), F.col("o.last_seen_at")).alias("last_seen_at"),
-        F.col("o.closed_at").alias("closed_at"),
-        F.coalesce(outcome, F.lit("kept")).alias("change"),
-    )
-    replaced_only = gone.join(fresh.select("posting_key"), "posting_key", "left_anti")
-    return merged.join(replaced_only, "posting_key", "left_anti").select(
-        *POSTING, "change"
+def apply_changes(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """U1. All stored postings after a batch, with ``change`` (``kept`` where untouched)."""
+    stored = conform(current, POSTING)
+    kept = stored.join(changes.select("posting_key"), "posting_key", "left_anti")
+    return kept.withColumn("change", F.lit("kept")).unionByName(
+        changes.where(F.col("change") != "replaced")
     )
 
 
+def merge_postings(current: DataFrame, batch: DataFrame) -> DataFrame:
+    """U1, U2. ``collapse_batch``, ``posting_changes`` and ``apply_changes`` in turn, each step
+    staged in the shared folder."""
+    rows = stage(collapse_batch(batch), "collapsed")
+    changes = stage(posting_changes(current, rows), "changes")
+    return apply_changes(current, changes)
+
+
 def run_counters(merged: DataFrame, batch: DataFrame) -> DataFrame:
-    """A10. Seen, new and rejected counts of one batch."""
+    """A10. Seen, new and rejected counts of one batch; ``merged`` has its changes."""
     seen = batch.agg(
         F.count("*").alias("jobs_seen"), F.count_if(F.col("filtered_out")).alias("jobs_filtered")
     )

@@ -1 +1,266 @@
-"""Pending."""
+"""Merges: a stored state, a batch, and what the state becomes. Events and orders are cut in two
+halves that play the stored rows and the arriving batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postmill.functions import rules as U
+from postmill.operators import merges as G
+from postmill.operators import reports as R
+from postmill.operators import scoring as O
+from postmill.operators import screen as C
+from queries.binding import (
+    AS_OF,
+    COMPANIES,
+    STATUS_EVENTS,
+    bound,
+    companies,
+    events_as,
+    oracle,
+    postings,
+    scores,
+    stamp,
+    stamp_sql,
+    table,
+)
+from queries.registry import query
+from queries.text_q import JUDGED, TEXTED, _texted
+
+# Sightings: several lines of an order are sightings of one part's posting. The part is the
+# content; the supplier and a few lines of the order make up the source id, so both unique keys
+# collide in every way a merge has to settle.
+SIGHTINGS = {
+    "posting_key": "'fp' || CAST(l_partkey % 400 AS STRING)",
+    "company_key": "'co' || CAST(l_partkey % 7 AS STRING)",
+    "source": "CASE WHEN l_suppkey % 3 = 0 THEN 'lever' ELSE 'ashby' END",
+    "source_job_id": "CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE 'fp' || CAST(l_partkey % 400 AS STRING) END",
+    "title": "'Line ' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)",
+    "salary_source": "'none'",
+    "filtered_out": "l_linenumber = 2",
+    "filter_reason": "CASE WHEN l_linenumber = 2 THEN 'title_not_target' END",
+    "location_class": "'unknown'",
+    "seen_at": "l_shipdate",
+    "seq": "(l_orderkey * 10 + l_linenumber) * 1000 + l_suppkey % 1000",
+}
+EVERY = "SELECT " + ", ".join(f'{e} AS "{n}"' for n, e in SIGHTINGS.items()) + " FROM lineitem"
+# One source id per (source, fingerprint): latest content, first and last sighting. Null ids too.
+STATE = (
+    "SELECT posting_key, source, title, filter_reason, first_seen_at, last_seen_at FROM (SELECT *,"
+    " min(seen_at) OVER w AS first_seen_at, max(seen_at) OVER w AS last_seen_at, row_number() OVER"
+    " (PARTITION BY posting_key ORDER BY seq DESC) AS rk FROM every WINDOW w AS (PARTITION BY"
+    " posting_key)) WHERE rk = 1"
+)
+
+
+def _sightings(spark, sf):
+    return bound(table(spark, sf, "lineitem"), SIGHTINGS)
+
+
+def _twice(spark, sf):
+    """Two batches after each other, the second one delivered twice."""
+    every = _sightings(spark, sf)
+    first, second = every.where("seq % 20000 < 10000"), every.where("seq % 20000 >= 10000")
+    empty = every.where(F.lit(False))
+    start = G.merge_postings(empty, first).drop("change")
+    return start, second
+
+
+@query("upsert_batch", oracle(
+    f"SELECT posting_key, source, title, filter_reason, {stamp_sql('first_seen_at')},"
+    f" {stamp_sql('last_seen_at')}, 'new' AS change FROM s", every=EVERY, s=STATE,
+))
+def upsert_batch(spark, sf):
+    every = _sightings(spark, sf)
+    merged = G.merge_postings(every.where(F.lit(False)), every)
+    return merged.select(
+        "posting_key", "source", "title", "filter_reason", stamp("first_seen_at"),
+        stamp("last_seen_at"), "change",
+    )
+
+
+HALVES = (
+    "SELECT *, seq % 20000 >= 10000 AS late FROM every"
+)
+CONVERGED = (
+    "SELECT posting_key, title, first_seen_at, last_seen_at FROM (SELECT *, min(seen_at) OVER w AS"
+    " first_seen_at, max(seen_at) OVER w AS last_seen_at, row_number() OVER (PARTITION BY posting_key"
+    " ORDER BY late DESC, seq DESC) AS rk FROM h WINDOW w AS (PARTITION BY posting_key)) WHERE rk = 1"
+)
+
+
+@query("upsert_converges", oracle(
+    f"SELECT posting_key, title, {stamp_sql('first_seen_at')}, {stamp_sql('last_seen_at')} FROM s",
+    every=EVERY, h=HALVES, s=CONVERGED,
+))
+def upsert_converges(spark, sf):
+    """The second batch merged twice over gives what merging it once gives."""
+    start, second = _twice(spark, sf)
+    once = G.merge_postings(start, second).drop("change")
+    again = G.merge_postings(once, second)
+    return again.select("posting_key", "title", stamp("first_seen_at"), stamp("last_seen_at"))
+
+
+@query("run_counters", oracle(
+    "SELECT (SELECT count(*) FROM h WHERE late) AS jobs_seen, (SELECT count(*) FROM h WHERE late AND"
+    " filtered_out) AS jobs_filtered, (SELECT count(DISTINCT posting_key) FROM h WHERE posting_key NOT IN"
+    " (SELECT posting_key FROM h WHERE NOT late)) AS jobs_new", every=EVERY, h=HALVES,
+))
+def run_counters(spark, sf):
+    start, second = _twice(spark, sf)
+    return G.run_counters(G.merge_postings(start, second), second)
+
+
+SEEN = {
+    "company_key": "'co' || CAST(o_custkey % 500 AS STRING)",
+    "name": "'Company ' || CAST(o_orderkey AS STRING)",
+    "ats_type": "CASE WHEN o_orderstatus = 'F' THEN 'lever' WHEN o_orderkey % 50 = 0 THEN 'ashby' END",
+    "board_token": "CASE WHEN o_orderstatus = 'F' THEN 'b' || CAST(o_orderkey AS STRING) END",
+    "seq": "o_orderkey",
+}
+STORED = {
+    **COMPANIES,
+    "company_key": "'co' || CAST(c_custkey AS STRING)",
+}
+
+
+@query("company_merge", "WITH c AS (SELECT " + ", ".join(f'{e} AS "{n}"' for n, e in STORED.items())
+       + " FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT company_key, arg_max(name, seq) AS name,"
+       " arg_min(ats_type, seq) FILTER (WHERE ats_type IS NOT NULL) AS ats_type, arg_min(board_token, seq)"
+       " FILTER (WHERE board_token IS NOT NULL) AS board_token FROM (SELECT "
+       + ", ".join(f'{e} AS "{n}"' for n, e in SEEN.items())
+       + " FROM orders) GROUP BY 1) SELECT COALESCE(c.company_key, n.company_key) AS company_key,"
+       " COALESCE(n.name, c.name) AS name, COALESCE(c.ats_type, n.ats_type) AS ats_type,"
+       " COALESCE(c.board_token, n.board_token) AS board_token, COALESCE(c.verdict, 'unknown') AS verdict,"
+       " c.verdict_source FROM c FULL JOIN n ON c.company_key = n.company_key")
+def company_merge(spark, sf):
+    stored = bound(table(spark, sf, "customer").where("c_custkey % 2 = 0"), STORED)
+    seen = bound(table(spark, sf, "orders"), SEEN)
+    return G.merge_companies(stored, seen).select(
+        "company_key", "name", "ats_type", "board_token", "verdict", "verdict_source"
+    )
+
+
+@query("score_merge", oracle(
+    "SELECT COALESCE(o.posting_key, n.posting_key) AS posting_key, COALESCE(n.total_score, o.total_score)"
+    " AS total_score, COALESCE(n.rule_score, o.rule_score) AS rule_score, COALESCE(n.relevance_verdict,"
+    " o.relevance_verdict) AS relevance_verdict, COALESCE(n.model, o.model) AS model FROM scores o FULL JOIN"
+    " n ON n.posting_key = o.posting_key", "scores",
+    n="SELECT o_orderkey AS posting_key, CAST(o_orderkey % 100 AS DOUBLE) / 100 AS total_score,"
+    " CAST(o_orderkey % 10 AS DOUBLE) / 10 AS rule_score, CASE WHEN o_orderkey % 6 = 0 THEN 'weak' END AS"
+    " relevance_verdict, CASE WHEN o_orderkey % 6 = 0 THEN 'm2' END AS model FROM orders",
+))
+def score_merge(spark, sf):
+    fresh = table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS posting_key", "CAST(o_orderkey % 100 AS DOUBLE) / 100 AS total_score",
+        "CAST(o_orderkey % 10 AS DOUBLE) / 10 AS rule_score",
+        "CASE WHEN o_orderkey % 6 = 0 THEN 'weak' END AS relevance_verdict",
+        "CASE WHEN o_orderkey % 6 = 0 THEN 'm2' END AS model",
+    )
+    return O.merge_scores(scores(spark, sf), fresh).select(
+        "posting_key", "total_score", "rule_score", "relevance_verdict", "model"
+    )
+
+
+@query("status_fold", oracle(
+    f"SELECT posting_key, status, {stamp_sql('applied_at')}, {stamp_sql('responded_at')},"
+    f" {stamp_sql('interview_at')}, {stamp_sql('closed_at')}, {stamp_sql('updated_at')} FROM applications",
+    "applications",
+))
+def status_fold(spark, sf):
+    folded = G.fold_status(events_as(spark, sf, STATUS_EVENTS))
+    return folded.select(
+        "posting_key", "status",
+        *[stamp(c) for c in ("applied_at", "responded_at", "interview_at", "closed_at", "updated_at")],
+    )
+
+
+JUDGEMENTS = {
+    "posting_key": "doc_id",
+    "relevance_verdict": "CASE doc_id % 4 WHEN 0 THEN 'strong' WHEN 1 THEN 'weak' WHEN 2 THEN 'Superb' END",
+    "relevance_score": "CAST(quality AS DOUBLE) * 3 - CAST(toxic AS DOUBLE) - 0.5",
+    "rationale": "'  because ' || CAST(doc_id AS STRING) || ' '",
+}
+
+
+@query("verdict_ingest", "SELECT posting_key, CASE WHEN relevance_verdict IN ('strong', 'possible', 'weak')"
+       " THEN relevance_verdict ELSE 'possible' END AS relevance_verdict, least(1, greatest(0,"
+       " relevance_score)) AS relevance_score, trim(rationale) AS rationale FROM (SELECT "
+       + ", ".join(f"{e} AS {n}" for n, e in JUDGEMENTS.items()) + " FROM labels)")
+def verdict_ingest(spark, sf):
+    return C.clean_relevance(bound(table(spark, sf, "labels"), JUDGEMENTS))
+
+
+RULINGS = {
+    "company_key": "CAST(user_id AS BIGINT)",
+    "verdict": "CASE WHEN event_id % 2 = 0 THEN 'allowed' ELSE 'excluded' END",
+    "decided_at": "ts",
+}
+MODEL = {
+    "company_key": "s_suppkey * 2",
+    "verdict": "CASE WHEN s_suppkey % 3 = 0 THEN 'sure' WHEN s_suppkey % 3 = 1 THEN 'allowed' ELSE"
+    " 'excluded' END",
+    "sector": "'model sector'",
+    "reason": "'model reason ' || CAST(s_suppkey AS STRING)",
+}
+LISTED = "contains(name, ' Bank') AND NOT contains(name, 'Blood Bank')"
+KEPT = "verdict_source = 'user' OR (verdict_source IS NOT NULL AND verdict <> 'unknown')"
+
+
+def _pick(user: str, kept: str, listed: str, model: str, other: str) -> str:
+    return (
+        f"CASE WHEN u.v IS NOT NULL THEN {user} WHEN {KEPT} THEN {kept} WHEN {LISTED} THEN {listed} WHEN"
+        f" m.mv IS NOT NULL THEN {model} ELSE {other} END"
+    )
+
+
+@query("verdict_precedence", oracle(
+    "SELECT company_key, name, "
+    + _pick("u.v", "verdict", "'excluded'", "m.mv", "'unknown'") + " AS verdict, "
+    + _pick("sector", "sector", "'interest_finance'", "m.ms", "sector") + " AS sector, "
+    + _pick("'Set manually.'", "reason", "'Company name contains ''bank'' (interest_finance).'", "m.mr",
+            "reason") + " AS reason, "
+    + _pick("'user'", "verdict_source", "'blocklist'", "'llm'", "verdict_source") + " AS verdict_source"
+    " FROM companies LEFT JOIN (SELECT user_id AS k, arg_max(CASE WHEN event_id % 2 = 0 THEN 'allowed' ELSE"
+    " 'excluded' END, ts) AS v FROM events GROUP BY 1) u ON u.k = company_key LEFT JOIN (SELECT s_suppkey * 2"
+    " AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'flagged' WHEN s_suppkey % 3 = 1 THEN 'allowed' ELSE 'excluded'"
+    " END AS mv, 'model sector' AS ms, 'model reason ' || CAST(s_suppkey AS VARCHAR) AS mr FROM supplier) m"
+    " ON m.k = company_key", "companies",
+))
+def verdict_precedence(spark, sf):
+    screened = C.screen_companies(companies(spark, sf), postings(spark, sf))
+    rulings = events_as(spark, sf, RULINGS)
+    verdicts = bound(table(spark, sf, "supplier"), MODEL)
+    return C.settle_verdicts(screened, rulings, verdicts, AS_OF).select(
+        "company_key", "name", "verdict", "sector", "reason", "verdict_source"
+    )
+
+
+def _rejudged(spark, sf):
+    return G.rejudge(_texted(spark, sf), U.RuleSet())
+
+
+CHANGED = (
+    "SELECT p.posting_key, p.title, p.company_key, COALESCE(p.filter_reason, 'passes') AS was,"
+    " COALESCE(j.filter_reason, 'passes') AS now FROM postings p JOIN j USING (posting_key) WHERE"
+    " p.closed_at IS NULL AND (p.filter_reason IS DISTINCT FROM j.filter_reason OR p.location_class IS"
+    " DISTINCT FROM j.location_class)"
+)
+
+
+@query("rejudge_diff", oracle(
+    "SELECT posting_key, was, now FROM d", "postings", t=TEXTED, j=JUDGED, d=CHANGED,
+))
+def rejudge_diff(spark, sf):
+    return G.rejudge_diff(_rejudged(spark, sf)).select("posting_key", "was", "now")
+
+
+@query("rejudge_transitions", oracle(
+    "SELECT was, now, count(*) AS n, array_to_string((list(c.name || ': ' || left(d.title, 48) ORDER BY"
+    " posting_key))[1:4], ' / ') AS examples FROM d JOIN companies c USING (company_key) GROUP BY 1, 2",
+    "postings", "companies", t=TEXTED, j=JUDGED, d=CHANGED,
+))
+def rejudge_transitions(spark, sf):
+    names = companies(spark, sf).selectExpr("company_key", "name AS company_name")
+    diff = G.rejudge_diff(_rejudged(spark, sf)).join(names, "company_key")
+    return R.rejudge_transitions(diff).withColumn("examples", F.array_join("examples", " / "))

@@ -1 +1,143 @@
-"""Pending."""
+"""Vectors and score components."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postmill.functions import scoring as S
+from postmill.functions.expr import instant
+from postmill.operators import scoring as O
+from queries.binding import AS_OF, oracle, postings, table
+from queries.registry import query
+
+COS = (
+    "list_dot_product(e.embedding::DOUBLE[], r.v) / (sqrt(list_dot_product(e.embedding::DOUBLE[],"
+    " e.embedding::DOUBLE[])) * sqrt(list_dot_product(r.v, r.v)))"
+)
+REF = "(SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0) r"
+
+
+def _reference(spark, sf):
+    """The one reference vector."""
+    row = table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()
+    return [float(x) for x in row.embedding]
+
+
+@query("cosine_topk", f"SELECT vec_id, round({COS}, 6) AS cosine FROM embeddings e, {REF}"
+       f" ORDER BY {COS} DESC, vec_id LIMIT 25")
+def cosine_topk(spark, sf):
+    top = O.nearest(table(spark, sf, "embeddings"), _reference(spark, sf), 25, "vec_id")
+    return top.withColumn("cosine", F.round("cosine", 6))
+
+
+@query("cosine_all", f"SELECT vec_id, round({COS}, 6) AS cosine, round(least(1, greatest(0, ({COS} -"
+       f" 0.6::DOUBLE) / (0.85::DOUBLE - 0.6::DOUBLE))), 6) AS rescaled FROM embeddings e, {REF}")
+def cosine_all(spark, sf):
+    cosine = S.cosine(F.col("embedding"), _reference(spark, sf))
+    return (
+        table(spark, sf, "embeddings")
+        .select("vec_id", cosine.alias("c"))
+        .select(
+            "vec_id", F.round("c", 6).alias("cosine"),
+            F.round(S.rescale_similarity(F.col("c")), 6).alias("rescaled"),
+        )
+    )
+
+
+FRESH = (
+    "CASE WHEN posted_at IS NULL THEN 0.5::DOUBLE WHEN age <= 48 THEN 1.0::DOUBLE WHEN age <= 168 THEN"
+    " 0.7::DOUBLE WHEN age <= 720 THEN 0.4::DOUBLE ELSE 0.15::DOUBLE END"
+)
+AGED = "SELECT *, datediff('second', posted_at, TIMESTAMP '2001-08-02 00:00:00') / 3600 AS age FROM postings"
+
+
+@query("freshness_steps", oracle(
+    f"SELECT {FRESH} AS freshness_score, count(*) AS n FROM a GROUP BY 1", "postings", a=AGED,
+))
+def freshness_steps(spark, sf):
+    fresh = S.freshness_score(F.col("posted_at"), instant(AS_OF))
+    return postings(spark, sf).groupBy(fresh.alias("freshness_score")).agg(F.count("*").alias("n"))
+
+
+NEAR = "[" + ", ".join(f"'{c}'" for c in S.NEARBY) + "]"
+
+
+def _rule_sql() -> str:
+    from queries.text_q import city_key_sql
+
+    kind = "COALESCE(remote_type, 'onsite')"
+    return (
+        f"(0.45::DOUBLE * CASE {kind} WHEN 'remote' THEN 1.0::DOUBLE WHEN 'hybrid' THEN 0.7::DOUBLE ELSE"
+        f" 0.4::DOUBLE END + 0.2::DOUBLE * CASE WHEN {kind} = 'onsite' AND NOT list_contains({NEAR},"
+        f" {city_key_sql('location')}) THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END + 0.35::DOUBLE * CASE WHEN"
+        " salary_source = 'none' OR COALESCE(salary_max, salary_min) IS NULL THEN 0.55::DOUBLE ELSE"
+        " least(1.0::DOUBLE, greatest(0.0::DOUBLE, (COALESCE(salary_max, salary_min) - 125000)::DOUBLE /"
+        " 25000)) END)"
+    )
+
+
+@query("rule_score", oracle(
+    f"SELECT posting_key, round_even({_rule_sql()}, 6) AS rule_score FROM postings", "postings",
+))
+def rule_score(spark, sf):
+    score = S.rule_score(
+        F.coalesce("remote_type", F.lit("onsite")), F.col("location"), F.col("salary_min"),
+        F.col("salary_max"), F.col("salary_source"),
+    )
+    return postings(spark, sf).select("posting_key", score.alias("rule_score"))
+
+
+VECTORS = "SELECT vec_id AS posting_key, embedding FROM embeddings"
+SCORED = (
+    "SELECT posting_key, round_even(near, 6) AS embed_similarity, rules AS rule_score,"
+    " fresh AS freshness_score, round_even(least(1, greatest(0, 0.55::DOUBLE * near + 0.25::DOUBLE * rules +"
+    " 0.2::DOUBLE * fresh)), 6) AS total_score FROM (SELECT a.posting_key, least(1, greatest(0, "
+    f"({COS} - 0.6::DOUBLE) / (0.85::DOUBLE - 0.6::DOUBLE))) AS near, round_even({_rule_sql()}, 6) AS rules,"
+    f" {FRESH} AS fresh FROM a JOIN (SELECT vec_id AS posting_key, list_transform(embedding, (x, i) ->"
+    f" x * 0.3::DOUBLE + r.v[i]) AS embedding FROM embeddings, {REF}) e USING (posting_key), {REF})"
+)
+
+
+@query("score_postings", oracle(SCORED, "postings", a=AGED).replace("(x, i) ->", "lambda x, i:"))
+def score_postings(spark, sf):
+    """Vectors are pulled towards the reference, so that similarities spread over the band."""
+    ref = _reference(spark, sf)
+    pulled = F.zip_with(
+        F.col("embedding"), F.lit(ref).cast("array<double>"), lambda x, y: x * F.lit(0.3) + y
+    )
+    vectors = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("posting_key"), pulled.alias("embedding")
+    )
+    scored = O.score_postings(postings(spark, sf), vectors, ref, AS_OF)
+    return scored.select(
+        "posting_key", "embed_similarity", "rule_score", "freshness_score", "total_score"
+    )
+
+
+@query("stretch_slice")
+def stretch_slice(spark, sf):
+    """The pseudo-random slice depends on Spark's hash, so there is no SQL twin."""
+    return postings(spark, sf).where(S.is_stretch(F.col("posting_key"))).select("posting_key", "title")
+
+
+@query("embed_export", "SELECT doc_id AS posting_key, source || chr(10) || left(text, 4000) AS text"
+       " FROM documents")
+def embed_export(spark, sf):
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("posting_key"), F.col("source").alias("title"),
+        F.col("text").alias("description"),
+    )
+    return O.embed_export(docs)
+
+
+@query("embed_hook", "SELECT doc_id AS posting_key, CAST(length(text) AS DOUBLE) AS chars FROM documents")
+def embed_hook(spark, sf):
+    """Any encoder fits the hook; this one returns the text length as a one-element vector."""
+
+    def loader():
+        return lambda texts: [[float(len(t))] for t in texts]
+
+    docs = table(spark, sf, "documents").selectExpr("doc_id AS posting_key", "text")
+    return O.embed_texts(docs, loader).select(
+        "posting_key", F.col("embedding")[0].cast("double").alias("chars")
+    )

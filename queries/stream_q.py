@@ -1 +1,93 @@
-"""Pending."""
+"""Stream jobs over the events file; each must give what the batch result gives."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postmill.operators import spend as S
+from postmill.session import scratch
+from postmill.streaming import jobs as J
+from queries.binding import ATTEMPTS, STATUS_EVENTS, USAGE, bound, oracle, stamp, stamp_sql
+from queries.registry import query
+from queries.spend_q import PRICED
+
+
+def _events(spark, sf):
+    schema = J.parquet_schema(spark, f"{sf}/events.parquet")
+    return J.file_stream(spark, sf, schema, pathGlobFilter="events.parquet")
+
+
+def _run(spark, label, start):
+    """Run a stream job in a fresh folder and return where its output is."""
+    root = scratch(spark, label)
+    start(f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return f"{root}/out"
+
+
+@query("stream_first_last", "SELECT user_id AS posting_key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS"
+       " first_seen_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen_at, count(*) AS n FROM events"
+       " GROUP BY 1")
+def stream_first_last(spark, sf):
+    seen = _events(spark, sf).withColumnRenamed("user_id", "posting_key")
+    out = _run(spark, "first-last", lambda o, c: J.changelog(
+        J.sightings(seen, "posting_key", F.col("ts")), o, c
+    ))
+    return J.latest(spark, out, "posting_key").select(
+        "posting_key", stamp("first_seen_at"), stamp("last_seen_at"), "n"
+    )
+
+
+@query("stream_daily_spend", oracle(
+    "SELECT strftime(day, '%Y-%m-%d') AS day, CAST(sum(micros) AS BIGINT) AS micros, count(*) AS calls FROM"
+    " p GROUP BY 1", "usage", p=PRICED,
+))
+def stream_daily_spend(spark, sf):
+    usage = bound(_events(spark, sf), USAGE)
+    spend = S.with_cost(usage, S.rates_table(spark)).withColumn(
+        "created_at", F.col("created_at").cast("timestamp")
+    )
+    out = _run(spark, "daily-spend", lambda o, c: J.changelog(J.daily_spend(spend), o, c))
+    return J.latest(spark, out, "day").select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"),
+        (F.col("cost_usd") * 1_000_000).cast("bigint").alias("micros"), "calls",
+    )
+
+
+@query("stream_weekly", oracle(
+    "SELECT strftime(date_trunc('week', \"at\"), '%Y-%m-%d') AS week, status, count(*) AS n FROM"
+    " status_events GROUP BY 1, 2", "status_events",
+))
+def stream_weekly(spark, sf):
+    applied = bound(_events(spark, sf), STATUS_EVENTS).select(
+        F.col("at").cast("timestamp").alias("applied_at"), "status"
+    )
+    out = _run(spark, "weekly", lambda o, c: J.changelog(J.weekly_counts(applied), o, c))
+    return J.latest(spark, out, "week", "status").select(
+        F.date_format("week", "yyyy-MM-dd").alias("week"), "status", "n"
+    )
+
+
+@query("stream_failure_streaks", oracle(
+    "SELECT a.source, count(*) FILTER (WHERE NOT a.ok AND (l.x IS NULL OR a.\"at\" > l.x)) AS"
+    " consecutive_errors FROM attempts a LEFT JOIN (SELECT source, max(\"at\") AS x FROM attempts WHERE ok"
+    " GROUP BY 1) l ON l.source = a.source GROUP BY 1", "attempts",
+))
+def stream_failure_streaks(spark, sf):
+    attempts = bound(_events(spark, sf), ATTEMPTS)
+    out = _run(spark, "streaks", lambda o, c: J.failure_log(attempts, o, c))
+    return J.failure_streaks(spark, out)
+
+
+@query("stream_new_postings", "SELECT DISTINCT user_id AS posting_key FROM events")
+def stream_new_postings(spark, sf):
+    seen = _events(spark, sf).select(
+        F.col("user_id").alias("posting_key"), F.col("ts").cast("timestamp").alias("seen_at")
+    )
+
+    def start(out, checkpoint):
+        def write(batch, batch_id):
+            J.append_once(batch, out, str(batch_id))
+
+        return J.run_batches(J.new_postings(seen, "posting_key", "seen_at", "60 days"), checkpoint, write)
+
+    return spark.read.parquet(_run(spark, "new", start)).select("posting_key")
