@@ -24,6 +24,7 @@ BOARD_SOURCES = ("greenhouse", "lever", "ashby")
 
 def collapse_batch(batch: DataFrame) -> DataFrame:
     """One row per fingerprint: the latest sighting's content, and the first and last sighting.
+    The latest sighting speaks for the whole batch, also for the source id it came under.
 
     ``batch`` has posting columns plus ``seen_at`` and ``seq`` (its order of arrival).
     ``max_by`` keeps one row per fingerprint and task before the shuffle, so a posting repeated
@@ -66,44 +67,56 @@ def posting_changes(current: DataFrame, rows: DataFrame) -> DataFrame:
         .join(sighted, "_owner", "left")
     )
     old = stored.join(rows.select("posting_key"), "posting_key", "left_semi")
-    known = rows.join(
-        old.select("posting_key", F.col("first_seen_at").alias("_old_first")), "posting_key", "left"
-    ).join(owners, IDS, "left")
+    was = old.select(
+        "posting_key",
+        F.col("first_seen_at").alias("_old_first"),
+        F.col("source").alias("_old_source"),
+        F.col("source_job_id").alias("_old_id"),
+    )
+    known = rows.join(was, "posting_key", "left").join(owners, IDS, "left")
     matched = F.col("_old_first").isNotNull()
-    mine = F.col("_owner").eqNullSafe(F.col("posting_key"))
-    known = known.withColumns(
-        {"_matched": matched, "_claims": ~matched | F.col("_owner").isNull() | mine}
+    free = matched & F.col("_owner").isNull() & F.col("source_job_id").isNotNull()
+    # Of several stored postings that turn up under one id nobody had, the first one takes it.
+    takers = known.where(free).groupBy(*IDS).agg(F.min_by("posting_key", "seq").alias("_taker"))
+    known = known.join(takers, IDS, "left")
+    own_id = F.col("source_job_id").isNull() | F.col("_owner").eqNullSafe(F.col("posting_key"))
+    takes = ~matched | own_id | (free & (F.col("_taker") == F.col("posting_key")))
+    # The id each sighted posting holds: the one it came with, or the one it had.
+    known = known.withColumns({"_matched": matched, "_takes": takes}).withColumns(
+        {
+            "_source": F.when(F.col("_takes"), F.col("source")).otherwise(F.col("_old_source")),
+            "_id": F.when(F.col("_takes"), F.col("source_job_id")).otherwise(F.col("_old_id")),
+        }
     )
-
-    # Who holds each source id after the batch. Stored postings never give way to one another:
-    # among them the owner, else the first sighted, keeps the id. An edited version replaces the
-    # holder when it came later.
-    held = F.when(F.col("_matched"), F.struct((~mine).cast("int"), F.col("seq")))
-    edited = F.when(~F.col("_matched"), F.col("seq"))
-    claims = known.where(F.col("_claims") & F.col("source_job_id").isNotNull())
-    holds = claims.groupBy(*IDS).agg(
-        F.min_by("posting_key", held).alias("_holder"),
-        F.min_by("seq", held).alias("_holder_seq"),
-        F.max_by("posting_key", edited).alias("_edited"),
-        F.max(edited).alias("_edited_seq"),
-        F.min("_first").alias("_id_first"),
+    # Stored postings now hold different ids. An unknown fingerprint under a held id is an
+    # edited version: the later sighting of the two stays.
+    held, edit = F.col("_matched"), ~F.col("_matched")
+    holds = (
+        known.where(F.col("_id").isNotNull())
+        .groupBy("_source", "_id")
+        .agg(
+            F.max(F.when(held, F.col("posting_key"))).alias("_holder"),
+            F.max(F.when(held, F.col("seq"))).alias("_holder_seq"),
+            F.max_by("posting_key", F.when(edit, F.col("seq"))).alias("_edited"),
+            F.max(F.when(edit, F.col("seq"))).alias("_edited_seq"),
+            F.min("_first").alias("_id_first"),
+        )
     )
     edit_wins = F.col("_edited").isNotNull() & (
         F.col("_holder").isNull() | (F.col("_edited_seq") > F.col("_holder_seq"))
     )
     holds = holds.select(
-        *IDS, "_id_first",
+        "_source", "_id", "_id_first",
         F.when(edit_wins, F.col("_edited")).otherwise(F.col("_holder")).alias("_winner"),
-        F.when(edit_wins, F.col("_holder")).alias("_loser"),
     )
-    wins = F.col("source_job_id").isNull() | F.col("_winner").eqNullSafe(F.col("posting_key"))
-    decided = known.join(holds, IDS, "left").withColumn(
+    stays = F.col("_id").isNull() | (F.col("_winner") == F.col("posting_key"))
+    decided = known.join(holds, ["_source", "_id"], "left").withColumn(
         "change",
-        F.when(~F.col("_claims"), "touched")
-        .when(wins, F.when(F.col("_matched"), "seen").otherwise("new"))
-        .when(~F.col("_matched"), "dropped")
-        .when(F.col("_loser").eqNullSafe(F.col("posting_key")), "replaced")
-        .otherwise("touched"),
+        F.when(stays & edit, "new")
+        .when(edit, "dropped")
+        .when(stays & F.col("_takes"), "seen")
+        .when(stays, "touched")
+        .otherwise("replaced"),
     )
     carried = F.least("_first", "_old_first", "_id_first", "_owner_first")
     # An edit also gives the row it replaces, unless that posting was sighted and is decided
