@@ -59,22 +59,37 @@ def board_status(boards: DataFrame) -> DataFrame:
     )
 
 
+def landed_boards(spark: SparkSession, landing: str) -> DataFrame:
+    """Every board with a landed file; only paths are listed, no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(landing)
+    return files.select(
+        F.regexp_extract("path", r"/source=([^/]+)/", 1).alias("source"),
+        F.nullif(F.regexp_extract("path", r"/token=([^/]+)/", 1), F.lit("")).alias("token"),
+    ).distinct()
+
+
 def landed_status(spark: SparkSession, landing: str) -> DataFrame:
-    """S9 over landed files of all feeds."""
-    frames = None
+    """S9 over landed files of all feeds. A bare array without postings gives no payload rows,
+    so boards are taken from the files."""
+    boards = landed_boards(spark, landing)
+    frames = boards.select(
+        "source", "token", F.lit(0).cast("long").alias("n"),
+        F.lit(None).cast("long").alias("meta_total"), F.lit(False).alias("bad"),
+    )
     for spec in SOURCES.values():
         payloads = read_payloads(spark, landing, spec)
-        bad = F.col(CORRUPT).isNotNull()
+        broken = F.col(CORRUPT).isNotNull()
         if spec.items:
-            n = F.coalesce(F.size(spec.items), F.lit(0))
-            n = F.when(n < 0, 0).otherwise(n)
-            bad = bad | F.col(spec.items).isNull()
+            n = F.when(F.col(spec.items).isNotNull(), F.size(spec.items)).otherwise(0)
+            broken = broken | F.col(spec.items).isNull()
         else:
-            n = F.when(bad, 0).otherwise(1)
+            present = payloads.columns[0]  # the posting id; a broken payload has none
+            n = F.when(F.col(present).isNotNull(), 1).otherwise(0)
         total = F.col("meta.total") if "meta" in payloads.columns else F.lit(None).cast("long")
-        part = payloads.select(
-            F.lit(spec.name).alias("source"), "token",
-            n.cast("long").alias("n"), total.alias("meta_total"), bad.alias("bad"),
+        frames = frames.unionByName(
+            payloads.select(
+                F.lit(spec.name).alias("source"), "token",
+                n.cast("long").alias("n"), total.alias("meta_total"), broken.alias("bad"),
+            )
         )
-        frames = part if frames is None else frames.unionByName(part)
     return board_status(frames)
