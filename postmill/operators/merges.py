@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.rules import RuleSet, apply_rules
+from postmill.functions.rules import RuleSet, judgement, with_judgement
 from postmill.operators.postings import is_open
 from postmill.operators.reports import STATUSES
 from postmill.schemas import POSTING, conform
@@ -251,32 +251,19 @@ def fold_status(events: DataFrame) -> DataFrame:
 def rejudge(
     postings: DataFrame, rules: RuleSet | None = None, vocab: PlaceVocab | None = None
 ) -> DataFrame:
-    """U9. Open postings under new rules, with the old verdict as ``was_reason, was_class``;
-    closed postings pass through unjudged."""
-    held = postings.withColumns(
-        {"was_reason": F.col("filter_reason"), "was_class": F.col("location_class")}
-    )
-    judged = apply_rules(held, rules, vocab)
-    closed = ~is_open()
-
-    def keep(old: str, new: str) -> Column:
-        return F.when(closed, F.col(old)).otherwise(F.col(new))
-
-    return (
-        judged.withColumn("filter_reason", keep("was_reason", "filter_reason"))
-        .withColumn("location_class", keep("was_class", "location_class"))
-        .withColumn("filtered_out", F.col("filter_reason").isNotNull())
-    )
+    """U9. Open postings under new rules, with the old verdict in ``_was`` and the new one in
+    ``_judged``; closed postings keep theirs."""
+    was = F.struct("location_class", "filter_reason")
+    judged = F.when(is_open(), judgement(rules, vocab)).otherwise(was)
+    return with_judgement(postings.withColumns({"_was": was, "_judged": judged}))
 
 
 def rejudge_diff(judged: DataFrame) -> DataFrame:
-    """O5. Postings whose verdict or class changed, as ``was`` and ``now``."""
-    same = F.col("filter_reason").eqNullSafe(F.col("was_reason")) & F.col(
-        "location_class"
-    ).eqNullSafe(F.col("was_class"))
-    return judged.where(~same).withColumns(
+    """O5. Postings whose verdict or class changed, with the reasons ``was`` and ``now``."""
+    changed = judged.where(~F.col("_judged").eqNullSafe(F.col("_was")))
+    return changed.withColumns(
         {
-            "was": F.coalesce("was_reason", F.lit("passes")),
-            "now": F.coalesce("filter_reason", F.lit("passes")),
+            "was": F.coalesce("_was.filter_reason", F.lit("passes")),
+            "now": F.coalesce("_judged.filter_reason", F.lit("passes")),
         }
-    )
+    ).drop("_was", "_judged")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.expr import instant, let
-from postmill.functions.places import _quote
+from postmill.functions.places import factored
 from postmill.operators.postings import is_live
 from postmill.vocab import TermLists
 
@@ -20,7 +20,7 @@ COST_PER_CLASSIFICATION = 0.0005
 
 
 def _alternation(terms) -> str:
-    return "|".join(_quote(t) for t in terms) or "(?!)"
+    return factored(terms) or "(?!)"
 
 
 def _pairs(pairs) -> Column:

@@ -268,3 +268,26 @@ def test_labels(spark):
         "not listed", "$120k+", "up to $150k", "$1,000k", "$99k–$150k",
     ]
     assert apply(spark, [0.5, None, 0.125], T.percent_label, "double") == ["50%", "—", "12%"]
+
+
+def test_question_literals_are_in_every_match():
+    """Each way through a pattern's words holds one of the entry's literals."""
+    samples = {
+        "full_name": ["name", "legal name"], "email": ["email", "e-mail"], "phone": ["phone", "mobile", "cell"],
+        "location": ["current location", "city", "where are you based", "where are you located"],
+        "work_authorization": ["authorized to work", "authorization to work", "legally entitled to work",
+                               "work authorization", "eligible to work"],
+        "sponsorship": ["sponsor", "sponsorship", "visa", "h-1b", "h1b"],
+        "clearance": ["security clearance", "clearance", "itar"],
+        "start_date": ["when will you start", "start date", "notice period", "how soon", "how much notice"],
+        "salary_expectation": ["salary expectation", "pay range", "desired compensation", "expected salary"],
+        "years_experience": ["year of experience", "years of software experience"],
+        "relocation": ["relocate", "relocation"], "referral": ["how did you hear", "how did you find out", "referral", "referred by", "refered by"],
+        "linkedin": ["linkedin"], "github": ["github"], "portfolio": ["portfolio", "personal site", "personal website", "website"],
+        "gender": ["gender"], "race": ["race", "ethnicity", "hispanic", "latino"], "veteran_status": ["veteran"],
+        "disability_status": ["disability"],
+    }
+    for q in M.QUESTIONS:
+        for text in samples[q.key]:
+            assert any(re.search(p, text) for p in q.patterns), (q.key, text)
+            assert any(n in text for n in q.needs), (q.key, text)
