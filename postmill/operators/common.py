@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.session import stage
+
 
 def cap_per_group(df: DataFrame, group: str, order: Sequence[Column], cap: int) -> DataFrame:
     """W1/W2. At most ``cap`` rows per group, best first.
@@ -25,59 +27,29 @@ def salted_join(
     """J1. Join a fact table to a table with unique ``key``, hot keys spread over ``salts`` tasks.
 
     The dimension is repeated per salt; where it is small Spark broadcasts it and the salt
-    costs nothing.
+    costs nothing. Beyond that, adaptive execution splits what is still skewed, since nothing
+    after the join asks for its partitioning.
     """
     salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     return salted_fact.join(dim.withColumn("_salt", every), [key, "_salt"], how).drop("_salt")
 
 
-def sample_cuts(df: DataFrame, order: Sequence[str], slices: int, per_slice: int = 64) -> list:
-    """Cut points that split ``df`` into about even runs along ``order``.
-
-    A fixed-size sample (the rows with the smallest hash of the order columns) gives the same
-    cuts on every evaluation; only ``slices * per_slice`` keys reach the driver.
-    """
-    picked = (
-        df.select(*order)
-        .where(F.col(order[-1]).isNotNull())
-        .orderBy(F.xxhash64(*order), *order)
-        .limit(slices * per_slice)
-        .collect()
-    )
-    keys = sorted({tuple(r) for r in picked})
-    step = max(1, len(keys) // slices)
-    return keys[step::step][: slices - 1]
-
-
 def running_total(
-    df: DataFrame,
-    group: str,
-    order: Sequence[str],
-    value: str,
-    out: str,
-    slices: int = 64,
+    df: DataFrame, group: str, order: Sequence[str], value: str, out: str, slices: int | None = None
 ) -> DataFrame:
     """W4. ``out`` = sum of ``value`` over the rows of the group before this one.
 
-    A single window per group would put a hot day into one task. The rows are cut into slices
-    along ``order`` instead: a window inside each slice, plus the total of the earlier slices
-    of the group, which is a table of at most groups x slices rows.
+    A single window per group would put a hot day into one task. The rows are range-partitioned
+    along ``order`` instead, so a hot group spans many slices: a window runs inside each slice,
+    and the total of the earlier slices of the group is added, from a table of at most groups +
+    slices rows. The slices are written out first; every later step then sees the same ones,
+    also when executors are lost.
     """
-    cuts = sample_cuts(df, order, slices)
-    here = F.struct(*[F.col(c) for c in order])
-    kinds = dict(df.dtypes)
-    if cuts:
-        edges = F.array(
-            *[
-                F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, cut)])
-                for cut in cuts
-            ]
-        )
-        slice_no = F.size(F.filter(edges, lambda edge: edge <= here))
-    else:
-        slice_no = F.lit(0)
-    sliced = df.withColumn("_slice", slice_no)
+    spark = df.sparkSession
+    count = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(count, group, *order)
+    sliced = stage(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
     totals = sliced.groupBy(group, "_slice").agg(F.sum(value).alias("_total"))
     earlier = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

@@ -13,7 +13,6 @@ from postmill.schemas import POSTING, conform
 from postmill.session import stage
 from postmill.vocab import PlaceVocab
 
-IDS = ["source", "source_job_id"]
 VERDICT_COLUMNS = ("filtered_out", "filter_reason", "location_class")
 CONTENT = [
     c for c in POSTING if c not in ("posting_key", "first_seen_at", "last_seen_at", "closed_at")
@@ -39,6 +38,11 @@ def collapse_batch(batch: DataFrame) -> DataFrame:
     )
 
 
+def spread(source_id: Column) -> Column:
+    """The source id, or a key of its own where there is none."""
+    return F.coalesce(source_id, F.concat(F.lit("\0"), F.col("posting_key")))
+
+
 def posting_changes(current: DataFrame, rows: DataFrame) -> DataFrame:
     """U1, U2. The stored rows a batch changes, with ``change``: ``new``, ``seen`` (refreshed),
     ``touched`` (only sighting and verdict) or ``replaced`` (gives way to an edited version).
@@ -56,13 +60,19 @@ def posting_changes(current: DataFrame, rows: DataFrame) -> DataFrame:
     broadcast and the stored table is scanned, not shuffled.
     """
     stored = conform(current, POSTING)
-    batch_ids = rows.where(F.col("source_job_id").isNotNull()).select(*IDS).distinct()
-    own_ids = stored.select("posting_key", *IDS, "first_seen_at")
+    # Postings without a source id never share one; their own key spreads them over the tasks.
+    rows = rows.withColumn("_key", spread(F.col("source_job_id")))
+    keyed = ["source", "_key"]
+    batch_ids = rows.where(F.col("source_job_id").isNotNull()).select(*keyed).distinct()
+    own_ids = stored.where(F.col("source_job_id").isNotNull()).select(
+        "posting_key", "source", F.col("source_job_id").alias("_key"), "first_seen_at"
+    )
     sighted = rows.select(F.col("posting_key").alias("_owner"), F.lit(True).alias("_owner_sighted"))
     owners = (
-        own_ids.join(batch_ids, IDS, "left_semi")
+        own_ids.join(batch_ids, keyed, "left_semi")
         .select(
-            *IDS, F.col("posting_key").alias("_owner"), F.col("first_seen_at").alias("_owner_first")
+            *keyed, F.col("posting_key").alias("_owner"),
+            F.col("first_seen_at").alias("_owner_first"),
         )
         .join(sighted, "_owner", "left")
     )
@@ -73,12 +83,12 @@ def posting_changes(current: DataFrame, rows: DataFrame) -> DataFrame:
         F.col("source").alias("_old_source"),
         F.col("source_job_id").alias("_old_id"),
     )
-    known = rows.join(was, "posting_key", "left").join(owners, IDS, "left")
+    known = rows.join(was, "posting_key", "left").join(owners, keyed, "left")
     matched = F.col("_old_first").isNotNull()
     free = matched & F.col("_owner").isNull() & F.col("source_job_id").isNotNull()
     # Of several stored postings that turn up under one id nobody had, the first one takes it.
-    takers = known.where(free).groupBy(*IDS).agg(F.min_by("posting_key", "seq").alias("_taker"))
-    known = known.join(takers, IDS, "left")
+    takers = known.where(free).groupBy(*keyed).agg(F.min_by("posting_key", "seq").alias("_taker"))
+    known = known.join(takers, keyed, "left")
     own_id = F.col("source_job_id").isNull() | F.col("_owner").eqNullSafe(F.col("posting_key"))
     takes = ~matched | own_id | (free & (F.col("_taker") == F.col("posting_key")))
     # The id each sighted posting holds: the one it came with, or the one it had.
@@ -87,13 +97,13 @@ def posting_changes(current: DataFrame, rows: DataFrame) -> DataFrame:
             "_source": F.when(F.col("_takes"), F.col("source")).otherwise(F.col("_old_source")),
             "_id": F.when(F.col("_takes"), F.col("source_job_id")).otherwise(F.col("_old_id")),
         }
-    )
+    ).withColumn("_held", spread(F.col("_id")))
     # Stored postings now hold different ids. An unknown fingerprint under a held id is an
     # edited version: the later sighting of the two stays.
     held, edit = F.col("_matched"), ~F.col("_matched")
     holds = (
         known.where(F.col("_id").isNotNull())
-        .groupBy("_source", "_id")
+        .groupBy("_source", "_held")
         .agg(
             F.max(F.when(held, F.col("posting_key"))).alias("_holder"),
             F.max(F.when(held, F.col("seq"))).alias("_holder_seq"),
@@ -106,11 +116,11 @@ def posting_changes(current: DataFrame, rows: DataFrame) -> DataFrame:
         F.col("_holder").isNull() | (F.col("_edited_seq") > F.col("_holder_seq"))
     )
     holds = holds.select(
-        "_source", "_id", "_id_first",
+        "_source", "_held", "_id_first",
         F.when(edit_wins, F.col("_edited")).otherwise(F.col("_holder")).alias("_winner"),
     )
     stays = F.col("_id").isNull() | (F.col("_winner") == F.col("posting_key"))
-    decided = known.join(holds, ["_source", "_id"], "left").withColumn(
+    decided = known.join(holds, ["_source", "_held"], "left").withColumn(
         "change",
         F.when(stays & edit, "new")
         .when(edit, "dropped")

@@ -165,3 +165,25 @@ def test_applied_at_is_never_rewritten(spark):
     bad = events.withColumn("status", F.lit("lost"))
     with pytest.raises(Exception, match="unknown status"):
         G.fold_status(bad).collect()
+
+
+def test_running_total_over_a_hot_group(spark):
+    from postmill.operators.common import running_total
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b"]), rng.randint(0, 20), i, rng.randint(1, 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, t int, i int, v long")
+    got = {r.i: r.before for r in running_total(df, "g", ["t", "i"], "v", "before", slices=7).collect()}
+    for g, t, i, _ in rows:
+        assert got[i] == sum(r[3] for r in rows if r[0] == g and (r[1], r[2]) < (t, i))
+
+
+def test_salted_join_equals_plain_join(spark):
+    from postmill.operators.common import salted_join
+
+    fact = spark.range(500).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 40 END AS k")
+    dim = spark.range(30).selectExpr("id AS k", "id * 2 AS d")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, fact.join(dim, "k", how).select("id", "k", "d").collect()), key=str)
+        got = sorted(map(tuple, salted_join(fact, dim, "k", "id", how, 5).select("id", "k", "d").collect()), key=str)
+        assert got == want
