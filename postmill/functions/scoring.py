@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmill.functions.expr import round_half_even
 from postmill.functions.keys import city_key
 from postmill.functions.rules import DEFAULT_PAY_FLOOR
 
@@ -63,7 +64,7 @@ def rule_score(
         F.lit(1.0), F.greatest(F.lit(0.0), (ceiling - F.lit(pay_floor)) / F.lit(target - pay_floor))
     )
     pay = F.when((salary_source == "none") | ceiling.isNull(), F.lit(UNKNOWN_PAY)).otherwise(ramp)
-    return F.bround(0.45 * fit + 0.20 * near + 0.35 * pay, 6)
+    return round_half_even(0.45 * fit + 0.20 * near + 0.35 * pay)
 
 
 def rescale_similarity(cosine: Column) -> Column:
@@ -75,7 +76,7 @@ def rescale_similarity(cosine: Column) -> Column:
 def blend(similarity: Column, rules: Column, freshness: Column) -> Column:
     """F26."""
     total = W_SIMILARITY * similarity + W_RULES * rules + W_FRESHNESS * freshness
-    return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 6)
+    return round_half_even(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
 
 
 def is_stretch(key: Column, seed: int = 0, rate: float = STRETCH_RATE) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill.functions import scoring as S
-from postmill.functions.expr import instant
+from postmill.functions.expr import instant, round_half_even
 from postmill.functions.text import embed_input, judge_input
 from postmill.operators.common import cap_per_group
 from postmill.operators.postings import is_live
@@ -76,7 +76,7 @@ def score_postings(
         )
         .select(
             "posting_key",
-            F.bround("_near", 6).alias("embed_similarity"),
+            round_half_even(F.col("_near")).alias("embed_similarity"),
             "rule_score",
             "freshness_score",
             S.blend(F.col("_near"), F.col("rule_score"), F.col("freshness_score")).alias(

@@ -59,6 +59,17 @@ def freshness_steps(spark, sf):
     return postings(spark, sf).groupBy(fresh.alias("freshness_score")).agg(F.count("*").alias("n"))
 
 
+def _round(x: str) -> str:
+    """Six digits, by the exact value of the double: x * 1e6 = p + q without error."""
+    halves = f"list_transform([{x}], lambda v: [v * 134217729::DOUBLE - (v * 134217729::DOUBLE - v), v])[1]"
+    parts = f"list_transform([{halves}], lambda h: [h[1] * 1e6::DOUBLE, (h[2] - h[1]) * 1e6::DOUBLE])[1]"
+    return (
+        f"list_transform([{parts}], lambda s: (floor(s[1] + s[2]) + CASE WHEN s[1] - floor(s[1] + s[2]) -"
+        " 0.5::DOUBLE > -s[2] OR (s[1] - floor(s[1] + s[2]) - 0.5::DOUBLE = -s[2] AND floor(s[1] + s[2]) % 2"
+        " <> 0) THEN 1 ELSE 0 END) / 1e6::DOUBLE)[1]"
+    )
+
+
 NEAR = "[" + ", ".join(f"'{c}'" for c in S.NEARBY) + "]"
 
 
@@ -77,7 +88,7 @@ def _rule_sql() -> str:
 
 
 @query("rule_score", oracle(
-    f"SELECT posting_key, round_even({_rule_sql()}, 6) AS rule_score FROM postings", "postings",
+    f"SELECT posting_key, {_round(_rule_sql())} AS rule_score FROM postings", "postings",
 ))
 def rule_score(spark, sf):
     score = S.rule_score(
@@ -87,18 +98,20 @@ def rule_score(spark, sf):
     return postings(spark, sf).select("posting_key", score.alias("rule_score"))
 
 
-VECTORS = "SELECT vec_id AS posting_key, embedding FROM embeddings"
+BLEND = (
+    "least(1::DOUBLE, greatest(0::DOUBLE, 0.55::DOUBLE * near + 0.25::DOUBLE * rules + 0.2::DOUBLE * fresh))"
+)
 SCORED = (
-    "SELECT posting_key, round_even(near, 6) AS embed_similarity, rules AS rule_score,"
-    " fresh AS freshness_score, round_even(least(1, greatest(0, 0.55::DOUBLE * near + 0.25::DOUBLE * rules +"
-    " 0.2::DOUBLE * fresh)), 6) AS total_score FROM (SELECT a.posting_key, least(1, greatest(0, "
-    f"({COS} - 0.6::DOUBLE) / (0.85::DOUBLE - 0.6::DOUBLE))) AS near, round_even({_rule_sql()}, 6) AS rules,"
-    f" {FRESH} AS fresh FROM a JOIN (SELECT vec_id AS posting_key, list_transform(embedding, (x, i) ->"
-    f" x * 0.3::DOUBLE + r.v[i]) AS embedding FROM embeddings, {REF}) e USING (posting_key), {REF})"
+    f"SELECT posting_key, {_round('near')} AS embed_similarity, rules AS rule_score, fresh AS"
+    f" freshness_score, {_round(BLEND)} AS total_score FROM (SELECT a.posting_key, least(1::DOUBLE,"
+    f" greatest(0::DOUBLE, ({COS} - 0.6::DOUBLE) / (0.85::DOUBLE - 0.6::DOUBLE))) AS near,"
+    f" {_round(_rule_sql())} AS rules, {FRESH} AS fresh FROM a JOIN (SELECT vec_id AS posting_key,"
+    " list_transform(embedding, lambda x, i: x * 0.3::DOUBLE + r.v[i]) AS embedding FROM embeddings,"
+    f" {REF}) e USING (posting_key), {REF})"
 )
 
 
-@query("score_postings", oracle(SCORED, "postings", a=AGED).replace("(x, i) ->", "lambda x, i:"))
+@query("score_postings", oracle(SCORED, "postings", a=AGED))
 def score_postings(spark, sf):
     """Vectors are pulled towards the reference, so that similarities spread over the band."""
     ref = _reference(spark, sf)

@@ -291,3 +291,21 @@ def test_question_literals_are_in_every_match():
         for text in samples[q.key]:
             assert any(re.search(p, text) for p in q.patterns), (q.key, text)
             assert any(n in text for n in q.needs), (q.key, text)
+
+
+def test_scores_round_like_exact_arithmetic(spark):
+    from postmill.functions.expr import round_half_even
+
+    values = [i / 4e6 + 0.03 for i in range(0, 2000)] + [0.6498945, 0.0, 1.0, 0.5, 0.1234565, 2.5e-7, 5e-7, 1.5e-6]
+    assert apply(spark, values, round_half_even, "double") == [round(v, 6) for v in values]
+
+
+def test_rule_score_equals_plain_arithmetic(spark):
+    rows = [(k, m) for k in ("remote", "hybrid", "onsite") for m in range(125000, 150001, 37)]
+    df = spark.createDataFrame(rows, "k string, m int")
+    score = S.rule_score(F.col("k"), F.lit("Nowhere"), F.lit(None).cast("int"), F.col("m"), F.lit("parsed"))
+    fit = {"remote": 1.0, "hybrid": 0.7, "onsite": 0.4}
+    for k, m, got in df.select("k", "m", score).collect():
+        near = 0.3 if k == "onsite" else 1.0
+        pay = min(1.0, max(0.0, (m - 125000) / (150000.0 - 125000)))
+        assert got == round(0.45 * fit[k] + 0.20 * near + 0.35 * pay, 6)
