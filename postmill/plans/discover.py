@@ -61,10 +61,11 @@ def discover(
     sources: Iterable[str] | None = None,
     rules: RuleSet | None = None,
     vocab: PlaceVocab | None = None,
+    lines: bool = False,
 ) -> DataFrame:
     """One discovery run; returns its run-log row. Running a batch again changes nothing."""
     started = datetime.now(timezone.utc)
-    raw = stage(read_raw(ws.spark, landing, sources), "raw")
+    raw = stage(read_raw(ws.spark, landing, sources, lines), "raw")
     good, bad = split_sound(raw)
     append_once(bad, ws.log_path("quarantine"), batch_id)
     judged = stage(judged_batch(good, as_of, rules, vocab), "judged")

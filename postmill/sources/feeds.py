@@ -273,18 +273,23 @@ def payload_schema(spec: SourceSpec) -> str:
     return f"{spec.schema}, {CORRUPT} string"
 
 
-def read_payloads(spark: SparkSession, landing: str, spec: SourceSpec) -> DataFrame:
-    """Payload files of one feed. A payload is one JSON document, so one file is one record
-    (or, for a bare array, one record per element)."""
-    df = (
-        spark.read.schema(payload_schema(spec))
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("recursiveFileLookup", True)
-        .json(f"{landing}/source={spec.name}")
-    )
-    return with_token(df)
+def read_payloads(
+    spark: SparkSession, landing: str, spec: SourceSpec, lines: bool = False
+) -> DataFrame:
+    """Payload files of one feed. By default a file is one JSON document (for a bare array, one
+    record per element). With ``lines`` a file holds one payload per line: such files can be
+    split and spare the cluster millions of small ones."""
+    reader = spark.read.schema(payload_schema(spec)).options(**json_options(lines))
+    return with_token(reader.json(f"{landing}/source={spec.name}"))
+
+
+def json_options(lines: bool) -> dict[str, str]:
+    return {
+        "multiLine": str(not lines).lower(),
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": CORRUPT,
+        "recursiveFileLookup": "true",
+    }
 
 
 def with_token(payloads: DataFrame) -> DataFrame:
@@ -301,12 +306,16 @@ def sound(raw: DataFrame) -> Column:
     )
 
 
-def read_raw(spark: SparkSession, landing: str, names: Iterable[str] | None = None) -> DataFrame:
+def read_raw(
+    spark: SparkSession, landing: str, names: Iterable[str] | None = None, lines: bool = False
+) -> DataFrame:
     """O4. Raw postings of all feeds, as one table; unsound rows are kept for ``quarantine``."""
     specs = [SOURCES[n] for n in (names or SOURCES)]
     frames = [
         conform(
-            spec.to_raw(read_payloads(spark, landing, spec).where(F.col(CORRUPT).isNull())),
+            spec.to_raw(
+                read_payloads(spark, landing, spec, lines).where(F.col(CORRUPT).isNull())
+            ),
             RAW_POSTING,
         )
         for spec in specs

@@ -20,7 +20,14 @@ from postmill.plans.workspace import Workspace
 from postmill.session import stage
 from postmill.functions.rules import RuleSet
 from postmill.schemas import RAW_POSTING, conform, ddl
-from postmill.sources.feeds import CORRUPT, SourceSpec, payload_schema, split_sound, with_token
+from postmill.sources.feeds import (
+    CORRUPT,
+    SourceSpec,
+    json_options,
+    payload_schema,
+    split_sound,
+    with_token,
+)
 from postmill.sources.tables import append_once
 from postmill.vocab import PlaceVocab
 
@@ -83,12 +90,13 @@ def ingest(
     files_per_trigger: int | None = None,
     rules: RuleSet | None = None,
     vocab: PlaceVocab | None = None,
+    lines: bool = False,
 ) -> StreamingQuery:
     """R1, R7. Landed payloads of one feed into the stored postings. A micro-batch is committed
     under its id and merged by fingerprint, so repeated and duplicate deliveries change nothing."""
     payloads = file_stream(
         ws.spark, f"{landing}/source={spec.name}", payload_schema(spec), "json", files_per_trigger,
-        multiLine="true", columnNameOfCorruptRecord=CORRUPT, recursiveFileLookup="true",
+        **json_options(lines),
     )
 
     def store(batch: DataFrame, batch_id: int) -> None:

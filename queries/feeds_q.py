@@ -239,3 +239,60 @@ def quarantine(spark, sf):
     return good.selectExpr("c_custkey", "TRUE AS sound").unionByName(
         bad.selectExpr("c_custkey", "FALSE AS sound")
     )
+
+
+# -- landed files ------------------------------------------------------------------------------
+
+LANDED_BODY = (
+    "to_json(named_struct('jobs', array(named_struct('id', o_orderkey, 'title', 'Engineer ' ||"
+    " CAST(o_orderkey % 2000 AS STRING), 'absolute_url', 'https://x.example.com/' || CAST(o_orderkey AS"
+    " STRING), 'content', 'Pay $150,000', 'first_published', date_format(o_orderdate, 'yyyy-MM-dd') ||"
+    " 'T12:30:00Z', 'location', named_struct('name', 'Oakland, CA')))))"
+)
+
+
+def land_orders(spark, sf) -> str:
+    """Orders as payload lines of one feed, in board folders."""
+    from postmill.session import scratch
+
+    root = scratch(spark, "landing")
+    lines = _orders(spark, sf).selectExpr("token", f"{LANDED_BODY} AS value")
+    lines.write.partitionBy("token").text(f"{root}/source=greenhouse")
+    return root
+
+
+# Several orders share board and title, so they are sightings of one posting.
+KEYED = (
+    f"SELECT sha256({TOKEN} || '|engineer ' || CAST(o_orderkey % 2000 AS VARCHAR) || '|oakland') AS"
+    f" posting_key, {TOKEN} AS company_key, o_orderkey, o_orderdate FROM orders"
+)
+
+
+@query("land_nested_json", "SELECT source, source_job_id, company_name, title, location, description,"
+       " strftime(d, '%Y-%m-%d') || ' 12:30:00' AS posted_at FROM (SELECT 'greenhouse' AS source,"
+       f" {KEY} AS source_job_id, {TOKEN} AS company_name, 'Engineer ' || CAST(o_orderkey % 2000 AS VARCHAR)"
+       " AS title, 'Oakland, CA' AS location, 'Pay $150,000' AS description, o_orderdate AS d FROM orders)")
+def land_nested_json(spark, sf):
+    raw = D.read_raw(spark, land_orders(spark, sf), ["greenhouse"], lines=True)
+    return raw.select(
+        "source", "source_job_id", "company_name", "title", "location", "description",
+        stamp("posted_at"),
+    )
+
+
+@query("stream_ingest", f"SELECT posting_key, company_key, strftime(max(o_orderdate), '%Y-%m-%d') ||"
+       f" ' 12:30:00' AS posted_at FROM ({KEYED}) GROUP BY 1, 2")
+def stream_ingest(spark, sf):
+    """Landed files through the ingest stream into stored postings; a second run finds nothing."""
+    from postmill.plans.workspace import Workspace
+    from postmill.session import scratch
+    from postmill.streaming.jobs import ingest
+    from queries.binding import AS_OF
+
+    landing, root = land_orders(spark, sf), scratch(spark, "ingest")
+    ws = Workspace(spark, f"{root}/ws")
+    for _ in range(2):
+        ingest(
+            ws, landing, D.SOURCES["greenhouse"], f"{root}/checkpoint", AS_OF, lines=True
+        ).awaitTermination()
+    return ws.postings.read().select("posting_key", "company_key", stamp("posted_at"))
