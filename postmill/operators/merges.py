@@ -262,18 +262,22 @@ def rejudge(
     postings: DataFrame, rules: RuleSet | None = None, vocab: PlaceVocab | None = None
 ) -> DataFrame:
     """U9. Open postings under new rules, with the old verdict in ``_was`` and the new one in
-    ``_judged``; closed postings keep theirs."""
+    ``_judged``, for ``rejudge_diff``; closed postings keep theirs."""
     was = F.struct("location_class", "filter_reason")
     judged = F.when(is_open(), judgement(rules, vocab)).otherwise(was)
-    return with_judgement(postings.withColumns({"_was": was, "_judged": judged}))
+    # A filter on the verdict is pushed below the columns it reads, which would judge every
+    # posting twice. Spark keeps it above a projection that holds a non-deterministic column.
+    held = {"_was": was, "_judged": judged, "_task": F.spark_partition_id()}
+    return with_judgement(postings.withColumns(held))
 
 
 def rejudge_diff(judged: DataFrame) -> DataFrame:
     """O5. Postings whose verdict or class changed, with the reasons ``was`` and ``now``."""
-    changed = judged.where(~F.col("_judged").eqNullSafe(F.col("_was")))
+    differs = ~F.col("_judged").eqNullSafe(F.col("_was"))
+    changed = judged.where(differs & (F.col("_task") >= 0))
     return changed.withColumns(
         {
             "was": F.coalesce("_was.filter_reason", F.lit("passes")),
             "now": F.coalesce("_judged.filter_reason", F.lit("passes")),
         }
-    ).drop("_was", "_judged")
+    ).drop("_was", "_judged", "_task")

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.functions.expr import let
 from postmill.functions.pay import structured_pay
 from postmill.functions.text import (
     epoch_millis,
@@ -209,28 +210,39 @@ def latest_thread(stories: DataFrame) -> DataFrame:
     return wanted.agg(F.max_by("objectID", newest).alias("story_id"))
 
 
-def parse_header(comments: DataFrame) -> DataFrame:
-    """F6. Add ``company_name``, ``title`` and ``location`` read off the header line, and drop
-    rows whose header names no employer or no role. Needs ``comment_text``."""
-    head = strip_html(F.get(F.split("comment_text", "<p>", 2), F.lit(0)))
+def header_fields(head: Column) -> Column:
+    """F6. ``struct<company_name, title, location>`` of a header line, or null where it names no
+    employer or no role."""
     segments = F.filter(
         F.transform(F.split(head, r"\|"), lambda s: F.btrim(s, F.lit(" *_·-"))), lambda s: s != ""
     )
-    rest = F.slice("_segments", 2, F.greatest(F.size("_segments") - 1, F.lit(0)))
-    roles = F.filter(rest, lambda s: s.rlike(ROLE_WORD) & ~s.rlike(EMPLOYMENT_TYPE))
-    places = F.filter(rest, lambda s: (s != F.col("title")) & s.rlike(PLACE_WORD))
-    bare = F.regexp_replace(F.get("_segments", F.lit(0)), LINK_PARENTHETICAL, "")
-    return (
-        comments.withColumn("_segments", segments)
-        .where(F.size("_segments") >= 2)
-        .withColumn("company_name", F.btrim(bare, F.lit(" -–—,")))
-        .withColumn("title", F.get(roles, F.lit(0)))
-        .where(
-            (F.length("company_name").between(1, MAX_COMPANY_CHARS)) & F.col("title").isNotNull()
+
+    def read(parts: Column) -> Column:
+        bare = F.regexp_replace(F.get(parts, F.lit(0)), LINK_PARENTHETICAL, "")
+        rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+        roles = F.filter(rest, lambda s: s.rlike(ROLE_WORD) & ~s.rlike(EMPLOYMENT_TYPE))
+        return F.struct(
+            F.btrim(bare, F.lit(" -–—,")).alias("company_name"),
+            F.get(roles, F.lit(0)).alias("title"),
+            rest.alias("rest"),
         )
-        .withColumn("location", F.get(places, F.lit(0)))
-        .drop("_segments")
-    )
+
+    def place(h: Column) -> Column:
+        places = F.filter(h["rest"], lambda s: (s != h["title"]) & s.rlike(PLACE_WORD))
+        usable = F.length(h["company_name"]).between(1, MAX_COMPANY_CHARS) & h["title"].isNotNull()
+        return F.when(
+            usable, F.struct(h["company_name"], h["title"], F.get(places, F.lit(0)).alias("location"))
+        )
+
+    return let(let(segments, read), place)
+
+
+def parse_header(comments: DataFrame) -> DataFrame:
+    """F6. Add ``company_name``, ``title`` and ``location`` read off the header line, the part of
+    ``comment_text`` before its first paragraph mark; rows without a readable header are dropped."""
+    head = strip_html(F.get(F.split("comment_text", "<p>", 2), F.lit(0)))
+    read = comments.withColumn("_head", header_fields(head)).where(F.col("_head").isNotNull())
+    return read.select("*", "_head.*").drop("_head")
 
 
 def thread_raw(payloads: DataFrame) -> DataFrame:
