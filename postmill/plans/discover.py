@@ -18,6 +18,7 @@ from postmill.operators.merges import (
     posting_changes,
 )
 from postmill.plans.workspace import Workspace
+from postmill.schemas import RUN, ddl
 from postmill.session import stage
 from postmill.sources.feeds import read_raw, split_sound
 from postmill.sources.tables import append_once
@@ -63,7 +64,12 @@ def discover(
     vocab: PlaceVocab | None = None,
     lines: bool = False,
 ) -> DataFrame:
-    """One discovery run; returns its run-log row. Running a batch again changes nothing."""
+    """One discovery run; returns its run-log row. A batch that was stored completely is not run
+    again, one that broke off is finished."""
+    if ws.postings.has(batch_id) and ws.companies.has(batch_id):
+        done = ws.log("runs", RUN).where(F.col("run_id") == batch_id)
+        if not done.isEmpty():
+            return done
     started = datetime.now(timezone.utc)
     raw = stage(read_raw(ws.spark, landing, sources, lines), "raw")
     good, bad = split_sound(raw)
@@ -81,8 +87,7 @@ def discover(
                 int((finished - started).total_seconds() * 1000), False, None,
             )
         ],
-        "run_id string, started_at timestamp, finished_at timestamp, jobs_seen long, jobs_new long,"
-        " jobs_filtered long, errors long, duration_ms long, budget_hit boolean, notes string",
+        ddl(RUN),
     )
     append_once(run.coalesce(1), ws.log_path("runs"), batch_id)
     return run

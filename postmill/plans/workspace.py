@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from postmill import schemas as S
-from postmill.sources.tables import StoredTable
+from postmill.sources.tables import StoredTable, absent
 
 
 @dataclass(frozen=True)
@@ -42,5 +42,7 @@ class Workspace:
         reader = self.spark.read.schema(S.ddl(schema)).option("recursiveFileLookup", True)
         try:
             return reader.parquet(self.log_path(name))
-        except AnalysisException:
+        except AnalysisException as problem:
+            if not absent(problem):
+                raise
             return self.spark.createDataFrame([], S.ddl(schema))

@@ -21,6 +21,11 @@ GONE = "_gone"
 LOG = "version bigint, snapshot boolean, batch_id string"
 
 
+def absent(problem: AnalysisException) -> bool:
+    """Whether reading failed because nothing is there, and not for another reason."""
+    return problem.getCondition() == "PATH_NOT_FOUND"
+
+
 @dataclass(frozen=True)
 class StoredTable:
     """``schema`` maps column to type; ``key`` is unique."""
@@ -34,8 +39,10 @@ class StoredTable:
         """One small row per commit since the table was made."""
         try:
             rows = self.spark.read.schema(LOG).json(f"{self.root}/commits").collect()
-        except AnalysisException:  # nothing committed yet
-            return []
+        except AnalysisException as problem:
+            if absent(problem):  # nothing committed yet
+                return []
+            raise
         return sorted(rows, key=lambda r: r.version)
 
     def _versions(self, versions: list[int]) -> DataFrame:
@@ -65,7 +72,7 @@ class StoredTable:
         """Add changed rows (one per key) and drop the keys in ``gone``. A batch that was
         committed before is left alone."""
         log = self._log()
-        if any(r.batch_id == batch_id for r in log):
+        if self.has(batch_id, log):
             return False
         rows = conform(changes, self.schema).withColumn(GONE, F.lit(False))
         if gone is not None:
@@ -73,6 +80,10 @@ class StoredTable:
         self._write(rows, self._next(log), False, batch_id)
         return True
 
+    def has(self, batch_id: str, log: list | None = None) -> bool:
+        """Whether a batch was committed."""
+        return any(r.batch_id == batch_id for r in (self._log() if log is None else log))
+
     def overwrite(self, rows: DataFrame, batch_id: str) -> None:
         """A whole new snapshot."""
         whole = conform(rows, self.schema).withColumn(GONE, F.lit(False))

@@ -12,6 +12,7 @@ from postmill.plans import publish as B
 from postmill.plans import rejudge as J
 from postmill.plans import score as C
 from postmill.plans.workspace import Workspace
+from postmill.schemas import RUN
 from postmill.sources import landing as L
 from postmill.sources.feeds import SOURCES, read_raw, targets_table
 from postmill.sources.tables import StoredTable, append_once
@@ -88,14 +89,15 @@ def test_discovery_converges_and_quarantines(spark, tmp_path, landing):
     pay = {r.title: (r.salary_min, r.salary_max, r.salary_source) for r in first}
     assert pay["Backend Engineer"] == (200000, 200000, "parsed")
     assert pay["Security Engineer"] == (100000, 110000, "structured")
-    again = D.discover(ws, landing, LATER, "run2").first()
+    D.discover(ws, landing, LATER, "run2")
+    again = ws.log("runs", RUN).where("run_id = 'run2'").first()
     assert again.jobs_new == 0
     second = ws.postings.read().collect()
     assert len(second) == 8
     assert {r.first_seen_at for r in second} == {r.first_seen_at for r in first}
     assert all(r.last_seen_at > r.first_seen_at for r in second)
     before = sorted(map(str, second))
-    D.discover(ws, landing, LATER, "run2")  # delivered twice
+    assert D.discover(ws, landing, LATER, "run2").first() == again  # delivered twice
     assert sorted(map(str, ws.postings.read().collect())) == before
     ws.postings.compact()
     assert sorted(map(str, ws.postings.read().collect())) == before
