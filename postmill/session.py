@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,16 +30,10 @@ def build_session(app: str = "postmill", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    A local folder is used only when the setting is absent, which is the case in tests.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or where that is unset a
+    folder beside the session's tables, which executors must be able to reach as well."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    local = tempfile.mkdtemp(prefix="postmill-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
 def scratch(spark: SparkSession, label: str) -> str:
