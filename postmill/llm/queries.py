@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import licenses, mixing, quality_rules, sharding
-from postmill.llm.common import table, uniform_sql
+from postmill.llm import bpe, langid, licenses, mixing, quality_cnn, quality_rules, sharding, topk, url_filter
+from postmill.llm.common import split_of, table, uniform_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Shards of the sharding query.
 SHARDS = 16
 MIX_SEED, MIX_ALPHA, MIX_EPOCHS = 11, 0.5, 1.0
+#: File name of the vocabulary that the encoding query uses.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
 
 
 def op1_hash_tree_shards(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,18 +50,60 @@ def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    path = vocabulary_path()
+    ids = table(spark, sf, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
+    both = ids.withColumn("decoded", bpe.decode(F.col("ids"), path))
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op5_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op6_poisson_mix(spark: SparkSession, sf: str) -> DataFrame:
     """All columns of the documents, a row for each copy."""
     docs = table(spark, sf, "documents")
     return mixing.poisson_mix(docs, mixing.tempered_rates(docs, MIX_ALPHA, MIX_EPOCHS), MIX_SEED)
 
 
+def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    labelled = spark.createDataFrame(url_filter.seed_labels(), "url string, blocked int")
+    return url_filter.judge_urls(table(spark, sf, "pages"), url_filter.fit_urls(labelled))
+
+
+def op8_byte_cnn(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    net = quality_cnn.fit_quality(docs, labels.where(split_of(F.col("doc_id"), 3) != 1))
+    scored = docs.select("doc_id", (split_of(F.col("doc_id"), 3) == 1).alias("held_out"), quality_cnn.quality_score(F.col("text"), net).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op10_language_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = split_of(F.col("doc_id"), 4) == 2
+    model = langid.learn_languages(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), langid.detect(F.col("text"), model).alias("found"))
+    return found.select(
+        "doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"),
+        F.col("found.langs").alias("langs"), F.col("found.shares").alias("shares"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_hash_tree_shards, op2_quality_rules, op3_license_scan, op6_poisson_mix)
+    for f in (
+        op1_hash_tree_shards, op2_quality_rules, op3_license_scan, op4_bpe, op5_exact_topk, op6_poisson_mix,
+        op7_url_filter, op8_byte_cnn, op10_language_mixture,
+    )
 }
 
 ORACLES: dict[str, str] = {
+    "op5_exact_topk": topk.TOPK_SQL,
     "op6_poisson_mix": mixing.MIX_SQL_HEAD.format(
         alpha=MIX_ALPHA, epochs=MIX_EPOCHS,
         draw=uniform_sql(f"concat_ws(':', '{MIX_SEED}', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))"),
