@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, langid, licenses, mixing, quality_cnn, quality_rules, sharding, topk, url_filter
+from postmill.llm import bpe, langid, licenses, mixing, order_minhash, quality_cnn, quality_rules, sharding, topk, url_filter
 from postmill.llm.common import split_of, table, uniform_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,11 @@ def op8_byte_cnn(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op9_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = order_minhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", "class_id", "class_rows", "class_texts", "is_first")
+
+
 def op10_language_mixture(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     held_out = split_of(F.col("doc_id"), 4) == 2
@@ -98,7 +103,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_hash_tree_shards, op2_quality_rules, op3_license_scan, op4_bpe, op5_exact_topk, op6_poisson_mix,
-        op7_url_filter, op8_byte_cnn, op10_language_mixture,
+        op7_url_filter, op8_byte_cnn, op9_order_minhash, op10_language_mixture,
     )
 }
 
