@@ -6,7 +6,7 @@ in the shared folder and read again for the next one.
 
 Defined cases: rows with null or empty text are rejected by the quality stage; null sources are mixed as
 a source of their own; rows that repeat one id after mixing are its copies; an empty table stays empty;
-extra columns of documents are carried along up to the last stage.
+extra columns, whatever their names, are carried along up to the last stage.
 """
 
 from __future__ import annotations
@@ -42,14 +42,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to their source's target rate, in a global random order."""
-    mixed = mixing.poisson_mix(docs, mixing.tempered_rates(docs, MIX_ALPHA, MIX_EPOCHS), MIX_SEED)
-    return mixed.select(*docs.columns)
+    return mixing.poisson_copies(docs, mixing.tempered_rates(docs, MIX_ALPHA, MIX_EPOCHS), MIX_SEED).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, lang, n_tokens, ids, round_trip): token ids, and whether they decode to the text."""
     path = vocabulary_path()
-    coded = docs.withColumn("ids", bpe.encode(F.col("text"), path))
+    coded = docs.select("doc_id", "source", "lang", "text").withColumn("ids", bpe.encode(F.col("text"), path))
     same = bpe.decode(F.col("ids"), path) == F.coalesce("text", F.lit(""))
     return coded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

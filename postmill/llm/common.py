@@ -35,6 +35,11 @@ def split_of(key: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct ``row``: what is added beside it can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def hash_sample(keys: DataFrame, key: str, rows: int, seed: int = 7) -> DataFrame:
     """At most ``rows`` rows, chosen by a hash of ``key``; the same ones on every run. Only for fitting."""
     order = F.xxhash64(F.col(key).cast("string"), F.lit(seed))

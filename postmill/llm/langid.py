@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.arrowtext import runs, text_bytes
+from postmill.llm.common import whole_row
 
 BINS = 1 << 13
 #: Bytes that are held with their likelihoods at once.
@@ -183,5 +184,5 @@ def detect(text: Column, model: Languages, penalty: float = PENALTY) -> Column:
 
 def drop_undetermined(docs: DataFrame, model: Languages, min_score: float = 0.5, text: str = "text") -> DataFrame:
     """Pipeline step: documents of which one known language holds at least ``min_score``, columns as given."""
-    found = docs.withColumn("_found", detect(F.col(text), model))
-    return found.where((F.col("_found.lang") != UNDETERMINED) & (F.col("_found.score") >= min_score)).select(*docs.columns)
+    found = docs.select(whole_row(docs), detect(F.col(text), model).alias("found"))
+    return found.where((F.col("found.lang") != UNDETERMINED) & (F.col("found.score") >= min_score)).select("row.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.llm.common import uniform
+from postmill.llm.common import uniform, whole_row
 from postmill.session import stage
 
 ADDED = ("mix_rate", "mix_copies", "mix_copy")
@@ -68,32 +68,37 @@ def copies(draw: Column, cdf: Column) -> Column:
     return F.coalesce(F.size(F.filter(cdf, lambda p: p < draw)), F.lit(0))
 
 
-def poisson_mix(docs: DataFrame, rates: DataFrame, seed: int = 11, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mixture: the columns of ``docs`` with mix_rate (of its source), mix_copies (of this document)
-    and mix_copy (from 0), a row for each copy, in a global random order.
+def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int = 11, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mixture as (row, mix_rate, mix_copies, mix_copy): ``row`` holds the columns of ``docs``, mix_rate
+    is that of its source, mix_copies counts this document's copies and mix_copy numbers them from 0. The
+    rows are in a global random order.
 
     The table of distributions is broadcast after its size is checked; beyond that size the documents
     are joined by source and a salt, so a source that holds a third of all rows is dealt to many tasks.
     """
-    kept = [c for c in docs.columns if c not in ADDED]
-    steps = stage(poisson_steps(rates), "mix-steps")
+    steps = stage(poisson_steps(rates), "mix-steps").withColumnRenamed("source", "_source")
     size = steps.agg(F.sum(F.size("cdf"))).first()[0] or 0
-    drawn = docs.select(*kept).withColumn("_draw", uniform(F.lit(seed), F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    steps = steps.withColumnRenamed("source", "_source")
-    same = F.col(source).eqNullSafe(F.col("_source"))
+    draw = uniform(F.lit(seed), F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    drawn = docs.select(whole_row(docs), F.col(source).alias("_of"), draw.alias("draw"))
+    same = F.col("_of").eqNullSafe(F.col("_source"))
     if size <= BROADCAST_STEPS:
         joined = drawn.join(F.broadcast(steps), same)
     else:
         salted = steps.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        drawn = drawn.withColumn("_salt", F.pmod(F.xxhash64("_draw"), F.lit(SALTS)).cast("int"))
+        drawn = drawn.withColumn("_salt", F.pmod(F.xxhash64("draw"), F.lit(SALTS)).cast("int"))
         joined = drawn.join(salted, same & (F.col("_salt") == F.col("_part")))
-    counted = joined.withColumn("mix_copies", copies(F.col("_draw"), F.col("cdf"))).where("mix_copies > 0")
-    exploded = counted.select(
-        *kept, "mix_rate", "mix_copies", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("mix_copy"),
-        # rows that repeat one id and text still go to different places
-        F.xxhash64(F.lit(seed), "_draw", F.monotonically_increasing_id()).alias("_place"),
-    ).withColumn("_place", F.xxhash64("_place", "mix_copy"))
-    return exploded.repartition("_place").sortWithinPartitions("_place").drop("_place")
+    counted = joined.withColumn("mix_copies", copies(F.col("draw"), F.col("cdf"))).where("mix_copies > 0")
+    # rows that repeat one id and text still go to different places
+    place = F.xxhash64(F.lit(seed), "draw", F.monotonically_increasing_id()).alias("place")
+    each = F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("mix_copy")
+    exploded = counted.select("row", "mix_rate", "mix_copies", each, place).withColumn("place", F.xxhash64("place", "mix_copy"))
+    return exploded.repartition("place").sortWithinPartitions("place").drop("place")
+
+
+def poisson_mix(docs: DataFrame, rates: DataFrame, seed: int = 11, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mixture as the columns of ``docs`` with mix_rate, mix_copies and mix_copy, a row for each copy."""
+    mixed = poisson_copies(docs, rates, seed, key, text, source)
+    return mixed.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
 
 
 MIX_SQL_HEAD = """

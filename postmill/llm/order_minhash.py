@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.arrowtext import mix, runs, text_bytes
+from postmill.llm.common import whole_row
 from postmill.session import stage
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -309,6 +310,6 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     text one stays; the join has dealt them together, so this costs no further shuffle."""
     found = near_duplicates(docs, key, text, threshold)
     first = found.where("is_first").select(F.col(key).alias("_id"), F.col("text_sha256").alias("_of")).distinct()
-    marked = docs.withColumn("_sha", _sha(F.col(text)))
-    kept = marked.join(first, (F.col("_sha") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_of", "_id"]).select(*docs.columns)
+    marked = docs.select(whole_row(docs), _sha(F.col(text)).alias("sha"), F.col(key).alias("id"))
+    kept = marked.join(first, (F.col("sha") == F.col("_of")) & F.col("id").eqNullSafe(F.col("_id")))
+    return kept.dropDuplicates(["_of", "_id"]).select("row.*")

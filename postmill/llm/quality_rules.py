@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.expr import let
-from postmill.llm.common import hash_sample
+from postmill.llm.common import hash_sample, whole_row
 from postmill.session import stage
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -275,6 +275,8 @@ def judge_quality(docs: DataFrame, rules: DecisionList, text: str = "text") -> D
     )
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
+def drop_low_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, text: str = "text") -> DataFrame:
     """Pipeline step: documents that pass the base rules and the learned list, columns as given."""
-    return judge_quality(docs, fit_quality_rules(docs, labels, max_labelled)).where("quality_verdict.kept").select(*docs.columns)
+    rules = fit_quality_rules(docs, labels, max_labelled)
+    judged = docs.select(whole_row(docs), text_stats(F.col(text)).alias("stats"))
+    return judged.where(~base_failed() & rules.verdict().isNull()).select("row.*")
