@@ -9,6 +9,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -41,6 +42,7 @@ def main() -> None:
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "6g"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": os.environ.get("BENCH_SHARED_DIR", os.path.join(tempfile.gettempdir(), "bench-staged")),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
