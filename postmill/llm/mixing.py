@@ -30,11 +30,9 @@ def tempered_rates(docs: DataFrame, alpha: float = 0.5, epochs: float = 1.0, sou
     counts = docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("rows"))
     # Exact sums: weights are rounded to whole millionths, so the order of addition can't matter.
     weighed = counts.withColumn("weight", F.round(F.pow(F.col("rows").cast("double"), F.lit(alpha)) * 1e6).cast("decimal(38,0)"))
-    whole = weighed.agg(F.sum("rows").alias("all_rows"), F.sum("weight").alias("all_weight"))
-    share = F.col("weight").cast("double") / F.col("all_weight").cast("double")
-    return weighed.join(F.broadcast(whole)).select(  # one row on the right
-        "source", "rows", (F.lit(epochs) * share * F.col("all_rows") / F.col("rows")).alias("mix_rate")
-    )
+    rows, weight = weighed.agg(F.sum("rows"), F.sum("weight")).first()
+    share = F.col("weight").cast("double") / F.lit(float(weight or 1))
+    return weighed.select("source", "rows", (F.lit(epochs) * share * F.lit(float(rows or 0)) / F.col("rows")).alias("mix_rate"))
 
 
 def target_rates(docs: DataFrame, weights: dict[str | None, float], epochs: float = 1.0, source: str = "source") -> DataFrame:
@@ -44,11 +42,9 @@ def target_rates(docs: DataFrame, weights: dict[str | None, float], epochs: floa
     table = F.create_map(*[F.lit(x) for kv in named.items() for x in (kv[0], float(kv[1]))]) if named else None
     known = F.try_element_at(table, F.col("source")) if named else F.lit(None).cast("double")
     weighed = counts.withColumn("weight", F.when(F.col("source").isNull(), F.lit(float(weights.get(None) or 0))).otherwise(F.coalesce(known, F.lit(0.0))))
-    whole = weighed.agg(F.sum("rows").alias("all_rows"), F.sum("weight").alias("all_weight"))
-    share = F.try_divide(F.col("weight"), F.col("all_weight"))
-    return weighed.join(F.broadcast(whole)).select(
-        "source", "rows", F.coalesce(F.lit(epochs) * share * F.col("all_rows") / F.col("rows"), F.lit(0.0)).alias("mix_rate")
-    )
+    rows, weight = weighed.agg(F.sum("rows"), F.sum("weight")).first()
+    share = F.col("weight") / F.lit(float(weight or 1))
+    return weighed.select("source", "rows", (F.lit(epochs) * share * F.lit(float(rows or 0)) / F.col("rows")).alias("mix_rate"))
 
 
 def poisson_steps(rates: DataFrame) -> DataFrame:

@@ -50,6 +50,9 @@ FEATURES: dict[str, tuple[str, str | None]] = {
 #: Quantiles of either class between which thresholds are tried; both ends belong to them.
 QUANTILES = (0.0, 0.001, 0.005, 0.01, 0.02, *(i / 20 for i in range(1, 20)), 0.98, 0.99, 0.995, 0.999, 1.0)
 
+#: Bad rows that a good row outweighs while a rule is grown.
+GOOD_WEIGHT = 10
+
 
 def _repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more. Windows are compared by 64-bit hashes; only
@@ -195,24 +198,25 @@ def _histogram(rows: DataFrame) -> dict[str, dict[int, tuple[int, int]]]:
 
 
 def _best(hist: dict[str, dict[int, tuple[int, int]]], thresholds: dict[str, list[float]]) -> tuple[float, tuple[str, bool, int] | None, int, int]:
-    """The condition with the greatest gain: bad rows kept times the rise in the log share of bad rows."""
+    """The condition with the greatest gain: bad rows kept times the rise in the log share of bad rows, in
+    which a good row weighs as much as GOOD_WEIGHT bad ones, since losing a good document costs more."""
     best: tuple[float, tuple[str, bool, int] | None, int, int] = (0.0, None, 0, 0)
-    for f in FEATURES:
+    for f in thresholds:
         bad, good = (sum(v[i] for v in hist[f].values()) for i in (0, 1))
         if not bad:
             return best
-        before, low = math.log2(bad / (bad + good)), [0, 0]
+        before, low = math.log2(bad / (bad + GOOD_WEIGHT * good)), [0, 0]
         for b in range(len(thresholds[f])):
             low = [low[i] + hist[f].get(b, (0, 0))[i] for i in (0, 1)]
             for above, (p, n) in ((False, low), (True, [bad - low[0], good - low[1]])):
-                gain = p * (math.log2(p / (p + n)) - before) if p else 0.0
+                gain = p * (math.log2(p / (p + GOOD_WEIGHT * n)) - before) if p else 0.0
                 if gain > best[0] + 1e-9:
                     best = (gain, (f, above, b), p, n)
     return best
 
 
 def learn_list(
-    stats: DataFrame, max_rules: int = 6, max_conditions: int = 3, min_precision: float = 0.98, min_covered: int = 5
+    stats: DataFrame, max_rules: int = 6, max_conditions: int = 3, min_precision: float = 0.98, min_covered: int = 2
 ) -> DecisionList:
     """A decision list from rows (key, quality 0 or 1, stats). All rows given are counted. A threshold lies
     midway between two quantiles, so that a rule keeps its distance from the documents it leaves alone."""
@@ -226,10 +230,11 @@ def learn_list(
     binned = stage(_bins(stats, thresholds), "quality-bins")
     rules: list[Rule] = []
     rest = F.lit(True)
-    while len(rules) < max_rules:
+    openers = dict(thresholds)  # features that may open a rule: one that failed to be precise is not tried again
+    while len(rules) < max_rules and openers:
         rows, chosen = binned.where(rest), []
         while len(chosen) < max_conditions:
-            _, condition, bad, good = _best(_histogram(rows.where((F.col("part") == "grow") & _met(chosen))), thresholds)
+            _, condition, bad, good = _best(_histogram(rows.where((F.col("part") == "grow") & _met(chosen))), thresholds if chosen else openers)
             if condition is None:
                 break
             chosen.append(condition)
@@ -246,7 +251,8 @@ def learn_list(
         best = max(range(len(chosen)), key=lambda k: ((worth[k][0] - worth[k][1]) / max(1, sum(worth[k])), -k))
         bad, good = worth[best]
         if bad < min_covered or bad < min_precision * (bad + good):
-            break
+            del openers[chosen[0][0]]
+            continue
         kept = chosen[: best + 1]
         rules.append(Rule(tuple(Condition(f, above, thresholds[f][b]) for f, above, b in kept), bad, good))
         rest = rest & ~_met(kept)
