@@ -265,19 +265,17 @@ def rejudge(
     ``_judged``, for ``rejudge_diff``; closed postings keep theirs."""
     was = F.struct("location_class", "filter_reason")
     judged = F.when(is_open(), judgement(rules, vocab)).otherwise(was)
-    # A filter on the verdict is pushed below the columns it reads, which would judge every
-    # posting twice. Spark keeps it above a projection that holds a non-deterministic column.
-    held = {"_was": was, "_judged": judged, "_task": F.spark_partition_id()}
-    return with_judgement(postings.withColumns(held))
+    # Staged: a filter on the verdict would otherwise judge every posting twice.
+    return with_judgement(stage(postings.withColumns({"_was": was, "_judged": judged}), "judgement"))
 
 
 def rejudge_diff(judged: DataFrame) -> DataFrame:
     """O5. Postings whose verdict or class changed, with the reasons ``was`` and ``now``."""
     differs = ~F.col("_judged").eqNullSafe(F.col("_was"))
-    changed = judged.where(differs & (F.col("_task") >= 0))
+    changed = judged.where(differs)
     return changed.withColumns(
         {
             "was": F.coalesce("_was.filter_reason", F.lit("passes")),
             "now": F.coalesce("_judged.filter_reason", F.lit("passes")),
         }
-    ).drop("_was", "_judged", "_task")
+    ).drop("_was", "_judged")

@@ -20,7 +20,7 @@ from postmill.operators.merges import (
 from postmill.plans.workspace import Workspace
 from postmill.schemas import RUN, ddl
 from postmill.session import stage
-from postmill.sources.feeds import read_raw, split_sound
+from postmill.sources.feeds import read_raw, split_sound, unreadable
 from postmill.sources.tables import append_once
 from postmill.vocab import PlaceVocab
 
@@ -38,19 +38,19 @@ def judged_batch(
     return judged.withColumns({"seen_at": instant(as_of), "seq": seq.cast("bigint")})
 
 
-def store_batch(ws: Workspace, judged: DataFrame, batch_id: str) -> DataFrame:
+def store_batch(ws: Workspace, judged: DataFrame) -> DataFrame:
     """Merge a staged batch into the stored postings and employers; returns the changes."""
     current = ws.postings.read()
     rows = stage(collapse_batch(judged), "collapsed")
     changes = stage(posting_changes(current, rows), "changes")
     replaced = F.col("change") == "replaced"
-    ws.postings.commit(changes.where(~replaced), batch_id, gone=changes.where(replaced))
+    ws.postings.commit(changes.where(~replaced), gone=changes.where(replaced))
 
     sighted = company_sightings(judged.withColumn("board_token", F.lit(None).cast("string")))
     known = ws.companies.read().join(
         sighted.select("company_key").distinct(), "company_key", "left_semi"
     )
-    ws.companies.commit(stage(merge_companies(known, sighted), "companies"), batch_id)
+    ws.companies.commit(merge_companies(known, sighted))
     return changes
 
 
@@ -64,21 +64,22 @@ def discover(
     vocab: PlaceVocab | None = None,
     lines: bool = False,
 ) -> DataFrame:
-    """One discovery run; returns its run-log row. A batch that was stored completely is not run
-    again, one that broke off is finished."""
-    if ws.postings.has(batch_id) and ws.companies.has(batch_id):
-        done = ws.log("runs", RUN).where(F.col("run_id") == batch_id)
-        if not done.isEmpty():
-            return done
+    """One discovery run; returns its run-log row, which is written last. A run that has one is not
+    run again, one that broke off is finished."""
+    done = ws.log("runs", RUN).where(F.col("run_id") == batch_id)
+    if not done.isEmpty():
+        return done
     started = datetime.now(timezone.utc)
     raw = stage(read_raw(ws.spark, landing, sources, lines), "raw")
     good, bad = split_sound(raw)
+    broken = stage(unreadable(ws.spark, landing, sources, lines), "unreadable")
     append_once(bad, ws.log_path("quarantine"), batch_id)
+    append_once(broken, ws.log_path("unreadable"), batch_id)
     judged = stage(judged_batch(good, as_of, rules, vocab), "judged")
-    changes = store_batch(ws, judged, batch_id)
+    changes = store_batch(ws, judged)
     seen = judged.agg(F.count("*"), F.count_if("filtered_out")).first()
     new = changes.where(F.col("change") == "new").count()
-    errors = bad.count()
+    errors = bad.count() + broken.count()
     finished = datetime.now(timezone.utc)
     run = ws.spark.createDataFrame(
         [

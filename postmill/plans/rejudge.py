@@ -16,7 +16,6 @@ from postmill.vocab import PlaceVocab
 
 def rejudge_stored(
     ws: Workspace,
-    batch_id: str,
     rules: RuleSet | None = None,
     vocab: PlaceVocab | None = None,
     dry_run: bool = False,
@@ -25,6 +24,6 @@ def rejudge_stored(
     Returns the transition counts with examples."""
     changed = stage(rejudge_diff(rejudge(ws.postings.read(), rules, vocab)), "rejudged")
     if not dry_run:
-        ws.postings.commit(changed, batch_id)
+        ws.postings.commit(changed)
     names = ws.companies.read().select("company_key", F.col("name").alias("company_name"))
     return rejudge_transitions(salted_join(changed, names, "company_key", "posting_key"))

@@ -18,23 +18,23 @@ from postmill.vocab import TermLists
 
 
 def score_unscored(
-    ws: Workspace, vectors: DataFrame, reference: Sequence[float], as_of: datetime, batch_id: str
+    ws: Workspace, vectors: DataFrame, reference: Sequence[float], as_of: datetime
 ) -> DataFrame:
     """Score every live posting that has no score yet; a score is not aged afterwards."""
     todo = unscored(ws.postings.read(), ws.scores.read())
     fresh = stage(score_postings(todo, vectors, reference, as_of), "scores")
-    ws.scores.commit(fresh, batch_id)
+    ws.scores.commit(fresh)
     return fresh
 
 
 def rescore(
-    ws: Workspace, vectors: DataFrame, reference: Sequence[float], as_of: datetime, batch_id: str
+    ws: Workspace, vectors: DataFrame, reference: Sequence[float], as_of: datetime
 ) -> None:
     """Score all live postings anew, with freshness as of now; judgements stay."""
     live = ws.postings.read().where(~F.col("filtered_out") & F.col("closed_at").isNull())
     fresh = stage(score_postings(live, vectors, reference, as_of), "scores")
     known = ws.scores.read().join(fresh.select("posting_key"), "posting_key", "left_semi")
-    ws.scores.commit(stage(merge_scores(known, fresh), "rescored"), batch_id)
+    ws.scores.commit(merge_scores(known, fresh))
 
 
 def candidates(ws: Workspace, limit: int, per_company_cap: int) -> DataFrame:
@@ -44,7 +44,7 @@ def candidates(ws: Workspace, limit: int, per_company_cap: int) -> DataFrame:
     return judge_export(chosen, postings, companies)
 
 
-def ingest_judgements(ws: Workspace, judged: DataFrame, model: str, as_of: datetime, batch_id: str) -> None:
+def ingest_judgements(ws: Workspace, judged: DataFrame, model: str, as_of: datetime) -> None:
     """Take in ``(posting_key, relevance_verdict, relevance_score, rationale)``."""
     clean = clean_relevance(judged).select(
         "posting_key", "relevance_verdict", "rationale",
@@ -52,7 +52,7 @@ def ingest_judgements(ws: Workspace, judged: DataFrame, model: str, as_of: datet
     )
     clean = stage(clean, "judgements")
     known = ws.scores.read().join(clean.select("posting_key"), "posting_key", "left_semi")
-    ws.scores.commit(stage(merge_scores(known, clean), "judged"), batch_id)
+    ws.scores.commit(merge_scores(known, clean))
 
 
 def screen(
@@ -60,7 +60,6 @@ def screen(
     rulings: DataFrame,
     verdicts: DataFrame,
     as_of: datetime,
-    batch_id: str,
     lists: TermLists | None = None,
 ) -> None:
     """Settle every employer's verdict and store the ones that changed."""
@@ -68,10 +67,7 @@ def screen(
     settled = settle_verdicts(
         screen_companies(companies, ws.postings.read(), lists), rulings, verdicts, as_of
     )
-    old = companies.select(
-        "company_key", F.struct("verdict", "verdict_source").alias("_old")
-    )
-    changed = settled.join(old, "company_key").where(
-        ~F.col("_old").eqNullSafe(F.struct("verdict", "verdict_source"))
-    )
-    ws.companies.commit(stage(changed.drop("_old"), "verdicts"), batch_id)
+    written = F.struct("verdict", "verdict_source", "sector", "reason")
+    old = companies.select("company_key", written.alias("_old"))
+    changed = settled.join(old, "company_key").where(~F.col("_old").eqNullSafe(written))
+    ws.companies.commit(changed.drop("_old"))

@@ -335,6 +335,24 @@ def read_raw(
     return reduce(DataFrame.unionByName, frames)
 
 
+def corrupt_rows(payloads: DataFrame, spec: SourceSpec) -> DataFrame:
+    """Unreadable payloads with their path and text, for the quarantine, and whether the first
+    field could be read (Spark reads the corrupt text only beside a field)."""
+    first = spec.schema.split()[0]
+    return payloads.where(F.col(CORRUPT).isNotNull()).select(
+        F.lit(spec.name).alias("source"), "token", F.col("_metadata.file_path").alias("path"),
+        F.col(CORRUPT).alias("payload"), F.col(first).isNotNull().alias("partly_read"),
+    )
+
+
+def unreadable(
+    spark: SparkSession, landing: str, names: Iterable[str] | None = None, lines: bool = False
+) -> DataFrame:
+    """O4, S9. Payloads of all feeds that could not be read as their schema."""
+    frames = [corrupt_rows(read_payloads(spark, landing, SOURCES[n], lines), SOURCES[n]) for n in (names or SOURCES)]
+    return reduce(DataFrame.unionByName, frames)
+
+
 def split_sound(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings fit for use, and the quarantine of those lacking a mandatory field."""
     ok = sound(raw)

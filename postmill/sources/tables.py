@@ -1,10 +1,9 @@
-"""Stored tables (S12): a snapshot plus the changes committed since, as Parquet folders.
+"""Stored tables (S12): Parquet folders partitioned by a hash bucket of the key.
 
-Plain Parquet has no MERGE. A commit therefore writes only the rows a batch changed; reading
-leaves out the snapshot's rows that were changed since and adds the newest changes. The
-snapshot itself is scanned, never shuffled or rewritten, until ``compact`` folds the changes in.
-A version counts once its line is in the commit log, which is written last, so a job that dies
-half-way leaves the table as it was and can be run again.
+A commit reads the buckets that its keys fall into, and no others, and replaces those with Spark's
+dynamic partition overwrite. Commits are merges, so a batch that runs again after a failure, or is
+delivered twice, gives the same rows. A table has one writer at a time: feeds that share a workspace
+are united into one stream or one run. Where a catalog offers ``MERGE INTO``, use that instead.
 """
 
 from __future__ import annotations
@@ -12,97 +11,69 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.schemas import conform, ddl
+from postmill.session import stage
 
-GONE = "_gone"
-LOG = "version bigint, snapshot boolean, batch_id string"
+GONE, BUCKET = "_gone", "bucket"
 
 
 def absent(problem: AnalysisException) -> bool:
     """Whether reading failed because nothing is there, and not for another reason."""
-    return problem.getCondition() == "PATH_NOT_FOUND"
+    return problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 @dataclass(frozen=True)
 class StoredTable:
-    """``schema`` maps column to type; ``key`` is unique."""
+    """``schema`` maps column to type; ``key`` is unique. ``buckets`` is fixed for the table's life;
+    choose it so that a bucket is what one batch may rewrite."""
 
     spark: SparkSession
     root: str
     schema: dict[str, str]
     key: str
+    buckets: int = 64
 
-    def _log(self) -> list:
-        """One small row per commit since the table was made."""
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int").alias(BUCKET)
+
+    def _stored(self) -> DataFrame:
+        kinds = ddl({**self.schema, GONE: "boolean", BUCKET: "int"})
         try:
-            rows = self.spark.read.schema(LOG).json(f"{self.root}/commits").collect()
+            return self.spark.read.schema(kinds).parquet(self.root)
         except AnalysisException as problem:
-            if absent(problem):  # nothing committed yet
-                return []
-            raise
-        return sorted(rows, key=lambda r: r.version)
-
-    def _versions(self, versions: list[int]) -> DataFrame:
-        kinds = {**self.schema, GONE: "boolean", "version": "bigint"}
-        if not versions:
-            return self.spark.createDataFrame([], ddl(kinds))
-        paths = [f"{self.root}/version={v}" for v in versions]
-        return (
-            self.spark.read.schema(ddl(kinds)).option("basePath", self.root).parquet(*paths)
-        )
+            if not absent(problem):  # nothing committed yet
+                raise
+            return self.spark.createDataFrame([], kinds)
 
     def read(self) -> DataFrame:
-        log = self._log()
-        base = max((r.version for r in log if r.snapshot), default=None)
-        later = [r.version for r in log if base is None or r.version > base]
-        old = self._versions([] if base is None else [base])
-        if not later:
-            return old.select(*self.schema)
-        changes = self._versions(later)
-        if len(later) > 1:
-            newest = F.max_by(F.struct(*[c for c in self.schema if c != self.key], GONE), "version")
-            changes = changes.groupBy(self.key).agg(newest.alias("_row")).select(self.key, "_row.*")
-        kept = old.join(changes.select(self.key), self.key, "left_anti").select(*self.schema)
-        return kept.unionByName(changes.where(~F.col(GONE)).select(*self.schema))
-
-    def commit(self, changes: DataFrame, batch_id: str, gone: DataFrame | None = None) -> bool:
-        """Add changed rows (one per key) and drop the keys in ``gone``. A batch that was
-        committed before is left alone."""
-        log = self._log()
-        if self.has(batch_id, log):
-            return False
+        return self._stored().where(~F.col(GONE)).select(*self.schema)
+
+    def commit(self, changes: DataFrame, gone: DataFrame | None = None) -> None:
+        """Take in changed rows (one per key) and drop the keys in ``gone``. A dropped key's row stays
+        in its bucket, marked, until the bucket is written next: a bucket that is touched is never
+        empty, so the overwrite always reaches it."""
         rows = conform(changes, self.schema).withColumn(GONE, F.lit(False))
         if gone is not None:
             rows = rows.unionByName(conform(gone, self.schema).withColumn(GONE, F.lit(True)))
-        self._write(rows, self._next(log), False, batch_id)
-        return True
-
-    def has(self, batch_id: str, log: list | None = None) -> bool:
-        """Whether a batch was committed."""
-        return any(r.batch_id == batch_id for r in (self._log() if log is None else log))
-
-    def overwrite(self, rows: DataFrame, batch_id: str) -> None:
-        """A whole new snapshot."""
-        whole = conform(rows, self.schema).withColumn(GONE, F.lit(False))
-        self._write(whole, self._next(self._log()), True, batch_id)
-
-    def compact(self) -> None:
-        """Fold the changes into a new snapshot."""
-        log = self._log()
-        if log and not log[-1].snapshot:
-            self.overwrite(self.read(), f"compact-{log[-1].version}")
-
-    @staticmethod
-    def _next(log: list) -> int:
-        return log[-1].version + 1 if log else 0
-
-    def _write(self, rows: DataFrame, version: int, snapshot: bool, batch_id: str) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/version={version}")
-        line = self.spark.createDataFrame([(version, snapshot, batch_id)], LOG)
-        line.coalesce(1).write.mode("append").json(f"{self.root}/commits")
+        rows = stage(rows.select("*", self._bucket()), "commit")
+        # at most ``buckets`` numbers
+        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]
+        if not touched:
+            return
+        old = self._stored().where(F.col(BUCKET).isin(touched) & ~F.col(GONE))
+        kept = old.join(rows.select(self.key), self.key, "left_anti").select(*rows.columns)
+        # staged, since a job can't overwrite what it reads
+        whole = stage(kept.unionByName(rows), "buckets")
+        (
+            whole.hint("rebalance", BUCKET)  # one file for each bucket, more for large ones
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(BUCKET)
+            .parquet(self.root)
+        )
 
 
 def append_once(rows: DataFrame, root: str, batch_id: str) -> None:

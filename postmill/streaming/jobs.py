@@ -7,8 +7,9 @@ changes per micro-batch: a micro-batch that runs again after a failure replaces
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from postmill.schemas import RAW_POSTING, conform, ddl
 from postmill.sources.feeds import (
     CORRUPT,
     SourceSpec,
+    corrupt_rows,
     json_options,
     payload_schema,
     split_sound,
@@ -84,7 +86,7 @@ def latest(spark: SparkSession, out: str, *keys: str) -> DataFrame:
 def ingest(
     ws: Workspace,
     landing: str,
-    spec: SourceSpec,
+    specs: SourceSpec | Iterable[SourceSpec],
     checkpoint: str,
     as_of: datetime,
     files_per_trigger: int | None = None,
@@ -92,21 +94,36 @@ def ingest(
     vocab: PlaceVocab | None = None,
     lines: bool = False,
 ) -> StreamingQuery:
-    """R1, R7. Landed payloads of one feed into the stored postings. A micro-batch is committed
-    under its id and merged by fingerprint, so repeated and duplicate deliveries change nothing."""
-    payloads = file_stream(
-        ws.spark, f"{landing}/source={spec.name}", payload_schema(spec), "json", files_per_trigger,
-        **json_options(lines),
-    )
+    """R1, R7. Landed payloads of one or more feeds into the stored postings, as one stream: a
+    workspace has one writer. Batches are merged by fingerprint, so repeated and duplicate deliveries
+    change nothing. Logs are labelled with the checkpoint's own id, so a new checkpoint adds to them."""
+    raws, broken = [], []
+    for spec in [specs] if isinstance(specs, SourceSpec) else specs:
+        payloads = with_token(
+            file_stream(
+                ws.spark, f"{landing}/source={spec.name}", payload_schema(spec), "json", files_per_trigger,
+                **json_options(lines),
+            )
+        )
+        raws.append(conform(spec.to_raw(payloads.where(F.col(CORRUPT).isNull())), RAW_POSTING))
+        broken.append(corrupt_rows(payloads, spec))
+    rows = reduce(DataFrame.unionByName, raws).select(F.struct("*").alias("raw"))
+    lost = reduce(DataFrame.unionByName, broken).select(F.struct("*").alias("broken"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        raw = spec.to_raw(batch.where(F.col(CORRUPT).isNull()))
-        good, bad = split_sound(stage(conform(raw, RAW_POSTING), "raw"))
-        label = f"{spec.name}-{batch_id}"
+        whole = stage(batch, "delivered")
+        good, bad = split_sound(whole.where("raw IS NOT NULL").select("raw.*"))
+        label = f"{query_id(ws.spark, checkpoint)}-{batch_id}"
         append_once(bad, ws.log_path("quarantine"), label)
-        store_batch(ws, stage(judged_batch(good, as_of, rules, vocab), "judged"), label)
+        append_once(whole.where("broken IS NOT NULL").select("broken.*"), ws.log_path("unreadable"), label)
+        store_batch(ws, stage(judged_batch(good, as_of, rules, vocab), "judged"))
+
+    return run_batches(rows.unionByName(lost, allowMissingColumns=True), checkpoint, store)
+
 
-    return run_batches(with_token(payloads), checkpoint, store)
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the query of a checkpoint when it was made."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
 
 
 def sightings(events: DataFrame, key: str, at: Column) -> DataFrame:
