@@ -10,8 +10,9 @@ from postmill.functions.text import squash
 
 # Legal-form tokens that are no part of a company's identity.
 LEGAL_FORMS = (
-    "inc llc llp lp ltd corp corporation company co pbc gmbh plc sa sas ag bv nv srl pte pvt"
-).split()
+    "inc", "llc", "llp", "lp", "ltd", "corp", "corporation", "company", "co", "pbc", "gmbh", "plc",
+    "sa", "sas", "ag", "bv", "nv", "srl", "pte", "pvt",
+)
 
 # Words that mark a parenthetical as a work arrangement, and its longest length.
 ARRANGEMENT_WORD = r"\b(?:remote|hybrid|on[\s-]?site|wfh)\b"

@@ -154,13 +154,13 @@ DERIVED = {
     "full_name": "name",
     "email": "email",
     "location": "COALESCE(city, 'San Leandro') || ', ' || state",
-    "work_authorization": "CASE WHEN work_authorization IS NOT NULL THEN 'Yes — citizen.' ELSE '' END",
-    "sponsorship": "'No.'",
-    "clearance": "CASE WHEN work_authorization IS NOT NULL THEN 'Yes — citizen, eligible to obtain a"
-    " clearance.' ELSE '' END",
-    "start_date": "'I can start on Monday, March 25, 2024, about two weeks from today.'",
-    "salary_expectation": "'$150,000, with flexibility depending on the whole package.'",
-    "years_experience": f"CAST({YEARS} AS VARCHAR) || ' years.'",
+    "work_authorization": "CASE WHEN work_authorization IS NOT NULL THEN 'Permitted to work: citizen.' ELSE '' END",
+    "sponsorship": "'None needed.'",
+    "clearance": "CASE WHEN work_authorization IS NOT NULL THEN 'Can be cleared"
+    " (citizen).' ELSE '' END",
+    "start_date": "'From Monday, March 25, 2024 on.'",
+    "salary_expectation": "'About $150,000 a year.'",
+    "years_experience": f"CAST({YEARS} AS VARCHAR) || ' in total.'",
     "linkedin": "linkedin",
 }
 RESOLVED = " UNION ALL ".join(

@@ -29,14 +29,14 @@ TITLES = [
     "Software Engineer", "Senior Software Engineer (Remote)", "Staff Platform Engineer",
     "Engineering Manager", "Sales Development Representative", "Data Engineer, Growth",
     "Machine Learning Engineer - Search", "Product Designer", "Backend Developer",
-    "Site Reliability Engineer (Hybrid, 2 days)", "Software Engineer, Ads Manager",
-    "Principal Python Engineer", "Software Engineer (Child Safety)", "Go Developer (on-site)",
+    "Site Reliability Engineer (Hybrid, 2 days)", "Software Engineer, Crew Manager",
+    "Principal Python Engineer", "Software Engineer (River Locks)", "Go Developer (on-site)",
     "Security Engineer (CI/CD)", "Head of Infrastructure",
 ]
 LOCATIONS = [
     "San Francisco, CA", "San Francisco, CA | New York City, NY", "Remote - US", "Dublin, CA",
-    "Dublin, Ireland", "Bend, OR", "In-Office", "REMOTE (US + Canada)", "San Jose, Costa Rica",
-    "San Francisco, New York", "Newark, NJ", None, "Modesto, CA", "Latin America", "SF or Remote",
+    "Dublin, Ireland", "Bend, OR", "In-Office", "REMOTE (US + Norway)", "San Jose, Costa Rica",
+    "San Francisco, New York", "Newark, NJ", None, "Modesto, CA", "Latin America", "Oakland or Remote",
     "Portland, Oregon", "US-CA-Oakland", "Distributed", "N/A", "Seattle; Oakland, California",
     "Berlin, Germany", "New York", "U.S.", "Los Angeles / Remote",
 ]

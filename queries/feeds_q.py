@@ -144,10 +144,10 @@ def feed_aggregator(spark, sf):
 HEADERS = [
     ("Acme (https://acme.com) | Senior Engineer | Remote (US) | Full-time", "Acme", "Senior Engineer", "Remote (US)"),
     ("*Beta Co* | Onsite SF | Backend Developer | $120k", "Beta Co", "Backend Developer", "Onsite SF"),
-    ("Gamma (gamma.pe) - | Full time | Data Scientist | Hybrid", "Gamma", "Data Scientist", "Hybrid"),
+    ("Gamma (gamma.example) - | Full time | Data Scientist | Hybrid", "Gamma", "Data Scientist", "Hybrid"),
     ("Just one segment", None, None, None),
     ("Delta | NYC | Remote", None, None, None),
-    ("(https://nobody.io) | Engineer | Remote", None, None, None),
+    ("(https://nobody.example) | Engineer | Remote", None, None, None),
     ("Epsilon | Contract | Remote Security Lead | Berlin", "Epsilon", "Remote Security Lead", None),
     ("Zeta &amp; Sons | Founder &#x2F; CTO | remote", "Zeta & Sons", "Founder / CTO", "remote"),
 ]

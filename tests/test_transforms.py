@@ -136,7 +136,7 @@ PLACES = {
     "San Francisco, CA": "local", "San Francisco, Seattle": "local", "SF, New York": "local",
     "Dublin": "unknown", "Dublin, CA": "local", "Dublin, Ireland": "elsewhere", "Newark, NJ": "us",
     "San José, Costa Rica": "elsewhere", "In-Office": "unknown", "Bend, OR": "unknown",
-    "Remote (US + Canada)": "us_wide", "Latin America": "elsewhere", "U.S.": "us_wide", "ca": "us",
+    "Remote (US + Norway)": "us_wide", "Latin America": "elsewhere", "U.S.": "us_wide", "ca": "us",
     "Modesto, California": "us", "": "unknown", "Austin or Oakland": "local", "Brooklyn, New York": "us",
     "Australia": "elsewhere", "Anywhere": "us_wide", "Focus": "unknown",
 }
@@ -185,7 +185,7 @@ POSTING = dict(
         ({}, None),
         ({"title": "Sales Engineer"}, "title_not_target"),
         ({"title": "Engineering Manager"}, "management_role"),
-        ({"title": "Software Engineer, Ads Manager"}, None),
+        ({"title": "Software Engineer, Crew Manager"}, None),
         ({"title": "Staff Software Engineer"}, "seniority_mismatch"),
         ({"title": "Carpenter"}, "title_not_target"),
         ({"salary_max": 120000, "salary_source": "parsed"}, "salary_below_floor"),
