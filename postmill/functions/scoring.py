@@ -80,8 +80,11 @@ def blend(similarity: Column, rules: Column, freshness: Column) -> Column:
 
 
 def is_stretch(key: Column, seed: int = 0, rate: float = STRETCH_RATE) -> Column:
-    """F27. A fixed pseudo-random slice: the same key and seed always fall on the same side."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) < F.lit(round(rate * 10_000))
+    """F27. A fixed pseudo-random slice: the same key and seed always fall on the same side, in any
+    engine that has SHA-256."""
+    digest = F.sha2(F.concat_ws(":", key.cast("string"), F.lit(seed)).cast("binary"), 256)
+    draw = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
+    return F.pmod(draw, F.lit(10_000)) < F.lit(round(rate * 10_000))
 
 
 def cosine(vector: Column, reference: Sequence[float]) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from datetime import datetime
+from math import isfinite
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,21 +61,26 @@ class QueueFilters:
 
         def number(name: str, kind: type, default):
             try:
-                return kind(given.get(name, ""))
-            except ValueError:
+                value = kind(given.get(name, ""))
+            except (ValueError, TypeError):
                 return default
+            return value if isfinite(value) else default
+
+        def several(name: str) -> tuple[str, ...]:
+            value = given.get(name) or ()
+            return (value,) if isinstance(value, str) else tuple(value)
 
         return cls(
             sort=str(given.get("sort", DEFAULT_SORT)),
             descending=given.get("dir", "desc") != "asc",
             min_score=number("min_score", float, 0.0),
-            remote_types=tuple(given.get("remote") or ()),
-            location_classes=tuple(given.get("location") or ()),
+            remote_types=several("remote"),
+            location_classes=several("location"),
             min_salary=number("min_salary", int, None),
             posted_within_days=number("posted_within", int, None),
             company=str(given.get("company", "")).strip(),
             judged_only=str(given.get("judged_only", "")).lower() in ("true", "1", "on", "yes"),
-            per_company_cap=number("per_company", int, DEFAULT_CAP) or DEFAULT_CAP,
+            per_company_cap=cap if (cap := number("per_company", int, DEFAULT_CAP)) >= 1 else DEFAULT_CAP,
         ).normalized()
 
 

@@ -88,6 +88,11 @@ def score_postings(
     )
 
 
+def awaiting_vector(postings: DataFrame, vectors: DataFrame) -> DataFrame:
+    """V2. Postings that can't be scored yet, since their vector is missing."""
+    return postings.select("posting_key").join(vectors.select("posting_key"), "posting_key", "left_anti")
+
+
 def nearest(vectors: DataFrame, reference: Sequence[float], k: int, key: str) -> DataFrame:
     """V4. The ``k`` vectors closest to the reference."""
     return (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from postmill.functions.expr import instant, let
 from postmill.functions.places import factored
 from postmill.operators.postings import is_live
+from postmill.session import stage
 from postmill.vocab import TermLists
 
 # Employer verdicts, relevance verdicts and what an unlisted one becomes.
@@ -83,6 +84,73 @@ def screen_terms(name: Column, text: Column, lists: TermLists | None = None) ->
     return found
 
 
+RUN = 3
+
+
+def _runs(words: Column) -> Column:
+    """Distinct runs of three words."""
+    several = F.transform(
+        F.slice(words, F.lit(1), F.greatest(F.size(words) - RUN + 1, F.lit(0))),
+        lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + j) for j in range(1, RUN)]),
+    )
+    return F.array_distinct(several)
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct pieces of ``n`` characters."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(n))))
+
+
+def _candidates(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(doc, item) where the text has the phrase's rarest piece. Both tables list ``pieces``; only
+    pieces that occur in a phrase outlive the first join, and texts are counted per piece, so a
+    piece that half the texts share leads nowhere if the phrase has a rarer one."""
+    wanted = phrases.select("item", F.explode("pieces").alias("piece"))
+    had = stage(
+        texts.select("doc", F.explode("pieces").alias("piece")).join(wanted.select("piece").distinct(), "piece"),
+        "phrase-pieces",
+    )
+    counts = had.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        wanted.join(counts, "piece", "left")
+        .groupBy("item")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece"))["piece"].alias("piece"))
+    )
+    return had.join(rarest, "piece").select("doc", "item")
+
+
+def screen_passages(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """J9, P4 for phrase lists of any size. ``texts(doc, text)``, ``phrases(item, phrase)``: the
+    smallest item whose phrase occurs in each text, letter case aside; texts without one are left out.
+
+    A phrase's inner words stand in a text that holds it as whole words, so its rarest run of three
+    of them is looked up by an equi-join; shorter phrases go by their characters. What is found
+    is verified. Empty phrases occur nowhere.
+    """
+    t = texts.select("doc", F.lower("text").alias("text"))
+    p = phrases.select("item", F.lower("phrase").alias("phrase")).where("phrase <> ''")
+    words = F.split("phrase", r"\s+")
+    p = stage(p.withColumn("inner", F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))), "phrases")
+    long = F.size("inner") >= RUN
+    found = _candidates(
+        t.select("doc", _runs(F.split("text", r"\s+")).alias("pieces")),
+        p.where(long).select("item", _runs(F.col("inner")).alias("pieces")),
+    )
+    short = p.where(~long).withColumn("n", F.least(F.length("phrase"), F.lit(RUN)))
+    for n in sorted(r.n for r in short.select("n").distinct().collect()):  # 1, 2 or 3
+        some = short.where(F.col("n") == n).select("item", _grams(F.col("phrase"), n).alias("pieces"))
+        found = found.unionByName(_candidates(t.select("doc", _grams(F.col("text"), n).alias("pieces")), some))
+    return (
+        found.distinct()
+        .join(p.select("item", "phrase"), "item")
+        .join(t, "doc")
+        .where(F.contains("text", "phrase"))
+        .groupBy("doc")
+        .agg(F.min("item").alias("item"))
+    )
+
+
 def newest_text(companies: DataFrame, postings: DataFrame) -> DataFrame:
     """J7, T5. Each employer with the text of its latest posting, empty where it has none.
 

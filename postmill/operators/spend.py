@@ -48,10 +48,10 @@ def _tokens(name: str) -> Column:
 def with_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
     """F28, J11, U11. Add ``cost_usd``, exact to six decimals; an unlisted model costs nothing.
 
-    ``rates`` is a price list with one row per model, so it is broadcast.
+    ``rates`` has one row per model; Spark broadcasts it where its size allows.
     """
     zero = F.lit(Decimal("0")).cast("decimal(8,2)")
-    priced = usage.join(F.broadcast(rates), "model", "left")
+    priced = usage.join(rates, "model", "left")
     rate_in, rate_out = F.coalesce("input_rate", zero), F.coalesce("output_rate", zero)
     total = (
         _tokens("input_tokens") * rate_in
@@ -72,7 +72,7 @@ def cache_flags(usage: DataFrame, rates: DataFrame) -> DataFrame:
         F.coalesce("cache_write_tokens", F.lit(0)) == 0
     )
     return (
-        usage.join(F.broadcast(minimum), "model", "left")
+        usage.join(minimum, "model", "left")
         .withColumns(
             {
                 "prefix_effective": F.coalesce(

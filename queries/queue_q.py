@@ -97,19 +97,19 @@ BY_SALARY = Q.QueueFilters(sort="salary")
 
 @query(
     "queue_sorted_salary",
-    _sql(order="COALESCE(salary_max, salary_min) DESC NULLS LAST, posting_key DESC", tail="LIMIT 200"),
+    _sql(order="COALESCE(salary_max, salary_min) DESC NULLS LAST, posting_key DESC"),
 )
 def queue_sorted_salary(spark, sf):
-    return _shape(_queue(spark, sf, BY_SALARY).limit(200))
+    return _shape(_queue(spark, sf, BY_SALARY))
 
 
 @query(
     "queue_sorted_company",
-    _sql(order="lower(company_name) ASC, total_score DESC, posting_key DESC", tail="LIMIT 200"),
+    _sql(order="lower(company_name) ASC, total_score DESC, posting_key DESC"),
 )
 def queue_sorted_company(spark, sf):
     f = Q.QueueFilters(sort="company", descending=False)
-    return _shape(_queue(spark, sf, f).limit(200))
+    return _shape(_queue(spark, sf, f))
 
 
 @query(

@@ -127,9 +127,19 @@ def score_postings(spark, sf):
     )
 
 
-@query("stretch_slice")
+@query("awaiting_vector", oracle("SELECT posting_key FROM postings WHERE posting_key NOT IN (SELECT vec_id FROM"
+       " embeddings)", "postings"))
+def awaiting_vector(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("posting_key"))
+    return O.awaiting_vector(postings(spark, sf), vectors)
+
+
+STRETCH_SQL = "('0x' || substr(sha256(posting_key::VARCHAR || ':0'), 1, 12))::BIGINT % 10000 < 700"
+
+
+@query("stretch_slice", oracle(f"SELECT posting_key, title FROM postings WHERE {STRETCH_SQL}", "postings"))
 def stretch_slice(spark, sf):
-    """The pseudo-random slice depends on Spark's hash, so there is no SQL twin."""
+    """The pseudo-random slice of one posting in fourteen or so."""
     return postings(spark, sf).where(S.is_stretch(F.col("posting_key"))).select("posting_key", "title")
 
 

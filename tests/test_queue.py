@@ -24,6 +24,10 @@ def test_junk_parameters_give_the_defaults():
     assert (f.sort, f.descending, f.min_score, f.min_salary) == ("score", False, 0.0, None)
     assert (f.posted_within_days, f.remote_types, f.company, f.per_company_cap) == (7, ("remote",), "acme", 3)
     assert f.is_active and not Q.QueueFilters(sort="salary", descending=False).is_active
+    odd = Q.QueueFilters.from_text({"remote": "remote", "location": ["us", "local"], "min_score": "nan", "min_salary": ["1"], "per_company": "-2"})
+    assert (odd.remote_types, odd.location_classes) == (("remote",), ("us", "local"))
+    assert (odd.min_score, odd.min_salary, odd.per_company_cap) == (0.0, None, 3)
+    assert Q.QueueFilters.from_text({"min_score": "inf"}).min_score == 0.0
 
 
 def tables(spark, n=40):
