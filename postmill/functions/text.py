@@ -114,18 +114,25 @@ def _micros(ts: Column) -> Column:
 
 
 def judge_input(title: Column, company: Column, place: Column, kind: Column, text: Column) -> Column:
-    """F38. The text handed to an outside judge; the body is cut at 6000 characters by design."""
+    """F38. The text handed to an outside judge."""
     return F.concat(
         F.lit("Title: "), title,
         F.lit("\nCompany: "), company,
         F.lit("\nLocation: "), F.coalesce(F.nullif(place, F.lit("")), F.lit("unspecified")),
-        F.lit(" ("), kind, F.lit(")\n\nDescription:\n"), F.left(text, F.lit(6000)),
+        F.lit(" ("), kind, F.lit(")\n\nDescription:\n"), text,
     )
 
 
 def embed_input(title: Column, text: Column) -> Column:
-    """F38. The text handed to an embedding model; the body is cut at 4000 characters by design."""
-    return F.concat(title, F.lit("\n"), F.left(text, F.lit(4000)))
+    """F38. The text handed to an embedding model."""
+    return F.concat(title, F.lit("\n"), text)
+
+
+def parts(text: Column, chars: int) -> Column:
+    """F38. A text in parts of ``chars`` characters, in order, so that an input limit loses nothing; an
+    empty text is one empty part."""
+    last = F.greatest(F.ceil(F.length(text) / chars) - 1, F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(text, i * chars + 1, F.lit(chars)))
 
 
 def resume_text(resume: Column) -> Column:

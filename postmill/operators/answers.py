@@ -96,9 +96,10 @@ def question_gaps(sightings: DataFrame, bank: DataFrame | None = None) -> DataFr
     if bank is not None:
         gaps = gaps.join(bank.select("question"), "question", "left_anti")
         answered = bank.where(F.col("question_key").isNotNull()).select("question_key").distinct()
-        gaps = gaps.join(answered, "question_key", "left_anti").select(
-            "question", "question_key", "seen_count", "first_seen", "last_seen"
-        )
+        # Most questions have no key; they take no part in the join, which would gather them.
+        keyed = F.col("question_key").isNotNull()
+        left = gaps.where(keyed).join(answered, "question_key", "left_anti").select(*gaps.columns)
+        gaps = gaps.where(~keyed).unionByName(left)
     return gaps.orderBy(F.col("seen_count").desc(), F.col("last_seen").desc(), "question")
 
 

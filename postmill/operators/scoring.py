@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from postmill.functions import scoring as S
 from postmill.functions.expr import instant, round_half_even
-from postmill.functions.text import embed_input, judge_input
+from postmill.functions.text import embed_input, judge_input, parts
 from postmill.operators.common import cap_per_group
 from postmill.operators.postings import is_live
 
@@ -24,11 +24,11 @@ JUDGEMENT = ("relevance_verdict", "rationale", "model", "judged_at")
 COMPONENTS = ("embed_similarity", "rule_score", "freshness_score", "total_score", "is_stretch")
 
 
-def embed_export(postings: DataFrame) -> DataFrame:
-    """F38. Texts for an outside embedding model."""
-    return postings.select(
-        "posting_key", embed_input(F.col("title"), F.col("description")).alias("text")
-    )
+def embed_export(postings: DataFrame, chars: int = 4000) -> DataFrame:
+    """F38. ``(posting_key, chunk_no, text)`` for an outside embedding model: the description in
+    numbered parts of ``chars`` characters, each under the title."""
+    split = postings.select("posting_key", "title", F.posexplode(parts(F.col("description"), chars)).alias("chunk_no", "part"))
+    return split.select("posting_key", "chunk_no", embed_input(F.col("title"), F.col("part")).alias("text"))
 
 
 def embed_texts(
@@ -145,20 +145,22 @@ def top_unjudged(
     return ranked.orderBy(*best_first).limit(limit)
 
 
-def judge_export(candidates: DataFrame, postings: DataFrame, companies: DataFrame) -> DataFrame:
-    """F38, V5. Texts of the chosen candidates for an outside judge. The candidates are a
-    limited list, so the postings are reached through a small build side."""
+def judge_export(candidates: DataFrame, postings: DataFrame, companies: DataFrame, chars: int = 6000) -> DataFrame:
+    """F38, V5. Texts of the chosen candidates for an outside judge, the description in numbered
+    parts of ``chars`` characters. The candidates are a limited list, so the postings are reached
+    through a small build side."""
     chosen = candidates.select("posting_key", "company_key", "total_score")
     texts = postings.select("posting_key", "title", "location", "remote_type", "description")
     names = companies.select("company_key", F.col("name").alias("company_name"))
     return (
         texts.join(chosen, "posting_key")
         .join(names, "company_key")
+        .select("*", F.posexplode(parts(F.col("description"), chars)).alias("chunk_no", "part"))
         .select(
-            "posting_key", "total_score",
+            "posting_key", "total_score", "chunk_no",
             judge_input(
                 F.col("title"), F.col("company_name"), F.col("location"),
-                F.coalesce("remote_type", F.lit("onsite")), F.col("description"),
+                F.coalesce("remote_type", F.lit("onsite")), F.col("part"),
             ).alias("text"),
         )
     )

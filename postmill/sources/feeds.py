@@ -229,10 +229,10 @@ def header_fields(head: Column) -> Column:
 
     def place(h: Column) -> Column:
         places = F.filter(h["rest"], lambda s: (s != h["title"]) & s.rlike(PLACE_WORD))
-        usable = F.length(h["company_name"]).between(1, MAX_COMPANY_CHARS) & h["title"].isNotNull()
-        return F.when(
-            usable, F.struct(h["company_name"], h["title"], F.get(places, F.lit(0)).alias("location"))
-        )
+        usable = (F.length(h["company_name"]) >= 1) & h["title"].isNotNull()
+        # A segment too long for a name is a sentence: without a title the row goes to quarantine.
+        title = F.when(F.length(h["company_name"]) <= MAX_COMPANY_CHARS, h["title"]).alias("title")
+        return F.when(usable, F.struct(h["company_name"], title, F.get(places, F.lit(0)).alias("location")))
 
     return let(let(segments, read), place)
 

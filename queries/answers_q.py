@@ -68,22 +68,21 @@ SIGHTED = {
     "seen_at": "ts",
 }
 BANK = {
-    "question": "'Question ' || CAST(p_partkey AS STRING)",
+    "question": "'Question ' || CAST(p_partkey * 5 AS STRING)",
     "question_key": "CASE WHEN p_partkey % 40 = 1 THEN 'key4' END",
-    "part": "p_partkey",
 }
 
 
 @query("question_gaps", "WITH s AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in SIGHTED.items())
        + " FROM events), b AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in BANK.items())
-       + " FROM part WHERE p_partkey % 5 = 1) SELECT trim(question) AS question, max(question_key) AS"
+       + " FROM part) SELECT trim(question) AS question, max(question_key) AS"
        " question_key, count(*) AS seen_count, strftime(min(seen_at), '%Y-%m-%d %H:%M:%S') AS first_seen,"
        " strftime(max(seen_at), '%Y-%m-%d %H:%M:%S') AS last_seen FROM s WHERE trim(question) NOT IN"
        " (SELECT question FROM b) AND COALESCE(question_key, '') NOT IN (SELECT question_key FROM b WHERE"
        " question_key IS NOT NULL) GROUP BY 1")
 def question_gaps(spark, sf):
     sighted = bound(table(spark, sf, "events"), SIGHTED)
-    bank = bound(table(spark, sf, "part"), BANK).where("part % 5 = 1")
+    bank = bound(table(spark, sf, "part"), BANK)
     gaps = A.question_gaps(sighted, bank)
     return gaps.select("question", "question_key", "seen_count", stamp("first_seen"), stamp("last_seen"))
 
@@ -251,20 +250,20 @@ def start_monday(spark, sf):
     )
 
 
-@query("resume_text", "SELECT conv_id, array_to_string(list_filter(flatten(list([role || ': ' || 'a, b',"
-       " trim(role || ' ' || CAST(turn AS VARCHAR)), left(text, 20)] ORDER BY turn)), lambda x: x <> ''),"
-       " chr(10)) AS text FROM conversations WHERE turn = 0 GROUP BY conv_id")
+@query("resume_text", "SELECT conv_id, turn, array_to_string(list_filter([role || ': ' || 'a, b',"
+       " trim(role || ' ' || CAST(turn AS VARCHAR)), text], lambda x: x <> ''),"
+       " chr(10)) AS text FROM conversations")
 def resume_text(spark, sf):
-    turns = table(spark, sf, "conversations").where("turn = 0")
+    turns = table(spark, sf, "conversations")
     resume = F.struct(
         F.lit("").alias("summary"),
         F.array(F.struct(F.col("role").alias("grp"), F.array(F.lit("a"), F.lit("b")).alias("items"))).alias("skills"),
         F.array(
             F.struct(
                 F.col("role").alias("title"), F.col("turn").cast("string").alias("company"),
-                F.array(F.left("text", F.lit(20))).alias("bullets"),
+                F.array("text").alias("bullets"),
             )
         ).alias("experience"),
         F.lit(None).cast("array<struct<degree:string,school:string>>").alias("education"),
     )
-    return turns.select("conv_id", T.resume_text(resume).alias("text"))
+    return turns.select("conv_id", "turn", T.resume_text(resume).alias("text"))

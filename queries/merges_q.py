@@ -10,6 +10,7 @@ from postmill.operators import merges as G
 from postmill.operators import reports as R
 from postmill.operators import scoring as O
 from postmill.operators import screen as C
+from postmill.operators.common import salted_join
 from queries.binding import (
     AS_OF,
     COMPANIES,
@@ -27,9 +28,8 @@ from queries.binding import (
 from queries.registry import query
 from queries.text_q import JUDGED, TEXTED, _texted
 
-# Sightings: several lines of an order are sightings of one part's posting. The part is the
-# content; the supplier and a few lines of the order make up the source id, so both unique keys
-# collide in every way a merge has to settle.
+# Sightings: several lines are sightings of one part's posting, under one source id for each
+# posting or none. How ids that collide are settled is what ``upsert_collisions`` shows.
 SIGHTINGS = {
     "posting_key": "'fp' || CAST(l_partkey % 400 AS STRING)",
     "company_key": "'co' || CAST(l_partkey % 7 AS STRING)",
@@ -101,6 +101,53 @@ def upsert_converges(spark, sf):
     return again.select("posting_key", "title", stamp("first_seen_at"), stamp("last_seen_at"))
 
 
+# Collisions of the two unique keys, by place in a block of seven orders. Stored are places 1, 2, 3, 4 and 7, each under
+# its own id. In the batch, place 1 comes as an edited posting under the stored id, 2 and 7 come again, 3
+# comes under the id of place 4 (which is stored if the block has that order, else free), 5 is new and 6 is
+# new without an id. Place 4 is not sighted.
+PLACES = "(SELECT *, (o_orderkey - o_orderkey % 7) / 7 AS block, o_orderkey % 7 + 1 AS place FROM orders)"
+LINE = "CAST(CAST(block AS BIGINT) AS STRING) || '-' || CAST(place AS STRING)"
+BEFORE = {
+    "posting_key": f"'fp-' || {LINE}", "source": "'lever'", "source_job_id": LINE, "title": "'old'",
+    "salary_source": "'none'", "filtered_out": "FALSE", "location_class": "'us'",
+    "first_seen_at": "o_orderdate", "last_seen_at": "o_orderdate",
+}
+AFTER = {
+    "posting_key": f"CASE WHEN place IN (2, 3, 7) THEN 'fp-' ELSE 'new-' END || {LINE}", "source": "'lever'",
+    "source_job_id": f"CASE WHEN place = 3 THEN CAST(CAST(block AS BIGINT) AS STRING) || '-4' WHEN place <> 6 THEN {LINE} END",
+    "title": "'fresh'", "salary_source": "'none'", "filtered_out": "place = 3",
+    "filter_reason": "CASE WHEN place = 3 THEN 'management_role' END", "location_class": "'local'",
+    "seen_at": "o_orderdate + INTERVAL '10' DAY", "seq": "o_orderkey",
+}
+BOTH_SEEN = "o_orderdate AS first_seen_at, o_orderdate + INTERVAL '10' DAY AS last_seen_at"
+
+
+@query("upsert_collisions", f"""
+WITH l AS (SELECT *, {LINE} AS line, block IN (SELECT block FROM {PLACES} WHERE place = 4) AS four
+  FROM {PLACES}),
+out AS (
+  SELECT 'new-' || line AS posting_key, line AS id, 'fresh' AS title, NULL AS filter_reason, 'local' AS location_class,
+    'new' AS change, {BOTH_SEEN} FROM l WHERE place = 1
+  UNION ALL SELECT 'fp-' || line, line, 'fresh', NULL, 'local', 'seen', {BOTH_SEEN} FROM l WHERE place IN (2, 7)
+  UNION ALL SELECT 'fp-' || line, CASE WHEN four THEN line ELSE block::BIGINT::VARCHAR || '-4' END,
+    CASE WHEN four THEN 'old' ELSE 'fresh' END, 'management_role', 'local', CASE WHEN four THEN 'touched' ELSE 'seen' END,
+    {BOTH_SEEN} FROM l WHERE place = 3
+  UNION ALL SELECT 'fp-' || line, line, 'old', NULL, 'us', 'kept', o_orderdate, o_orderdate FROM l WHERE place = 4
+  UNION ALL SELECT 'new-' || line, CASE WHEN place = 5 THEN line END, 'fresh', NULL, 'local', 'new',
+    o_orderdate + INTERVAL '10' DAY, o_orderdate + INTERVAL '10' DAY FROM l WHERE place IN (5, 6))
+SELECT posting_key, id, title, filter_reason, location_class, change, {stamp_sql('first_seen_at')}, {stamp_sql('last_seen_at')} FROM out
+""")
+def upsert_collisions(spark, sf):
+    """Edited, repeated, moved and new postings against stored ones, a posting for every order."""
+    lines = table(spark, sf, "orders").selectExpr("*", "(o_orderkey - o_orderkey % 7) / 7 AS block", "o_orderkey % 7 + 1 AS place")
+    stored = bound(lines.where("place IN (1, 2, 3, 4, 7)"), BEFORE)
+    batch = bound(lines.where("place <> 4"), AFTER)
+    return G.merge_postings(stored, batch).select(
+        "posting_key", F.col("source_job_id").alias("id"), "title", "filter_reason", "location_class", "change",
+        stamp("first_seen_at"), stamp("last_seen_at"),
+    )
+
+
 @query("run_counters", oracle(
     "SELECT (SELECT count(*) FROM h WHERE late) AS jobs_seen, (SELECT count(*) FROM h WHERE late AND"
     " filtered_out) AS jobs_filtered, (SELECT count(DISTINCT posting_key) FROM h WHERE posting_key NOT IN"
@@ -112,7 +159,7 @@ def run_counters(spark, sf):
 
 
 SEEN = {
-    "company_key": "'co' || CAST(o_custkey % 500 AS STRING)",
+    "company_key": "'co' || CAST(o_custkey AS STRING)",
     "name": "'Company ' || CAST(o_orderkey AS STRING)",
     "ats_type": "CASE WHEN o_orderstatus = 'F' THEN 'lever' WHEN o_orderkey % 50 = 0 THEN 'ashby' END",
     "board_token": "CASE WHEN o_orderstatus = 'F' THEN 'b' || CAST(o_orderkey AS STRING) END",
@@ -120,12 +167,12 @@ SEEN = {
 }
 STORED = {
     **COMPANIES,
-    "company_key": "'co' || CAST(c_custkey AS STRING)",
+    "company_key": "CASE WHEN c_custkey % 2 = 0 THEN 'co' ELSE 'old' END || CAST(c_custkey AS STRING)",
 }
 
 
 @query("company_merge", "WITH c AS (SELECT " + ", ".join(f'{e} AS "{n}"' for n, e in STORED.items())
-       + " FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT company_key, arg_max(name, seq) AS name,"
+       + " FROM customer), n AS (SELECT company_key, arg_max(name, seq) AS name,"
        " arg_min(ats_type, seq) FILTER (WHERE ats_type IS NOT NULL) AS ats_type, arg_min(board_token, seq)"
        " FILTER (WHERE board_token IS NOT NULL) AS board_token FROM (SELECT "
        + ", ".join(f'{e} AS "{n}"' for n, e in SEEN.items())
@@ -134,7 +181,7 @@ STORED = {
        " COALESCE(c.board_token, n.board_token) AS board_token, COALESCE(c.verdict, 'unknown') AS verdict,"
        " c.verdict_source FROM c FULL JOIN n ON c.company_key = n.company_key")
 def company_merge(spark, sf):
-    stored = bound(table(spark, sf, "customer").where("c_custkey % 2 = 0"), STORED)
+    stored = bound(table(spark, sf, "customer"), STORED)
     seen = bound(table(spark, sf, "orders"), SEEN)
     return G.merge_companies(stored, seen).select(
         "company_key", "name", "ats_type", "board_token", "verdict", "verdict_source"
@@ -262,5 +309,5 @@ def rejudge_diff(spark, sf):
 ))
 def rejudge_transitions(spark, sf):
     names = companies(spark, sf).selectExpr("company_key", "name AS company_name")
-    diff = G.rejudge_diff(_rejudged(spark, sf)).join(names, "company_key")
+    diff = salted_join(G.rejudge_diff(_rejudged(spark, sf)), names, "company_key", "posting_key")
     return R.rejudge_transitions(diff).withColumn("examples", F.array_join("examples", " / "))

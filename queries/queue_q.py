@@ -247,10 +247,10 @@ def best_per_company(spark, sf):
 
 
 @query("judge_input_export", oracle(
-    "SELECT k.posting_key, k.total_score, 'Title: ' || p.title || chr(10) || 'Company: ' || c.name"
+    "SELECT k.posting_key, k.total_score, 0 AS chunk_no, 'Title: ' || p.title || chr(10) || 'Company: ' || c.name"
     " || chr(10) || 'Location: ' || COALESCE(p.location, 'unspecified') || ' (' ||"
     " COALESCE(p.remote_type, 'onsite') || ')' || chr(10) || chr(10) || 'Description:' || chr(10)"
-    " || left(p.description, 6000) AS text FROM chosen k JOIN postings p USING (posting_key)"
+    " || p.description AS text FROM chosen k JOIN postings p USING (posting_key)"
     " JOIN companies c ON c.company_key = p.company_key",
     "postings", "companies", chosen=_ranked_sql(3, 50, True),
 ))

@@ -143,8 +143,8 @@ def stretch_slice(spark, sf):
     return postings(spark, sf).where(S.is_stretch(F.col("posting_key"))).select("posting_key", "title")
 
 
-@query("embed_export", "SELECT doc_id AS posting_key, source || chr(10) || left(text, 4000) AS text"
-       " FROM documents")
+@query("embed_export", "SELECT doc_id AS posting_key, n::INTEGER AS chunk_no, source || chr(10) || substr(text,"
+       " n * 4000 + 1, 4000) AS text FROM documents, range(0, 1000) t(n) WHERE n = 0 OR n * 4000 < length(text)")
 def embed_export(spark, sf):
     docs = table(spark, sf, "documents").select(
         F.col("doc_id").alias("posting_key"), F.col("source").alias("title"),
