@@ -156,40 +156,18 @@ def weekly_counts(applied: DataFrame, lateness: str = "14 days") -> DataFrame:
 
 
 def failure_log(attempts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """R6. Per micro-batch and source: failures, failures after the batch's last success, and
-    whether it had one. Sources are combined map-side, so no source is one task's stateful group."""
+    """R6, U12. Appends attempts ``(source, attempt_id, at, ok)`` to the attempt log as they land."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = stage(batch, "attempts")
-        totals = rows.groupBy("source").agg(F.count_if(~F.col("ok")).alias("failures"))
-        state = source_state(rows).select(
-            "source", F.col("last_fetch_ok_at").isNotNull().alias("had_success"),
-            F.col("consecutive_errors").alias("tail_failures"),
-        )
-        append_once(totals.join(state, "source"), out, str(batch_id))
+        append_once(batch.select("source", "attempt_id", "at", "ok"), out, str(batch_id))
 
     return run_batches(attempts, checkpoint, write)
 
 
 def failure_streaks(spark: SparkSession, out: str) -> DataFrame:
-    """R6. Current streak per source: the tail of the last batch with a success, plus all
-    failures of later batches."""
-    log = spark.read.parquet(out).withColumn("batch", F.col("batch").cast("bigint"))
-    last = log.groupBy("source").agg(
-        F.max(F.when(F.col("had_success"), F.col("batch"))).alias("_last"),
-        F.max_by("tail_failures", F.when(F.col("had_success"), F.col("batch"))).alias("_tail"),
-    )
-    # One row per source and micro-batch on the left, one per source on the right.
-    later = F.when(F.col("_last").isNull() | (F.col("batch") > F.col("_last")), F.col("failures"))
-    return (
-        log.join(last, "source")
-        .groupBy("source")
-        .agg(
-            (F.coalesce(F.max("_tail"), F.lit(0)) + F.coalesce(F.sum(later), F.lit(0))).alias(
-                "consecutive_errors"
-            )
-        )
-    )
+    """R6. Current streak per source: failures after its last success, by the time of the attempts.
+    A file that lands late counts where its attempts belong."""
+    return source_state(spark.read.parquet(out)).select("source", "consecutive_errors")
 
 
 def new_postings(stream: DataFrame, key: str, at: str, lateness: str = "30 days") -> DataFrame:

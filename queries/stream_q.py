@@ -12,9 +12,18 @@ from queries.registry import query
 from queries.spend_q import PRICED
 
 
+FILES = 3
+
+
 def _events(spark, sf):
-    schema = J.parquet_schema(spark, f"{sf}/events.parquet")
-    return J.file_stream(spark, sf, schema, pathGlobFilter="events.parquet")
+    """The events as files that land one after the other, a span of time in each, one a micro-batch."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    root = scratch(spark, "events")
+    first, last = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(F.min("us"), F.max("us")).first()
+    span = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - first) * FILES / (last - first + 1))
+    for i in range(FILES):
+        events.where(span == i).coalesce(1).write.mode("append").parquet(root)
+    return J.file_stream(spark, root, J.parquet_schema(spark, root), files_per_trigger=1)
 
 
 def _run(spark, label, start):

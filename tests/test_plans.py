@@ -214,6 +214,7 @@ def test_stream_ingest_equals_batch(spark, tmp_path, landing):
 def test_stream_streaks_over_many_batches(spark, tmp_path):
     src = tmp_path / "in"
     runs = [[("a", 1, False), ("b", 2, True)], [("a", 3, True), ("a", 4, False), ("b", 5, False)], [("a", 6, False), ("c", 7, False)]]
+    runs.append([("b", 3, True), ("c", 8, False)])  # a file that lands late: b succeeded before it failed
     schema = "source string, attempt_id int, ok boolean"
     for i, rows in enumerate(runs):
         df = spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds("attempt_id"))
@@ -221,7 +222,7 @@ def test_stream_streaks_over_many_batches(spark, tmp_path):
         stream = S.file_stream(spark, str(src), schema + ", at timestamp", files_per_trigger=1)
         S.failure_log(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {r.source: r.consecutive_errors for r in S.failure_streaks(spark, str(tmp_path / "out")).collect()}
-    assert got == {"a": 2, "b": 1, "c": 1}
+    assert got == {"a": 2, "b": 1, "c": 2}
 
 
 def test_two_feeds_and_a_second_checkpoint(spark, tmp_path, landing):
