@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.expr import let
-from postmill.llm.common import text_crc32, uniform
+from postmill.llm.common import text_crc32, uniform, uniform_sql
 from postmill.session import stage
 
 
@@ -137,3 +137,43 @@ def assign_shards(docs: DataFrame, tree: Sequence[Shard], grown: Sequence[Shard]
         place(F.col(key), grown).alias("grown_shard"),
     )
     return with_slots(rows, "shard", key)
+
+
+def _place_sql(tree: Sequence[Shard], out: str) -> str:
+    """Common table expressions in the oracle dialect that end in ``out`` (doc_id, shard)."""
+    rows = ", ".join(f"({s.region}, {s.rack}, {s.shard}, {float(s.weight)})" for s in tree)
+    parts, chosen = [f"{out}_tree AS (SELECT * FROM (VALUES {rows}) t(region, rack, shard, w))"], "documents"
+    for level, parent in (("region", None), ("rack", "region"), ("shard", "rack")):
+        above = f", {parent}" if parent else ""
+        draw = uniform_sql(f"concat_ws(':', '{level}', c.{level}, coalesce(d.doc_id::VARCHAR, ''))")
+        on = f"ON d.{parent} = c.{parent}" if parent else "ON TRUE"
+        name = out if level == "shard" else f"{out}_{level}"
+        parts.append(
+            f"{name} AS (SELECT doc_id, {level} FROM (SELECT d.doc_id, c.{level}, row_number() OVER (PARTITION BY d.doc_id ORDER BY"
+            f" -ln({draw}) / c.w, c.{level}) AS k FROM {chosen} d JOIN"
+            f" (SELECT {level}{above}, sum(w) AS w FROM {out}_tree GROUP BY {level}{above}) c {on}) WHERE k = 1)"
+        )
+        chosen = name
+    return ",\n".join(parts)
+
+
+def shards_sql(tree: Sequence[Shard], grown: Sequence[Shard]) -> str:
+    """The sharding query in the oracle dialect, the CRC-32 by its bytewise rule."""
+    return f"""
+WITH RECURSIVE steps AS (
+  SELECT n::BIGINT AS n, n::BIGINT AS v, 0 AS k FROM range(256) r(n)
+  UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+rule AS (SELECT list(v ORDER BY n) AS l FROM steps WHERE k = 8),
+octets AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b
+  FROM documents),
+sums AS (
+  SELECT doc_id, len(b) + 1 AS size,
+    xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, l[(xor(c, x) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32
+  FROM octets, rule),
+{_place_sql(tree, 'placed')},
+{_place_sql(grown, 'regrown')}
+SELECT s.doc_id, s.size::BIGINT AS size, s.text_crc32::BIGINT AS text_crc32, 'key' AS law, p.shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY p.shard ORDER BY s.doc_id) - 1 AS slot, g.shard::INTEGER AS grown_shard
+FROM sums s JOIN placed p USING (doc_id) JOIN regrown g USING (doc_id)
+"""
