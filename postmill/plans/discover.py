@@ -21,6 +21,7 @@ from postmill.plans.workspace import Workspace
 from postmill.schemas import RUN, ddl
 from postmill.session import stage
 from postmill.sources.feeds import read_raw, split_sound, unreadable
+from postmill.sources.landing import FILE, new_files
 from postmill.sources.tables import append_once
 from postmill.vocab import PlaceVocab
 
@@ -63,16 +64,22 @@ def discover(
     rules: RuleSet | None = None,
     vocab: PlaceVocab | None = None,
     lines: bool = False,
+    changed_only: bool = False,
 ) -> DataFrame:
     """One discovery run; returns its run-log row, which is written last. A run that has one is not
-    run again, one that broke off is finished."""
+    run again, one that broke off is finished. With ``changed_only`` files that an earlier run has read
+    are left out before they are opened; the list of new ones goes through the driver, as Spark's does."""
     done = ws.log("runs", RUN).where(F.col("run_id") == batch_id)
     if not done.isEmpty():
         return done
     started = datetime.now(timezone.utc)
-    raw = stage(read_raw(ws.spark, landing, sources, lines), "raw")
+    files = None
+    if changed_only:
+        fresh = stage(new_files(ws.spark, landing, ws.log("files", FILE)), "files")
+        files = [r.file for r in fresh.select("file").collect()]
+    raw = stage(read_raw(ws.spark, landing, sources, lines, files), "raw")
     good, bad = split_sound(raw)
-    broken = stage(unreadable(ws.spark, landing, sources, lines), "unreadable")
+    broken = stage(unreadable(ws.spark, landing, sources, lines, files), "unreadable")
     append_once(bad, ws.log_path("quarantine"), batch_id)
     append_once(broken, ws.log_path("unreadable"), batch_id)
     judged = stage(judged_batch(good, as_of, rules, vocab), "judged")
@@ -90,5 +97,7 @@ def discover(
         ],
         ddl(RUN),
     )
+    if changed_only:
+        append_once(fresh, ws.log_path("files"), batch_id)
     append_once(run.coalesce(1), ws.log_path("runs"), batch_id)
     return run

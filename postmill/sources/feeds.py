@@ -286,13 +286,18 @@ def payload_schema(spec: SourceSpec) -> str:
 
 
 def read_payloads(
-    spark: SparkSession, landing: str, spec: SourceSpec, lines: bool = False
+    spark: SparkSession, landing: str, spec: SourceSpec, lines: bool = False, files: list[str] | None = None
 ) -> DataFrame:
     """Payload files of one feed. By default a file is one JSON document (for a bare array, one
     record per element). With ``lines`` a file holds one payload per line: such files can be
-    split and spare the cluster millions of small ones."""
+    split and spare the cluster millions of small ones. ``files`` limits the read to some files."""
     reader = spark.read.schema(payload_schema(spec)).options(**json_options(lines))
-    return with_token(reader.json(f"{landing}/source={spec.name}"))
+    if files is None:
+        return with_token(reader.json(f"{landing}/source={spec.name}"))
+    own = [f for f in files if f"/source={spec.name}/" in f]
+    if own:
+        return with_token(reader.json(own))
+    return spark.createDataFrame([], f"{payload_schema(spec)}, token string, _metadata struct<file_path: string>")
 
 
 def json_options(lines: bool) -> dict[str, str]:
@@ -319,14 +324,15 @@ def sound(raw: DataFrame) -> Column:
 
 
 def read_raw(
-    spark: SparkSession, landing: str, names: Iterable[str] | None = None, lines: bool = False
+    spark: SparkSession, landing: str, names: Iterable[str] | None = None, lines: bool = False,
+    files: list[str] | None = None,
 ) -> DataFrame:
     """O4. Raw postings of all feeds, as one table; unsound rows are kept for ``quarantine``."""
     specs = [SOURCES[n] for n in (names or SOURCES)]
     frames = [
         conform(
             spec.to_raw(
-                read_payloads(spark, landing, spec, lines).where(F.col(CORRUPT).isNull())
+                read_payloads(spark, landing, spec, lines, files).where(F.col(CORRUPT).isNull())
             ),
             RAW_POSTING,
         )
@@ -346,10 +352,11 @@ def corrupt_rows(payloads: DataFrame, spec: SourceSpec) -> DataFrame:
 
 
 def unreadable(
-    spark: SparkSession, landing: str, names: Iterable[str] | None = None, lines: bool = False
+    spark: SparkSession, landing: str, names: Iterable[str] | None = None, lines: bool = False,
+    files: list[str] | None = None,
 ) -> DataFrame:
     """O4, S9. Payloads of all feeds that could not be read as their schema."""
-    frames = [corrupt_rows(read_payloads(spark, landing, SOURCES[n], lines), SOURCES[n]) for n in (names or SOURCES)]
+    frames = [corrupt_rows(read_payloads(spark, landing, SOURCES[n], lines, files), SOURCES[n]) for n in (names or SOURCES)]
     return reduce(DataFrame.unionByName, frames)
 
 

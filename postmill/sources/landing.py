@@ -21,6 +21,20 @@ def snapshot_index(spark: SparkSession, landing: str) -> DataFrame:
     )
 
 
+FILE = {"file": "string", "length": "bigint", "modified": "timestamp"}
+
+
+def file_index(spark: SparkSession, landing: str) -> DataFrame:
+    """One row per landed file; only the listing is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(landing)
+    return files.select(F.col("path").alias("file"), "length", F.col("modificationTime").alias("modified"))
+
+
+def new_files(spark: SparkSession, landing: str, seen: DataFrame) -> DataFrame:
+    """S8. Landed files that are not in the log of read ones, or were written again since."""
+    return file_index(spark, landing).join(seen.select(*FILE), list(FILE), "left_anti")
+
+
 def unseen(landed: DataFrame, seen: DataFrame) -> DataFrame:
     """S8. Landed snapshots whose content was not read before."""
     return landed.join(seen.select("url", "content_hash"), ["url", "content_hash"], "left_anti")

@@ -105,6 +105,16 @@ def test_discovery_converges_and_quarantines(spark, tmp_path, landing):
     assert names["acme"].ats_type == "greenhouse" and names["eta"].ats_type is None
 
 
+def test_files_that_were_read_are_skipped(spark, tmp_path):
+    ws, landing = Workspace(spark, str(tmp_path / "ws")), tmp_path / "landing"
+    land(landing, "greenhouse", "acme", board(job(1)))
+    assert D.discover(ws, str(landing), NOW, "1", changed_only=True).first().jobs_seen == 1
+    assert D.discover(ws, str(landing), LATER, "2", changed_only=True).first().jobs_seen == 0
+    land(landing, "greenhouse", "beta", board(job(2, "Data Engineer")))
+    assert D.discover(ws, str(landing), LATER, "3", changed_only=True).first().jobs_seen == 1
+    assert ws.postings.read().count() == 2
+
+
 def test_an_edited_posting_replaces_its_old_version(spark, tmp_path):
     ws = Workspace(spark, str(tmp_path / "ws"))
     land(tmp_path / "one", "greenhouse", "acme", board(job(1), job(2, "Data Engineer")))
