@@ -48,9 +48,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, lang, n_tokens, ids, round_trip): token ids, and whether they decode to the text."""
     path = vocabulary_path()
-    coded = docs.select("doc_id", "source", "lang", "text").withColumn("ids", bpe.encode(F.col("text"), path))
-    same = bpe.decode(F.col("ids"), path) == F.coalesce("text", F.lit(""))
-    return coded.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    coded = docs.select("doc_id", "source", "lang", "text", bpe.round_trip(F.col("text"), path).alias("b"))
+    same = F.col("b.decoded") == F.coalesce("text", F.lit(""))
+    return coded.select("doc_id", "source", "lang", F.size("b.ids").cast("long").alias("n_tokens"), F.col("b.ids").alias("ids"), same.alias("round_trip"))
 
 
 STAGES = [

@@ -32,10 +32,15 @@ from pyspark.sql import functions as F
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that the pattern's \s means.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A run of space and what follows it. A piece never reaches from other characters into space, so these
-#: chunks hold whole pieces.
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Chunks, pieces and pairs that a worker remembers; beyond that it forgets all and starts anew.
+#: Letters that need no look at Unicode tables.
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+#: A run of space and the word after it, if an ASCII character that is no letter follows; else a run of
+#: space and all that follows it. A piece never reaches from other characters into space, nor from
+#: letters into such characters, so these chunks hold whole pieces.
+CHUNK = re.compile(rf"[{SPACE}]*[{LETTERS}]+(?=[\x00-@\[-`{{-\x7f]|\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: A chunk that is one piece.
+WORD = re.compile(f" ?[{LETTERS}]+")
+#: Chunks, pieces and pairs that a worker remembers in each of two generations.
 REMEMBERED = 300_000
 
 
@@ -48,16 +53,21 @@ def byte_letters() -> dict[str, int]:
 
 
 class Remembered(dict):
-    """Results of ``make`` by argument, bounded in number."""
+    """Results of ``make`` by argument, bounded in number: what was not asked for while ``most`` others
+    were is forgotten."""
 
     def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
@@ -88,16 +98,16 @@ class BytePairs:
         for token, i in vocab.items():
             self.suffixes.add_word(self.bytes_of[i].decode("latin-1"), i)
         self.suffixes.make_automaton()
-        self.pair = Remembered(self._compatible)
+        self.size = size
+        self.pair = Remembered(lambda key: self._compatible(*divmod(key, size)))
         self.piece = Remembered(self._piece)
         self.chunk = Remembered(self._chunk)
         self.pattern = regex.compile(PIECES)
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
+    def _compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves the two tokens apart. Their inner sides are taken back merge by merge,
         the latest first; at each state a merge across the border would have come first if it ranks
         before the merge just taken back. Among equal merges the one further left comes first."""
-        a, b = pair
         until_a = until_b = float("inf")
         while True:
             across = self.rank.get((a, b))
@@ -114,21 +124,22 @@ class BytePairs:
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece as int32 bytes."""
         letters = piece.encode().decode("latin-1")
-        last, length, pair = [-1] * (len(letters) + 1), self.length, self.pair
+        last, length, pair, size = [-1] * len(letters), self.length, self.pair, self.size
         for end, token in self.suffixes.iter(letters):
-            end += 1
             if last[end] < 0:
-                start = end - length[token]
-                if start == 0 or pair[last[start], token]:
+                before = end - length[token]
+                if before < 0 or pair[last[before] * size + token]:
                     last[end] = token
-        ids, at = array("i"), len(letters)
-        while at:
+        ids, at = array("i"), len(letters) - 1
+        while at >= 0:
             ids.append(last[at])
             at -= length[last[at]]
         ids.reverse()
         return ids.tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if WORD.fullmatch(chunk):
+            return self._piece(chunk)
         return b"".join([self.piece[p] for p in self.pattern.findall(chunk)])
 
     def encode(self, text: str) -> bytes:
@@ -154,16 +165,23 @@ def byte_pairs(path: str) -> BytePairs:
     return BytePairs(path)
 
 
+def _ids(pairs: BytePairs, texts: pa.Array) -> pa.ListArray:
+    coded = [pairs.encode(t.as_py() or "") for t in texts]
+    offsets = np.zeros(len(coded) + 1, np.int32)
+    np.cumsum([len(c) // 4 for c in coded], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+
+
+def _texts(pairs: BytePairs, lists: pa.ListArray) -> pa.StringArray:
+    return pa.array([pairs.decode(x.values.drop_null().to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in lists], pa.string())
+
+
 def encode(text: Column, path: str) -> Column:
     """Token ids of a text (array of int)."""
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
-        pairs = byte_pairs(path)
-        coded = [pairs.encode(t.as_py() or "") for t in texts]
-        offsets = np.zeros(len(coded) + 1, np.int32)
-        np.cumsum([len(c) // 4 for c in coded], out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+        return _ids(byte_pairs(path), texts)
 
     return ids_of(text)
 
@@ -173,7 +191,19 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def text_of(lists: pa.Array) -> pa.Array:
-        pairs = byte_pairs(path)
-        return pa.array([pairs.decode(x.values.drop_null().to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in lists], pa.string())
+        return _texts(byte_pairs(path), lists)
 
     return text_of(ids)
+
+
+def round_trip(text: Column, path: str) -> Column:
+    """Struct of the ids of a text and of what these decode to. One call for both: Spark would run the
+    encoder again inside ``decode(encode(text))`` if the ids are wanted as well."""
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def both(texts: pa.Array) -> pa.Array:
+        pairs = byte_pairs(path)
+        ids = _ids(pairs, texts)
+        return pa.StructArray.from_arrays([ids, _texts(pairs, ids)], ["ids", "decoded"])
+
+    return both(text)

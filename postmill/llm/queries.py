@@ -52,12 +52,11 @@ def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     path = vocabulary_path()
-    ids = table(spark, sf, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
-    both = ids.withColumn("decoded", bpe.decode(F.col("ids"), path))
+    both = table(spark, sf, "documents").select("doc_id", bpe.round_trip(F.col("text"), path).alias("b"))
     return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        "doc_id", F.size("b.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("b.ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("b.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
@@ -108,6 +107,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_hash_tree_shards": sharding.shards_sql(sharding.tree_for(SHARDS), sharding.tree_for(SHARDS + 1)),
     "op5_exact_topk": topk.TOPK_SQL,
     "op6_poisson_mix": mixing.MIX_SQL_HEAD.format(
         alpha=MIX_ALPHA, epochs=MIX_EPOCHS,
