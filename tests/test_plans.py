@@ -235,6 +235,25 @@ def test_stream_streaks_over_many_batches(spark, tmp_path):
     assert got == {"a": 2, "b": 1, "c": 2}
 
 
+def test_logs_count_a_batch_once(spark, tmp_path):
+    from decimal import Decimal
+
+    from postmill.plans import logs
+
+    ws = Workspace(spark, str(tmp_path / "ws"))
+    assert logs.spend(ws).count() == 0 and logs.sources(ws).count() == 0
+    schema = "call_id string, model string, input_tokens long, output_tokens long, created_at timestamp"
+    for batch, calls in (("1", ["a", "b"]), ("1", ["a", "b"]), ("2", ["c"])):
+        rows = [(c, "m", 1_000_000, 0, NOW) for c in calls]
+        rates = spark.createDataFrame([("m", Decimal("2.00"), Decimal("4.00"), 1)], "model string, input_rate decimal(8,2), output_rate decimal(8,2), min_cacheable long")
+        logs.record_spend(ws, spark.createDataFrame(rows, schema), batch, rates)
+    assert {r.call_id: r.cost_usd for r in logs.spend(ws).collect()} == dict.fromkeys("abc", Decimal("2.000000"))
+    tries = spark.createDataFrame([("x", 1, NOW, True), ("x", 2, LATER, False)], "source string, attempt_id long, at timestamp, ok boolean")
+    for _ in range(2):
+        logs.record_attempts(ws, tries, "1")
+    assert [(r.source, r.consecutive_errors) for r in logs.sources(ws).collect()] == [("x", 1)]
+
+
 def test_two_feeds_and_a_second_checkpoint(spark, tmp_path, landing):
     ws = Workspace(spark, str(tmp_path / "ws"))
     specs = [SOURCES[n] for n in ("greenhouse", "lever", "remotive")]
