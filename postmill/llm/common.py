@@ -41,6 +41,9 @@ def whole_row(df: DataFrame) -> Column:
 
 
 def hash_sample(keys: DataFrame, key: str, rows: int, seed: int = 7) -> DataFrame:
-    """At most ``rows`` rows, chosen by a hash of ``key``; the same ones on every run. Only for fitting."""
-    order = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
-    return keys.orderBy(order, key).limit(rows)
+    """At most ``rows`` rows, chosen by a hash of ``key``; the same ones on every run. Only for fitting.
+    The rows are counted first; a limit on the hash then leaves about twice as many as wanted, so what is
+    sorted depends on ``rows`` alone."""
+    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    few = keys.withColumn("_draw", draw).where(F.col("_draw") * F.lit(float(keys.count())) <= 2 * rows + 20)
+    return few.orderBy("_draw", key).limit(rows).drop("_draw")
