@@ -149,8 +149,10 @@ def test_place_class_of_the_field(spark):
 
 def test_place_class_falls_back_to_the_header_without_common_words(spark):
     texts = ["Acme | Austin | join us", "join us at global scale", "x" * 300 + " Oakland", "Oakland | IN"]
-    got = apply(spark, texts, lambda v: L.location_class(F.lit("N/A"), v))
+    got = apply(spark, texts, lambda v: L.location_class(F.lit("N/A"), v, header_chars=300))
     assert got == ["us", "unknown", "unknown", "local"]
+    whole = apply(spark, texts, lambda v: L.location_class(F.lit("N/A"), v))
+    assert whole == ["us", "unknown", "local", "local"]
 
 
 def test_foreign_cities_are_a_parameter(spark):
