@@ -19,8 +19,8 @@ from postmill.llm.common import table
 from postmill.llm.queries import vocabulary_path
 from postmill.session import stage
 
-#: Lowest share of a text that one known language must hold.
-MIN_LANGUAGE = 0.5
+#: Lowest share of a text that one known language must hold: texts in two languages stay.
+MIN_LANGUAGE = 0.34
 #: Sources weigh as their row counts to this power; the mixture has as many rows as its input.
 MIX_ALPHA, MIX_EPOCHS, MIX_SEED = 0.7, 1.0, 11
 
@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one of the languages of the table holds at least half."""
+    """Documents of which one of the languages of the table holds at least a third."""
     return langid.drop_undetermined(docs, langid.learn_languages(docs), MIN_LANGUAGE)
 
 
