@@ -64,11 +64,16 @@ def trigram_bins(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def learn_languages(docs: DataFrame, per_language: int = 400, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Languages:
     """Distributions from at most ``per_language`` documents of each language, chosen by hash. Ids are
-    chosen first (the rank is limited before the shuffle), then the chosen texts' trigrams are counted on
-    the executors; the driver holds one row of bins for each language."""
-    named = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(lang).alias("_lang")).distinct()
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64(F.col("_key").cast("string"), F.lit(7)), "_key")
-    chosen = named.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).drop("_n")
+    chosen first, then the chosen texts' trigrams are counted on the executors; the driver holds one row
+    of bins for each language. All rows are counted by language; a hash limit set from the counts leaves
+    about twice the wanted ids of each language, so no language gathers in one task before it is ranked."""
+    named = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(lang).alias("_lang"))
+    counts = named.groupBy("_lang").agg(F.count(F.lit(1)).alias("_rows"))
+    draw = F.pmod(F.xxhash64(F.col("_key").cast("string"), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    few = named.withColumn("_draw", draw).join(F.broadcast(counts), "_lang")  # a row for each language, as the model has
+    few = few.where(F.col("_draw") * F.col("_rows") <= 2 * per_language + 20).select("_key", "_lang", "_draw").distinct()
+    order = Window.partitionBy("_lang").orderBy("_draw", "_key")
+    chosen = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("_key", "_lang")
     rows = docs.select(F.col(key).alias("_id"), F.col(lang).alias("_of"), F.col(text).alias("_text")).where("_text IS NOT NULL")
     sample = rows.join(F.broadcast(chosen), (F.col("_id") == F.col("_key")) & (F.col("_of") == F.col("_lang"))).select("_lang", "_text")
 
