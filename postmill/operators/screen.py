@@ -89,11 +89,15 @@ RUN = 3
 
 def _runs(words: Column) -> Column:
     """Distinct runs of three words."""
-    several = F.transform(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - RUN + 1, F.lit(0))),
-        lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + j) for j in range(1, RUN)]),
-    )
-    return F.array_distinct(several)
+
+    def runs(w: Column) -> Column:
+        several = F.transform(
+            F.slice(w, F.lit(1), F.greatest(F.size(w) - RUN + 1, F.lit(0))),
+            lambda first, i: F.concat_ws(" ", first, *[F.get(w, i + j) for j in range(1, RUN)]),
+        )
+        return F.array_distinct(several)
+
+    return let(words, runs)  # else the text would be split again for every run
 
 
 def _grams(text: Column, n: int) -> Column:
