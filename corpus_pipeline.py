@@ -31,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one of the languages of the table holds at least a third."""
-    return langid.drop_undetermined(docs, langid.learn_languages(docs), MIN_LANGUAGE)
+    """Documents that fit the languages of the table, and of which one holds at least a third."""
+    return langid.drop_undetermined(docs, langid.learn_languages(docs, floors=True), MIN_LANGUAGE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

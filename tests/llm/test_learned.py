@@ -172,3 +172,25 @@ def test_languages_of_odd_rows(spark, odd_docs, no_docs, docs_of):
     empty = langid.learn_languages(no_docs)
     assert {r["lang"] for r in odd_docs.select(langid.detect(F.col("text"), empty).alias("f")).select("f.lang").collect()} == {"und"}
     assert langid.drop_undetermined(no_docs, model).count() == 0
+
+
+def test_unlearned_languages_are_dropped(spark, docs_of):
+    """Texts in an unlearned language and of random letters go; texts in one or two learned languages stay."""
+    import random
+
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    learned = [r["text"] for r in table(spark, HELD_OUT_SF, "documents").where("lang IN ('en', 'de') AND length(text) > 600").orderBy("doc_id").limit(40).collect()]
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью. "
+    letters = " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(2, 10))) for _ in range(150))
+    swapped = learned[0].lower().translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", "qzjxkvwpybgfumcdhlnrtsioea"))
+    odd = [polish, polish * 5, russian * 3, letters, swapped]
+    mixed = [learned[i] + "\n" + learned[-1 - i] for i in range(10)]
+    known = table(spark, HELD_OUT_SF, "documents")
+    added = docs_of([(10**9 + i, t, None, "added", len(t)) for i, t in enumerate(odd + mixed)])
+    kept = corpus_pipeline.language(spark, known.unionByName(added.select(known.columns)), HELD_OUT_SF)
+    ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert {i for i in ids if i >= 10**9} == {10**9 + i for i in range(len(odd), len(odd + mixed))}
+    assert ids >= {r["doc_id"] for r in known.where("length(text) > 0").select("doc_id").collect()}
