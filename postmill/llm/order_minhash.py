@@ -10,13 +10,14 @@ Pairs of 0.8 or more are linked; classes are the connected components.
 
 Scale. Exact copies are collapsed first and are never paired. Texts that share a sketch are not paired
 with each other: each bucket links its members to one leader, the member whose sketches occur most, and
-components are built. Only texts of buckets that still hold several components go on. Among them, pairs
-from different components are found by an exact prefix and position filter on their rarest shingles,
-which passes every pair that can reach the threshold, and are verified. So no bucket is capped, and a
-pair that shares a bucket is verified unless it is already in one class or proved to be below.
+components are built. Texts of buckets that still hold several components go on, and with them all texts
+that a pair with a text of under 40 shingles can hold, whatever they share. Among them, pairs from different components are found by an exact prefix and position filter on their rarest shingles, which passes every
+pair that can reach the threshold, and are verified. So no bucket is capped, and a pair that shares a
+bucket or holds a short text is verified unless it is already in one class or proved to be below.
 
-The chance that a pair shares none of the sketches is (1 - s^8)^32 or less for similarity s: under 0.3 %
-at 0.8, under 10^-7 at 0.9.
+No pair with a text of under 40 shingles is missed. Two longer texts with c shingles of a union of u in
+common (in one order) share none of the sketches with a chance of (1 - C(c, 8) / C(u, 8))^32: at 0.8 it is
+0.7 % for 40 of 50 and falls to (1 - 0.8^8)^32, 0.3 %, for long texts; at 0.9 it is under 10^-6.
 
 Defined cases: null and empty texts are copies of the empty text; texts without a word are only ever
 copies; texts under five words have one shingle; a null id is an id; the class is named by its smallest
@@ -40,6 +41,8 @@ from postmill.session import stage
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, SAMPLED = 32, 8
+#: Texts of fewer shingles are paired by the exact filter, not by sketches alone.
+SHORT = 40
 #: Bytes of text whose hashes are held at once, and shingles of one text whose hashes for all seeds are.
 BYTES, TOGETHER = 1 << 20, 1 << 16
 
@@ -253,11 +256,15 @@ def link_texts(sketched: DataFrame, text_of: Callable[[DataFrame], DataFrame], t
     led = ranked.join(leaders.select("key", (-F.col("top.minus")).alias("leader"), F.col("top.n").alias("_n")), "key")
     near = F.least("n", "_n") >= ratio * F.greatest("n", "_n")
     stars = stage(led.where((F.col("leader") != F.col("node")) & near).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "near-stars")
-    own = stage(text_of(members.select("node").distinct()), "near-texts")
+    # texts under SHORT and what they can link to; texts of fewer than the least only link to an equal sequence
+    least = threshold / (1 - threshold) if threshold < 1 else SHORT
+    short = sketched.where((F.col("n") >= least - 1e-6) & (F.col("n") * threshold < SHORT)).select("node", "n")
+    own = stage(text_of(members.select("node").unionAll(short.select("node")).distinct()), "near-texts")
     linked = stage(_verified(stars, own, threshold), "near-linked")
     roots = components(linked)
     rest = stage(_open(members.select("key", "node", "n"), roots), "near-open")
-    pairs = _reachable(rest.select("node", "n", "root").distinct(), own, threshold)
+    filtered = rest.select("node", "n", "root").unionAll(_rooted(short, roots).select("node", "n", "root"))
+    pairs = _reachable(filtered.distinct(), own, threshold)
     known = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = _verified(stage(pairs.join(known, ["a", "b"], "left_anti"), "near-pairs"), own, threshold)
     return components(linked.unionAll(more))

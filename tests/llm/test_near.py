@@ -172,6 +172,23 @@ def test_components_of_chains(spark):
     assert near.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_short_texts_that_differ_at_an_end(docs_of):
+    """One word more, one less, or one exchanged for one at the other end: classes are those of all pairs."""
+    rows = []
+    for n in range(8, 31):
+        for i in range(3):
+            w = words(7000 + 40 * i + n, n).split()
+            other = [[*w, f"more{i}"], w[1:], [*w[1:], f"more{i}"]][i]
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(other))]
+    for n in (43, 45, 52):  # a text of under 40 shingles and one of more
+        w = words(8000 + n, n).split()
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[: n - 4]))]
+    want = brute_classes(rows)
+    assert len(set(want)) < len(rows) * 0.65
+    got = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(docs_of(rows)).collect()}
+    assert got == dict(zip([d for d, _ in rows], want))
+
+
 # --- pipeline
 
 def test_pipeline_stages(spark, sf):
