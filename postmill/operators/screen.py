@@ -107,10 +107,10 @@ def _grams(text: Column, n: int) -> Column:
 
 
 def _candidates(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(doc, item) where the text has the phrase's rarest piece. Both tables list ``pieces``; only
+    """(doc, no) where the text has the rarest piece of phrase ``no``. Both tables list ``pieces``; only
     pieces that occur in a phrase outlive the first join, and texts are counted per piece, so a
     piece that half the texts share leads nowhere if the phrase has a rarer one."""
-    wanted = phrases.select("item", F.explode("pieces").alias("piece"))
+    wanted = phrases.select("no", F.explode("pieces").alias("piece"))
     had = stage(
         texts.select("doc", F.explode("pieces").alias("piece")).join(wanted.select("piece").distinct(), "piece"),
         "phrase-pieces",
@@ -118,15 +118,16 @@ def _candidates(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     counts = had.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
         wanted.join(counts, "piece", "left")
-        .groupBy("item")
+        .groupBy("no")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece"))["piece"].alias("piece"))
     )
-    return had.join(rarest, "piece").select("doc", "item")
+    return had.join(rarest, "piece").select("doc", "no")
 
 
 def screen_passages(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """J9, P4 for phrase lists of any size. ``texts(doc, text)``, ``phrases(item, phrase)``: the
-    smallest item whose phrase occurs in each text, letter case aside; texts without one are left out.
+    smallest item of which a phrase occurs in each text, letter case aside; texts without one are left
+    out. An item may have several phrases.
 
     A phrase's inner words stand in a text that holds it as whole words, so its rarest run of three
     of them is looked up by an equi-join; shorter phrases go by their characters. What is found
@@ -135,19 +136,20 @@ def screen_passages(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     t = texts.select("doc", F.lower("text").alias("text"))
     p = phrases.select("item", F.lower("phrase").alias("phrase")).where("phrase <> ''")
     words = F.split("phrase", r"\s+")
+    p = p.withColumn("no", F.monotonically_increasing_id())
     p = stage(p.withColumn("inner", F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))), "phrases")
     long = F.size("inner") >= RUN
     found = _candidates(
         t.select("doc", _runs(F.split("text", r"\s+")).alias("pieces")),
-        p.where(long).select("item", _runs(F.col("inner")).alias("pieces")),
+        p.where(long).select("no", _runs(F.col("inner")).alias("pieces")),
     )
     short = p.where(~long).withColumn("n", F.least(F.length("phrase"), F.lit(RUN)))
     for n in sorted(r.n for r in short.select("n").distinct().collect()):  # 1, 2 or 3
-        some = short.where(F.col("n") == n).select("item", _grams(F.col("phrase"), n).alias("pieces"))
+        some = short.where(F.col("n") == n).select("no", _grams(F.col("phrase"), n).alias("pieces"))
         found = found.unionByName(_candidates(t.select("doc", _grams(F.col("text"), n).alias("pieces")), some))
     return (
         found.distinct()
-        .join(p.select("item", "phrase"), "item")
+        .join(p.select("no", "item", "phrase"), "no")
         .join(t, "doc")
         .where(F.contains("text", "phrase"))
         .groupBy("doc")

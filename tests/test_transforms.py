@@ -311,3 +311,12 @@ def test_rule_score_equals_plain_arithmetic(spark):
         near = 0.3 if k == "onsite" else 1.0
         pay = min(1.0, max(0.0, (m - 125000) / (150000.0 - 125000)))
         assert got == round(0.45 * fit[k] + 0.20 * near + 0.35 * pay, 6)
+
+
+def test_passages_of_items_with_several_phrases(spark):
+    from postmill.operators.screen import screen_passages
+
+    phrases = [(1, "a red fox jumps over walls today"), (1, "we ship ten large boxes every week"), (2, "cat"), (2, "dogs"), (3, "we ship ten large boxes every week")]
+    texts = [(1, "Here a red fox jumps over walls today."), (2, "Here we ship ten large boxes every week."), (3, "and we ship ten large boxes every week"), (4, "a cat"), (5, "two dogs"), (6, "two dogs, a cat"), (7, "none")]
+    found = screen_passages(spark.createDataFrame(texts, "doc long, text string"), spark.createDataFrame(phrases, "item long, phrase string"))
+    assert {r["doc"]: r["item"] for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2}
