@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, langid, licenses, mixing, order_minhash, quality_cnn, quality_rules, sharding, topk, url_filter
+from postmill.llm import (
+    bpe, filter_audit, interpolated_lm, langid, licenses, mixing, order_minhash, quality_cnn, quality_rules, sharding, topk, url_filter, whitening,
+)
 from postmill.llm.common import split_of, table, uniform_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,17 +100,33 @@ def op10_language_mixture(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf, "embeddings"))
+
+
+def op13_deleted_interpolation(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = split_of(F.col("doc_id"), 7) == 2
+    scored = interpolated_lm.score_texts(table(spark, sf, "documents"), ~held_out)
+    return scored.withColumn("held_out", ~F.col("trained")).drop("trained")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_hash_tree_shards, op2_quality_rules, op3_license_scan, op4_bpe, op5_exact_topk, op6_poisson_mix,
         op7_url_filter, op8_byte_cnn, op9_order_minhash, op10_language_mixture,
+        op11_filter_audit, op12_embedding_whitening, op13_deleted_interpolation,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op1_hash_tree_shards": sharding.shards_sql(sharding.tree_for(SHARDS), sharding.tree_for(SHARDS + 1)),
     "op5_exact_topk": topk.TOPK_SQL,
+    "op11_filter_audit": filter_audit.AUDIT_SQL,
     "op6_poisson_mix": mixing.MIX_SQL_HEAD.format(
         alpha=MIX_ALPHA, epochs=MIX_EPOCHS,
         draw=uniform_sql(f"concat_ws(':', '{MIX_SEED}', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))"),
