@@ -1,4 +1,4 @@
-"""Stream jobs.
+"""Stream jobs on Spark's stream state.
 
 Each job reads files as they land, handles what is there and stops (``availableNow``), or keeps
 running with another trigger. Results that change over time are written as one folder of
@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from postmill.operators.runs import source_state
 from postmill.plans.discover import judged_batch, store_batch
 from postmill.plans.workspace import Workspace
 from postmill.session import stage
@@ -134,8 +133,8 @@ def sightings(events: DataFrame, key: str, at: Column) -> DataFrame:
 
 
 def daily_spend(spend: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """R4. Spend per UTC day over ``(created_at timestamp, cost_usd)``; rows later than the
-    watermark are left to the batch job."""
+    """R4. Spend per UTC day over ``(created_at timestamp, cost_usd)`` as stream state, without rows later
+    than the watermark; ``exact.exact_totals`` takes those in as well."""
     return (
         spend.withWatermark("created_at", lateness)
         .groupBy(F.window("created_at", "1 day"))
@@ -155,23 +154,8 @@ def weekly_counts(applied: DataFrame, lateness: str = "14 days") -> DataFrame:
     )
 
 
-def failure_log(attempts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """R6, U12. Appends attempts ``(source, attempt_id, at, ok)`` to the attempt log as they land."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        append_once(batch.select("source", "attempt_id", "at", "ok"), out, str(batch_id))
-
-    return run_batches(attempts, checkpoint, write)
-
-
-def failure_streaks(spark: SparkSession, out: str) -> DataFrame:
-    """R6. Current streak per source: failures after its last success, by the time of the attempts.
-    A file that lands late counts where its attempts belong."""
-    return source_state(spark.read.parquet(out)).select("source", "consecutive_errors")
-
-
 def new_postings(stream: DataFrame, key: str, at: str, lateness: str = "30 days") -> DataFrame:
-    """R3. The first delivery of each fingerprint, for alerts."""
+    """R3. The first delivery of each fingerprint within ``lateness``; ``exact.first_alerts`` remembers all."""
     return stream.withWatermark(at, lateness).dropDuplicatesWithinWatermark([key])
 
 

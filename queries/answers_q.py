@@ -11,7 +11,7 @@ from queries.binding import LINKS, bound, cases, oracle, postings, stamp, stamp_
 from queries.registry import query
 
 ASKED = [
-    "What is your legal name?", "Are you authorized to work in the US without sponsorship?",
+    "What is your legal name?", "Is your work authorization open-ended, or will a visa follow?",
     "When could you start?", "Notice period", "Expected salary", "Link to your LinkedIn",
     "How did you find out about us?", "Years of relevant experience", "Do you need a visa?",
     "Username", "Rename this", "Ethnicity", "Current city", "E-mail", None, "Anything else?",

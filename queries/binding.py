@@ -25,20 +25,23 @@ def cases(selector: str, values: list[str | None]) -> str:
     return f"CASE {selector} {arms} END"
 
 
+# One title for each path through the rules: wanted roles of each pattern, other functions, management
+# and level words in the head and after it, parentheticals with and without an arrangement.
 TITLES = [
-    "Software Engineer", "Senior Software Engineer (Remote)", "Staff Platform Engineer",
-    "Engineering Manager", "Sales Development Representative", "Data Engineer, Growth",
-    "Machine Learning Engineer - Search", "Product Designer", "Backend Developer",
-    "Site Reliability Engineer (Hybrid, 2 days)", "Software Engineer, Crew Manager",
-    "Principal Python Engineer", "Software Engineer (River Locks)", "Go Developer (on-site)",
-    "Security Engineer (CI/CD)", "Head of Infrastructure",
+    "Java Developer", "Full-Stack Developer (fully remote)", "Fellow, Storage Systems", "Vice President of Platform",
+    "Warehouse Shift Planner", "Research Engineer, Batteries", "Embedded Engineer - Pumps", "Paralegal",
+    "Firmware Engineer", "DevOps Engineer (hybrid from Tuesday)", "Rust Engineer, reports to the Director",
+    "Chief of Tooling", "Cloud Engineer (Harbour Cranes)", "React Developer (onsite)", "Computer Engineer (2nd shift)",
+    "Distinguished Architect",
 ]
+# One place for each way a location is read: a known place with its state, two places by each separator,
+# ambiguous names with and without a qualifier, country after a known place, whole country, region, none.
 LOCATIONS = [
-    "San Francisco, CA", "San Francisco, CA | New York City, NY", "Remote - US", "Dublin, CA",
-    "Dublin, Ireland", "Bend, OR", "In-Office", "REMOTE (US + Norway)", "San Jose, Costa Rica",
-    "San Francisco, New York", "Newark, NJ", None, "Modesto, CA", "Latin America", "Oakland or Remote",
-    "Portland, Oregon", "US-CA-Oakland", "Distributed", "N/A", "Seattle; Oakland, California",
-    "Berlin, Germany", "New York", "U.S.", "Los Angeles / Remote",
+    "Hayward, CA", "Denver, CO | Fremont, CA", "Anywhere in the US", "Belmont, CA",
+    "Belmont, Norway", "Cedar Falls", "On premises", "Nationwide (Portugal too)", "Livermore, Canada",
+    "Chicago, Berkeley", "Victoria, TX", None, "Fresno, CA", "Nordics", "Palo Alto or anywhere",
+    "Reno, Nevada", "HQ-Milpitas-3", "Globally", "tbd", "Boston; Menlo Park, California",
+    "Lisbon, Portugal", "Utah", "U.S.A.", "Tulsa / Home office",
 ]
 LINKS = [
     "https://boards.greenhouse.io/acme/jobs/", "https://acme.jobs.lever.co/",

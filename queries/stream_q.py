@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postmill.operators import spend as S
+from postmill.schemas import ddl
 from postmill.session import scratch
+from postmill.streaming import exact as X
 from postmill.streaming import jobs as J
 from queries.binding import ATTEMPTS, STATUS_EVENTS, USAGE, bound, oracle, stamp, stamp_sql
 from queries.registry import query
@@ -22,8 +24,29 @@ def _events(spark, sf):
     first, last = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(F.min("us"), F.max("us")).first()
     span = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - first) * FILES / (last - first + 1))
     for i in range(FILES):
-        events.where(span == i).coalesce(1).write.mode("append").parquet(root)
-    return J.file_stream(spark, root, J.parquet_schema(spark, root), files_per_trigger=1)
+        events.where(F.coalesce(span, F.lit(0)) == i).write.mode("append").parquet(root)
+    return _stream(spark, root, FILES)
+
+
+def _stream(spark, root, batches):
+    """The files below ``root`` as they landed, in about so many micro-batches."""
+    files = spark.read.option("recursiveFileLookup", True).parquet(root)
+    per = max(1, len(files.inputFiles()) // batches)
+    return J.file_stream(spark, root, ddl(dict(files.dtypes)), files_per_trigger=per, recursiveFileLookup="true")
+
+
+def _untidy(spark, sf):
+    """The events in three spans of time, of which the first lacks a part that lands after the last; then the
+    second span lands once more."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    root = scratch(spark, "untidy")
+    first, last = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(F.min("us"), F.max("us")).first()
+    span = F.coalesce(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - first) * 3 / (last - first + 1)), F.lit(0))
+    held = (span == 0) & (F.col("event_id") % 4 == 1)
+    landed = [(span == 0) & ~held, span == 1, span == 2, held, span == 1]
+    for i, rows in enumerate(landed):
+        events.where(rows).write.parquet(f"{root}/landed-{i}")
+    return _stream(spark, root, len(landed))
 
 
 def _run(spark, label, start):
@@ -76,15 +99,74 @@ def stream_weekly(spark, sf):
     )
 
 
-@query("stream_failure_streaks", oracle(
+STREAKS = (
     "SELECT a.source, count(*) FILTER (WHERE NOT a.ok AND (l.x IS NULL OR a.\"at\" > l.x)) AS"
     " consecutive_errors FROM attempts a LEFT JOIN (SELECT source, max(\"at\") AS x FROM attempts WHERE ok"
-    " GROUP BY 1) l ON l.source = a.source GROUP BY 1", "attempts",
-))
+    " GROUP BY 1) l ON l.source = a.source GROUP BY 1"
+)
+
+
+@query("stream_failure_streaks", oracle(STREAKS, "attempts"))
 def stream_failure_streaks(spark, sf):
-    attempts = bound(_events(spark, sf), ATTEMPTS)
-    out = _run(spark, "streaks", lambda o, c: J.failure_log(attempts, o, c))
-    return J.failure_streaks(spark, out)
+    """Part of the attempts land late and some twice."""
+    attempts = bound(_untidy(spark, sf), ATTEMPTS)
+    root = scratch(spark, "streaks")
+    X.track_streaks(attempts, root, f"{root}/checkpoint").awaitTermination()
+    return X.streaks(spark, root).select("source", "consecutive_errors")
+
+
+@query("stream_late_spend", oracle(
+    "SELECT strftime(day, '%Y-%m-%d') AS day, CAST(sum(micros) AS BIGINT) AS micros, count(*) AS calls FROM"
+    " p GROUP BY 1", "usage", p=PRICED,
+))
+def stream_late_spend(spark, sf):
+    """Daily spend where a file lands behind the watermark and another one twice."""
+    usage = bound(_untidy(spark, sf), USAGE)
+    priced = S.with_cost(usage, S.rates_table(spark)).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    root = scratch(spark, "late-spend")
+    X.exact_totals(
+        priced, "call_id", "created_at", {"spent_on": F.to_date("created_at")}, {"cost_usd": F.col("cost_usd")}, root, f"{root}/checkpoint"
+    ).awaitTermination()
+    totals = X.stored_totals(spark, root, {"spent_on": "date"}, {"cost_usd": "decimal(20,6)"}).read()
+    return totals.select(
+        F.date_format("spent_on", "yyyy-MM-dd").alias("day"), (F.col("cost_usd") * 1_000_000).cast("bigint").alias("micros"), F.col("rows").alias("calls")
+    )
+
+
+@query("stream_late_log", "WITH e AS (SELECT event_id, epoch_us(ts) AS us FROM events), b AS (SELECT min(us) AS f, max(us) AS l FROM e)"
+       " SELECT event_id FROM e, b WHERE (us - f) * 3 < l - f + 1 AND event_id % 4 = 1 AND us < l - 2 * 86400000000")
+def stream_late_log(spark, sf):
+    """The rows of the late file that were behind the watermark, which the totals took in as corrections."""
+    stamped = _untidy(spark, sf).withColumn("at", F.col("ts").cast("timestamp"))
+    root = scratch(spark, "late-log")
+    X.exact_totals(stamped, "event_id", "at", {"kind": F.col("event_type")}, {}, root, f"{root}/checkpoint").awaitTermination()
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{root}/late").select("event_id")
+
+
+@query("stream_late_weekly", oracle(
+    "SELECT strftime(date_trunc('week', \"at\"), '%Y-%m-%d') AS week, status, count(*) AS n FROM"
+    " status_events GROUP BY 1, 2", "status_events",
+))
+def stream_late_weekly(spark, sf):
+    """Weekly counts from the same deliveries."""
+    applied = bound(_untidy(spark, sf), STATUS_EVENTS).withColumn("at", F.col("at").cast("timestamp"))
+    root = scratch(spark, "late-weekly")
+    keys = {"week": F.date_trunc("week", "at").cast("date"), "status": F.col("status")}
+    X.exact_totals(applied, "event_id", "at", keys, {}, root, f"{root}/checkpoint").awaitTermination()
+    totals = X.stored_totals(spark, root, {"week": "date", "status": "string"}, {}).read()
+    return totals.select(F.date_format("week", "yyyy-MM-dd").alias("week"), "status", F.col("rows").alias("n"))
+
+
+@query("stream_first_alerts", "SELECT user_id AS posting_key, count(*) AS alerts FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1")
+def stream_first_alerts(spark, sf):
+    """Postings that come again after 60 days and more raise no second alert: every event lands once more
+    as a repost 90 days later."""
+    seen = _untidy(spark, sf).select(F.col("user_id").alias("posting_key"), F.col("ts").cast("timestamp").alias("seen_at"))
+    again = F.explode(F.array(F.col("seen_at"), F.col("seen_at") + F.expr("INTERVAL 90 DAYS"))).alias("seen_at")
+    root = scratch(spark, "alerts")
+    X.first_alerts(seen.select("posting_key", again), "posting_key", "seen_at", root, f"{root}/checkpoint").awaitTermination()
+    alerts = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/alerts")
+    return alerts.groupBy("posting_key").agg(F.count(F.lit(1)).alias("alerts"))
 
 
 @query("stream_new_postings", "SELECT DISTINCT user_id AS posting_key FROM events")

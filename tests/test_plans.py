@@ -1,6 +1,7 @@
 """Runs over landed files: discovery, scoring, re-judging, publishing, streaming."""
 
 import json
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -13,9 +14,11 @@ from postmill.plans import rejudge as J
 from postmill.plans import score as C
 from postmill.plans.workspace import Workspace
 from postmill.schemas import RUN
+from postmill.session import discard
 from postmill.sources import landing as L
 from postmill.sources.feeds import SOURCES, read_raw, targets_table
 from postmill.sources.tables import StoredTable, append_once
+from postmill.streaming import exact as X
 from postmill.streaming import jobs as S
 
 NOW = datetime(2024, 3, 10, tzinfo=timezone.utc)
@@ -230,8 +233,8 @@ def test_stream_streaks_over_many_batches(spark, tmp_path):
         df = spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds("attempt_id"))
         df.coalesce(1).write.mode("append").parquet(str(src))
         stream = S.file_stream(spark, str(src), schema + ", at timestamp", files_per_trigger=1)
-        S.failure_log(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {r.source: r.consecutive_errors for r in S.failure_streaks(spark, str(tmp_path / "out")).collect()}
+        X.track_streaks(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.source: r.consecutive_errors for r in X.streaks(spark, str(tmp_path / "out")).collect()}
     assert got == {"a": 2, "b": 1, "c": 2}
 
 
@@ -268,18 +271,59 @@ def test_two_feeds_and_a_second_checkpoint(spark, tmp_path, landing):
     assert len(lost) == 1 and "broken" in lost[0].path
 
 
-def test_a_commit_rewrites_its_buckets_only(spark, tmp_path):
-    table = StoredTable(spark, str(tmp_path / "t"), {"k": "string", "v": "int"}, "k", 4)
+def test_a_commit_costs_its_own_rows(spark, tmp_path):
+    table = StoredTable(spark, str(tmp_path / "t"), {"k": "string", "v": "int"}, "k")
     assert table.read().count() == 0
     rows = spark.createDataFrame([(f"k{i}", i) for i in range(40)], "k string, v int")
     for _ in range(2):  # delivered twice
         table.commit(rows)
         assert {tuple(r) for r in table.read().collect()} == {(f"k{i}", i) for i in range(40)}
-    files = lambda: {str(p) for p in (tmp_path / "t").rglob("*.parquet")}
-    before = files()
     table.commit(spark.createDataFrame([("k3", 33)], "k string, v int"))
-    assert len({p.split("bucket=")[1][0] for p in before - files()}) == 1
+    assert table.records()[-1].rows == 1
     table.commit(rows.limit(0), gone=rows)
     assert table.read().count() == 0
     table.commit(spark.createDataFrame([("k3", 5)], "k string, v int"))
     assert [tuple(r) for r in table.read().collect()] == [("k3", 5)]
+
+
+def test_a_broken_commit_loses_nothing(spark, tmp_path, monkeypatch):
+    """Break a commit off after its rows are written, then delete what it wrote, then run it again."""
+    table = StoredTable(spark, str(tmp_path / "t"), {"k": "int", "v": "int"}, "k")
+    table.commit(spark.range(1000).selectExpr("CAST(id AS INT) k", "0 v"))
+    changes = spark.range(500, 520).selectExpr("CAST(id AS INT) k", "1 v")
+
+    def fails(self, record):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(StoredTable, "_record", fails)
+        with pytest.raises(RuntimeError):
+            table.commit(changes, label="b")
+    folders = {str(p) for p in (tmp_path / "t" / "data").iterdir()}
+    kept = {f"{tmp_path}/t/{r.path}" for r in table.records()}
+    for left in folders - kept:
+        assert discard(spark, left)
+    assert table.read().where("v = 0").count() == 1000 and not table.has("b")
+    assert table.commit(changes, label="b") and not table.commit(changes, label="b")
+    assert table.read().count() == 1000 and table.read().where("v = 1").count() == 20
+    assert table.records()[-1].rows == 20  # of 1000
+
+
+def test_folding_and_whole_copies_keep_the_rows(spark, tmp_path):
+    rng = random.Random(5)
+    table = StoredTable(spark, str(tmp_path / "t"), {"a": "int", "b": "string", "v": "int"}, ("a", "b"), part="b", share=0.5, fold_at=3)
+    want, kinds = {}, "a int, b string, v int"
+    for i in range(14):
+        keys = {(rng.randint(0, 30), rng.choice("xyz")) for _ in range(40 if i == 0 else 3)}
+        gone = set(rng.sample(sorted(want), 2)) - keys if want else set()
+        changed = {k: i for k in keys}
+        table.commit(
+            spark.createDataFrame([(*k, v) for k, v in changed.items()], kinds),
+            gone=spark.createDataFrame([(*k, None) for k in gone], kinds) if gone else None, label=f"c{i}",
+        )
+        want = {k: v for k, v in {**want, **changed}.items() if k not in gone}
+        assert {(r.a, r.b): r.v for r in table.read().collect()} == want
+    kinds = [r.kind for r in table.records()]
+    assert "folded" in kinds and kinds.count("whole") > 1
+    assert {(r.a, r.b): r.v for r in table.read(parts=["x"]).collect()} == {k: v for k, v in want.items() if k[1] == "x"}
+    assert table.vacuum() > 0 and {(r.a, r.b): r.v for r in table.read().collect()} == want

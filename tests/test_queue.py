@@ -107,7 +107,7 @@ def test_screen_order_and_overrides(spark):
         ("First National Bank", ""): ("interest_finance", "Company name contains 'bank' (interest_finance)."),
         ("City Blood Bank", "an online casino"): None,
         ("Databank Betting", ""): None,
-        ("Embanking Ltd", "dental and vision insurance"): None,
+        ("Riverbanks Ltd", "health insurance from the first day"): None,
         ("Royal Casino Bank", ""): ("interest_finance", "Company name contains 'bank' (interest_finance)."),
         ("Acme", "We make WEAPONS MANUFACTURER tools for sports betting"): ("gambling", "Description states 'sports betting' (gambling)."),
     }
