@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from postmill.llm.arrowtext import mix, text_bytes
 from postmill.session import stage
 
-CHUNK = 12 << 20
+CHUNK = 5 << 20
 #: Bytes of text for each part that adds up counts.
 PART_BYTES = 8 << 20
 DEV = 20
@@ -51,6 +51,8 @@ BUCKETS = 48
 ROUNDS, SETTLED = 30, 1e-7
 #: Bytes of a word that are hashed in steps of eight; longer words are hashed one by one.
 WORD_BYTES = 256
+#: Words that are hashed at once.
+TOGETHER = 1 << 17
 ODD = np.uint64(0x9E3779B97F4A7C15)
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -59,10 +61,22 @@ WORDS, PAIRS = 1, 2
 
 def word_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """64-bit hash of each word (its bytes from ``first`` on)."""
-    out = mix(size.astype(np.uint64) * ODD)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.empty(len(first), np.uint64)
+    for at in range(0, len(first), TOGETHER):
+        some = slice(at, at + TOGETHER)
+        out[some] = _hashed(padded, first[some], size[some])
+    for i in np.flatnonzero(size > WORD_BYTES):
+        digest = hashlib.blake2b(data[first[i] : first[i] + size[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.frombuffer(digest, np.uint64)[0]
+    return out
+
+
+def _hashed(padded: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Eight bytes of each word are mixed in at a time."""
+    out = mix(size.astype(np.uint64) * ODD)
     for at in range(0, WORD_BYTES, 8):
-        live = np.flatnonzero(size > at) if at else np.arange(len(size))
+        live = np.flatnonzero(size > at)
         if not len(live):
             break
         start, left = first[live] + at, size[live] - at
@@ -72,25 +86,27 @@ def word_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nda
             byte[left <= j] = 0
             eight |= byte << np.uint64(8 * j)
         out[live] = mix(out[live] * ODD + mix(eight + np.uint64(at + 1)))
-    for i in np.flatnonzero(size > WORD_BYTES):
-        digest = hashlib.blake2b(data[first[i] : first[i] + size[i]].tobytes(), digest_size=8).digest()
-        out[i] = np.frombuffer(digest, np.uint64)[0]
     return out
 
 
+def word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of each word; texts, which touch each other, end words."""
+    inside = ~BLANK[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1] | edge[1:-1]
+    ends[:-1] &= ~inside[1:] | edge[1:-1]
+    return np.flatnonzero(starts).astype(np.int32), np.flatnonzero(ends).astype(np.int32)
+
+
 class Tokens:
     """Words and bigrams of the texts of a chunk: ``token`` hashes with the end of every text, the context
     before each, its bigram, and where texts start among them."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         lower = data | ((data >= 65) & (data <= 90)).astype(np.uint8) << 5
-        inside = ~BLANK[lower]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offsets] = True  # texts touch each other
-        before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
-        after = np.concatenate([inside[1:], [False]]) if len(data) else inside
-        first = np.flatnonzero(inside & (~before | edge[:-1]))
-        last = np.flatnonzero(inside & (~after | edge[1:]))
+        first, last = word_edges(lower, offsets)
         words = word_hashes(lower, first, last + 1 - first)
         upto = np.searchsorted(first, offsets)  # words before each text
         n = len(offsets) - 1
@@ -154,7 +170,7 @@ def write_chunks(docs: DataFrame, trained: Column, key: str, text: str, chunk: i
         table = pa.Table.from_batches(held).combine_chunks()
         data, offsets = text_bytes(table["text"])
         fold = table["trained"].to_numpy(zero_copy_only=False).astype(bool)
-        sizes = np.diff(Tokens(data, offsets).bounds)
+        sizes = np.diff(np.searchsorted(word_edges(data, offsets)[0], offsets)) + 1
 
         def one(a: pa.Array) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
