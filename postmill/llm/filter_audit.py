@@ -17,7 +17,7 @@ words that are left of each weight are taken apart.
 
 Scale. Each task counts its own documents and passes on 32 counts for each part and label, which are
 summed. The copy filter shuffles hashes of texts and ids, not texts; a text that many rows share is one
-minimum, combined before the shuffle, and joins on it split at run time. Nothing is collected.
+minimum, combined before the shuffle, and its rows are joined without one. Nothing is collected.
 
 Defined cases: a null text is an empty one; a null id has no smaller id and is no smaller id; rows that
 repeat id and text are equal, so neither has the smaller id; a null part is the empty part; a document
@@ -45,6 +45,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MOST = 5
 #: Classes whose survivors are counted for each part.
 LABELS = ("all", "good", "toxic")
+#: Share of the rows, one in so many, from which a text is hot.
+HOT = 2000
 #: Parts that a task counts before it passes counts on.
 PARTS_HELD = 2048
 
@@ -108,8 +110,14 @@ def judged_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
     rows = stage(rows, "audit-rows")
     known = rows.where(F.col("id").isNotNull())
     # only texts of several ids can fail the fifth filter, so only those are joined
-    firsts = known.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("_last")).where("first < _last").select("sha", "first")
-    copied = known.join(firsts, "sha", "left")
+    groups = known.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("_rows")).where("first < _last")
+    groups = stage(groups.select("sha", "first", "_rows"), "audit-copies")
+    # a text with more than one in HOT of the rows is looked up where its rows are; there are fewer than HOT such texts
+    large = F.col("_rows") * HOT > rows.count()
+    hot = F.broadcast(groups.where(large).select("sha", "first"))
+    copied = known.join(hot, "sha").unionByName(
+        known.join(hot.select("sha"), "sha", "left_anti").join(groups.where(~large).select("sha", "first"), "sha", "left")
+    )
     marked = copied.select("id", "part", (F.col("failed") + _mask([F.coalesce(F.col("id") > F.col("first"), F.lit(False))], 4)).alias("failed"))
     said = labels.select(F.col(key).alias("id"), "quality", "toxic").groupBy("id").agg(*[F.max((F.col(c) == 1).cast("int")).alias(c) for c in ("quality", "toxic")])
     labelled = marked.join(said.where(F.col("id").isNotNull()), "id", "left").select("part", "failed", "quality", "toxic")
