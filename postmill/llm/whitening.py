@@ -86,7 +86,20 @@ def centred_blocks(rows: DataFrame, n: int, sums: list[int], block_rows: int = B
     centred = F.zip_with("x", total, lambda x, s: (F.lit(n) * x - s).cast("double") / F.lit(float(n)))
     vectors = rows.select("index", array_to_vector(centred).alias("vector"))
     old = MLUtils.convertVectorColumnsFromML(vectors, "vector")
-    return IndexedRowMatrix(old, n, len(sums)).toBlockMatrix(block_rows, BLOCK_COLUMNS)
+    path = write_blocks(IndexedRowMatrix(old, n, len(sums)).toBlockMatrix(block_rows, BLOCK_COLUMNS), rows.sparkSession)
+    return read_blocks(rows.sparkSession, path, n, len(sums), block_rows)
+
+
+def write_blocks(matrix: BlockMatrix, spark: SparkSession) -> str:
+    """The blocks as a written table (place, block), so that later products don't deal the rows out again."""
+    place, block = (found := callMLlibFunc("getMatrixBlocks", matrix._java_matrix_wrapper._java_model)).columns
+    path = scratch(spark, "whitening-blocks")
+    found.select(F.col(place).cast("struct<row: bigint, column: bigint>").alias("place"), F.col(block).alias("block")).write.parquet(path)
+    return path
+
+
+def read_blocks(spark: SparkSession, path: str, rows: int, columns: int, block_rows: int) -> BlockMatrix:
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", spark.read.parquet(path), block_rows, BLOCK_COLUMNS, rows, columns), block_rows, BLOCK_COLUMNS)
 
 
 def second_moments(matrix: BlockMatrix, n: int, block_rows: int = BLOCK_ROWS) -> np.ndarray:
@@ -128,12 +141,8 @@ def whiten(
     # one block for each BLOCK_COLUMNS entries of an embedding
     local = [((i // BLOCK_COLUMNS, 0), Matrices.dense(len(part), k, part.ravel(order="F"))) for i in range(0, width, BLOCK_COLUMNS) for part in [learned.matrix[i : i + BLOCK_COLUMNS]]]
     weights = BlockMatrix(spark.sparkContext.parallelize(local, 1), BLOCK_COLUMNS, BLOCK_COLUMNS, width, k)
-    product = matrix.multiply(weights)
-    place, block = (found := callMLlibFunc("getMatrixBlocks", product._java_matrix_wrapper._java_model)).columns
-    path = scratch(spark, "whitening-blocks")
-    found.select(F.col(place).cast("struct<row: bigint, column: bigint>").alias("place"), F.col(block).alias("block")).write.parquet(path)
-    blocks = spark.read.parquet(path)
-    again = BlockMatrix(callMLlibFunc("createBlockMatrix", blocks, block_rows, BLOCK_COLUMNS, n, k), block_rows, BLOCK_COLUMNS)
+    path = write_blocks(matrix.multiply(weights), spark)
+    again = read_blocks(spark, path, n, k, block_rows)
     off = np.abs(second_moments(again, n, block_rows) - np.eye(k)).max()
     total = F.array(*[F.lit(s) for s in sums])
     off_mean = F.zip_with("x", total, lambda x, s: F.lit(n) * x - s)
