@@ -1,34 +1,38 @@
 """Near-duplicate classes by order MinHash, verified by banded alignment (operator 9).
 
-A text is its sequence of five-word shingles (lower case, words as runs of letters and digits), each
-labelled with its occurrence: the second of two equal shingles differs from the first. For each of
-several seeds a sketch takes the few shingles with the smallest hashes and keeps them in text order, so
-two texts share a sketch only if they hold the same sampled shingles in the same order. Texts that share
-a sketch are candidates. A candidate pair is verified by aligning the two sequences: shingles that match
-within a band are chained in increasing order, and the similarity is the longest chain over the union.
-Pairs of 0.8 or more are linked; classes are the connected components.
+A text is its sequence of words (lower case, runs of letters and digits). Its k-mers are its five-word
+shingles, each labelled with its occurrence: the second of two equal shingles differs from the first. For
+each of several seeds a sketch takes the few k-mers with the smallest hashes and keeps them in text order,
+so two texts share a sketch only if they hold the same sampled k-mers in the same order. Texts that share
+a sketch are candidates. A candidate pair is verified by aligning the two sequences of words within a band:
+the similarity is the longest common subsequence over the longer text, the share of words that one edit
+script keeps. Pairs of 0.8 or more are linked; classes are the connected components.
 
 Scale. Exact copies are collapsed first and are never paired. Texts that share a sketch are not paired
 with each other: each bucket links its members to one leader, the member whose sketches occur most, and
 components are built. Texts of buckets that still hold several components go on, and with them all texts
-that a pair with a text of under 40 shingles can hold, whatever they share. Among them, pairs from different components are found by an exact prefix and position filter on their rarest shingles, which passes every
-pair that can reach the threshold, and are verified. So no bucket is capped, and a pair that shares a
-bucket or holds a short text is verified unless it is already in one class or proved to be below.
+that a pair with a text of under 40 words can hold, whatever they share. Among them, pairs from different
+components are found by an exact prefix and position filter on their rarest words, which passes every pair
+that can reach the threshold, and are verified. So no bucket is capped, and a pair that shares a
+bucket or holds a short text is verified unless it is already in one class or proved to be below. Words
+that many of these texts hold are looked up where the texts are, or dealt out by a salt.
 
-No pair with a text of under 40 shingles is missed. Two longer texts with c shingles of a union of u in
-common (in one order) share none of the sketches with a chance of (1 - C(c, 8) / C(u, 8))^32: at 0.8 it is
-0.7 % for 40 of 50 and falls to (1 - 0.8^8)^32, 0.3 %, for long texts; at 0.9 it is under 10^-6.
+No pair with a text of under 40 words is missed. Two longer texts with c k-mers of a union of u in
+common (in one order) share none of the sketches with a chance of about (1 - (c / u)^2)^64. An edited word
+breaks up to five k-mers: for words exchanged at random places a pair at 0.8 is missed with a chance of 8 %,
+one at 0.85 with 0.4 %, one at 0.9 with under 10^-5; edits that stand together break fewer.
 
 Defined cases: null and empty texts are copies of the empty text; texts without a word are only ever
-copies; texts under five words have one shingle; a null id is an id; the class is named by its smallest
+copies; texts under five words have one k-mer; a null id is an id; the class is named by its smallest
 id (null only if all are); rows that repeat id and text are copies; an empty table gives no rows; columns
-other than id and text play no part.
+other than id and text play no part, whatever their names; very long texts are aligned whole.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Callable
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +44,16 @@ from postmill.llm.common import whole_row
 from postmill.session import stage
 
 SHINGLE, THRESHOLD = 5, 0.8
-SKETCHES, SAMPLED = 32, 8
-#: Texts of fewer shingles are paired by the exact filter, not by sketches alone.
+SKETCHES, SAMPLED = 64, 2
+#: Texts of fewer words are paired by the exact filter, not by sketches alone.
 SHORT = 40
+#: Share of the rows, one in so many, from which a word is hot, and the parts that its rows are dealt to.
+HOT, SALTS = 2000, 32
 #: Bytes of text whose hashes are held at once, and shingles of one text whose hashes for all seeds are.
 BYTES, TOGETHER = 1 << 20, 1 << 16
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Inverse of BASE modulo 2^64.
 UNDO = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -63,8 +70,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrence-labelled hashes of all shingles of the texts in order, and the offsets between texts."""
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts in order, and the bounds between texts."""
     n = len(offsets) - 1
     inside = WORD[data]
     starts_text = np.zeros(len(data) + 1, bool)
@@ -75,18 +82,26 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     last = np.flatnonzero(inside & (~after | starts_text[1:]))
     # hash of a word: its polynomial in BASE, from differences of one running sum
     running = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(data)))])
-    words = mix((running[last + 1] - running[first]) * _powers(UNDO, len(data))[first])
-    word_at = np.searchsorted(first, offsets)
-    counts = np.diff(word_at)
-    sizes = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))
+    hashed = mix((running[last + 1] - running[first]) * _powers(UNDO, len(data))[first])
+    return hashed, np.searchsorted(first, offsets)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrence-labelled hashes of all shingles of the texts in order, and the bounds between texts."""
+    return labelled_shingles(*words(data, offsets), size)
+
+
+def labelled_shingles(hashed: np.ndarray, word_at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    n, counts = len(word_at) - 1, np.diff(word_at)
+    sizes = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     owner = np.repeat(np.arange(n), sizes)
     start = np.arange(bounds[-1]) - bounds[owner] + word_at[owner]
     code = np.zeros(len(start), np.uint64)
-    for j in range(SHINGLE):
+    for j in range(size):
         there = start + j < word_at[owner + 1]
         code = code * BASE
-        code[there] += words[start[there] + j]
+        code[there] += hashed[start[there] + j]
     code = mix(code)
     # occurrence number among equal shingles of the same text
     keyed = mix(code + owner.astype(np.uint64) * BASE)
@@ -104,37 +119,59 @@ def _seeds(count: int) -> np.ndarray:
 
 
 def sketch(labelled: np.ndarray, sketches: int = SKETCHES, sampled: int = SAMPLED) -> np.ndarray:
-    """One key for each seed: the hash of the sampled shingles in text order. None for a text without words."""
+    """One key for each seed: the hash of the sampled k-mers in text order. None for a text without words."""
     n = len(labelled)
     if not n:
         return np.zeros(0, np.int64)
-    seeds, take = _seeds(sketches), min(sampled, n)
+    seeds, take = _seeds(sketches) | np.uint64(1), min(sampled, n)
     keys = np.empty(sketches, np.uint64)
     per = max(1, TOGETHER // n)
     for at in range(0, sketches, per):
-        own = seeds[at : at + per, None]
-        drawn = (labelled[None, :] ^ own) * BASE
-        drawn ^= drawn >> np.uint64(32)
-        drawn *= UNDO | np.uint64(1)
-        places = np.argpartition(drawn, take - 1, axis=1)[:, :take] if take < n else np.broadcast_to(np.arange(n), drawn.shape)
-        places = np.sort(places, axis=1)
-        kept = labelled[places]
-        code = own[:, 0].copy()
-        for j in range(take):
-            code = mix(code * BASE + kept[:, j])
+        own = seeds[at : at + per]
+        drawn = labelled[None, :] * own[:, None]  # the k-mers are mixed already
+        row = np.arange(len(own))
+        places = np.empty((len(own), take), np.int64)
+        for t in range(take):
+            places[:, t] = drawn.argmin(axis=1)
+            drawn[row, places[:, t]] = MOST
+        places.sort(axis=1)
+        code = own.copy()
+        for t in range(take):
+            code = mix(code * BASE + labelled[places[:, t]])
         keys[at : at + per] = code
     return keys.view(np.int64)
 
 
+def _common(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Length of the longest common subsequence of pairs within the band, a row of bits for each word of b."""
+    bits: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        bits[x] = bits.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row, window = whole, (1 << 2 * band + 1) - 1
+    for j, y in enumerate(b.tolist()):
+        if y in bits:
+            at = j - band
+            hit = row & bits[y] & (window << at if at >= 0 else window >> -at)
+            row = ((row + hit) | (row - hit)) & whole
+    return len(a) - row.bit_count()
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Longest chain of matching shingles in both orders, over the union. Matches off the diagonal by
-    more than the unmatched shingles that the threshold allows are outside the band."""
+    """Longest common subsequence of two sequences of words over the longer one: an upper bound of it where
+    that is below the threshold, a lower bound where that reaches it. Pairs of places off the diagonal by
+    more words than the longer text may lose are outside the band."""
+    longer = max(len(a), len(b))
     if not len(a) or not len(b):
         return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(i) < threshold / (1 + threshold) * (len(a) + len(b)) - 1e-9:
-        return len(i) / (len(a) + len(b) - len(i))  # an upper bound that is below the threshold
-    band = int((1 - threshold) / threshold * min(len(a), len(b))) + 1
+    need = max(1, ceil(threshold * longer - 1e-9))
+    if min(len(a), len(b)) < need:
+        return min(len(a), len(b)) / longer
+    both, bounds = labelled_shingles(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 1)
+    _, i, j = np.intersect1d(both[: bounds[1]], both[bounds[1] :], assume_unique=True, return_indices=True)
+    if len(i) < need:
+        return len(i) / longer
+    band = longer - need
     near = np.abs(i - j) <= band
     other = j[near][np.argsort(i[near])]
     if len(other) < 2 or (other[1:] > other[:-1]).all():
@@ -145,22 +182,32 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
             at = bisect_left(tails, x)
             tails[at : at + 1] = [x]
         chain = len(tails)
-    return chain / (len(a) + len(b) - chain)
+    if chain >= need:
+        return chain / longer
+    # equal ends are common; the rest is aligned
+    short = min(len(a), len(b))
+    differ = np.flatnonzero(a[:short] != b[:short])
+    head = int(differ[0]) if len(differ) else short
+    differ = np.flatnonzero(a[::-1][: short - head] != b[::-1][: short - head])
+    tail = int(differ[0]) if len(differ) else short - head
+    middle = _common(a[head : len(a) - tail], b[head : len(b) - tail], band)
+    return (head + middle + tail) / longer
 
 
 def sketches_of(text: Column) -> Column:
-    """Struct of the number of shingles and the sketch keys of a lower-cased text."""
+    """Struct of the number of words and the sketch keys of a lower-cased text."""
 
     @F.arrow_udf("n int, keys array<long>")
     def sketched(texts: pa.Array) -> pa.Array:
         data, offsets = text_bytes(texts)
         sizes, keys, ends = [], [np.zeros(0, np.int64)], [0]
         for a, b in runs(offsets, BYTES):
-            labelled, bounds = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            hashed, word_at = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            labelled, bounds = labelled_shingles(hashed, word_at)
             for d in range(b - a):
                 keys.append(sketch(labelled[bounds[d] : bounds[d + 1]]))
                 ends.append(ends[-1] + len(keys[-1]))
-            sizes.append(np.diff(bounds))
+            sizes.append(np.diff(word_at))
         n = pa.array(np.concatenate(sizes).astype(np.int32) if sizes else np.zeros(0, np.int32))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
         return pa.StructArray.from_arrays([n, lists], ["n", "keys"])
@@ -168,15 +215,15 @@ def sketches_of(text: Column) -> Column:
     return sketched(text)
 
 
-def shingles_of(text: Column) -> Column:
-    """Labelled shingles of a lower-cased text, in order."""
+def words_of(text: Column) -> Column:
+    """Occurrence-labelled words of a lower-cased text, in order."""
 
     @F.arrow_udf("array<long>")
     def listed(texts: pa.Array) -> pa.Array:
         data, offsets = text_bytes(texts)
         parts, ends = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
         for a, b in runs(offsets, BYTES):
-            labelled, bounds = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            labelled, bounds = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], 1)
             parts.append(labelled.view(np.int64))
             ends.append(bounds[1:] + ends[-1][-1])
         return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(parts)))
@@ -185,14 +232,14 @@ def shingles_of(text: Column) -> Column:
 
 
 def aligned_similarity(a: Column, b: Column, threshold: float = THRESHOLD) -> Column:
-    """Similarity of two lower-cased texts; below the threshold an upper bound."""
+    """Similarity of two lower-cased texts, or a bound of it on its side of the threshold."""
 
     @F.arrow_udf("double")
     def aligned(left: pa.Array, right: pa.Array) -> pa.Array:
         sides = [text_bytes(left), text_bytes(right)]
         out = np.zeros(len(left))
         for at, to in runs(sides[0][1] + sides[1][1], BYTES):
-            (x, xb), (y, yb) = (shingles(data[o[at] : o[to]], o[at : to + 1] - o[at]) for data, o in sides)
+            (x, xb), (y, yb) = (words(data[o[at] : o[to]], o[at : to + 1] - o[at]) for data, o in sides)
             for d in range(to - at):
                 out[at + d] = similarity(x[xb[d] : xb[d + 1]], y[yb[d] : yb[d + 1]], threshold)
         return pa.array(out)
@@ -243,9 +290,9 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def link_texts(sketched: DataFrame, text_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD) -> DataFrame:
-    """(node, root) of similar texts. ``sketched``: node (long), n shingles and keys of each different
+    """(node, root) of similar texts. ``sketched``: node (long), n words and keys of each different
     text; ``text_of`` gives (node, lower-cased text) for a table of nodes."""
-    ratio, need = F.lit(threshold), threshold / (1 + threshold)
+    ratio = F.lit(threshold)
     rows = sketched.select("node", "n", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stage(rows.join(sizes, "key"), "near-members")
@@ -272,27 +319,46 @@ def link_texts(sketched: DataFrame, text_of: Callable[[DataFrame], DataFrame], t
 
 def _reachable(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """All pairs (a, b) of open texts from different components that can reach the threshold, by prefix
-    and position. Shingles are ordered by how few open texts have them. Texts that reach the threshold
+    and position. Words are ordered by how few open texts have them. Texts that reach the threshold
     share one of the first n - threshold * n + 1; and if their first shared one is the i-th of one and the
-    j-th of the other, they share at most 1 + min(n - i, m - j), which must reach the overlap that a link
-    needs. For each shingle the component with most texts is not joined with itself, so a crowd of
+    j-th of the other, they share at most 1 + min(n - i, m - j), which must be the threshold's share of the longer.
+    For each word the component with most texts is not joined with itself, so a crowd of
     near-copies meets the few texts that are left of it, and is not paired."""
-    need = threshold / (1 + threshold)
     open_texts = texts.join(nodes.select("node", "n", "root"), "node")
-    listed = stage(open_texts.select("node", "n", "root", F.explode(shingles_of(F.col("text"))).alias("shingle")), "near-shingles")
-    shared = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))  # as many rows as the text has shingles
-    ranked = listed.join(shared, "shingle").withColumn("i", rank)
-    first = stage(ranked.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)), "near-prefixes")
-    crowds = first.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "root"))["root"].alias("crowd"))
-    x = first.join(crowds, "shingle").where("root <> crowd").select("shingle", "crowd", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "root", "i")])
-    y = first.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "root", "i")])
+    listed = stage(open_texts.select("node", "n", "root", F.explode(words_of(F.col("text"))).alias("word")), "near-words")
+    shared = stage(listed.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-shared")
+    large = F.col("df") * HOT > listed.count()  # fewer than HOT words
+    hot = F.broadcast(shared.where(large))
+    counted = listed.join(hot, "word").unionByName(
+        listed.join(hot.select("word"), "word", "left_anti").join(shared.where(~large), "word", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    )
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "word"))  # as many rows as the text has words
+    ranked = counted.withColumn("i", rank)
+    first = stage(ranked.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).drop("df"), "near-prefixes")
+    # words of one component lead nowhere
+    mixed = first.groupBy("word").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("c")).where("_lo <> _hi")
+    mixed = stage(mixed.select("word", "c"), "near-mixed")
+    large = F.col("c") * HOT > first.count()
+    few, many = mixed.where(~large).select("word"), F.broadcast(mixed.where(large).select("word"))
+    pairs = _met(stage(first.join(few, "word", "left_semi"), "near-few"), 1, threshold).unionByName(_met(stage(first.join(many, "word", "left_semi"), "near-many"), SALTS, threshold))
+    return pairs.distinct()
+
+
+def _met(rows: DataFrame, salts: int, threshold: float) -> DataFrame:
+    """Pairs of texts that share a word of their prefixes; the rows of the largest component of a word
+    are dealt to ``salts`` parts, to each of which the others go."""
+    crowds = stage(rows.groupBy("word", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("word").agg(F.max(F.struct("c", "root"))["root"].alias("crowd")), "near-crowds")
+    columns = ("node", "n", "root", "i")
+    y = rows.select("word", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt"), *[F.col(c).alias(f"{c}_y") for c in columns])
+    left = stage(rows.join(crowds, "word").where("root <> crowd"), "near-left")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
+    x = left.select("word", every, "crowd", *[F.col(c).alias(f"{c}_x") for c in columns])
     most = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y")) + 1
-    reach = most >= (F.col("n_x") + F.col("n_y")) * need - 1e-6
+    reach = (most >= F.greatest("n_x", "n_y") * threshold - 1e-6) & (F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * threshold - 1e-6)
     # two texts outside the crowd would meet from both sides
     once = (F.col("root_y") == F.col("crowd")) | (F.col("node_y") < F.col("node_x"))
-    met = x.join(y, "shingle").where((F.col("root_x") != F.col("root_y")) & reach & once)
-    return met.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
+    met = x.join(y, ["word", "salt"]).where((F.col("root_x") != F.col("root_y")) & reach & once)
+    return met.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -19,30 +19,34 @@ from tests.llm.conftest import words
 WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 
 
-def brute_shingles(text):
-    w = WORD.findall((text or "").lower())
-    seen, out = Counter(), []
-    for s in [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []:
-        seen[s] += 1
-        out.append((s, seen[s]))
-    return out
+def brute_words(text):
+    return WORD.findall((text or "").lower())
+
+
+def common(a, b):
+    """Length of the longest common subsequence: longest increasing run of places in b, taken backwards for each word of a."""
+    places, tails = defaultdict(list), []
+    for j, y in enumerate(b):
+        places[y].append(j)
+    for x in a:
+        for j in reversed(places.get(x, ())):
+            at = bisect_left(tails, j)
+            tails[at : at + 1] = [j]
+    return len(tails)
 
 
 def brute_similarity(a, b):
-    if not a or not b:
+    if not a or not b or min(len(a), len(b)) < 0.8 * max(len(a), len(b)):
+        return 0.0
+    if sum((Counter(a) & Counter(b)).values()) < 0.8 * max(len(a), len(b)):
         return 0.0
-    place, tails = {s: i for i, s in enumerate(b)}, []
-    for s in a:
-        if s in place:
-            at = bisect_left(tails, place[s])
-            tails[at : at + 1] = [place[s]]
-    return len(tails) / (len(a) + len(b) - len(tails))
+    return common(a, b) / max(len(a), len(b))
 
 
 def brute_classes(rows):
     """Smallest id of each row's class, from all pairs of texts."""
     texts = sorted({t or "" for _, t in rows})
-    parts = [brute_shingles(t) for t in texts]
+    parts = [brute_words(t) for t in texts]
     root = list(range(len(texts)))
 
     def find(x):
@@ -125,30 +129,69 @@ def _merge(counts):
     return out
 
 
+def test_recall_of_edited_texts():
+    """Pairs with one word in ten, one in eight and one in six exchanged at random, at every length of longer texts."""
+    rnd, found = random.Random(4), Counter()
+    for i in range(300):
+        a = words(20000 + i, 60 + 5 * (i % 60)).split()
+        every = (10, 8, 6)[i % 3]
+        b = a[:]
+        for at in rnd.sample(range(len(a)), len(a) // every):
+            b[at] = f"new{rnd.random()}"
+        (x, _), (y, _) = (near.shingles(*text_bytes(pa.array([" ".join(t)]))) for t in (a, b))
+        found[every] += bool(set(near.sketch(x).tolist()) & set(near.sketch(y).tolist()))
+    assert found[10] == 100 and found[8] >= 99 and found[6] >= 97
+
+
+def test_recall_against_word_alignment(spark):
+    """Of all pairs of texts that share 80 % of their words in order, at least 95 % are in one class; and no class
+    holds texts that no chain of such pairs connects."""
+    rows = [(r["doc_id"], r["text"] or "") for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    first = {t: d for d, t in sorted(rows, reverse=True)}
+    texts = sorted(first, key=lambda t: len(brute_words(t)))
+    parts = [brute_words(t) for t in texts]
+    pairs = []
+    for i, a in enumerate(parts):
+        for j in range(i + 1, len(parts)):
+            if len(a) < 0.8 * len(parts[j]):
+                break
+            if brute_similarity(a, parts[j]) >= 0.8:
+                pairs.append((first[texts[i]], first[texts[j]]))
+    got = {r["doc_id"]: r["class_id"] for r in QUERIES["op9_order_minhash"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(pairs) > 50 and sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
+    want = dict(zip([d for d, _ in rows], brute_classes(rows)))
+    classes = defaultdict(set)
+    for d, c in got.items():
+        classes[c].add(want[d])
+    assert all(len(c) == 1 for c in classes.values())
+
+
 def test_shingles_do_not_depend_on_neighbours():
     texts = ["", "one", "a b c d e f g", "a b c d e a b c d e a b c d e", "..", "é1 ünï " * 9, "last"]
     both, bounds = near.shingles(*text_bytes(pa.array(texts)))
     for i, t in enumerate(texts):
         alone, _ = near.shingles(*text_bytes(pa.array([t])))
         assert both[bounds[i] : bounds[i + 1]].tolist() == alone.tolist()
-        assert len(alone) == len(brute_shingles(t)) == len(set(alone.tolist()))
+        w = brute_words(t)
+        assert len(alone) == (max(1, len(w) - 4) if w else 0) == len(set(alone.tolist()))
 
 
-def test_similarity_is_the_longest_chain():
+def test_similarity_is_the_longest_common_sequence():
     rnd = random.Random(2)
-    for _ in range(200):
-        a = list(range(rnd.randrange(1, 40)))
+    for n in range(400):
+        a = [rnd.randrange(1, 12 if n % 2 else 10**6) for _ in range(rnd.randrange(1, 60))]
         b = a[:]
-        for _ in range(rnd.randrange(6)):
+        for _ in range(rnd.randrange(1 + len(a) // 4)):
             at = rnd.randrange(len(b) + 1)
-            b[at:at] = [rnd.randrange(1000, 10**6)]
-            if rnd.random() < 0.3:
+            b[at : at + rnd.randrange(2)] = [rnd.choice(a)] * rnd.randrange(2)
+            if b and rnd.random() < 0.2:
                 x, y = rnd.randrange(len(b)), rnd.randrange(len(b))
                 b[x], b[y] = b[y], b[x]
-        b = list(dict.fromkeys(b))
-        want = brute_similarity(a, b)
+        if not b:
+            continue
+        want = common(a, b) / max(len(a), len(b))
         got = near.similarity(np.array(a, np.uint64), np.array(b, np.uint64))
-        assert abs(got - want) < 1e-12 or (want < 0.8 and got < 0.8)
+        assert (0.8 - 1e-9 <= got <= want + 1e-9) if want >= 0.8 - 1e-9 else want - 1e-9 <= got < 0.8
 
 
 def test_sketches_share_by_similarity():
@@ -180,7 +223,7 @@ def test_short_texts_that_differ_at_an_end(docs_of):
             w = words(7000 + 40 * i + n, n).split()
             other = [[*w, f"more{i}"], w[1:], [*w[1:], f"more{i}"]][i]
             rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(other))]
-    for n in (43, 45, 52):  # a text of under 40 shingles and one of more
+    for n in (43, 45, 52):  # a text of under 40 words and one of more
         w = words(8000 + n, n).split()
         rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[: n - 4]))]
     want = brute_classes(rows)
