@@ -2,53 +2,110 @@
 
 from __future__ import annotations
 
-import html
-import re
+import json
+from html import unescape
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from postmill.functions.expr import let
 
 # Unicode white space plus the four ASCII separators Java leaves out of that class.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 TAG = r"<[^>]+>"
 
-_PY_TAG = re.compile(TAG)
+# Named character references of HTML5, as the standard library lists them; some also stand without a semicolon.
+NAMED = json.dumps(html5)
+BARE = "^(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)) + ")"
+# References that most texts have, tried before the whole list.
+USUAL = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "#39;", "#x27;", "#x2F;")
+# Numbers 128 to 159 mean what they mean in Windows-1252, where it has a character there.
+WINDOWS = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))
+#: Digits of a number that may be a character.
+MOST_DIGITS = 10
 
 
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
-def _plain(fragment: str | None) -> str:
-    bare = _PY_TAG.sub(" ", html.unescape(fragment or ""))
-    return " ".join(html.unescape(bare).split())
+def _character(number: Column) -> Column:
+    """What a numeric reference stands for: nothing for control and non-characters, U+FFFD for what is no
+    character at all."""
+    lost = F.lit("\ufffd")
+    nothing = (
+        number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127)
+        | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    )
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return (
+        F.when(number.isNull() | (number > 0x10FFFF) | (number == 0) | number.between(0xD800, 0xDFFF), lost)
+        .when(number.between(128, 159), F.substr(F.lit(WINDOWS), (number - 127).cast("int"), F.lit(1)))
+        .when(nothing, F.lit(""))
+        .otherwise(plain)
+    )
+
 
+def _reference(piece: Column) -> Column:
+    """The text after an ampersand with the reference that it begins with decoded."""
 
-@F.pandas_udf(T.StringType())
-def _decode_markup(raw: pd.Series) -> pd.Series:
-    """Entity decoding needs the full HTML5 table, so it runs Arrow-batched in Python."""
-    return raw.map(_plain, na_action="ignore")
+    def after(start: Column) -> Column:
+        return F.substr(piece, F.length(start) + 1, F.length(piece))
 
+    def numeric(digits: Column, base: int) -> Column:
+        bare = F.regexp_replace(digits, "^0+(?=.)", "")
+        return F.when(F.length(bare) <= MOST_DIGITS, F.conv(bare, base, 10).cast("bigint"))
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _decode_markup_each(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda parts: [_plain(p) for p in parts], na_action="ignore")
+    def by_number(whole: str, digits: str, base: int) -> Column:
+        return F.concat(_character(numeric(F.regexp_extract(piece, digits, 1), base)), after(F.regexp_extract(piece, whole, 0)))
+
+    table = F.from_json(F.lit(NAMED), "map<string,string>")
+
+    def by_name(name: Column) -> Column:
+        def decoded(found: Column) -> Column:
+            prefix = F.regexp_extract(piece, BARE, 0)
+            return (
+                F.when(found.isNotNull(), F.concat(found, after(name)))
+                .when(prefix != "", F.concat(F.try_element_at(table, prefix), after(prefix)))
+                .otherwise(F.concat(F.lit("&"), piece))
+            )
+
+        return let(F.try_element_at(table, name), decoded)
+
+    out = F.when(F.lit(False), piece)
+    for name in USUAL:
+        out = out.when(F.startswith(piece, F.lit(name)), F.concat(F.lit(unescape("&" + name)), F.substr(piece, F.lit(len(name) + 1), F.length(piece))))
+    return (
+        out.when(piece.rlike("^#[0-9]"), by_number("^#[0-9]+;?", "^#([0-9]+)", 10))
+        .when(piece.rlike("^#[xX][0-9a-fA-F]"), by_number("^#[xX][0-9a-fA-F]+;?", "^#[xX]([0-9a-fA-F]+)", 16))
+        .otherwise(let(F.regexp_extract(piece, r"^[^\t\n\f <&#;]{1,32};?", 0), by_name))
+    )
+
+
+def decode_entities(text: Column) -> Column:
+    """Character references of HTML5, decoded as browsers do, without a semicolon too where that is allowed.
+    Only texts with an ampersand are taken apart."""
+
+    def decoded(pieces: Column) -> Column:
+        rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _reference)
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
+
+    return F.when(text.contains("&"), let(F.split(text, "&"), decoded)).otherwise(text)
 
 
 def strip_html(raw: Column) -> Column:
-    """F1. Decode, drop tags, decode again, collapse white space.
+    """F1. Decode, drop tags, decode again, collapse white space."""
+    return F.coalesce(_plain(raw), F.lit(""))
 
-    Only fragments holding an ampersand travel to the Python worker; the rest stay in the JVM.
-    """
-    encoded = _decode_markup(F.when(raw.contains("&"), raw))
-    return F.coalesce(encoded, collapse(F.regexp_replace(raw, TAG, " ")), F.lit(""))
+
+def _plain(raw: Column) -> Column:
+    return collapse(let(F.regexp_replace(decode_entities(raw), TAG, " "), decode_entities))
 
 
 def strip_html_each(raw: Column) -> Column:
-    """F1 over an array of fragments."""
-    return _decode_markup_each(raw)
+    """F1 over an array of fragments; a null one is empty."""
+    return F.transform(raw, strip_html)
 
 
 def join_sections(*parts: Column) -> Column:

@@ -18,14 +18,17 @@ from postmill.operators.merges import (
     posting_changes,
 )
 from postmill.plans.workspace import Workspace
-from postmill.schemas import RUN, ddl
+from postmill.schemas import RUN, conform, ddl
 from postmill.session import stage
 from postmill.sources.feeds import read_raw, split_sound, unreadable
-from postmill.sources.landing import FILE, new_files
+from postmill.sources.landing import FILE, landed_status, new_files
 from postmill.sources.tables import append_once
 from postmill.vocab import PlaceVocab
 
 
+BOARD = {"source": "string", "token": "string", "n": "bigint", "status": "string", "run_id": "string"}
+
+
 def judged_batch(
     raw: DataFrame, as_of: datetime, rules: RuleSet | None = None, vocab: PlaceVocab | None = None
 ) -> DataFrame:
@@ -64,40 +67,41 @@ def discover(
     rules: RuleSet | None = None,
     vocab: PlaceVocab | None = None,
     lines: bool = False,
-    changed_only: bool = False,
+    changed_only: bool = True,
 ) -> DataFrame:
     """One discovery run; returns its run-log row, which is written last. A run that has one is not
-    run again, one that broke off is finished. With ``changed_only`` files that an earlier run has read
-    are left out before they are opened; the list of new ones goes through the driver, as Spark's does."""
+    run again, one that broke off is finished. Files that an earlier run has read are passed over, unless
+    ``changed_only`` is off. The state of every board that was read goes into the log ``boards`` (S9)."""
     done = ws.log("runs", RUN).where(F.col("run_id") == batch_id)
     if not done.isEmpty():
         return done
     started = datetime.now(timezone.utc)
-    files = None
-    if changed_only:
-        fresh = stage(new_files(ws.spark, landing, ws.log("files", FILE)), "files")
-        files = [r.file for r in fresh.select("file").collect()]
-    raw = stage(read_raw(ws.spark, landing, sources, lines, files), "raw")
+    fresh = stage(new_files(ws.spark, landing, ws.log("files", FILE)), "files") if changed_only else None
+    raw = stage(read_raw(ws.spark, landing, sources, lines, fresh), "raw")
     good, bad = split_sound(raw)
-    broken = stage(unreadable(ws.spark, landing, sources, lines, files), "unreadable")
+    broken = stage(unreadable(ws.spark, landing, sources, lines, fresh), "unreadable")
     append_once(bad, ws.log_path("quarantine"), batch_id)
     append_once(broken, ws.log_path("unreadable"), batch_id)
+    boards = landed_status(ws.spark, landing, lines, fresh)
+    boards = boards if sources is None else boards.where(F.col("source").isin(*sources))
+    append_once(conform(boards.withColumn("run_id", F.lit(batch_id)), BOARD), ws.log_path("boards"), batch_id)
     judged = stage(judged_batch(good, as_of, rules, vocab), "judged")
     changes = store_batch(ws, judged)
     seen = judged.agg(F.count("*"), F.count_if("filtered_out")).first()
     new = changes.where(F.col("change") == "new").count()
     errors = bad.count() + broken.count()
+    odd = ws.log("boards", BOARD).where((F.col("run_id") == batch_id) & (F.col("status") != "ok")).count()
     finished = datetime.now(timezone.utc)
     run = ws.spark.createDataFrame(
         [
             (
                 batch_id, started, finished, seen[0], new, seen[1], errors,
-                int((finished - started).total_seconds() * 1000), False, None,
+                int((finished - started).total_seconds() * 1000), False, f"{odd} boards not ok" if odd else None,
             )
         ],
         ddl(RUN),
     )
-    if changed_only:
+    if fresh is not None:
         append_once(fresh, ws.log_path("files"), batch_id)
     append_once(run.coalesce(1), ws.log_path("runs"), batch_id)
     return run

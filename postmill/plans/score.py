@@ -10,19 +10,23 @@ from pyspark.sql import functions as F
 
 from postmill.functions.expr import instant
 from postmill.operators.postings import unscored
-from postmill.operators.scoring import judge_export, merge_scores, score_postings, top_unjudged
+from postmill.operators.scoring import awaiting_vector, judge_export, merge_scores, score_postings, top_unjudged
 from postmill.operators.screen import clean_relevance, screen_companies, settle_verdicts
 from postmill.plans.workspace import Workspace
 from postmill.session import stage
+from postmill.sources.tables import append_once
 from postmill.vocab import TermLists
 
 
 def score_unscored(
-    ws: Workspace, vectors: DataFrame, reference: Sequence[float], as_of: datetime
+    ws: Workspace, vectors: DataFrame, reference: Sequence[float], as_of: datetime, batch_id: str | None = None
 ) -> DataFrame:
-    """Score every live posting that has no score yet; a score is not aged afterwards."""
+    """Score every live posting that has no score yet; a score is not aged afterwards. With a ``batch_id``
+    the postings that still await a vector are written to the log ``awaiting_vector``."""
     todo = unscored(ws.postings.read(), ws.scores.read())
     fresh = stage(score_postings(todo, vectors, reference, as_of), "scores")
+    if batch_id is not None:
+        append_once(awaiting_vector(todo, vectors), ws.log_path("awaiting_vector"), batch_id)
     ws.scores.commit(fresh)
     return fresh
 

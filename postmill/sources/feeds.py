@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ class SourceSpec:
     items: str | None = "jobs"
     needs_token: bool = True
     min_interval_seconds: int = 0
+    #: Whether payloads are comments of threads, of which only the newest counts.
+    threads: bool = False
 
 
 def _blank_to_null(c: Column) -> Column:
@@ -199,6 +202,7 @@ EMPLOYMENT_TYPE = (
     r"|permanent)\s*$"
 )
 LINK_PARENTHETICAL = r"(?iU)\(\s*(?:https?://)?[\w.-]+\.[a-z]{2,}(?:/[^)\s]*)?\s*\)"
+#: A segment longer than this is a sentence, not an employer.
 MAX_COMPANY_CHARS = 60
 ITEM_LINK = "https://news.ycombinator.com/item?id="
 
@@ -210,7 +214,32 @@ def latest_thread(stories: DataFrame) -> DataFrame:
     return wanted.agg(F.max_by("objectID", newest).alias("story_id"))
 
 
-def header_fields(head: Column) -> Column:
+def landed_stories(spark: SparkSession, landing: str, lines: bool = False) -> DataFrame | None:
+    """S5. Landed lists of threads (``source=hn_stories``); nothing where none has landed."""
+    try:
+        payloads = spark.read.schema(STORIES).options(**json_options(lines)).json(f"{landing}/source=hn_stories")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return payloads.select(F.explode("hits").alias("h")).select("h.*")
+
+
+def only_latest(payloads: DataFrame, stories: DataFrame | None) -> DataFrame:
+    """S5, S6. Payloads with the comments of one thread: the newest hiring thread of the landed list, which
+    has none if the list names none; without a list the newest thread that comments have landed of."""
+    if stories is None:
+        seen = payloads.select(F.array_max(F.transform("hits", lambda h: h["story_id"])).alias("s"))
+        latest = seen.agg(F.max("s").alias("_story"))
+    else:
+        latest = latest_thread(stories).select(F.col("story_id").try_cast("bigint").alias("_story"))
+    one = F.broadcast(latest.where("_story IS NOT NULL").withColumn("_k", F.lit(0)))  # a single row
+    told = payloads.withColumn("_k", F.lit(0)).join(one, "_k")
+    own = F.filter("hits", lambda h: h["story_id"] == F.col("_story"))
+    return told.withColumn("hits", own).drop("_k", "_story")
+
+
+def header_fields(head: Column, most_company_chars: int = MAX_COMPANY_CHARS) -> Column:
     """F6. ``struct<company_name, title, location>`` of a header line, or null where it names no
     employer or no role."""
     segments = F.filter(
@@ -231,7 +260,7 @@ def header_fields(head: Column) -> Column:
         places = F.filter(h["rest"], lambda s: (s != h["title"]) & s.rlike(PLACE_WORD))
         usable = (F.length(h["company_name"]) >= 1) & h["title"].isNotNull()
         # A segment too long for a name is a sentence: without a title the row goes to quarantine.
-        title = F.when(F.length(h["company_name"]) <= MAX_COMPANY_CHARS, h["title"]).alias("title")
+        title = F.when(F.length(h["company_name"]) <= most_company_chars, h["title"]).alias("title")
         return F.when(usable, F.struct(h["company_name"], title, F.get(places, F.lit(0)).alias("location")))
 
     return let(let(segments, read), place)
@@ -273,7 +302,7 @@ SOURCES: dict[str, SourceSpec] = {
         SourceSpec("ashby", ASHBY, ashby_raw),
         # Their published guidance is four calls a day.
         SourceSpec("remotive", REMOTIVE, remotive_raw, needs_token=False, min_interval_seconds=21_600),
-        SourceSpec("hn_algolia", THREAD, thread_raw, items="hits", needs_token=False),
+        SourceSpec("hn_algolia", THREAD, thread_raw, items="hits", needs_token=False, threads=True),
     )
 }
 
@@ -286,18 +315,29 @@ def payload_schema(spec: SourceSpec) -> str:
 
 
 def read_payloads(
-    spark: SparkSession, landing: str, spec: SourceSpec, lines: bool = False, files: list[str] | None = None
+    spark: SparkSession, landing: str, spec: SourceSpec, lines: bool = False, fresh: DataFrame | None = None
 ) -> DataFrame:
     """Payload files of one feed. By default a file is one JSON document (for a bare array, one
     record per element). With ``lines`` a file holds one payload per line: such files can be
-    split and spare the cluster millions of small ones. ``files`` limits the read to some files."""
+    split and spare the cluster millions of small ones. ``fresh(file, modified)`` limits the read to those
+    files: older ones are passed over when the folder is listed, others by a join on their path."""
+    nothing = spark.createDataFrame([], f"{payload_schema(spec)}, _metadata struct<file_path: string>, token string")
     reader = spark.read.schema(payload_schema(spec)).options(**json_options(lines))
-    if files is None:
-        return with_token(reader.json(f"{landing}/source={spec.name}"))
-    own = [f for f in files if f"/source={spec.name}/" in f]
-    if own:
-        return with_token(reader.json(own))
-    return spark.createDataFrame([], f"{payload_schema(spec)}, token string, _metadata struct<file_path: string>")
+    if fresh is not None:
+        own = fresh.where(F.col("file").contains(f"/source={spec.name}/"))
+        oldest = own.agg(F.date_format(F.min("modified") - F.expr("INTERVAL 1 SECOND"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+        if oldest is None:
+            return nothing
+        reader = reader.option("modifiedAfter", oldest)
+    try:
+        payloads = reader.json(f"{landing}/source={spec.name}").select("*", "_metadata")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":  # nothing of this feed has landed
+            raise
+        return nothing
+    if fresh is not None:
+        payloads = payloads.join(own.select(F.col("file").alias("_file")), F.col("_metadata.file_path") == F.col("_file"), "left_semi")
+    return with_token(payloads)
 
 
 def json_options(lines: bool) -> dict[str, str]:
@@ -325,19 +365,16 @@ def sound(raw: DataFrame) -> Column:
 
 def read_raw(
     spark: SparkSession, landing: str, names: Iterable[str] | None = None, lines: bool = False,
-    files: list[str] | None = None,
+    fresh: DataFrame | None = None,
 ) -> DataFrame:
-    """O4. Raw postings of all feeds, as one table; unsound rows are kept for ``quarantine``."""
-    specs = [SOURCES[n] for n in (names or SOURCES)]
-    frames = [
-        conform(
-            spec.to_raw(
-                read_payloads(spark, landing, spec, lines, files).where(F.col(CORRUPT).isNull())
-            ),
-            RAW_POSTING,
-        )
-        for spec in specs
-    ]
+    """O4. Raw postings of all feeds, as one table; unsound rows are kept for ``quarantine``. Of threads the
+    newest counts (S5)."""
+    frames = []
+    for spec in [SOURCES[n] for n in (names or SOURCES)]:
+        payloads = read_payloads(spark, landing, spec, lines, fresh).where(F.col(CORRUPT).isNull())
+        if spec.threads:
+            payloads = only_latest(payloads, landed_stories(spark, landing, lines))
+        frames.append(conform(spec.to_raw(payloads), RAW_POSTING))
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -353,10 +390,10 @@ def corrupt_rows(payloads: DataFrame, spec: SourceSpec) -> DataFrame:
 
 def unreadable(
     spark: SparkSession, landing: str, names: Iterable[str] | None = None, lines: bool = False,
-    files: list[str] | None = None,
+    fresh: DataFrame | None = None,
 ) -> DataFrame:
     """O4, S9. Payloads of all feeds that could not be read as their schema."""
-    frames = [corrupt_rows(read_payloads(spark, landing, SOURCES[n], lines, files), SOURCES[n]) for n in (names or SOURCES)]
+    frames = [corrupt_rows(read_payloads(spark, landing, SOURCES[n], lines, fresh), SOURCES[n]) for n in (names or SOURCES)]
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -366,9 +403,13 @@ def split_sound(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return raw.where(ok), raw.where(~ok)
 
 
+def targets(boards: DataFrame) -> DataFrame:
+    """S7. (source, token) of the boards of a settings table, and of the feeds that need none."""
+    rows = [(s.name, None) for s in SOURCES.values() if not s.needs_token]
+    return boards.select("source", "token").unionAll(boards.sparkSession.createDataFrame(rows, "source string, token string"))
+
+
 def targets_table(spark: SparkSession, path: str) -> DataFrame:
-    """S7. Board tokens per feed from a settings file, plus the feeds that need none."""
-    lists = read_lists(path)
-    rows = [(name, str(t)) for name, tokens in lists.items() for t in tokens or []]
-    rows += [(s.name, None) for s in SOURCES.values() if not s.needs_token]
-    return spark.createDataFrame(rows, "source string, token string")
+    """S7. The same from a settings file of ``source: [tokens]``."""
+    rows = [(name, str(t)) for name, tokens in read_lists(path).items() for t in tokens or []]
+    return targets(spark.createDataFrame(rows, "source string, token string"))

@@ -27,7 +27,7 @@ FILE = {"file": "string", "length": "bigint", "modified": "timestamp"}
 def file_index(spark: SparkSession, landing: str) -> DataFrame:
     """One row per landed file; only the listing is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(landing)
-    return files.select(F.col("path").alias("file"), "length", F.col("modificationTime").alias("modified"))
+    return files.select(F.col("_metadata.file_path").alias("file"), "length", F.col("modificationTime").alias("modified"))
 
 
 def new_files(spark: SparkSession, landing: str, seen: DataFrame) -> DataFrame:
@@ -75,23 +75,27 @@ def board_status(boards: DataFrame) -> DataFrame:
 
 def landed_boards(spark: SparkSession, landing: str) -> DataFrame:
     """Every board with a landed file; only paths are listed, no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(landing)
+    return boards_of(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(landing))
+
+
+def boards_of(files: DataFrame) -> DataFrame:
+    """(source, token) of files by their ``path``."""
     return files.select(
         F.regexp_extract("path", r"/source=([^/]+)/", 1).alias("source"),
         F.nullif(F.regexp_extract("path", r"/token=([^/]+)/", 1), F.lit("")).alias("token"),
-    ).distinct()
+    ).where(F.col("source").isin(*SOURCES)).distinct()
 
 
-def landed_status(spark: SparkSession, landing: str) -> DataFrame:
-    """S9 over landed files of all feeds. A bare array without postings gives no payload rows,
-    so boards are taken from the files."""
-    boards = landed_boards(spark, landing)
+def landed_status(spark: SparkSession, landing: str, lines: bool = False, fresh: DataFrame | None = None) -> DataFrame:
+    """S9 over landed files of all feeds, or the ``fresh`` ones. A bare array without postings gives no payload
+    rows, so boards are taken from the files."""
+    boards = landed_boards(spark, landing) if fresh is None else boards_of(fresh.select(F.col("file").alias("path")))
     frames = boards.select(
         "source", "token", F.lit(0).cast("long").alias("n"),
         F.lit(None).cast("long").alias("meta_total"), F.lit(False).alias("bad"),
     )
     for spec in SOURCES.values():
-        payloads = read_payloads(spark, landing, spec)
+        payloads = read_payloads(spark, landing, spec, lines, fresh)
         broken = F.col(CORRUPT).isNotNull()
         if spec.items:
             n = F.when(F.col(spec.items).isNotNull(), F.size(spec.items)).otherwise(0)

@@ -25,6 +25,8 @@ from postmill.sources.feeds import (
     SourceSpec,
     corrupt_rows,
     json_options,
+    landed_stories,
+    only_latest,
     payload_schema,
     split_sound,
     with_token,
@@ -104,7 +106,9 @@ def ingest(
                 **json_options(lines),
             )
         )
-        raws.append(conform(spec.to_raw(payloads.where(F.col(CORRUPT).isNull())), RAW_POSTING))
+        whole = payloads.where(F.col(CORRUPT).isNull())
+        stories = landed_stories(ws.spark, landing, lines) if spec.threads else None
+        raws.append(conform(spec.to_raw(whole if stories is None else only_latest(whole, stories)), RAW_POSTING))
         broken.append(corrupt_rows(payloads, spec))
     rows = reduce(DataFrame.unionByName, raws).select(F.struct("*").alias("raw"))
     lost = reduce(DataFrame.unionByName, broken).select(F.struct("*").alias("broken"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postmill.schemas import RAW_POSTING, conform
+from postmill.session import stage
 from postmill.sources import feeds as D
 from postmill.sources import landing as L
 from queries.binding import stamp, table
@@ -280,6 +281,73 @@ def land_nested_json(spark, sf):
     )
 
 
+# Five feeds, an order in each by turns, a board of five orders, and for every feed a file that is no JSON, a board
+# that is empty and a posting without a link. Comments belong to an old thread, the latest one, or a sibling.
+FEEDS = ("greenhouse", "lever", "ashby", "remotive", "hn_algolia")
+URL = "CASE WHEN o_orderkey % 11 <> 0 THEN 'https://x.example.com/' || CAST(o_orderkey AS STRING) END"
+NAME = "'Engineer ' || CAST(o_orderkey AS STRING)"
+BODIES = {
+    "greenhouse": f"named_struct('meta', named_struct('total', 1 + CAST(o_orderkey % 3 = 0 AS INT)), 'jobs', array(named_struct('id', o_orderkey, 'title', {NAME}, 'absolute_url', {URL})))",
+    "lever": f"named_struct('id', CAST(o_orderkey AS STRING), 'text', {NAME}, 'hostedUrl', {URL})",
+    "ashby": f"named_struct('jobs', array(named_struct('id', CAST(o_orderkey AS STRING), 'title', {NAME}, 'jobUrl', {URL}, 'applyUrl', {URL})))",
+    "remotive": f"named_struct('jobs', array(named_struct('id', o_orderkey, 'title', {NAME}, 'url', {URL}, 'company_name', 'Acme')))",
+    "hn_algolia": "named_struct('nbPages', 1, 'hits', array(named_struct('objectID', CAST(o_orderkey AS STRING), 'comment_text',"
+    " 'Acme | ' || CASE WHEN o_orderkey % 11 <> 0 THEN 'Engineer ' ELSE 'Potter ' END || CAST(o_orderkey AS STRING) || ' | remote', 'parent_id', 1 + o_orderkey % 3, 'story_id', 1 + o_orderkey % 3)))",
+}
+
+
+def land_feeds(spark, sf) -> str:
+    """Orders as payload lines of five feeds in folders of boards, and the list of threads."""
+    from postmill.session import scratch
+
+    root = scratch(spark, "feeds")
+    orders = _orders(spark, sf)
+    stories = "array(named_struct('objectID', '1', 'title', 'Ask: Who is hiring? (May)', 'created_at', '2001-05-01T00:00:00Z'), named_struct('objectID', '2', 'title', 'Ask: Who is hiring? (June)', 'created_at', '2001-06-01T00:00:00Z'), named_struct('objectID', '3', 'title', 'Freelancer? Seeking one?', 'created_at', '2001-07-01T00:00:00Z'))"
+    spark.range(1).selectExpr(f"to_json(named_struct('hits', {stories})) AS value").write.text(f"{root}/source=hn_stories/token=all")
+    for i, name in enumerate(FEEDS):
+        orders.where(F.col("o_orderkey") % 5 == i).selectExpr("token", f"to_json({BODIES[name]}) AS value").write.partitionBy("token").text(f"{root}/source={name}")
+        spark.createDataFrame([("{ not json",)], "value string").write.text(f"{root}/source={name}/token=torn")
+        spark.createDataFrame([('{"hits": []}' if name == "hn_algolia" else '{"jobs": []}',)] if name != "lever" else [("",)], "value string").write.text(f"{root}/source={name}/token=vacant")
+    return root
+
+
+FEED = "CASE CAST(o_orderkey % 5 AS INT) " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(FEEDS)) + " END"
+LANDED = (
+    f"WITH o AS (SELECT *, {FEED} AS source, {TOKEN} AS token FROM orders), f AS (SELECT unnest(['greenhouse', 'lever', 'ashby', 'remotive', 'hn_algolia']) AS source)"
+)
+
+
+@query("land_five_feeds", LANDED + " SELECT CASE WHEN source <> 'hn_algolia' AND o_orderkey % 11 = 0 THEN 'quarantined' ELSE 'posting' END AS kind, source,"
+       " CAST(o_orderkey AS VARCHAR) AS id, 'Engineer ' || CAST(o_orderkey AS VARCHAR) AS detail FROM o WHERE source <> 'hn_algolia' OR (o_orderkey % 3 = 1 AND o_orderkey % 11 <> 0)"
+       " UNION ALL SELECT 'unreadable', source, 'torn', '{ not json' FROM f")
+def land_five_feeds(spark, sf):
+    """Every row of five landed feeds and its fate: a posting, a posting without a mandatory field, or a payload
+    that could not be read. Of the threads the newest hiring thread counts."""
+    landing = land_feeds(spark, sf)
+    good, bad = D.split_sound(D.read_raw(spark, landing, lines=True))
+    lost = stage(D.unreadable(spark, landing, lines=True), "unreadable")  # Spark reads the text only beside a field
+    return (
+        good.select(F.lit("posting").alias("kind"), "source", F.col("source_job_id").alias("id"), F.col("title").alias("detail"))
+        .unionAll(bad.select(F.lit("quarantined"), "source", "source_job_id", "title"))
+        .unionAll(lost.select(F.lit("unreadable"), "source", "token", "payload"))
+    )
+
+
+@query("landed_boards", LANDED + " SELECT source, token, count(*) AS n, CASE WHEN source = 'greenhouse' AND max(1 + CAST(o_orderkey % 3 = 0 AS INT)) <> count(*) THEN"
+       " 'truncated' ELSE 'ok' END AS status FROM o GROUP BY 1, 2 UNION ALL SELECT source, 'torn', 0, 'failed' FROM f UNION ALL SELECT source, 'vacant', 0, 'empty' FROM f")
+def landed_boards(spark, sf):
+    """The state of every board of five landed feeds."""
+    return L.landed_status(spark, land_feeds(spark, sf), lines=True)
+
+
+@query("source_targets", "SELECT CASE c_nationkey % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'ashby' END AS source, 'board' || CAST(c_custkey AS VARCHAR) AS token"
+       " FROM customer UNION ALL SELECT 'remotive', NULL UNION ALL SELECT 'hn_algolia', NULL")
+def source_targets(spark, sf):
+    """Boards of the feeds from a settings table, which lists every customer's, and the feeds without boards."""
+    feed = "CASE c_nationkey % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' ELSE 'ashby' END AS source"
+    return D.targets(table(spark, sf, "customer").selectExpr(feed, "'board' || CAST(c_custkey AS STRING) AS token"))
+
+
 @query("stream_ingest", f"SELECT posting_key, company_key, strftime(max(o_orderdate), '%Y-%m-%d') ||"
        f" ' 12:30:00' AS posted_at FROM ({KEYED}) GROUP BY 1, 2")
 def stream_ingest(spark, sf):

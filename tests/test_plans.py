@@ -94,7 +94,10 @@ def test_discovery_converges_and_quarantines(spark, tmp_path, landing):
     pay = {r.title: (r.salary_min, r.salary_max, r.salary_source) for r in first}
     assert pay["Backend Engineer"] == (200000, 200000, "parsed")
     assert pay["Security Engineer"] == (100000, 110000, "structured")
-    D.discover(ws, landing, LATER, "run2")
+    boards = {(r.source, r.token): r.status for r in ws.log("boards", D.BOARD).collect()}
+    assert boards["greenhouse", "short"] == "truncated" and boards["lever", "retired"] == "empty" and len(boards) == 8
+    assert run.notes == "3 boards not ok"
+    D.discover(ws, landing, LATER, "run2", changed_only=False)
     again = ws.log("runs", RUN).where("run_id = 'run2'").first()
     assert again.jobs_new == 0
     second = ws.postings.read().collect()
@@ -111,10 +114,10 @@ def test_discovery_converges_and_quarantines(spark, tmp_path, landing):
 def test_files_that_were_read_are_skipped(spark, tmp_path):
     ws, landing = Workspace(spark, str(tmp_path / "ws")), tmp_path / "landing"
     land(landing, "greenhouse", "acme", board(job(1)))
-    assert D.discover(ws, str(landing), NOW, "1", changed_only=True).first().jobs_seen == 1
-    assert D.discover(ws, str(landing), LATER, "2", changed_only=True).first().jobs_seen == 0
+    assert D.discover(ws, str(landing), NOW, "1").first().jobs_seen == 1
+    assert D.discover(ws, str(landing), LATER, "2").first().jobs_seen == 0
     land(landing, "greenhouse", "beta", board(job(2, "Data Engineer")))
-    assert D.discover(ws, str(landing), LATER, "3", changed_only=True).first().jobs_seen == 1
+    assert D.discover(ws, str(landing), LATER, "3").first().jobs_seen == 1
     assert ws.postings.read().count() == 2
 
 
@@ -129,6 +132,22 @@ def test_an_edited_posting_replaces_its_old_version(spark, tmp_path):
     assert rows["Platform Engineer"].first_seen_at == rows["Data Engineer"].first_seen_at
 
 
+def test_comments_of_the_newest_thread_only(spark, tmp_path):
+    comment = lambda i, story: {"objectID": str(i), "comment_text": f"Kappa {i} | Rust Engineer | Remote", "parent_id": story, "story_id": story}
+    land(tmp_path, "hn_algolia", "all", {"nbPages": 1, "hits": [comment(11, 5), comment(12, 6), comment(13, 7)]})
+    names = lambda: {r.company_name for r in read_raw(spark, str(tmp_path), ["hn_algolia"]).collect()}
+    assert names() == {"Kappa 13"}  # no list of threads has landed
+    story = lambda i, title, day: {"objectID": str(i), "title": title, "created_at": f"2024-03-{day:02}T00:00:00Z"}
+    land(tmp_path, "hn_stories", "all", {"hits": [
+        story(5, "Ask: Who is hiring? (February)", 1), story(6, "Ask: Who is hiring? (March)", 4), story(7, "Ask: Who wants to be hired?", 5)]})
+    assert names() == {"Kappa 12"}
+    ws = Workspace(spark, str(tmp_path / "ws"))
+    S.ingest(ws, str(tmp_path), SOURCES["hn_algolia"], str(tmp_path / "cp"), NOW).awaitTermination()
+    assert ws.postings.read().count() == 1
+    land(tmp_path, "hn_stories", "all", {"hits": []})
+    assert names() == set()
+
+
 def test_landing_checks(spark, landing):
     status = {(r.source, r.token): r.status for r in L.landed_status(spark, landing).collect()}
     assert status["greenhouse", "acme"] == "ok"
@@ -161,7 +180,11 @@ def test_score_judge_screen_publish(spark, tmp_path, landing):
     vectors = ws.postings.read().select(
         "posting_key", F.array(F.lit(1.0), F.length("title") / 20).alias("embedding")
     )
-    fresh = C.score_unscored(ws, vectors, [1.0, 0.8], NOW)
+    some = vectors.orderBy("posting_key").limit(1)
+    assert C.score_unscored(ws, some.limit(0), [1.0, 0.8], NOW, "score-0").count() == 0
+    waiting = ws.log("awaiting_vector", {"posting_key": "string"}).count()
+    fresh = C.score_unscored(ws, vectors, [1.0, 0.8], NOW, "score-1")
+    assert waiting == fresh.count() == ws.log("awaiting_vector", {"posting_key": "string"}).count()
     live = ws.postings.read().where("not filtered_out").count()
     assert fresh.count() == live and ws.scores.read().count() == live
     assert C.score_unscored(ws, vectors, [1.0, 0.8], NOW).count() == 0

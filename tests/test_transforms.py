@@ -1,6 +1,7 @@
 """Column transforms on small tables of cases."""
 
 import html
+import random
 import re
 from datetime import date, datetime, timezone
 
@@ -87,6 +88,20 @@ def test_structured_pay(spark):
     ]
 
 
+def test_references_decode_as_in_the_standard_library(spark):
+    from html import unescape
+    from html.entities import html5
+
+    rng = random.Random(1)
+    texts = [f"&{n}" for n in list(html5)[::9]] + [
+        "&#0;", "&#x80;", "&#128", "&#129;", "&#xD800;", "&#x110000;", "&#99999999999999999999;", "&#1;", "&#xFFFE;", "&#x1fffe;", "&#13;", "&#11;",
+        "&#x;", "&#;", "&unknown;", "&AMP;", "&notit;", "&notin;", "&#x1F600;", "&#0000000000000000065;", "&copycopy", "&#127;", "&#64976;", "&é;", "&" + "x" * 40,
+    ]
+    pieces = ["&", "#", "x", "amp", "lt", ";", "65", "not", "in", "é", " ", "<b>", "copy", "&#", "&#x41", "\n", "quot;", "&nbsp;"]
+    texts += ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    assert apply(spark, texts, T.decode_entities) == [unescape(t) for t in texts]
+
+
 def test_keys(spark):
     assert apply(spark, ["Acme, Inc.", "Inc", "The Co Company Group", "Ångström AG"], K.company_key) == [
         "acme", "inc", "the group", "ngstr m",
