@@ -53,3 +53,28 @@ def discard(spark: SparkSession, path: str) -> bool:
     """Delete a folder through Spark's own file systems; whether it was there."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Staging:
+    """Steps of one job in a folder of their own below the shared one, each of which can be deleted as soon as
+    nothing reads it any more: what the job keeps on disk is what it still needs."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.paths = spark, scratch(spark, label), {}
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        """``stage`` within the folder."""
+        path = f"{self.root}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        written = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(written)] = (written, path)
+        return written
+
+    def free(self, *steps: DataFrame) -> None:
+        """Delete these steps."""
+        for step in steps:
+            discard(self.spark, self.paths.pop(id(step))[1])
+
+    def free_others(self, *kept: DataFrame) -> None:
+        """Delete all steps but these."""
+        self.free(*[step for key, (step, _) in list(self.paths.items()) if key not in {id(k) for k in kept}])
