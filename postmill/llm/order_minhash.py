@@ -1,8 +1,8 @@
 """Near-duplicate classes by order MinHash, verified by banded alignment (operator 9).
 
-A text is its sequence of words (lower case, runs of letters and digits). Its k-mers are its five-word
-shingles, each labelled with its occurrence: the second of two equal shingles differs from the first. For
-each of several seeds a sketch takes the few k-mers with the smallest hashes and keeps them in text order,
+A text is its sequence of words (lower case, runs of letters and digits). Its k-mers are the runs of 16 bytes
+that begin at each word, over the words with one blank between them, each labelled with its occurrence: the
+second of two equal k-mers differs from the first. For each of several seeds a sketch takes the few k-mers with the smallest hashes and keeps them in text order,
 so two texts share a sketch only if they hold the same sampled k-mers in the same order. Texts that share
 a sketch are candidates. A candidate pair is verified by aligning the two sequences of words within a band:
 the similarity is the longest common subsequence over the longer text, the share of words that one edit
@@ -18,12 +18,12 @@ bucket or holds a short text is verified unless it is already in one class or pr
 that many of these texts hold are looked up where the texts are, or dealt out by a salt.
 
 No pair with a text of under 40 words is missed. Two longer texts with c k-mers of a union of u in
-common (in one order) share none of the sketches with a chance of about (1 - (c / u)^2)^64. An edited word
-breaks up to five k-mers: for words exchanged at random places a pair at 0.8 is missed with a chance of 8 %,
-one at 0.85 with 0.4 %, one at 0.9 with under 10^-5; edits that stand together break fewer.
+common (in one order) share none of the sketches with a chance of about (1 - (c / u)^3)^64. An edited word
+breaks three or four k-mers: for words exchanged at random places a pair at 0.8 is missed with a chance of
+about 18 %, one at 0.85 with 2 %, one at 0.9 with under 0.1 %; edits that stand together break fewer.
 
 Defined cases: null and empty texts are copies of the empty text; texts without a word are only ever
-copies; texts under five words have one k-mer; a null id is an id; the class is named by its smallest
+copies; a k-mer ends with its text; a null id is an id; the class is named by its smallest
 id (null only if all are); rows that repeat id and text are copies; an empty table gives no rows; columns
 other than id and text play no part, whatever their names; very long texts are aligned whole.
 """
@@ -41,15 +41,15 @@ from pyspark.sql import functions as F
 
 from postmill.llm.arrowtext import mix, runs, text_bytes
 from postmill.llm.common import whole_row
-from postmill.session import stage
+from postmill.session import Staging, stage
 
-SHINGLE, THRESHOLD = 5, 0.8
-SKETCHES, SAMPLED = 64, 2
+KMER, THRESHOLD = 16, 0.8
+SKETCHES, SAMPLED = 64, 3
 #: Texts of fewer words are paired by the exact filter, not by sketches alone.
 SHORT = 40
 #: Share of the rows, one in so many, from which a word is hot, and the parts that its rows are dealt to.
 HOT, SALTS = 2000, 32
-#: Bytes of text whose hashes are held at once, and shingles of one text whose hashes for all seeds are.
+#: Bytes of text whose hashes are held at once, and k-mers of one text whose hashes for all seeds are.
 BYTES, TOGETHER = 1 << 20, 1 << 16
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -70,40 +70,52 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of the texts in order, and the bounds between texts."""
-    n = len(offsets) - 1
+def _edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of each word."""
     inside = WORD[data]
     starts_text = np.zeros(len(data) + 1, bool)
     starts_text[offsets[:-1]] = True
     before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
-    first = np.flatnonzero(inside & (~before | starts_text[:-1]))
     after = np.concatenate([inside[1:], [False]]) if len(data) else inside
-    last = np.flatnonzero(inside & (~after | starts_text[1:]))
+    return np.flatnonzero(inside & (~before | starts_text[:-1])), np.flatnonzero(inside & (~after | starts_text[1:]))
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts in order, and the bounds between texts."""
+    first, last = _edges(data, offsets)
     # hash of a word: its polynomial in BASE, from differences of one running sum
     running = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(data)))])
     hashed = mix((running[last + 1] - running[first]) * _powers(UNDO, len(data))[first])
     return hashed, np.searchsorted(first, offsets)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrence-labelled hashes of all shingles of the texts in order, and the bounds between texts."""
-    return labelled_shingles(*words(data, offsets), size)
-
-
-def labelled_shingles(hashed: np.ndarray, word_at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    n, counts = len(word_at) - 1, np.diff(word_at)
-    sizes = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    owner = np.repeat(np.arange(n), sizes)
-    start = np.arange(bounds[-1]) - bounds[owner] + word_at[owner]
-    code = np.zeros(len(start), np.uint64)
-    for j in range(size):
-        there = start + j < word_at[owner + 1]
-        code = code * BASE
-        code[there] += hashed[start[there] + j]
-    code = mix(code)
-    # occurrence number among equal shingles of the same text
+def kmers(data: np.ndarray, offsets: np.ndarray, size: int = KMER) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrence-labelled hashes of the k-mers of the texts in order, one for each word, and the bounds between texts."""
+    first, last = _edges(data, offsets)
+    bounds = np.searchsorted(first, offsets)
+    if not len(first):
+        return np.zeros(0, np.uint64), bounds
+    # the words with a blank behind each
+    sizes = last - first + 2
+    at = np.cumsum(sizes) - sizes
+    joined = data[np.minimum(np.arange(at[-1] + sizes[-1]) + np.repeat(first - at, sizes), len(data) - 1)]
+    joined[at + sizes - 1] = 32
+    ends = np.append(at, len(joined))[bounds[1:]]
+    left = np.repeat(ends, np.diff(bounds)) - at
+    code = np.zeros(len(first), np.uint64)
+    for k in range(0, size, 8):
+        eight = np.zeros(len(first), np.uint64)
+        for j in range(k, min(k + 8, size)):
+            byte = joined[np.minimum(at + j, len(joined) - 1)].astype(np.uint64)
+            byte[left <= j] = 0
+            eight |= byte << np.uint64(8 * (j - k))
+        code = mix(code * BASE + mix(eight))
+    return labelled(code, bounds), bounds
+
+
+def labelled(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The codes with their occurrence number among equal ones of the same text mixed in."""
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     keyed = mix(code + owner.astype(np.uint64) * BASE)
     order = np.argsort(keyed, kind="stable")
     ranked = keyed[order]
@@ -111,16 +123,16 @@ def labelled_shingles(hashed: np.ndarray, word_at: np.ndarray, size: int = SHING
     place = np.arange(len(ranked))
     nth = np.empty(len(ranked), np.uint64)
     nth[order] = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
-    return np.where(nth > 0, mix(code + nth * UNDO), code), bounds
+    return np.where(nth > 0, mix(code + nth * UNDO), code)
 
 
 def _seeds(count: int) -> np.ndarray:
     return mix(np.arange(1, count + 1, dtype=np.uint64) * BASE)
 
 
-def sketch(labelled: np.ndarray, sketches: int = SKETCHES, sampled: int = SAMPLED) -> np.ndarray:
+def sketch(kmer: np.ndarray, sketches: int = SKETCHES, sampled: int = SAMPLED) -> np.ndarray:
     """One key for each seed: the hash of the sampled k-mers in text order. None for a text without words."""
-    n = len(labelled)
+    n = len(kmer)
     if not n:
         return np.zeros(0, np.int64)
     seeds, take = _seeds(sketches) | np.uint64(1), min(sampled, n)
@@ -128,7 +140,7 @@ def sketch(labelled: np.ndarray, sketches: int = SKETCHES, sampled: int = SAMPLE
     per = max(1, TOGETHER // n)
     for at in range(0, sketches, per):
         own = seeds[at : at + per]
-        drawn = labelled[None, :] * own[:, None]  # the k-mers are mixed already
+        drawn = kmer[None, :] * own[:, None]  # the k-mers are mixed already
         row = np.arange(len(own))
         places = np.empty((len(own), take), np.int64)
         for t in range(take):
@@ -137,7 +149,7 @@ def sketch(labelled: np.ndarray, sketches: int = SKETCHES, sampled: int = SAMPLE
         places.sort(axis=1)
         code = own.copy()
         for t in range(take):
-            code = mix(code * BASE + labelled[places[:, t]])
+            code = mix(code * BASE + kmer[places[:, t]])
         keys[at : at + per] = code
     return keys.view(np.int64)
 
@@ -167,8 +179,8 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     need = max(1, ceil(threshold * longer - 1e-9))
     if min(len(a), len(b)) < need:
         return min(len(a), len(b)) / longer
-    both, bounds = labelled_shingles(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 1)
-    _, i, j = np.intersect1d(both[: bounds[1]], both[bounds[1] :], assume_unique=True, return_indices=True)
+    both = labelled(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+    _, i, j = np.intersect1d(both[: len(a)], both[len(a) :], assume_unique=True, return_indices=True)
     if len(i) < need:
         return len(i) / longer
     band = longer - need
@@ -202,12 +214,11 @@ def sketches_of(text: Column) -> Column:
         data, offsets = text_bytes(texts)
         sizes, keys, ends = [], [np.zeros(0, np.int64)], [0]
         for a, b in runs(offsets, BYTES):
-            hashed, word_at = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            labelled, bounds = labelled_shingles(hashed, word_at)
+            kmer, bounds = kmers(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             for d in range(b - a):
-                keys.append(sketch(labelled[bounds[d] : bounds[d + 1]]))
+                keys.append(sketch(kmer[bounds[d] : bounds[d + 1]]))
                 ends.append(ends[-1] + len(keys[-1]))
-            sizes.append(np.diff(word_at))
+            sizes.append(np.diff(bounds))
         n = pa.array(np.concatenate(sizes).astype(np.int32) if sizes else np.zeros(0, np.int32))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
         return pa.StructArray.from_arrays([n, lists], ["n", "keys"])
@@ -223,8 +234,8 @@ def words_of(text: Column) -> Column:
         data, offsets = text_bytes(texts)
         parts, ends = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
         for a, b in runs(offsets, BYTES):
-            labelled, bounds = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], 1)
-            parts.append(labelled.view(np.int64))
+            hashed, bounds = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            parts.append(labelled(hashed, bounds).view(np.int64))
             ends.append(bounds[1:] + ends[-1][-1])
         return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(parts)))
 
@@ -250,18 +261,19 @@ def aligned_similarity(a: Column, b: Column, threshold: float = THRESHOLD) -> Co
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root): smallest node of each connected component, for all nodes that an edge (a, b) names
     but the roots themselves. Alternating star contraction: larger neighbours go to a node's smallest
-    neighbour, then smaller ones, until nothing changes. Each round is written, so lineage stays short;
+    neighbour, then smaller ones, until nothing changes. Each round is written, and the one before deleted;
     minima combine before the shuffle, and joins on a hub split at run time."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = stage(edges, "near-edges"), None
+    hold = Staging(edges.sparkSession, "near-components")
+    edges, before = hold(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
     for _ in range(most):
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = stage(large.where("a <> b").distinct(), "near-large")
+        large = hold(large.where("a <> b").distinct(), "large")
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        edges = stage(small.unionAll(low.select("a", F.col("low").alias("b"))).distinct(), "near-edges")
+        edges = hold(small.unionAll(low.select("a", F.col("low").alias("b"))).distinct(), "edges")
+        hold.free_others(edges)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -292,41 +304,52 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 def link_texts(sketched: DataFrame, text_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) of similar texts. ``sketched``: node (long), n words and keys of each different
     text; ``text_of`` gives (node, lower-cased text) for a table of nodes."""
-    ratio = F.lit(threshold)
+    ratio, hold = F.lit(threshold), Staging(sketched.sparkSession, "near-links")
     rows = sketched.select("node", "n", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stage(rows.join(sizes, "key"), "near-members")
+    members = hold(rows.join(sizes, "key"), "members")
     # the leader of a bucket: the member whose buckets are largest, then the smallest node
     hubs = members.groupBy("node").agg(F.sum("size").alias("hub"))
-    ranked = stage(members.join(hubs, "node"), "near-ranked")
+    ranked = hold(members.join(hubs, "node"), "ranked")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("hub", (-F.col("node")).alias("minus"), "n")).alias("top"))
     led = ranked.join(leaders.select("key", (-F.col("top.minus")).alias("leader"), F.col("top.n").alias("_n")), "key")
     near = F.least("n", "_n") >= ratio * F.greatest("n", "_n")
-    stars = stage(led.where((F.col("leader") != F.col("node")) & near).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "near-stars")
+    stars = hold(led.where((F.col("leader") != F.col("node")) & near).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
+    hold.free(ranked)
+    linked = hold(_verified(stars, hold(text_of(_named(stars)), "star-texts"), threshold), "linked")
+    hold.free_others(members, stars, linked)
+    roots = components(linked)
     # texts under SHORT and what they can link to; texts of fewer than the least only link to an equal sequence
     least = threshold / (1 - threshold) if threshold < 1 else SHORT
     short = sketched.where((F.col("n") >= least - 1e-6) & (F.col("n") * threshold < SHORT)).select("node", "n")
-    own = stage(text_of(members.select("node").unionAll(short.select("node")).distinct()), "near-texts")
-    linked = stage(_verified(stars, own, threshold), "near-linked")
-    roots = components(linked)
-    rest = stage(_open(members.select("key", "node", "n"), roots), "near-open")
-    filtered = rest.select("node", "n", "root").unionAll(_rooted(short, roots).select("node", "n", "root"))
-    pairs = _reachable(filtered.distinct(), own, threshold)
+    rest = _open(members.select("key", "node", "n"), roots)
+    filtered = hold(rest.select("node", "n", "root").unionAll(_rooted(short, roots).select("node", "n", "root")).distinct(), "open")
+    hold.free(members)
     known = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = _verified(stage(pairs.join(known, ["a", "b"], "left_anti"), "near-pairs"), own, threshold)
-    return components(linked.unionAll(more))
+    own = hold(text_of(filtered.select("node")), "open-texts")
+    pairs = hold(_reachable(filtered, own, threshold).join(known, ["a", "b"], "left_anti"), "pairs")
+    links = hold(linked.unionAll(_verified(pairs, own, threshold)), "links")
+    found = components(links)
+    hold.free_others()
+    return found
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    """The nodes that pairs (a, b) name."""
+    return pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
 
 
 def _reachable(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """All pairs (a, b) of open texts from different components that can reach the threshold, by prefix
     and position. Words are ordered by how few open texts have them. Texts that reach the threshold
-    share one of the first n - threshold * n + 1; and if their first shared one is the i-th of one and the
-    j-th of the other, they share at most 1 + min(n - i, m - j), which must be the threshold's share of the longer.
+    share one of the first n - threshold * n + 1; and if c of these are shared and the last of them is the i-th of one
+    and the j-th of the other, they share at most c + min(n - i, m - j), which must be the threshold's share of the longer.
     For each word the component with most texts is not joined with itself, so a crowd of
     near-copies meets the few texts that are left of it, and is not paired."""
+    hold = Staging(texts.sparkSession, "near-reach")
     open_texts = texts.join(nodes.select("node", "n", "root"), "node")
-    listed = stage(open_texts.select("node", "n", "root", F.explode(words_of(F.col("text"))).alias("word")), "near-words")
-    shared = stage(listed.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-shared")
+    listed = hold(open_texts.select("node", "n", "root", F.explode(words_of(F.col("text"))).alias("word")), "words")
+    shared = hold(listed.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     large = F.col("df") * HOT > listed.count()  # fewer than HOT words
     hot = F.broadcast(shared.where(large))
     counted = listed.join(hot, "word").unionByName(
@@ -334,31 +357,38 @@ def _reachable(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     )
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "word"))  # as many rows as the text has words
     ranked = counted.withColumn("i", rank)
-    first = stage(ranked.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).drop("df"), "near-prefixes")
+    first = hold(ranked.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).drop("df"), "prefixes")
+    hold.free_others(first)
     # words of one component lead nowhere
     mixed = first.groupBy("word").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("c")).where("_lo <> _hi")
-    mixed = stage(mixed.select("word", "c"), "near-mixed")
+    mixed = hold(mixed.select("word", "c"), "mixed")
     large = F.col("c") * HOT > first.count()
     few, many = mixed.where(~large).select("word"), F.broadcast(mixed.where(large).select("word"))
-    pairs = _met(stage(first.join(few, "word", "left_semi"), "near-few"), 1, threshold).unionByName(_met(stage(first.join(many, "word", "left_semi"), "near-many"), SALTS, threshold))
-    return pairs.distinct()
+    met = _met(hold(first.join(few, "word", "left_semi"), "few"), 1, threshold, hold).unionByName(
+        _met(hold(first.join(many, "word", "left_semi"), "many"), SALTS, threshold, hold)
+    )
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("rest").alias("rest"), F.first("need").alias("need"))
+    reached = hold(pairs.where("c + rest >= need - 1e-6").select("a", "b"), "reached")
+    hold.free_others(reached)
+    return reached
 
 
-def _met(rows: DataFrame, salts: int, threshold: float) -> DataFrame:
-    """Pairs of texts that share a word of their prefixes; the rows of the largest component of a word
+def _met(rows: DataFrame, salts: int, threshold: float, hold: Staging) -> DataFrame:
+    """A row for each word of their prefixes that a pair of texts shares; the rows of the largest component of a word
     are dealt to ``salts`` parts, to each of which the others go."""
-    crowds = stage(rows.groupBy("word", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("word").agg(F.max(F.struct("c", "root"))["root"].alias("crowd")), "near-crowds")
+    crowds = hold(rows.groupBy("word", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("word").agg(F.max(F.struct("c", "root"))["root"].alias("crowd")), "crowds")
     columns = ("node", "n", "root", "i")
     y = rows.select("word", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt"), *[F.col(c).alias(f"{c}_y") for c in columns])
-    left = stage(rows.join(crowds, "word").where("root <> crowd"), "near-left")
+    left = hold(rows.join(crowds, "word").where("root <> crowd"), "left")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
     x = left.select("word", every, "crowd", *[F.col(c).alias(f"{c}_x") for c in columns])
-    most = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y")) + 1
-    reach = (most >= F.greatest("n_x", "n_y") * threshold - 1e-6) & (F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * threshold - 1e-6)
+    need = F.greatest("n_x", "n_y") * threshold
+    rest = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
+    sized = F.least("n_x", "n_y") >= need - 1e-6
     # two texts outside the crowd would meet from both sides
     once = (F.col("root_y") == F.col("crowd")) | (F.col("node_y") < F.col("node_x"))
-    met = x.join(y, ["word", "salt"]).where((F.col("root_x") != F.col("root_y")) & reach & once)
-    return met.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b"))
+    met = x.join(y, ["word", "salt"]).where((F.col("root_x") != F.col("root_y")) & sized & once)
+    return met.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b"), rest.alias("rest"), need.alias("need"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

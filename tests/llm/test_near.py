@@ -130,7 +130,8 @@ def _merge(counts):
 
 
 def test_recall_of_edited_texts():
-    """Pairs with one word in ten, one in eight and one in six exchanged at random, at every length of longer texts."""
+    """Pairs with one word in ten, one in eight and one in six exchanged at random, at every length of longer texts,
+    share a sketch as often as the module says."""
     rnd, found = random.Random(4), Counter()
     for i in range(300):
         a = words(20000 + i, 60 + 5 * (i % 60)).split()
@@ -138,9 +139,9 @@ def test_recall_of_edited_texts():
         b = a[:]
         for at in rnd.sample(range(len(a)), len(a) // every):
             b[at] = f"new{rnd.random()}"
-        (x, _), (y, _) = (near.shingles(*text_bytes(pa.array([" ".join(t)]))) for t in (a, b))
+        (x, _), (y, _) = (near.kmers(*text_bytes(pa.array([" ".join(t)]))) for t in (a, b))
         found[every] += bool(set(near.sketch(x).tolist()) & set(near.sketch(y).tolist()))
-    assert found[10] == 100 and found[8] >= 99 and found[6] >= 97
+    assert found[10] >= 99 and found[8] >= 97 and found[6] >= 88
 
 
 def test_recall_against_word_alignment(spark):
@@ -166,14 +167,15 @@ def test_recall_against_word_alignment(spark):
     assert all(len(c) == 1 for c in classes.values())
 
 
-def test_shingles_do_not_depend_on_neighbours():
+def test_kmers_do_not_depend_on_neighbours():
     texts = ["", "one", "a b c d e f g", "a b c d e a b c d e a b c d e", "..", "é1 ünï " * 9, "last"]
-    both, bounds = near.shingles(*text_bytes(pa.array(texts)))
+    both, bounds = near.kmers(*text_bytes(pa.array(texts)))
     for i, t in enumerate(texts):
-        alone, _ = near.shingles(*text_bytes(pa.array([t])))
+        alone, _ = near.kmers(*text_bytes(pa.array([t])))
         assert both[bounds[i] : bounds[i + 1]].tolist() == alone.tolist()
-        w = brute_words(t)
-        assert len(alone) == (max(1, len(w) - 4) if w else 0) == len(set(alone.tolist()))
+        assert len(alone) == len(brute_words(t)) == len(set(alone.tolist()))
+    same = [near.kmers(*text_bytes(pa.array([t])))[0].tolist() for t in ("one two three four fives", "one,  two three four five", "one two three four")]
+    assert same[0][:2] == same[1][:2] != same[2][:2] and same[0][2] != same[1][2]
 
 
 def test_similarity_is_the_longest_common_sequence():
@@ -201,9 +203,9 @@ def test_sketches_share_by_similarity():
     for i in range(60):
         a = words(9000 + i, 200)
         b = edited(a, 2, rnd)
-        (x, xb), (y, yb) = (near.shingles(*text_bytes(pa.array([t]))) for t in (a, b))
+        (x, xb), (y, yb) = (near.kmers(*text_bytes(pa.array([t]))) for t in (a, b))
         hit += bool(set(near.sketch(x).tolist()) & set(near.sketch(y).tolist()))
-        z, _ = near.shingles(*text_bytes(pa.array([words(9500 + i, 200)])))
+        z, _ = near.kmers(*text_bytes(pa.array([words(9500 + i, 200)])))
         assert not set(near.sketch(x).tolist()) & set(near.sketch(z).tolist())
     assert hit == 60
 
