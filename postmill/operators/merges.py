@@ -3,10 +3,12 @@ gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.rules import RuleSet, judgement, with_judgement
+from postmill.functions.rules import LAST_PART, PARTS, RuleSet, first_change, judgement, rejection_reason, terms_reason, with_judgement
 from postmill.operators.postings import is_open
 from postmill.operators.reports import STATUSES
 from postmill.schemas import POSTING, conform
@@ -269,6 +271,22 @@ def rejudge(
     return with_judgement(stage(postings.withColumns({"_was": was, "_judged": judged}), "judgement"))
 
 
+def rejudge_changed(postings: DataFrame, old: RuleSet, new: RuleSet, keep: Sequence[str] = ("posting_key",)) -> DataFrame:
+    """U9 for postings that were judged under ``old``: only those that a changed part of the rules can touch are
+    judged, in the form that ``rejudge_diff`` takes, with the columns ``keep`` beside the verdict. A posting
+    that a part before the first changed one decided keeps its verdict; place classes don't depend on the rules
+    and are taken as stored. So no description or location is read, and no title unless a title rule changed."""
+    first = first_change(old, new)
+    table = F.create_map(*[F.lit(x) for pair in LAST_PART.items() for x in pair])
+    decided = F.coalesce(F.try_element_at(table, F.col("filter_reason")), F.lit(len(PARTS)))
+    touched = postings.where(is_open() & (decided >= F.lit(len(PARTS) + 1 if first is None else first)))
+    title = first is not None and first < PARTS.index("pay_floor")
+    reason = rejection_reason(F.col("location_class"), new) if title else terms_reason(F.col("location_class"), new)
+    was = F.struct("location_class", "filter_reason").alias("_was")
+    now = F.struct("location_class", reason.alias("filter_reason")).alias("_judged")
+    return with_judgement(touched.select(*keep, was, now))
+
+
 def rejudge_diff(judged: DataFrame) -> DataFrame:
     """O5. Postings whose verdict or class changed, with the reasons ``was`` and ``now``."""
     differs = ~F.col("_judged").eqNullSafe(F.col("_was"))

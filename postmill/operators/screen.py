@@ -3,9 +3,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.expr import instant, let
@@ -84,37 +85,56 @@ def screen_terms(name: Column, text: Column, lists: TermLists | None = None) ->
     return found
 
 
+#: Words, or characters, of the pieces by which phrases are looked up.
 RUN = 3
+#: Bits of the Bloom filter for each piece, and its largest size (2 MB).
+BITS_EACH, MOST_BITS = 16, 1 << 24
 
 
-def _runs(words: Column) -> Column:
-    """Distinct runs of three words."""
+def _pieces(units: Column, n: int) -> Column:
+    """64-bit hashes of all runs of ``n`` neighbouring units (words or characters), in order."""
 
-    def runs(w: Column) -> Column:
-        several = F.transform(
-            F.slice(w, F.lit(1), F.greatest(F.size(w) - RUN + 1, F.lit(0))),
-            lambda first, i: F.concat_ws(" ", first, *[F.get(w, i + j) for j in range(1, RUN)]),
-        )
-        return F.array_distinct(several)
+    def runs(hashed: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(hashed) - n, F.lit(0)))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashed, i + j) for j in range(n)]))
 
-    return let(words, runs)  # else the text would be split again for every run
+    def found(hashed: Column) -> Column:
+        return F.when(F.size(hashed) >= n, runs(hashed)).otherwise(F.array().cast("array<bigint>"))
 
+    return let(F.transform(units, lambda u: F.xxhash64(u)), found)
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct pieces of ``n`` characters."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(n))))
 
+def bloom_filter(pieces: DataFrame, piece: str = "piece") -> Callable[[Column], Column]:
+    """A test that holds for every one of the pieces (64-bit hashes) and for few others. Its bits, at most
+    MOST_BITS, are the only thing that reaches the driver; beyond that size it lets more pass."""
+    n = pieces.agg(F.approx_count_distinct(piece)).first()[0]
+    size = min(MOST_BITS, 1 << max(10, (BITS_EACH * n).bit_length()))
 
-def _candidates(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(doc, no) where the text has the rarest piece of phrase ``no``. Both tables list ``pieces``; only
-    pieces that occur in a phrase outlive the first join, and texts are counted per piece, so a
-    piece that half the texts share leads nowhere if the phrase has a rarer one."""
-    wanted = phrases.select("no", F.explode("pieces").alias("piece"))
-    had = stage(
-        texts.select("doc", F.explode("pieces").alias("piece")).join(wanted.select("piece").distinct(), "piece"),
-        "phrase-pieces",
-    )
+    def places(h: Column) -> list[Column]:
+        return [F.pmod(h, F.lit(size)), F.pmod(F.shiftright(h, 32), F.lit(size))]
+
+    at = pieces.select(F.explode(F.array(*places(F.col(piece)))).alias("at"))
+    # 32 bits a row
+    words = at.groupBy(F.shiftright("at", 5).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 31 AS INT)))").alias("bits"))
+    set_ = {r["word"]: r["bits"] for r in words.collect()}
+    table = F.split(F.lit(",".join(str(set_.get(i, 0)) for i in range(size // 32))), ",").cast("array<bigint>")
+
+    def holds(h: Column) -> Column:
+        first, second = [F.getbit(F.get(table, F.shiftright(p, 5).cast("int")), p.bitwiseAND(F.lit(31)).cast("int")) == 1 for p in places(h)]
+        return first & second
+
+    return holds
+
+
+def _candidates(texts: DataFrame, phrases: DataFrame, pieces: Column) -> DataFrame:
+    """(doc, no) where the text has the rarest piece of phrase ``no``. ``phrases`` lists its ``pieces``; those of
+    a text are tested by a Bloom filter of all phrases' before they become rows, so what is shuffled is in
+    proportion to the hits. Texts are counted per piece, so a piece that half the texts share leads nowhere
+    if the phrase has a rarer one."""
+    wanted = stage(phrases.select("no", F.explode(F.array_distinct("pieces")).alias("piece")), "phrase-pieces")
+    holds = bloom_filter(wanted)
+    held = texts.select("doc", F.explode(F.array_distinct(F.filter(pieces, holds))).alias("piece"))
+    had = stage(held.join(wanted.select("piece").distinct(), "piece"), "text-pieces")
     counts = had.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
         wanted.join(counts, "piece", "left")
@@ -124,37 +144,98 @@ def _candidates(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     return had.join(rarest, "piece").select("doc", "no")
 
 
-def screen_passages(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """J9, P4 for phrase lists of any size. ``texts(doc, text)``, ``phrases(item, phrase)``: the
-    smallest item of which a phrase occurs in each text, letter case aside; texts without one are left
-    out. An item may have several phrases.
+def _characters(text: str) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def held_phrases(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(doc, no) of the ``phrases(no, phrase)`` that each of the ``texts(doc, text)`` holds, as they are written.
 
     A phrase's inner words stand in a text that holds it as whole words, so its rarest run of three
     of them is looked up by an equi-join; shorter phrases go by their characters. What is found
     is verified. Empty phrases occur nowhere.
     """
-    t = texts.select("doc", F.lower("text").alias("text"))
-    p = phrases.select("item", F.lower("phrase").alias("phrase")).where("phrase <> ''")
     words = F.split("phrase", r"\s+")
-    p = p.withColumn("no", F.monotonically_increasing_id())
-    p = stage(p.withColumn("inner", F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))), "phrases")
+    p = phrases.select("no", "phrase", F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))).alias("inner")).where("phrase <> ''")
+    p = stage(p, "phrases")
     long = F.size("inner") >= RUN
-    found = _candidates(
-        t.select("doc", _runs(F.split("text", r"\s+")).alias("pieces")),
-        p.where(long).select("no", _runs(F.col("inner")).alias("pieces")),
-    )
+    found = _candidates(texts, p.where(long).select("no", _pieces(F.col("inner"), RUN).alias("pieces")), _pieces(F.split("text", r"\s+"), RUN))
     short = p.where(~long).withColumn("n", F.least(F.length("phrase"), F.lit(RUN)))
-    for n in sorted(r.n for r in short.select("n").distinct().collect()):  # 1, 2 or 3
-        some = short.where(F.col("n") == n).select("no", _grams(F.col("phrase"), n).alias("pieces"))
-        found = found.unionByName(_candidates(t.select("doc", _grams(F.col("text"), n).alias("pieces")), some))
-    return (
-        found.distinct()
-        .join(p.select("no", "item", "phrase"), "no")
-        .join(t, "doc")
-        .where(F.contains("text", "phrase"))
-        .groupBy("doc")
-        .agg(F.min("item").alias("item"))
+    for n in sorted(r["n"] for r in short.select("n").distinct().collect()):  # 1, 2 or 3
+        some = short.where(F.col("n") == n).select("no", _pieces(_characters("phrase"), n).alias("pieces"))
+        found = found.unionByName(_candidates(texts, some, _pieces(_characters("text"), n)))
+    near = found.distinct().join(p.select("no", "phrase"), "no").join(texts, "doc")
+    return near.where(F.contains("text", "phrase")).select("doc", "no")
+
+
+def screen_passages(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """J9, P4 for phrase lists of any size. ``texts(doc, text)``, ``phrases(item, phrase)``: the
+    smallest item of which a phrase occurs in each text, letter case aside; texts without one are left
+    out. An item may have several phrases."""
+    numbered = phrases.select("item", F.lower("phrase").alias("phrase"), F.monotonically_increasing_id().alias("no"))
+    numbered = stage(numbered, "numbered")
+    held = held_phrases(texts.select("doc", F.lower("text").alias("text")), numbered.select("no", "phrase"))
+    return held.join(numbered.select("no", "item"), "no").groupBy("doc").agg(F.min("item").alias("item"))
+
+
+#: Sign that stands for the edge of a word.
+MARK = "\u0001"
+
+
+def _marked(text: Column) -> Column:
+    """The text with a sign at each edge of a word."""
+    return F.regexp_replace(text, r"(?U)\b", MARK)
+
+
+def _held_names(names: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc, no) of the ``terms(no, phrase)`` that stand in the ``names(doc, text)`` between word edges: looked up
+    by the word of a term that fewest names have, then verified with the edges marked in both. A term without a
+    word has no edges and stands nowhere."""
+
+    def words(text: str) -> Column:
+        return F.array_distinct(F.filter(F.split(text, r"(?U)\W+"), lambda w: w != ""))
+
+    of_terms = terms.select("no", F.explode(words("phrase")).alias("word"))
+    had = stage(names.select("doc", F.explode(words("text")).alias("word")).join(of_terms.select("word").distinct(), "word", "left_semi"), "name-words")
+    counts = had.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    pick = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))["word"].alias("word")
+    rarest = of_terms.join(counts, "word", "left").groupBy("no").agg(pick)
+    near = had.join(rarest, "word").select("doc", "no").join(terms, "no").join(names, "doc")
+    needle = F.concat(F.lit(MARK), F.btrim(_marked(F.col("phrase")), F.lit(MARK)), F.lit(MARK))
+    return near.where(F.contains(_marked(F.col("text")), needle)).select("doc", "no")
+
+
+def screen_by_table(companies: DataFrame, terms: DataFrame) -> DataFrame:
+    """P4 from a table of terms of any size: ``companies(company_key, name, description)`` with ``ruling``, the
+    struct of ``screen_terms``. ``terms(kind, sector, term, place)``: kind is ``allowed``, ``name`` or ``description``, and of
+    several hits the smallest place counts, names before descriptions. Terms are looked up by joins, an inverted
+    index by their rarest piece; none is compiled as a pattern, and none is in the plan."""
+    known = terms.select("kind", "sector", "term", F.lower("term").alias("phrase"), "place", F.monotonically_increasing_id().alias("no"))
+    known = stage(known.where("phrase <> ''"), "terms")
+    rows = companies.select(F.col("company_key").alias("doc"), F.lower("name").alias("name"), F.lower("description").alias("description"))
+
+    def of(kind: str) -> DataFrame:
+        return known.where(F.col("kind") == kind).select("no", "phrase")
+
+    names, texts = rows.select("doc", F.col("name").alias("text")), rows.select("doc", F.col("description").alias("text"))
+    allowed = held_phrases(names, of("allowed")).select("doc").distinct()
+    hits = _held_names(names, of("name")).select("doc", "no", F.lit("Company name contains").alias("lead"), F.lit(0).alias("turn")).unionAll(
+        held_phrases(texts, of("description")).select("doc", "no", F.lit("Description states").alias("lead"), F.lit(1).alias("turn"))
     )
+    told = hits.join(known.select("no", "sector", "phrase", "place"), "no").join(allowed, "doc", "left_anti")
+    first = told.groupBy("doc").agg(F.min_by(F.struct("sector", "phrase", "lead"), F.struct("turn", "place", "no")).alias("h"))
+    reason = F.concat(F.col("h.lead"), F.lit(" '"), F.col("h.phrase"), F.lit("' ("), F.col("h.sector"), F.lit(")."))
+    ruled = first.select(F.col("doc").alias("company_key"), F.struct(F.lit("excluded").alias("verdict"), F.col("h.sector").alias("sector"), reason.alias("reason")).alias("ruling"))
+    return companies.join(ruled, "company_key", "left")
+
+
+def term_table(spark: SparkSession, lists: TermLists | None = None) -> DataFrame:
+    """Term lists as a table ``(kind, sector, term, place)``."""
+    lists = lists or TermLists()
+    rows = [("allowed", None, t, i) for i, t in enumerate(lists.allowed)]
+    rows += [("name", s, t, i) for i, (s, t) in enumerate(lists.name_terms)]
+    rows += [("description", s, t, i) for i, (s, t) in enumerate(lists.description_terms)]
+    return spark.createDataFrame(rows, "kind string, sector string, term string, place long")
 
 
 def newest_text(companies: DataFrame, postings: DataFrame) -> DataFrame:

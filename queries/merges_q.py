@@ -11,6 +11,8 @@ from postmill.operators import reports as R
 from postmill.operators import scoring as O
 from postmill.operators import screen as C
 from postmill.operators.common import salted_join
+from postmill.session import scratch, stage
+from postmill.sources.tables import StoredTable
 from queries.binding import (
     AS_OF,
     COMPANIES,
@@ -31,10 +33,10 @@ from queries.text_q import JUDGED, TEXTED, _texted
 # Sightings: several lines are sightings of one part's posting, under one source id for each
 # posting or none. How ids that collide are settled is what ``upsert_collisions`` shows.
 SIGHTINGS = {
-    "posting_key": "'fp' || CAST(l_partkey % 400 AS STRING)",
+    "posting_key": "'fp' || CAST(l_partkey AS STRING)",
     "company_key": "'co' || CAST(l_partkey % 7 AS STRING)",
     "source": "CASE WHEN l_suppkey % 3 = 0 THEN 'lever' ELSE 'ashby' END",
-    "source_job_id": "CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE 'fp' || CAST(l_partkey % 400 AS STRING) END",
+    "source_job_id": "CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE 'fp' || CAST(l_partkey AS STRING) END",
     "title": "'Line ' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)",
     "salary_source": "'none'",
     "filtered_out": "l_linenumber = 2",
@@ -302,6 +304,36 @@ def rejudge_diff(spark, sf):
     return G.rejudge_diff(_rejudged(spark, sf)).select("posting_key", "was", "now")
 
 
+RAISED = 160_000
+
+
+@query("rejudge_pay_floor", oracle(
+    "SELECT a.posting_key, COALESCE(a.filter_reason, 'passes') AS was, COALESCE(b.filter_reason, 'passes') AS now FROM j a JOIN k b USING (posting_key)"
+    " JOIN postings p USING (posting_key) WHERE p.closed_at IS NULL AND a.filter_reason IS DISTINCT FROM b.filter_reason",
+    "postings", t=TEXTED, j=JUDGED, k=JUDGED.replace("125000", str(RAISED)),
+))
+def rejudge_pay_floor(spark, sf):
+    """A higher pay floor over stored postings: judged are those that no rule on titles had rejected, by their pay and
+    their stored place class."""
+    stored = stage(U.apply_rules(_texted(spark, sf)), "judged")
+    return G.rejudge_diff(G.rejudge_changed(stored, U.RuleSet(), U.RuleSet(pay_floor=RAISED))).select("posting_key", "was", "now")
+
+
+@query("commit_recovers", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'late' ELSE 'first' END AS v FROM orders WHERE o_orderkey % 7 <> 0")
+def commit_recovers(spark, sf):
+    """Orders as a stored table. A third changes in a commit that breaks off before its record, runs again and
+    is delivered twice; a seventh is dropped; another writer's rows without a record are there and not read."""
+    table_ = StoredTable(spark, scratch(spark, "stored"), {"k": "bigint", "v": "string"}, "k")
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.lit("first").alias("v"))
+    table_.commit(rows, label="load")
+    changed = rows.where("k % 3 = 0").withColumn("v", F.lit("late"))
+    changed.selectExpr("k", "'torn' AS v", "false AS _gone", "1L AS _commit").write.parquet(f"{table_.root}/data/torn")
+    for _ in range(2):
+        table_.commit(changed, label="change")
+    table_.commit(rows.limit(0), gone=rows.where("k % 7 = 0"))
+    return table_.read()
+
+
 @query("rejudge_transitions", oracle(
     "SELECT was, now, count(*) AS n, array_to_string((list(c.name || ': ' || left(d.title, 48) ORDER BY"
     " posting_key))[1:4], ' / ') AS examples FROM d JOIN companies c USING (company_key) GROUP BY 1, 2",

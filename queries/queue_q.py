@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postmill.operators import pages as G
 from postmill.operators import postings as P
 from postmill.operators import queue as Q
 from postmill.operators import reports as R
 from postmill.operators import scoring as S
+from postmill.session import scratch
 from queries.binding import (
     AS_OF,
     AS_OF_SQL,
@@ -120,6 +122,17 @@ def queue_page2(spark, sf):
     return _shape(Q.page(_queue(spark, sf, Q.QueueFilters(sort="posted")), limit=50, offset=50))
 
 
+PAGED = "posting_key bigint, total_score double"
+
+
+def _paged(spark, sf, first):
+    """51 rows of the queue from a place on, from its written pages."""
+    f = Q.QueueFilters()
+    root = scratch(spark, "pages")
+    G.write_pages(_queue(spark, sf, f).select("posting_key", "total_score"), Q.sort_columns(f), root, group=500)
+    return G.read_rows(spark, root, PAGED, first, 51, group=500)
+
+
 @query("queue_after", oracle(
     "SELECT q.posting_key, q.total_score FROM q, cut WHERE q.total_score < cut.total_score"
     " OR (q.total_score = cut.total_score AND q.posting_key < cut.posting_key)"
@@ -128,14 +141,23 @@ def queue_page2(spark, sf):
     " posting_key DESC LIMIT 1 OFFSET 99",
 ))
 def queue_after(spark, sf):
-    """The page after the hundredth row, by keyset instead of offset."""
-    f = Q.QueueFilters()
-    ranked = _queue(spark, sf, f)
-    rows = ranked.select("total_score", "posting_key").limit(100).collect()  # one page boundary
-    if len(rows) < 100:
-        return ranked.select("posting_key", "total_score").limit(0)
-    following = ranked.where(Q.after(f, rows[-1].asDict()))
-    return Q.page(following, limit=50).select("posting_key", "total_score")
+    """The page after the hundredth row."""
+    return _paged(spark, sf, 100)
+
+
+@query("queue_deep_page", oracle(
+    "SELECT posting_key, total_score FROM q ORDER BY total_score DESC, posting_key DESC LIMIT 51 OFFSET 980", q=_sql(),
+))
+def queue_deep_page(spark, sf):
+    """A page that two folders hold, read without the rows before it."""
+    return _paged(spark, sf, 980)
+
+
+@query("queue_from_text", _sql(where="total_score >= 0.25 AND remote_type IN ('remote', 'hybrid')", order="lower(company_name) ASC, total_score DESC, posting_key DESC"))
+def queue_from_text(spark, sf):
+    """Filters from text parameters, of which some are junk and fall back."""
+    given = {"min_score": "0.25", "remote": ["remote", "hybrid"], "min_salary": "plenty", "per_company": "-4", "sort": "company", "dir": "asc", "posted_within": ""}
+    return _shape(_queue(spark, sf, Q.QueueFilters.from_text(given)))
 
 
 @query(
