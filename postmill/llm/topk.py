@@ -1,7 +1,6 @@
 """Exact top-k by inner product: exhaustive term-at-a-time accumulation (operator 5).
 
-Candidates are dealt into blocks of about ``block_rows`` rows and queries into blocks of about
-``block_queries``; every block of queries meets every block of candidates once. Within a pair of blocks
+Candidates are dealt into blocks of thousands of rows and queries into blocks of about ``block_queries``; every block of queries meets every block of candidates once. Within a pair of blocks
 the candidates are inverted into postings (component: rows and weights), and each component of the
 queries scatters its weighted postings into a dense array of scores. Each block keeps each query's best
 k by partition selection, and the blocks' lists are merged. Nothing is left out, and memory depends on
@@ -11,7 +10,8 @@ Defined cases: vectors that are null, or hold null or non-finite components, tak
 component (shorter or empty vector) counts as 0; equal scores go to the smaller id, null ids last, then
 to the earlier row; rows that repeat an id are rows of their own, each with its own list if it is a
 query; a query's own row is left out, copies of it are not; tables without queries or candidates give no
-rows. Scores are exact while sums stay within 64 bits.
+rows; columns other than key and vector play no part, whatever their names. Scores are exact while sums stay
+within 64 bits.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from postmill.session import stage
 
 #: Queries whose scores are held at once.
 TOGETHER = 64
+#: Least and most candidates of a block, the number of blocks wanted, and queries of a block.
+LEAST_ROWS, MOST_ROWS, BLOCKS, BLOCK_QUERIES = 2048, 16384, 256, 16384
 NONE = np.iinfo(np.int64).min
 
 
@@ -85,15 +87,21 @@ def best_of_block(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
 
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding",
-    scale: int = 256, block_rows: int = 2048, block_queries: int = 1024,
+    scale: int = 256, block_rows: int | None = None, block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
-    """(query_id, rank, <key>, score) of every query's ``k`` best other rows."""
+    """(query_id, rank, <key>, score) of every query's ``k`` best other rows. A candidate is sent once for every
+    ``block_queries`` queries and a query once for every ``block_rows`` candidates, components as 32-bit numbers
+    where they fit."""
     rows = vectors.where(sound(F.col(vector))).select(
         F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("vector"),
         F.coalesce(is_query, F.lit(False)).alias("is_query"), F.monotonically_increasing_id().alias("row"),
     )
     rows = stage(rows, "topk-rows")
-    n, asked = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("is_query").cast("long")), F.lit(0))).first()
+    largest = F.max(F.array_max(F.transform("vector", lambda v: F.abs(v))))
+    n, asked, most = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("is_query").cast("long")), F.lit(0)), largest).first()
+    block_rows = block_rows or min(MOST_ROWS, max(LEAST_ROWS, -(-n // BLOCKS)))
+    if (most or 0) < 1 << 31:
+        rows = rows.withColumn("vector", F.col("vector").cast("array<int>"))
     blocks, asked_blocks = max(1, -(-n // block_rows)), max(1, -(-asked // block_queries))
     spread = F.xxhash64("row")
 
