@@ -6,7 +6,8 @@ distribution with that mean at the draw. Documents are exploded by their copies
 
 Defined cases: a null source is a source of its own; rows with equal id and equal text draw alike; a
 null text counts as an empty one in the draw; sources without a target weight get none (rate 0); an
-empty table gives no rows; input columns named like the added ones are replaced.
+empty table gives no rows; input columns named like the added ones are replaced, others of any name are
+kept; very long texts are hashed whole. ``docs`` is read as a table: numbers follow its order.
 """
 
 from __future__ import annotations
@@ -75,7 +76,8 @@ def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int = 11, key: str =
     steps = stage(poisson_steps(rates), "mix-steps").withColumnRenamed("source", "_source")
     size = steps.agg(F.sum(F.size("cdf"))).first()[0] or 0
     draw = uniform(F.lit(seed), F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    drawn = docs.select(whole_row(docs), F.col(source).alias("_of"), draw.alias("draw"))
+    # numbered where the rows are read, before any shuffle: a task that runs again numbers its rows as before
+    drawn = docs.select(whole_row(docs), F.col(source).alias("_of"), draw.alias("draw"), F.monotonically_increasing_id().alias("_row"))
     same = F.col("_of").eqNullSafe(F.col("_source"))
     if size <= BROADCAST_STEPS:
         joined = drawn.join(F.broadcast(steps), same)
@@ -85,7 +87,7 @@ def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int = 11, key: str =
         joined = drawn.join(salted, same & (F.col("_salt") == F.col("_part")))
     counted = joined.withColumn("mix_copies", copies(F.col("draw"), F.col("cdf"))).where("mix_copies > 0")
     # rows that repeat one id and text still go to different places
-    place = F.xxhash64(F.lit(seed), "draw", F.monotonically_increasing_id()).alias("place")
+    place = F.xxhash64(F.lit(seed), "draw", "_row").alias("place")
     each = F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("mix_copy")
     exploded = counted.select("row", "mix_rate", "mix_copies", each, place).withColumn("place", F.xxhash64("place", "mix_copy"))
     return exploded.repartition("place").sortWithinPartitions("place").drop("place")
