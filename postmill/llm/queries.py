@@ -48,7 +48,7 @@ def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        licenses.label_list(base).alias("base_labels"), licenses.label_list(F.col("places")).alias("labels"), "score",
+        licenses.label_list(base).alias("base_labels"), licenses.label_list(F.col("places"), F.col("licences")).alias("labels"), "score",
     )
 
 

@@ -150,6 +150,38 @@ def test_licence_places(spark, sf, odd_docs, docs_of):
             assert 0 <= r["score"] <= 1 and (r["score"] == 1) == bool(places)
 
 
+def test_whole_licences(docs_of):
+    """Licence texts word for word, altered, twice and side by side; their rare words scattered; their phrases alone."""
+    import random
+
+    rnd = random.Random(6)
+    rows, want = [], {}
+
+    def add(text, found):
+        want[len(rows)] = found
+        rows.append((len(rows), text))
+
+    for x in licenses.LICENCES:
+        w = x.words
+        add(" ".join(w), {(x.label, 0)})
+        add(words(31, 300) + " " + x.text.upper() + ", " + words(32, 50), {(x.label, 300)})
+        add(" ".join([*w, *["and"] * 500, *w]), {(x.label, 0), (x.label, len(w) + 500)})
+        keep = {i for p in x.mandatory for i in range(licenses._offset(w, p.split()), licenses._offset(w, p.split()) + len(p.split()))}
+        other = [v if i in keep or rnd.random() > 0.12 else f"other{i}" for i, v in enumerate(w)]
+        first = licenses._offset(w, x.mandatory[0].split())
+        add(words(33, 90) + " " + " ".join([*other[:first], *other[first:first + 9], "inserted", "words", *other[first + 9:]]), {(x.label, 90)})
+        scattered = w[:]
+        rnd.shuffle(scattered)
+        add(" ".join(v + " " + words(40 + i % 7, 12) for i, v in enumerate(scattered)), set())
+        add(words(35, 100) + " " + " ".join(x.mandatory) + " " + words(36, 100), set())
+    add(" ".join(x.text for x in licenses.LICENCES), {(x.label, sum(len(y.words) for y in licenses.LICENCES[:i])) for i, x in enumerate(licenses.LICENCES)})
+    add("merchantability unencumbered sublicense " * 3000, set())
+    filler = [(1000 + i, words(500 + i, 60) + " the of and to is in a") for i in range(60)]
+    got = {r["doc_id"]: {(p["label"], p["start"]) for p in r["licences"]} for r in licenses.scan_licences(docs_of(rows + filler)).collect()}
+    wrong = {i: (got[i], w) for i, w in want.items() if got[i] != w}
+    assert not wrong and not any(got[i] for i, _ in filler)
+
+
 def test_licence_query(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
     for r in QUERIES["op3_license_scan"](spark, sf).collect():
