@@ -15,7 +15,7 @@ that a pair with a text of under 40 words can hold, whatever they share. Among t
 components are found by an exact prefix and position filter on their rarest words, which passes every pair
 that can reach the threshold, and are verified. So no bucket is capped, and a pair that shares a
 bucket or holds a short text is verified unless it is already in one class or proved to be below. Words
-that many of these texts hold are looked up where the texts are, or dealt out by a salt.
+that many of these texts hold are counted where the texts are, and joins on them split at run time.
 
 No pair with a text of under 40 words is missed. Two longer texts with c k-mers of a union of u in
 common (in one order) share none of the sketches with a chance of about (1 - (c / u)^3)^64. An edited word
@@ -47,8 +47,8 @@ KMER, THRESHOLD = 16, 0.8
 SKETCHES, SAMPLED = 64, 3
 #: Texts of fewer words are paired by the exact filter, not by sketches alone.
 SHORT = 40
-#: Share of the rows, one in so many, from which a word is hot, and the parts that its rows are dealt to.
-HOT, SALTS = 2000, 32
+#: Share of the rows, one in so many, from which a word is hot.
+HOT = 2000
 #: Bytes of text whose hashes are held at once, and k-mers of one text whose hashes for all seeds are.
 BYTES, TOGETHER = 1 << 20, 1 << 16
 
@@ -359,35 +359,30 @@ def _reachable(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     ranked = counted.withColumn("i", rank)
     first = hold(ranked.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).drop("df"), "prefixes")
     hold.free_others(first)
-    # words of one component lead nowhere
-    mixed = first.groupBy("word").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("c")).where("_lo <> _hi")
-    mixed = hold(mixed.select("word", "c"), "mixed")
-    large = F.col("c") * HOT > first.count()
-    few, many = mixed.where(~large).select("word"), F.broadcast(mixed.where(large).select("word"))
-    met = _met(hold(first.join(few, "word", "left_semi"), "few"), 1, threshold, hold).unionByName(
-        _met(hold(first.join(many, "word", "left_semi"), "many"), SALTS, threshold, hold)
-    )
+    # the component with most texts of each word; words of one component lead nowhere
+    counts = first.groupBy("word", "root").agg(F.count(F.lit(1)).alias("c"))
+    of_word = counts.groupBy("word").agg(F.max(F.struct("c", "root"))["root"].alias("crowd"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+    crowds = hold(of_word.where("_lo <> _hi").select("word", "crowd"), "crowds")
+    # joins of written tables on a word, which split at run time where it is hot
+    left = hold(first.join(crowds, "word").where("root <> crowd"), "left")
+    met = _met(left, first, threshold)
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("rest").alias("rest"), F.first("need").alias("need"))
     reached = hold(pairs.where("c + rest >= need - 1e-6").select("a", "b"), "reached")
     hold.free_others(reached)
     return reached
 
 
-def _met(rows: DataFrame, salts: int, threshold: float, hold: Staging) -> DataFrame:
-    """A row for each word of their prefixes that a pair of texts shares; the rows of the largest component of a word
-    are dealt to ``salts`` parts, to each of which the others go."""
-    crowds = hold(rows.groupBy("word", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("word").agg(F.max(F.struct("c", "root"))["root"].alias("crowd")), "crowds")
+def _met(left: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """A row for each word of their prefixes that two texts share, of which one is outside the word's crowd."""
     columns = ("node", "n", "root", "i")
-    y = rows.select("word", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt"), *[F.col(c).alias(f"{c}_y") for c in columns])
-    left = hold(rows.join(crowds, "word").where("root <> crowd"), "left")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
-    x = left.select("word", every, "crowd", *[F.col(c).alias(f"{c}_x") for c in columns])
+    x = left.select("word", "crowd", *[F.col(c).alias(f"{c}_x") for c in columns])
+    y = rows.select("word", *[F.col(c).alias(f"{c}_y") for c in columns])
     need = F.greatest("n_x", "n_y") * threshold
     rest = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
     sized = F.least("n_x", "n_y") >= need - 1e-6
     # two texts outside the crowd would meet from both sides
     once = (F.col("root_y") == F.col("crowd")) | (F.col("node_y") < F.col("node_x"))
-    met = x.join(y, ["word", "salt"]).where((F.col("root_x") != F.col("root_y")) & sized & once)
+    met = x.join(y, "word").where((F.col("root_x") != F.col("root_y")) & sized & once)
     return met.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b"), rest.alias("rest"), need.alias("need"))
 
 
@@ -411,7 +406,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     rooted = stage(_rooted(texts.select("node", "sha", "id", "rows"), roots), "near-rooted")
     first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "sha")).alias("first")
     classes = rooted.groupBy("root").agg(first, F.sum("rows").alias("class_rows"), F.count(F.lit(1)).alias("class_texts"))
-    named = rooted.select("sha", "root").join(classes, "root").drop("root")
+    named = rooted.select("sha", "root").join(stage(classes, "near-classes"), "root").drop("root")
     return drawn.select("id", "sha").join(named, "sha").select(
         F.col("id").alias(key), F.col("sha").alias("text_sha256"), F.col("first.id").alias("class_id"), "class_rows", "class_texts",
         (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("sha") == F.col("first.sha"))).alias("is_first"),
