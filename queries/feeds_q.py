@@ -364,3 +364,19 @@ def stream_ingest(spark, sf):
             ws, landing, D.SOURCES["greenhouse"], f"{root}/checkpoint", AS_OF, lines=True
         ).awaitTermination()
     return ws.postings.read().select("posting_key", "company_key", stamp("posted_at"))
+
+
+@query("stream_ingest_feeds", LANDED + " SELECT sha256(company || '|engineer ' || id || '|' || place) AS posting_key, source FROM (SELECT source, CAST(o_orderkey AS VARCHAR)"
+       " AS id, CASE WHEN source IN ('remotive', 'hn_algolia') THEN 'acme' ELSE token END AS company, CASE WHEN source = 'hn_algolia' THEN 'remote' ELSE '' END AS place"
+       " FROM o WHERE o_orderkey % 11 <> 0 AND (source <> 'hn_algolia' OR o_orderkey % 3 = 1))")
+def stream_ingest_feeds(spark, sf):
+    """Five feeds as one stream, six files of each a micro-batch, with torn files and an old thread among them."""
+    from postmill.plans.workspace import Workspace
+    from postmill.session import scratch
+    from postmill.streaming.jobs import ingest
+    from queries.binding import AS_OF
+
+    landing, root = land_feeds(spark, sf), scratch(spark, "ingest-feeds")
+    ws = Workspace(spark, f"{root}/ws")
+    ingest(ws, landing, list(D.SOURCES.values()), f"{root}/checkpoint", AS_OF, files_per_trigger=6, lines=True).awaitTermination()
+    return ws.postings.read().select("posting_key", "source")
