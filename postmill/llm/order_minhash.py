@@ -351,10 +351,9 @@ def _reachable(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     listed = hold(open_texts.select("node", "n", "root", F.explode(words_of(F.col("text"))).alias("word")), "words")
     shared = hold(listed.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     large = F.col("df") * HOT > listed.count()  # fewer than HOT words
-    hot = F.broadcast(shared.where(large))
-    counted = listed.join(hot, "word").unionByName(
-        listed.join(hot.select("word"), "word", "left_anti").join(shared.where(~large), "word", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    )
+    told = listed.join(F.broadcast(shared.where(large)), "word", "left")
+    others = told.where("df IS NULL").drop("df").join(shared.where(~large), "word", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    counted = told.where("df IS NOT NULL").unionByName(others)
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "word"))  # as many rows as the text has words
     ranked = counted.withColumn("i", rank)
     first = hold(ranked.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).drop("df"), "prefixes")
