@@ -21,18 +21,27 @@ def cap_per_group(df: DataFrame, group: str, order: Sequence[Column], cap: int)
     return df.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank")
 
 
+def unique_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """J1. Join a fact table to a table with unique ``key``, of any size.
+
+    Where Spark knows the dimension to be small it is broadcast, and a hot key is no one task's work.
+    Beyond that both sides are shuffled, and adaptive execution splits a hot key's partition, since
+    nothing after the join asks for its partitioning. The dimension is not repeated: a repeated one
+    looks as small as before to Spark, which would send all its copies through the driver.
+    """
+    return fact.join(dim, key, how)
+
+
 def salted_join(
     fact: DataFrame, dim: DataFrame, key: str, spread_by: str, how: str = "inner", salts: int = 16
 ) -> DataFrame:
-    """J1. Join a fact table to a table with unique ``key``, hot keys spread over ``salts`` tasks.
-
-    The dimension is repeated per salt; where it is small Spark broadcasts it and the salt
-    costs nothing. Beyond that, adaptive execution splits what is still skewed, since nothing
-    after the join asks for its partitioning.
+    """J1. Join a fact table to a table of few rows with unique ``key``, hot keys spread over ``salts``
+    tasks whatever the session's settings are. The dimension is repeated per salt, by a shuffle and never
+    through the driver.
     """
     salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    return salted_fact.join(dim.withColumn("_salt", every), [key, "_salt"], how).drop("_salt")
+    return salted_fact.join(dim.withColumn("_salt", every).hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def running_total(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.places import CLASSES, split_places
 from postmill.functions.text import collapse
-from postmill.operators.common import salted_join
+from postmill.operators.common import unique_join
 from postmill.session import stage
 
 #: Sections whose terms may be ordinary words, which do not count in prose.
@@ -157,12 +157,12 @@ def classify_by_table(
     rows = postings.withColumn("_place", F.coalesce("location", F.lit("")))
     places = rows.select(F.col("_place").alias("id")).distinct().select("id", F.col("id").alias("text"), F.lit(False).alias("prose"))
     ranks = text_ranks(places, vocab, home).select(F.col("id").alias("_place"), "rank")
-    located = stage(salted_join(rows, ranks, "_place", key, "left").drop("_place").withColumn("_rank", F.col("rank")).drop("rank"), "located")
+    located = stage(unique_join(rows, ranks, "_place", "left").drop("_place").withColumn("_rank", F.col("rank")).drop("rank"), "located")
     told = located.where(F.col("_rank").isNotNull())
     silent = located.where(F.col("_rank").isNull()).withColumn("_text", F.sha2(F.coalesce(header, F.lit("")), 256)).drop("_rank")
     texts = silent.groupBy(F.col("_text").alias("id")).agg(F.first(F.coalesce(header, F.lit(""))).alias("text")).withColumn("prose", F.lit(True))
     read = text_ranks(texts, vocab, home).select(F.col("id").alias("_text"), F.col("rank").alias("_rank"))
-    both = told.unionByName(salted_join(silent, read, "_text", key, "left").drop("_text"))
+    both = told.unionByName(unique_join(silent, read, "_text", "left").drop("_text"))
     classes = F.array(*[F.lit(c) for c in CLASSES])
     name = F.get(classes, F.coalesce("_rank", F.lit(CLASSES.index("unknown"))))
     return both.withColumn("location_class", name).drop("_rank")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.places import location_verdict
-from postmill.operators.common import salted_join
+from postmill.operators.common import unique_join
 
 
 def is_open() -> Column:
@@ -22,9 +22,8 @@ def is_live() -> Column:
 def canonical(postings: DataFrame, companies: DataFrame) -> DataFrame:
     """S10. Postings with their employer; an unset arrangement reads as onsite."""
     names = companies.select("company_key", F.col("name").alias("company_name"))
-    return salted_join(
-        postings.withColumn("remote_type", F.coalesce("remote_type", F.lit("onsite"))),
-        names, "company_key", "posting_key",
+    return unique_join(
+        postings.withColumn("remote_type", F.coalesce("remote_type", F.lit("onsite"))), names, "company_key"
     )
 
 
@@ -50,7 +49,7 @@ def posting_detail(
     )
     state = applications.select("posting_key", "status", "applied_at", "notes")
     keyed = postings.join(marks, "posting_key", "left").join(state, "posting_key", "left")
-    return salted_join(keyed, employer, "company_key", "posting_key").withColumn(
+    return unique_join(keyed, employer, "company_key").withColumn(
         "status", F.coalesce("status", F.lit("queued"))
     )
 

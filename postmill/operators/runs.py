@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.expr import instant
-from postmill.operators.common import salted_join
+from postmill.operators.common import unique_join
 
 
 def recent_runs(runs: DataFrame, limit: int = 20) -> DataFrame:
@@ -53,7 +53,7 @@ def source_state(attempts: DataFrame) -> DataFrame:
     # One row per source: Spark broadcasts it while it is small and splits skew beyond that.
     failed = attempts.where(~F.col("ok")).select("source", point.alias("_at"), "attempt_id")
     since = (
-        salted_join(failed, last.select("source", "_last_ok"), "source", "attempt_id")
+        unique_join(failed, last.select("source", "_last_ok"), "source")
         .where(F.col("_last_ok").isNull() | (F.col("_at") > F.col("_last_ok")))
         .groupBy("source")
         .agg(F.count("*").alias("consecutive_errors"))

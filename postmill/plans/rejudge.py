@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postmill.functions.rules import RuleSet
 from postmill.operators.merges import rejudge, rejudge_changed, rejudge_diff
 from postmill.operators.reports import rejudge_transitions
-from postmill.operators.common import salted_join
+from postmill.operators.common import unique_join
 from postmill.plans.workspace import Workspace
 from postmill.session import stage
 from postmill.vocab import PlaceVocab
@@ -34,4 +34,4 @@ def rejudge_stored(
     if not dry_run:
         ws.postings.commit(changed)
     names = ws.companies.read().select("company_key", F.col("name").alias("company_name"))
-    return rejudge_transitions(salted_join(changed, names, "company_key", "posting_key"))
+    return rejudge_transitions(unique_join(changed, names, "company_key"))

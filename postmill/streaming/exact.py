@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from postmill.operators.common import salted_join
+from postmill.operators.common import unique_join
 from postmill.session import stage
 from postmill.sources.tables import StoredTable, append_once
 from postmill.streaming.jobs import query_id, run_batches
@@ -149,8 +149,8 @@ def track_streaks(attempts: DataFrame, root: str, checkpoint: str) -> StreamingQ
         # ``last`` has every source of the batch, so failures of the batch and open ones are judged by it
         since = F.col("last").isNull() | (point > F.col("last"))
         failed = rows.where(~F.col("ok")).select("source", "at", "attempt_id").dropDuplicates(["source", "attempt_id"])
-        fresh = salted_join(failed, last.select("source", "last"), "source", "attempt_id").where(since)
-        closed = salted_join(open_.read(), last.select("source", "last"), "source", "attempt_id").where(~since)
+        fresh = unique_join(failed, last.select("source", "last"), "source").where(since)
+        closed = unique_join(open_.read(), last.select("source", "last"), "source").where(~since)
         open_.commit(fresh.select("source", "at", "attempt_id"), gone=closed.select("source", "at", "attempt_id"), label=label)
 
     return run_once(attempts, checkpoint, open_, handle)

@@ -10,7 +10,7 @@ from postmill.operators import merges as G
 from postmill.operators import reports as R
 from postmill.operators import scoring as O
 from postmill.operators import screen as C
-from postmill.operators.common import salted_join
+from postmill.operators.common import unique_join
 from postmill.session import scratch, stage
 from postmill.sources.tables import StoredTable
 from queries.binding import (
@@ -341,5 +341,5 @@ def commit_recovers(spark, sf):
 ))
 def rejudge_transitions(spark, sf):
     names = companies(spark, sf).selectExpr("company_key", "name AS company_name")
-    diff = salted_join(G.rejudge_diff(_rejudged(spark, sf)), names, "company_key", "posting_key")
+    diff = unique_join(G.rejudge_diff(_rejudged(spark, sf)), names, "company_key")
     return R.rejudge_transitions(diff).withColumn("examples", F.array_join("examples", " / "))

@@ -187,3 +187,18 @@ def test_salted_join_equals_plain_join(spark):
         want = sorted(map(tuple, fact.join(dim, "k", how).select("id", "k", "d").collect()), key=str)
         got = sorted(map(tuple, salted_join(fact, dim, "k", "id", how, 5).select("id", "k", "d").collect()), key=str)
         assert got == want
+
+
+def test_joins_by_a_unique_key_send_no_repeated_rows_through_the_driver(spark):
+    from postmill.operators.common import salted_join, unique_join
+    from postmill.operators.postings import canonical
+
+    postings = spark.range(300).selectExpr("id AS posting_key", "id % 30 AS company_key", "CAST(NULL AS STRING) AS remote_type")
+    firms = spark.range(30).selectExpr("id AS company_key", "'firm ' || CAST(id AS STRING) AS name")
+    joined = canonical(postings, firms)
+    assert joined.count() == 300 and joined.where("company_name <> 'firm ' || CAST(company_key AS STRING)").count() == 0
+    # the dimension is the given rows, not a copy of them for each salt
+    assert "Generate" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    held = unique_join(postings, firms.where("company_key < 10"), "company_key", "left")
+    assert (held.count(), held.where("name IS NULL").count()) == (300, 200)
+    assert "Broadcast" not in salted_join(postings, firms, "company_key", "posting_key")._jdf.queryExecution().sparkPlan().toString()
