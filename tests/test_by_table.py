@@ -57,6 +57,18 @@ def test_the_filter_passes_all_pieces_and_few_others(spark):
     assert pieces.where(none(F.col("piece"))).count() == 0
 
 
+def test_long_lists_add_nothing_to_the_plan(spark):
+    pieces = spark.range(200000).select(F.xxhash64("id").alias("piece"))
+    holds = C.bloom_filter(pieces)
+    tested = pieces.where(holds(F.col("piece")))
+    assert len(tested._jdf.queryExecution().optimizedPlan().toString()) < 500_000 and tested.count() == 200000
+    rows = spark.range(400000).select(F.col("id").alias("doc"), F.xxhash64("id").alias("piece"))
+    found = C.likely(rows, pieces)
+    assert found.columns == ["doc", "piece"] and found.where("doc < 200000").count() == 200000
+    assert found.where("doc >= 200000").count() < 20000
+    assert C.likely(rows, pieces.limit(0)).count() == 0
+
+
 def test_pages_hold_all_rows_in_order(spark, tmp_path):
     rng = random.Random(4)
     rows = [(i, rng.choice([0.5, 0.5, None, rng.random()])) for i in range(230)]
