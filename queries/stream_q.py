@@ -17,36 +17,40 @@ from queries.spend_q import PRICED
 FILES = 3
 
 
+def _times(events):
+    """The time of each event in microseconds, and the first and the last of them."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return us, *events.select(us.alias("us")).agg(F.min("us"), F.max("us")).first()
+
+
+def _landed(spark, events, label, landings):
+    """The events that meet each of the conditions as files that land one after the other, as a stream of a micro-batch
+    for each landing. Every landing has as many files, so that no micro-batch ends within one or takes in the next."""
+    root = scratch(spark, label)
+    rows = events.agg(*[F.count_if(rows).alias(f"n{i}") for i, rows in enumerate(landings)]).first()
+    # so many rows a file that none stays empty, as an empty one is not written
+    files = max(1, min(events.rdd.getNumPartitions(), min(rows) // 1000))
+    for i, rows in enumerate(landings):
+        events.where(rows).repartition(files).write.parquet(f"{root}/landed-{i}")
+    return J.file_stream(spark, root, ddl(dict(events.dtypes)), files_per_trigger=files, recursiveFileLookup="true")
+
+
 def _events(spark, sf):
     """The events as files that land one after the other, a span of time in each, one a micro-batch."""
     events = spark.read.parquet(f"{sf}/events.parquet")
-    root = scratch(spark, "events")
-    first, last = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(F.min("us"), F.max("us")).first()
-    span = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - first) * FILES / (last - first + 1))
-    for i in range(FILES):
-        events.where(F.coalesce(span, F.lit(0)) == i).write.mode("append").parquet(root)
-    return _stream(spark, root, FILES)
-
-
-def _stream(spark, root, batches):
-    """The files below ``root`` as they landed, in about so many micro-batches."""
-    files = spark.read.option("recursiveFileLookup", True).parquet(root)
-    per = max(1, len(files.inputFiles()) // batches)
-    return J.file_stream(spark, root, ddl(dict(files.dtypes)), files_per_trigger=per, recursiveFileLookup="true")
+    us, first, last = _times(events)
+    span = F.coalesce(F.floor((us - first) * FILES / (last - first + 1)), F.lit(0))
+    return _landed(spark, events, "events", [span == i for i in range(FILES)])
 
 
 def _untidy(spark, sf):
     """The events in three spans of time, of which the first lacks a part that lands after the last; then the
     second span lands once more."""
     events = spark.read.parquet(f"{sf}/events.parquet")
-    root = scratch(spark, "untidy")
-    first, last = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(F.min("us"), F.max("us")).first()
-    span = F.coalesce(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - first) * 3 / (last - first + 1)), F.lit(0))
+    us, first, last = _times(events)
+    span = F.coalesce(F.floor((us - first) * 3 / (last - first + 1)), F.lit(0))
     held = (span == 0) & (F.col("event_id") % 4 == 1)
-    landed = [(span == 0) & ~held, span == 1, span == 2, held, span == 1]
-    for i, rows in enumerate(landed):
-        events.where(rows).write.parquet(f"{root}/landed-{i}")
-    return _stream(spark, root, len(landed))
+    return _landed(spark, events, "untidy", [(span == 0) & ~held, span == 1, span == 2, held, span == 1])
 
 
 def _run(spark, label, start):

@@ -91,3 +91,22 @@ def test_a_repost_raises_no_second_alert(spark, tmp_path):
     X.first_alerts(landed(spark, str(tmp_path / "in"), batches, schema), "k", "at", root, str(tmp_path / "cp")).awaitTermination()
     alerts = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/alerts")
     assert sorted(r.k for r in alerts.collect()) == ["a", "b", "c"]
+
+
+def test_each_landing_of_events_is_one_micro_batch(spark, tmp_path):
+    import duckdb
+
+    from queries import ORACLES, QUERIES
+
+    # files of uneven times: one holds a span alone, one all of them, as in a table of several copies
+    def events(first, last, seconds):
+        at = f"CAST(timestamp_seconds(1704067200 + {seconds}) AS TIMESTAMP_NTZ) AS ts"
+        return spark.range(first, last, 1, 1).selectExpr("id AS event_id", at, "id % 7 AS user_id", "'view' AS event_type")
+
+    whole, early, later = events(0, 3000, "id * 864"), events(3000, 9000, "(id - 3000) * 50"), events(9000, 15000, "2500000 - (id - 9000) * 50")
+    for part in (early, whole, later):
+        part.write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = sorted(con.execute(ORACLES["stream_late_log"]).fetchall())
+    assert want and sorted(map(tuple, QUERIES["stream_late_log"](spark, str(tmp_path)).collect())) == want
