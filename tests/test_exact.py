@@ -93,20 +93,25 @@ def test_a_repost_raises_no_second_alert(spark, tmp_path):
     assert sorted(r.k for r in alerts.collect()) == ["a", "b", "c"]
 
 
-def test_each_landing_of_events_is_one_micro_batch(spark, tmp_path):
-    import duckdb
+def test_landings_of_events_have_equally_many_files(spark, tmp_path):
+    from pathlib import Path
 
-    from queries import ORACLES, QUERIES
+    from postmill.session import shared_dir
+    from queries import stream_q
 
-    # files of uneven times: one holds a span alone, one all of them, as in a table of several copies
+    # files of uneven times, as in a table of several copies: some hold one span alone
     def events(first, last, seconds):
         at = f"CAST(timestamp_seconds(1704067200 + {seconds}) AS TIMESTAMP_NTZ) AS ts"
         return spark.range(first, last, 1, 1).selectExpr("id AS event_id", at, "id % 7 AS user_id", "'view' AS event_type")
 
-    whole, early, later = events(0, 3000, "id * 864"), events(3000, 9000, "(id - 3000) * 50"), events(9000, 15000, "2500000 - (id - 9000) * 50")
-    for part in (early, whole, later):
+    for part in (events(3000, 9000, "(id - 3000) * 50"), events(0, 3000, "id * 864"), events(9000, 15000, "2500000 - (id - 9000) * 50")):
         part.write.mode("append").parquet(str(tmp_path / "events.parquet"))
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
-    want = sorted(con.execute(ORACLES["stream_late_log"]).fetchall())
-    assert want and sorted(map(tuple, QUERIES["stream_late_log"](spark, str(tmp_path)).collect())) == want
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")  # a task for each file and more
+    try:
+        stream_q._untidy(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    root = max(Path(shared_dir(spark)).glob("untidy-*"), key=lambda p: p.stat().st_mtime)
+    files = [len(list((root / f"landed-{i}").glob("*.parquet"))) for i in range(5)]
+    assert len(set(files)) == 1 and spark.read.option("recursiveFileLookup", True).parquet(str(root)).count() > 15000
