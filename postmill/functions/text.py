@@ -65,14 +65,13 @@ def _reference(piece: Column, bare: bool) -> Column:
     table = F.from_json(F.lit(NAMED), "map<string,string>")
 
     def by_name(name: Column) -> Column:
-        def decoded(found: Column) -> Column:
-            out = F.when(found.isNotNull(), F.concat(found, after(name)))
-            if bare:
-                prefix = F.regexp_extract(piece, BARE, 0)
-                out = out.when(prefix != "", F.concat(F.try_element_at(table, prefix), after(prefix)))
-            return out.otherwise(F.concat(F.lit("&"), piece))
-
-        return let(F.try_element_at(table, name), decoded)
+        # the table stands in the expression once: plans repeat its text wherever they are kept
+        names = F.array(name, F.regexp_extract(piece, BARE, 0)) if bare else F.array(name)
+        known = F.transform(names, lambda n: F.struct(n.alias("name"), F.try_element_at(table, n).alias("text")))
+        return let(
+            F.get(F.filter(known, lambda k: k["text"].isNotNull()), F.lit(0)),
+            lambda k: F.when(k.isNotNull(), F.concat(k["text"], after(k["name"]))).otherwise(F.concat(F.lit("&"), piece)),
+        )
 
     out = F.when(F.lit(False), piece)
     for name in USUAL:
@@ -102,10 +101,12 @@ def strip_html(raw: Column, bare: bool = True) -> Column:
 
 
 def _plain(raw: Column, bare: bool) -> Column:
-    def decoded(text: Column) -> Column:
-        return decode_entities(text, bare)
+    def step(text: Column, again: Column) -> Column:
+        shown = F.when(again, F.regexp_replace(text, TAG, " ")).otherwise(text)
+        return let(shown, lambda t: decode_entities(t, bare))
 
-    return collapse(let(F.regexp_replace(decoded(raw), TAG, " "), decoded))
+    # one expression that is run twice
+    return collapse(F.aggregate(F.array(F.lit(False), F.lit(True)), raw, step))
 
 
 def strip_html_each(raw: Column) -> Column:

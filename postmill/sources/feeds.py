@@ -95,18 +95,30 @@ def lever_raw(payloads: DataFrame) -> DataFrame:
         ),
     )
     none = F.array().cast("array<string>")
-    sections = F.concat(
-        F.array(_first(F.col("descriptionPlain"), strip_html(F.col("description")))),
-        F.coalesce(strip_html_each(blocks), none),
-        F.array(_first(F.col("additionalPlain"), strip_html(F.col("additional")))),
+
+    def unless(plain: str, html: str) -> Column:
+        return F.when(F.coalesce(F.col(plain), F.lit("")) == "", F.col(html))
+
+    # all fragments by one expression
+    fragments = F.concat(
+        F.array(unless("descriptionPlain", "description"), unless("additionalPlain", "additional")),
+        F.coalesce(blocks, none),
     )
+
+    def sections(plain: Column) -> Column:
+        return F.concat(
+            F.array(_first(F.col("descriptionPlain"), F.get(plain, F.lit(0)))),
+            F.slice(plain, F.lit(3), F.size(plain)),
+            F.array(_first(F.col("additionalPlain"), F.get(plain, F.lit(1)))),
+        )
+
     return payloads.select(
         F.lit("lever").alias("source"),
         F.col("id").alias("source_job_id"),
         F.col("token").alias("company_name"),
         F.col("text").alias("title"),
         F.col("categories.location").alias("location"),
-        join_section_array(sections).alias("description"),
+        join_section_array(let(strip_html_each(fragments), sections)).alias("description"),
         _first(F.col("hostedUrl"), F.col("applyUrl")).alias("apply_url"),
         epoch_millis(F.col("createdAt")).alias("posted_at"),
         F.col("workplaceType").alias("remote_type_hint"),
