@@ -19,7 +19,7 @@ from postmill.operators.merges import (
 )
 from postmill.plans.workspace import Workspace
 from postmill.schemas import RUN, conform, ddl
-from postmill.session import stage
+from postmill.session import dealt, stage
 from postmill.sources.feeds import read_raw, split_sound, unreadable
 from postmill.sources.landing import FILE, landed_status, new_files
 from postmill.sources.tables import append_once
@@ -51,9 +51,8 @@ def store_batch(ws: Workspace, judged: DataFrame) -> DataFrame:
     ws.postings.commit(changes.where(~replaced), gone=changes.where(replaced))
 
     sighted = company_sightings(judged.withColumn("board_token", F.lit(None).cast("string")))
-    known = ws.companies.read().join(
-        sighted.select("company_key").distinct(), "company_key", "left_semi"
-    )
+    named = dealt(sighted.select("company_key").distinct(), judged.count())
+    known = ws.companies.read().join(named, "company_key", "left_semi")
     ws.companies.commit(merge_companies(known, sighted))
     return changes
 

@@ -49,6 +49,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which Spark may choose to broadcast the keys of a written table.
+FEW_ROWS = 50_000
+
+
+def dealt(df: DataFrame, rows: int, few: int = FEW_ROWS) -> DataFrame:
+    """A side of a join that is not broadcast if it has more than ``few`` rows. Spark takes a written table's
+    size, and that of some of its columns, from its compressed files; the keys of a large one can be many
+    times that in the driver's memory."""
+    return df.hint("merge") if rows > few else df
+
+
 def discard(spark: SparkSession, path: str) -> bool:
     """Delete a folder through Spark's own file systems; whether it was there."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

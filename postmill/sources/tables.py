@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.schemas import conform, ddl
-from postmill.session import discard
+from postmill.session import dealt, discard
 
 GONE, NUMBER = "_gone", "_commit"
 RECORD = "number long, kind string, path string, rows long, label string"
@@ -105,7 +105,8 @@ class StoredTable:
         if not later:
             return base.select(*self.schema)
         changes = self._changes(later, only)
-        return base.join(changes.select(*self.keys), self.keys, "left_anti").select(*self.schema).unionByName(
+        changed = dealt(changes.select(*self.keys), sum(r.rows for r in later))
+        return base.join(changed, self.keys, "left_anti").select(*self.schema).unionByName(
             changes.where(~F.col(GONE)).select(*self.schema)
         )
 

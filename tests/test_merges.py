@@ -202,3 +202,26 @@ def test_joins_by_a_unique_key_send_no_repeated_rows_through_the_driver(spark):
     held = unique_join(postings, firms.where("company_key < 10"), "company_key", "left")
     assert (held.count(), held.where("name IS NULL").count()) == (300, 200)
     assert "Broadcast" not in salted_join(postings, firms, "company_key", "posting_key")._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_keys_of_a_large_batch_are_not_broadcast(spark, tmp_path):
+    from postmill.schemas import conform
+    from postmill.session import stage
+    from postmill.sources.tables import StoredTable
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    rows = spark.range(30).selectExpr("concat('k', id) AS posting_key", "'lever' AS source", "concat('j', id) AS source_job_id", "id AS seq")
+    current = stage(conform(rows.where("seq < 20").withColumn("first_seen_at", F.current_timestamp()), POSTING), "current")
+    batch = stage(G.collapse_batch(rows.withColumn("seen_at", F.current_timestamp())), "batch")
+    few, many = G.posting_changes(current, batch), G.posting_changes(current, batch, few=29)
+    assert "BroadcastHashJoin" in plan(few) and "BroadcastHashJoin" not in plan(many)
+    assert sorted(r.change for r in few.collect()) == sorted(r.change for r in many.collect()) == ["new"] * 10 + ["seen"] * 20
+
+    table = StoredTable(spark, str(tmp_path / "t"), {"k": "bigint"}, "k", share=0.9)
+    table.commit(spark.range(70_000).select(F.col("id").alias("k")))
+    table.commit(spark.range(10).select(F.col("id").alias("k")))
+    assert "BroadcastHashJoin" in plan(table.read())
+    table.commit(spark.range(60_000).select(F.col("id").alias("k")))
+    assert "BroadcastHashJoin" not in plan(table.read()) and table.read().count() == 70_000
