@@ -15,7 +15,8 @@ that a pair with a text of under 40 words can hold, whatever they share. Among t
 components are found by an exact prefix and position filter on their rarest words, which passes every pair
 that can reach the threshold, and are verified. So no bucket is capped, and a pair that shares a
 bucket or holds a short text is verified unless it is already in one class or proved to be below. Words
-that many of these texts hold are counted where the texts are, and joins on them split at run time.
+that many of these texts hold are counted where the texts are, and are joined in packs of up to 60 words of one
+crowd of near-copies: two texts meet once for all words of a pack, not once for each.
 
 No pair with a text of under 40 words is missed. Two longer texts with c k-mers of a union of u in
 common (in one order) share none of the sketches with a chance of about (1 - (c / u)^3)^64. An edited word
@@ -49,6 +50,8 @@ SKETCHES, SAMPLED = 64, 3
 SHORT = 40
 #: Share of the rows, one in so many, from which a word is hot.
 HOT = 2000
+#: Texts from which a word is joined in a pack, and words of a pack: bits of a long.
+OFTEN, PACK = 16, 60
 #: Bytes of text whose hashes are held at once, and k-mers of one text whose hashes for all seeds are.
 BYTES, TOGETHER = 1 << 20, 1 << 16
 
@@ -345,44 +348,86 @@ def _reachable(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     share one of the first n - threshold * n + 1; and if c of these are shared and the last of them is the i-th of one
     and the j-th of the other, they share at most c + min(n - i, m - j), which must be the threshold's share of the longer.
     For each word the component with most texts is not joined with itself, so a crowd of
-    near-copies meets the few texts that are left of it, and is not paired."""
+    near-copies meets the few texts that are left of it, and is not paired. Words that OFTEN texts or more
+    have in their prefix are packed with others of the same crowd, neighbours in the order of words."""
     hold = Staging(texts.sparkSession, "near-reach")
     open_texts = texts.join(nodes.select("node", "n", "root"), "node")
-    listed = hold(open_texts.select("node", "n", "root", F.explode(words_of(F.col("text"))).alias("word")), "words")
+    sequences = hold(open_texts.select("node", "n", "root", words_of(F.col("text")).alias("words")), "words")
+    listed = sequences.select("node", "n", "root", F.explode("words").alias("word"))
     shared = hold(listed.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
-    large = F.col("df") * HOT > listed.count()  # fewer than HOT words
-    told = listed.join(F.broadcast(shared.where(large)), "word", "left")
-    others = told.where("df IS NULL").drop("df").join(shared.where(~large), "word", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    counted = told.where("df IS NOT NULL").unionByName(others)
+    large = F.col("df") * HOT > (sequences.agg(F.sum(F.size("words"))).first()[0] or 0)  # fewer than HOT words
+    lead = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    cold = listed.join(F.broadcast(shared.where(large).select("word")), "word", "left_anti")
+    counted = cold.join(shared.where(~large), "word", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "word"))  # as many rows as the text has words
-    ranked = counted.withColumn("i", rank)
-    first = hold(ranked.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).drop("df"), "prefixes")
-    hold.free_others(first)
+    ranked = counted.withColumn("i", rank).where((F.col("df") > 1) & (F.col("i") <= lead))
+    # hot words come last: texts whose other words do not fill their prefix take the first of them
+    hot = shared.where(large).agg(F.array_sort(F.collect_list(F.struct("df", "word")))["word"].alias("hot"))
+    filled = cold.groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    few = sequences.join(filled, "node", "left").withColumn("c", F.coalesce("c", F.lit(0))).where(F.col("c") < lead).crossJoin(F.broadcast(hot))
+    led = F.slice(F.array_intersect("hot", "words"), F.lit(1), (lead - F.col("c")).cast("int"))
+    last = few.select("node", "n", "root", "c", F.posexplode(led).alias("at", "word")).withColumn("i", (F.col("c") + F.col("at") + 1).cast("int"))
+    columns = ("node", "n", "root", "word", "i")
+    first = hold(ranked.select(*columns).unionAll(last.select(*columns)), "prefixes")
+    hold.free_others(first, shared)
     # the component with most texts of each word; words of one component lead nowhere
     counts = first.groupBy("word", "root").agg(F.count(F.lit(1)).alias("c"))
-    of_word = counts.groupBy("word").agg(F.max(F.struct("c", "root"))["root"].alias("crowd"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
-    crowds = hold(of_word.where("_lo <> _hi").select("word", "crowd"), "crowds")
-    # joins of written tables on a word, which split at run time where it is hot
-    left = hold(first.join(crowds, "word").where("root <> crowd"), "left")
-    met = _met(left, first, threshold)
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("rest").alias("rest"), F.first("need").alias("need"))
+    of_word = counts.groupBy("word").agg(
+        F.max(F.struct("c", "root"))["root"].alias("crowd"), F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.sum("c").alias("texts")
+    )
+    crowds = hold(of_word.where("_lo <> _hi").select("word", "crowd", "texts"), "crowds")
+    often = F.col("texts") >= OFTEN
+    # joins of written tables, which split at run time where a word or a pack is hot
+    left = hold(first.join(crowds.where(~often).select("word", "crowd"), "word").where("root <> crowd"), "left")
+    packed = hold(_packed(first, crowds.where(often).join(shared, "word")), "packed")
+    met = _met_by_word(left, first, threshold).unionAll(_met_by_pack(packed, threshold))
+    pairs = met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("rest").alias("rest"), F.first("need").alias("need"))
     reached = hold(pairs.where("c + rest >= need - 1e-6").select("a", "b"), "reached")
     hold.free_others(reached)
     return reached
 
 
-def _met(left: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+def _packed(first: DataFrame, words: DataFrame) -> DataFrame:
+    """A row for each text and pack of words (crowd, part) that it has in its prefix: a bit for each word, and the
+    places of these words in the text. Bits and places rise alike, as both follow the order of words."""
+    nth = F.row_number().over(Window.partitionBy("crowd").orderBy("df", "word")) - 1  # as many rows as a crowd leads words
+    dealt = words.select("word", "crowd", nth.alias("nth")).select("word", "crowd", F.expr(f"nth div {PACK}").alias("part"), F.expr(f"shiftleft(1L, nth % {PACK})").alias("bit"))
+    rows = first.select("node", "n", "root", "word", "i").join(dealt, "word")
+    return rows.groupBy("node", "n", "root", "crowd", "part").agg(F.bit_or("bit").alias("bits"), F.array_sort(F.collect_list("i")).alias("at"))
+
+
+def _met_by_word(left: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """A row for each word of their prefixes that two texts share, of which one is outside the word's crowd."""
     columns = ("node", "n", "root", "i")
-    x = left.select("word", "crowd", *[F.col(c).alias(f"{c}_x") for c in columns])
-    y = rows.select("word", *[F.col(c).alias(f"{c}_y") for c in columns])
+    x, y = _side(left, "x", columns, "word", "crowd"), _side(rows, "y", columns, "word")
+    return _pairs(x.join(y, "word"), F.lit(1), F.col("i_x"), F.col("i_y"), threshold)
+
+
+def _met_by_pack(packed: DataFrame, threshold: float) -> DataFrame:
+    """A row for each pack of which two texts share words: how many, and what is left behind the last of them."""
+    columns = ("node", "n", "root", "bits", "at")
+    x, y = (_side(rows, side, columns, "crowd", "part") for rows, side in ((packed.where("root <> crowd"), "x"), (packed, "y")))
+    both = F.col("bits_x").bitwiseAND(F.col("bits_y"))
+    met = x.join(y, ["crowd", "part"]).where(both != 0).withColumn("both", both).withColumn("upto", F.expr("shiftleft(1L, length(bin(both))) - 1"))
+    i, j = (F.expr(f"element_at(at_{side}, bit_count(bits_{side} & upto))") for side in "xy")
+    return _pairs(met, F.bit_count("both"), i, j, threshold)
+
+
+def _side(rows: DataFrame, side: str, columns: tuple[str, ...], *shared: str) -> DataFrame:
+    return rows.select(*shared, *[F.col(c).alias(f"{c}_{side}") for c in columns])
+
+
+def _pairs(met: DataFrame, c: Column, i: Column, j: Column, threshold: float) -> DataFrame:
+    """Of texts that meet, those of different components and near sizes, once: the words ``c`` that they share here,
+    the most that they can share behind places i and j, and what they must share."""
     need = F.greatest("n_x", "n_y") * threshold
-    rest = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
+    rest = F.least(F.col("n_x") - i, F.col("n_y") - j)
     sized = F.least("n_x", "n_y") >= need - 1e-6
     # two texts outside the crowd would meet from both sides
     once = (F.col("root_y") == F.col("crowd")) | (F.col("node_y") < F.col("node_x"))
-    met = x.join(y, "word").where((F.col("root_x") != F.col("root_y")) & sized & once)
-    return met.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b"), rest.alias("rest"), need.alias("need"))
+    return met.where((F.col("root_x") != F.col("root_y")) & sized & once).select(
+        F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b"), c.cast("long").alias("c"), rest.alias("rest"), need.alias("need")
+    )
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -234,6 +234,41 @@ def test_short_texts_that_differ_at_an_end(docs_of):
     assert got == dict(zip([d for d, _ in rows], want))
 
 
+def test_words_of_a_crowd_meet_in_packs(spark, monkeypatch):
+    """Texts of the same common words in other orders, each a component of its own, meet once or twice a pair and not once
+    for each common word of their prefixes; and every pair that shares enough words is passed on."""
+    rnd, texts, roots = random.Random(5), [], []
+    for g in range(3):
+        common_words = sorted(set(words(9100 + g, 900).split()))[: 85 - 10 * g]
+        for i in range(40):
+            w = common_words + [f"own{g}x{i}x{j}" for j in range(10 + i % 6)]
+            rnd.shuffle(w)
+            texts.append(" ".join(w))
+            roots.append(40 * g + (0 if i < 12 else i))  # a crowd, and others
+    for _ in range(60):  # texts of few words, each many times
+        texts.append(" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(4, 14))))
+        roots.append(len(roots))
+    rows = [(i, len(t.split()), r, t) for i, (t, r) in enumerate(zip(texts, roots))]
+    both = spark.createDataFrame(rows, "node long, n int, root long, text string")
+    met, grouped = [], type(both).groupBy
+
+    def seen(df, *columns):
+        if columns == ("a", "b"):
+            met.append(df.where("a < 120").count())
+        return grouped(df, *columns)
+
+    monkeypatch.setattr(type(both), "groupBy", seen)
+    got = {tuple(r) for r in near._reachable(both.select("node", "n", "root"), both.select("node", "text"), 0.8).collect()}
+    monkeypatch.undo()
+    counts = [Counter(t.split()) for t in texts]
+    want = {
+        (a, b) for a in range(len(rows)) for b in range(a)
+        if roots[a] != roots[b] and sum((counts[a] & counts[b]).values()) >= 0.8 * max(rows[a][1], rows[b][1]) - 1e-9
+    }
+    long = sum(a < 120 for a, _ in want)
+    assert want <= got and long > 1500 and len(met) == 1 and met[0] <= 2 * long
+
+
 # --- pipeline
 
 def test_pipeline_stages(spark, sf):
