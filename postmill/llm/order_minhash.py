@@ -10,13 +10,14 @@ script keeps. Pairs of 0.8 or more are linked; classes are the connected compone
 
 Scale. Exact copies are collapsed first and are never paired. Texts that share a sketch are not paired
 with each other: each bucket links its members to one leader, the member whose sketches occur most, and
-components are built. Texts of buckets that still hold several components go on, and with them all texts
+components are built. In buckets that still hold several components each text outside the largest one meets a
+member of that once more, drawn anew for each bucket. Texts of buckets that hold several even then go on, and with them all texts
 that a pair with a text of under 40 words can hold, whatever they share. Among them, pairs from different
 components are found by an exact prefix and position filter on their rarest words, which passes every pair
 that can reach the threshold, and are verified. So no bucket is capped, and a pair that shares a
 bucket or holds a short text is verified unless it is already in one class or proved to be below. Words
 that many of these texts hold are counted where the texts are, and are joined in packs of up to 60 words of one
-crowd of near-copies: two texts meet once for all words of a pack, not once for each.
+crowd of near-copies: two texts meet once for all such words of a crowd, in the last pack that they share.
 
 No pair with a text of under 40 words is missed. Two longer texts with c k-mers of a union of u in
 common (in one order) share none of the sketches with a chance of about (1 - (c / u)^3)^64. An edited word
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Callable
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -297,9 +299,13 @@ def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _rerooted(rooted: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rooted`` with the root of its root's component; a root that ``merged`` does not name stays."""
+    return rooted.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_root")), "root", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root")
+
+
+def _mixed(rooted: DataFrame) -> DataFrame:
     """Members of buckets that still hold several components."""
-    rooted = _rooted(members, roots)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi")
     return rooted.join(mixed.select("key"), "key")
 
@@ -325,18 +331,46 @@ def link_texts(sketched: DataFrame, text_of: Callable[[DataFrame], DataFrame], t
     # texts under SHORT and what they can link to; texts of fewer than the least only link to an equal sequence
     least = threshold / (1 - threshold) if threshold < 1 else SHORT
     short = sketched.where((F.col("n") >= least - 1e-6) & (F.col("n") * threshold < SHORT)).select("node", "n")
-    rest = _open(members.select("key", "node", "n"), roots)
-    filtered = hold(rest.select("node", "n", "root").unionAll(_rooted(short, roots).select("node", "n", "root")).distinct(), "open")
+    rest = hold(_mixed(_rooted(members.select("key", "node", "n"), roots)), "mixed")
+    every = hold(rest.select("node", "n", "root").unionAll(_rooted(short, roots).select("node", "n", "root")).distinct(), "every")
+    own = hold(text_of(every.select("node")), "open-texts")
     hold.free(members)
-    known = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    own = hold(text_of(filtered.select("node")), "open-texts")
-    pairs = hold(_reachable(filtered, own, threshold).join(known, ["a", "b"], "left_anti"), "pairs")
-    links = hold(linked.unionAll(_verified(pairs, own, threshold)), "links")
+    # once more with leaders drawn from the largest component of each bucket, so that few texts stay outside of it
+    known = _both_ways(stars)
+    drawn = hold(_drawn(rest, threshold).join(known, ["a", "b"], "left_anti"), "drawn")
+    caught = hold(_verified(drawn, own, threshold), "caught")
+    merged = hold(_merged(caught, every), "merged")
+    still = _mixed(_rerooted(rest, merged))
+    filtered = hold(still.select("node", "n", "root").unionAll(_rerooted(_rooted(short, roots), merged).select("node", "n", "root")).distinct(), "open")
+    pairs = hold(_reachable(filtered, own, threshold).join(known.unionAll(_both_ways(drawn)), ["a", "b"], "left_anti"), "pairs")
+    links = hold(linked.unionAll(caught).unionAll(_verified(pairs, own, threshold)), "links")
     found = components(links)
     hold.free_others()
     return found
 
 
+def _drawn(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of near sizes of the members of each bucket outside its largest component with one member of that,
+    drawn by hash: other buckets of the same texts draw others."""
+    of_root = members.groupBy("key", "root").agg(
+        F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node", "n")).alias("one")
+    )
+    leaders = of_root.groupBy("key").agg(F.max(F.struct("c", "root", "one")).alias("top"))
+    led = members.join(leaders, "key").where(F.col("root") != F.col("top.root"))
+    near = F.least("n", "top.one.n") >= threshold * F.greatest("n", "top.one.n")
+    return led.where(near).select(F.col("node").alias("a"), F.col("top.one.node").alias("b")).distinct()
+
+
+def _merged(links: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(node, root) of the components that links between nodes make of roots, for the roots that they merge."""
+    of_a, of_b = (rooted.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    return components(links.join(of_a, "a").join(of_b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def _named(pairs: DataFrame) -> DataFrame:
     """The nodes that pairs (a, b) name."""
     return pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
@@ -388,12 +422,21 @@ def _reachable(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFram
 
 
 def _packed(first: DataFrame, words: DataFrame) -> DataFrame:
-    """A row for each text and pack of words (crowd, part) that it has in its prefix: a bit for each word, and the
-    places of these words in the text. Bits and places rise alike, as both follow the order of words."""
+    """A row for each text and pack of words (crowd, part) that it has in its prefix: a bit for each word, the
+    places of these words in the text, and the numbers of its words in earlier and later packs of that crowd. Bits and
+    places rise alike, as both follow the order of words."""
     nth = F.row_number().over(Window.partitionBy("crowd").orderBy("df", "word")) - 1  # as many rows as a crowd leads words
-    dealt = words.select("word", "crowd", nth.alias("nth")).select("word", "crowd", F.expr(f"nth div {PACK}").alias("part"), F.expr(f"shiftleft(1L, nth % {PACK})").alias("bit"))
+    dealt = words.select("word", "crowd", nth.alias("nth"))
     rows = first.select("node", "n", "root", "word", "i").join(dealt, "word")
-    return rows.groupBy("node", "n", "root", "crowd", "part").agg(F.bit_or("bit").alias("bits"), F.array_sort(F.collect_list("i")).alias("at"))
+    # as many rows in a group as the prefix of a text has words
+    listed = rows.groupBy("node", "n", "root", "crowd").agg(F.array_sort(F.collect_list(F.struct("nth", "i"))).alias("words"))
+    each = listed.withColumn("part", F.explode(F.array_distinct(F.transform("words.nth", lambda x: F.floor(x / PACK).cast("int")))))
+    here = F.filter("words", lambda w: F.floor(w["nth"] / PACK) == F.col("part"))
+    cut = each.withColumns({"here": here, "nths": F.col("words.nth")})
+    bits = F.expr(f"aggregate(here, 0L, (b, w) -> b | shiftleft(1L, w.nth % {PACK}))").alias("bits")
+    earlier = F.filter("nths", lambda x: x < F.col("part") * PACK).alias("earlier")
+    later = F.filter("nths", lambda x: x >= (F.col("part") + 1) * PACK).alias("later")
+    return cut.select("node", "n", "root", "crowd", "part", bits, F.col("here.i").alias("at"), earlier, later)
 
 
 def _met_by_word(left: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
@@ -404,28 +447,31 @@ def _met_by_word(left: DataFrame, rows: DataFrame, threshold: float) -> DataFram
 
 
 def _met_by_pack(packed: DataFrame, threshold: float) -> DataFrame:
-    """A row for each pack of which two texts share words: how many, and what is left behind the last of them."""
-    columns = ("node", "n", "root", "bits", "at")
+    """A row for each crowd of whose packs two texts share words, in the last pack that they share: how many of all
+    its packs, and what is left behind the last of them."""
+    columns = ("node", "n", "root", "bits", "at", "earlier", "later")
     x, y = (_side(rows, side, columns, "crowd", "part") for rows, side in ((packed.where("root <> crowd"), "x"), (packed, "y")))
     both = F.col("bits_x").bitwiseAND(F.col("bits_y"))
     met = x.join(y, ["crowd", "part"]).where(both != 0).withColumn("both", both).withColumn("upto", F.expr("shiftleft(1L, length(bin(both))) - 1"))
     i, j = (F.expr(f"element_at(at_{side}, bit_count(bits_{side} & upto))") for side in "xy")
-    return _pairs(met, F.bit_count("both"), i, j, threshold)
+    shared, last = F.bit_count("both") + F.size(F.array_intersect("earlier_x", "earlier_y")), ~F.arrays_overlap("later_x", "later_y")
+    return _pairs(met, shared, i, j, threshold, last)
 
 
 def _side(rows: DataFrame, side: str, columns: tuple[str, ...], *shared: str) -> DataFrame:
     return rows.select(*shared, *[F.col(c).alias(f"{c}_{side}") for c in columns])
 
 
-def _pairs(met: DataFrame, c: Column, i: Column, j: Column, threshold: float) -> DataFrame:
-    """Of texts that meet, those of different components and near sizes, once: the words ``c`` that they share here,
-    the most that they can share behind places i and j, and what they must share."""
+def _pairs(met: DataFrame, c: Column, i: Column, j: Column, threshold: float, *also: Column) -> DataFrame:
+    """Of texts that meet, those of different components and near sizes, once, if ``also`` holds: the words ``c`` that
+    they share here, the most that they can share behind places i and j, and what they must share."""
     need = F.greatest("n_x", "n_y") * threshold
     rest = F.least(F.col("n_x") - i, F.col("n_y") - j)
     sized = F.least("n_x", "n_y") >= need - 1e-6
     # two texts outside the crowd would meet from both sides
     once = (F.col("root_y") == F.col("crowd")) | (F.col("node_y") < F.col("node_x"))
-    return met.where((F.col("root_x") != F.col("root_y")) & sized & once).select(
+    whole = reduce(Column.__and__, also, (F.col("root_x") != F.col("root_y")) & sized & once)
+    return met.where(whole).select(
         F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b"), c.cast("long").alias("c"), rest.alias("rest"), need.alias("need")
     )
 

@@ -269,6 +269,40 @@ def test_words_of_a_crowd_meet_in_packs(spark, monkeypatch):
     assert want <= got and long > 1500 and len(met) == 1 and met[0] <= 2 * long
 
 
+def test_pairs_meet_once_for_all_packs_of_a_crowd(spark, monkeypatch):
+    """Texts whose prefixes share words of several packs meet in one row, with all words that they share."""
+    rnd, common_words, rows = random.Random(6), sorted(set(words(9200, 3000).split()))[:700], []
+    for i in range(24):
+        w = common_words + [f"own{i}x{j}" for j in range(20 + i % 6)]
+        rnd.shuffle(w)
+        rows.append((i, len(w), 0 if i < 9 else i, " ".join(w)))
+    both = spark.createDataFrame(rows, "node long, n int, root long, text string")
+    met, by_pack = [], near._met_by_pack
+
+    def seen(packed, threshold):
+        out = by_pack(packed, threshold)
+        met.extend((packed.where("root = crowd").groupBy("node").count().agg(F.max("count")).first()[0], r["a"], r["b"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(near, "_met_by_pack", seen)
+    got = {tuple(r) for r in near._reachable(both.select("node", "n", "root"), both.select("node", "text"), 0.8).collect()}
+    want = {(a, b) for a in range(24) for b in range(a) if rows[a][2] != rows[b][2]}
+    assert got == want and {(a, b) for _, a, b in met} == want
+    assert met[0][0] >= 2 and len(met) == len(want)
+
+
+def test_texts_of_a_bucket_meet_one_of_its_largest_component(spark):
+    """Each text outside a bucket's largest component meets one text of that, of near size, and links join whole components."""
+    members = [(k, n, 100, 0) for k in (1, 2) for n in range(6)] + [(1, 7, 101, 7), (1, 8, 100, 7), (2, 7, 101, 7), (2, 9, 99, 9), (1, 10, 10, 10)]
+    rows = spark.createDataFrame(members, "key long, node long, n int, root long")
+    pairs = [tuple(r) for r in near._drawn(rows, 0.8).collect()]
+    assert {a for a, _ in pairs} == {7, 8, 9} and {b for _, b in pairs} <= set(range(6)) and len(pairs) <= 4
+    links = spark.createDataFrame([(8, 3), (9, 7)], "a long, b long")
+    merged = near._merged(links, rows.select("node", "root").distinct())
+    after = {r["node"]: r["root"] for r in near._rerooted(rows, merged).collect()}
+    assert after == {**{n: 0 for n in range(6)}, 7: 0, 8: 0, 9: 0, 10: 10}
+
+
 # --- pipeline
 
 def test_pipeline_stages(spark, sf):
