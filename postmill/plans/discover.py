@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -19,7 +19,7 @@ from postmill.operators.merges import (
 )
 from postmill.plans.workspace import Workspace
 from postmill.schemas import RUN, conform, ddl
-from postmill.session import dealt, stage
+from postmill.session import Staging, dealt, stage
 from postmill.sources.feeds import read_raw, split_sound, unreadable
 from postmill.sources.landing import FILE, landed_status, new_files
 from postmill.sources.tables import append_once
@@ -42,11 +42,16 @@ def judged_batch(
     return judged.withColumns({"seen_at": instant(as_of), "seq": seq.cast("bigint")})
 
 
-def store_batch(ws: Workspace, judged: DataFrame) -> DataFrame:
-    """Merge a staged batch into the stored postings and employers; returns the changes."""
+def store_batch(
+    ws: Workspace, judged: DataFrame, step: Callable[[DataFrame, str], DataFrame] = stage
+) -> DataFrame:
+    """Merge a staged batch into the stored postings and employers, with steps written by ``step``, which may be a
+    ``Staging`` that has the batch as well; returns the changes."""
     current = ws.postings.read()
-    rows = stage(collapse_batch(judged), "collapsed")
-    changes = stage(posting_changes(current, rows), "changes")
+    rows = step(collapse_batch(judged), "collapsed")
+    changes = step(posting_changes(current, rows, step=step), "changes")
+    if isinstance(step, Staging):
+        step.free_others(judged, changes)
     replaced = F.col("change") == "replaced"
     ws.postings.commit(changes.where(~replaced), gone=changes.where(replaced))
 

@@ -60,6 +60,12 @@ def dealt(df: DataFrame, rows: int, few: int = FEW_ROWS) -> DataFrame:
     return df.hint("merge") if rows > few else df
 
 
+def spare_shuffles(spark: SparkSession) -> None:
+    """Delete the shuffle files of each query of this session at its end. Otherwise they are kept until the driver
+    collects garbage, which may be never where its heap is large. For sessions of one job: its steps are written."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def discard(spark: SparkSession, path: str) -> bool:
     """Delete a folder through Spark's own file systems; whether it was there."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -68,15 +74,16 @@ def discard(spark: SparkSession, path: str) -> bool:
 
 class Staging:
     """Steps of one job in a folder of their own below the shared one, each of which can be deleted as soon as
-    nothing reads it any more: what the job keeps on disk is what it still needs."""
+    nothing reads it any more: what the job keeps on disk is what it still needs. ``codec`` compresses them, by
+    default the session's."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root, self.paths = spark, scratch(spark, label), {}
+    def __init__(self, spark: SparkSession, label: str, codec: str | None = None):
+        self.spark, self.root, self.codec, self.paths = spark, scratch(spark, label), codec, {}
 
     def __call__(self, df: DataFrame, label: str) -> DataFrame:
         """``stage`` within the folder."""
         path = f"{self.root}/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=self.codec)
         written = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(written)] = (written, path)
         return written
@@ -86,6 +93,11 @@ class Staging:
         for step in steps:
             discard(self.spark, self.paths.pop(id(step))[1])
 
+    def clear(self) -> None:
+        """Delete the folder."""
+        self.paths.clear()
+        discard(self.spark, self.root)
+
     def free_others(self, *kept: DataFrame) -> None:
         """Delete all steps but these."""
         self.free(*[step for key, (step, _) in list(self.paths.items()) if key not in {id(k) for k in kept}])

@@ -8,7 +8,7 @@ commit may carry a label: one whose label is recorded is not taken in twice.
 So a commit costs its own rows and no more. Reading lays the commits over the last whole copy. Once they
 hold more than ``share`` of its rows a new whole copy is written, so a row is rewritten about once while the
 table changes by that share; many small commits are folded into one in between. ``vacuum`` deletes folders
-that no reader of the current table needs.
+that no reader of the current table needs. Rows are compressed by zstd, as keys are mostly digests in hexadecimal digits.
 
 A table has one writer at a time: feeds that share a workspace are united into one stream or one run. Where
 a catalog offers ``MERGE INTO``, use that instead.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.schemas import conform, ddl
-from postmill.session import dealt, discard
+from postmill.session import FEW_ROWS, Staging, dealt, discard
 
 GONE, NUMBER = "_gone", "_commit"
 RECORD = "number long, kind string, path string, rows long, label string"
@@ -105,7 +105,10 @@ class StoredTable:
         if not later:
             return base.select(*self.schema)
         changes = self._changes(later, only)
-        changed = dealt(changes.select(*self.keys), sum(r.rows for r in later))
+        return self._laid(base, dealt(changes.select(*self.keys), sum(r.rows for r in later)), changes)
+
+    def _laid(self, base: DataFrame, changed: DataFrame, changes: DataFrame) -> DataFrame:
+        """Changes over a copy, whose rows of the keys ``changed`` give way."""
         return base.join(changed, self.keys, "left_anti").select(*self.schema).unionByName(
             changes.where(~F.col(GONE)).select(*self.schema)
         )
@@ -128,14 +131,29 @@ class StoredTable:
         records.append(self._write(rows, records, WHOLE if first else CHANGED, label))
         whole, later = self._current(records)
         if sum(r.rows for r in later) > self.share * (whole.rows if whole else 0):
-            self._write(self._read(records).withColumn(GONE, F.lit(False)), records, WHOLE, None)
+            self._copy(records)
         elif len(later) >= self.fold_at:
             self._write(self._changes(later).drop(NUMBER), records, FOLDED, None)
         return True
 
+    def _copy(self, records: list[Row], few: int = FEW_ROWS) -> None:
+        """A new whole copy. Where many rows changed, the keys of the last copy that are among them are looked up
+        first: of those that are new the copy has none, so few are left and its rows are not shuffled."""
+        whole, later = self._current(records)
+        size, steps, rows = sum(r.rows for r in later), None, self._read(records)
+        if whole is not None and size > few:
+            base, steps = self._load([whole]), Staging(self.spark, "copied")
+            changed = dealt(self._load(later).select(*self.keys), size, few)
+            hit = steps(base.select(*self.keys).join(changed, self.keys, "left_semi"), "hit")
+            rows = self._laid(base, dealt(hit, hit.count(), few), self._changes(later))
+        self._write(rows.withColumn(GONE, F.lit(False)), records, WHOLE, None)
+        if steps:
+            steps.clear()
+
     def _write(self, rows: DataFrame, records: list[Row], kind: str, label: str | None) -> Row:
         number, path = (records[-1].number + 1 if records else 0), f"data/{uuid.uuid4().hex}"
         writer = rows.select(*self.schema, GONE).withColumn(NUMBER, F.lit(number).cast("bigint")).write
+        writer = writer.option("compression", "zstd")
         (writer.partitionBy(self.part) if self.part else writer).parquet(f"{self.root}/{path}")
         written = self.spark.read.schema(ddl({**self.schema, GONE: "boolean"})).parquet(f"{self.root}/{path}")
         return self._record(Row(number=number, kind=kind, path=path, rows=written.count(), label=label))

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postmill.plans.discover import judged_batch, store_batch
 from postmill.plans.workspace import Workspace
-from postmill.session import stage
+from postmill.session import Staging, spare_shuffles
 from postmill.functions.rules import RuleSet
 from postmill.schemas import RAW_POSTING, conform, ddl
 from postmill.sources.feeds import (
@@ -94,10 +94,14 @@ def ingest(
     rules: RuleSet | None = None,
     vocab: PlaceVocab | None = None,
     lines: bool = False,
+    vacuum: bool = False,
 ) -> StreamingQuery:
     """R1, R7. Landed payloads of one or more feeds into the stored postings, as one stream: a
     workspace has one writer. Batches are merged by fingerprint, so repeated and duplicate deliveries
-    change nothing. Logs are labelled with the checkpoint's own id, so a new checkpoint adds to them."""
+    change nothing. Logs are labelled with the checkpoint's own id, so a new checkpoint adds to them.
+
+    Every micro-batch deletes its steps and its shuffle files. With ``vacuum`` it also deletes what the stored
+    tables are no longer read from, for workspaces that nobody reads while the stream is at work."""
     raws, broken = [], []
     for spec in [specs] if isinstance(specs, SourceSpec) else specs:
         payloads = with_token(
@@ -114,12 +118,23 @@ def ingest(
     lost = reduce(DataFrame.unionByName, broken).select(F.struct("*").alias("broken"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        whole = stage(batch, "delivered")
-        good, bad = split_sound(whole.where("raw IS NOT NULL").select("raw.*"))
-        label = f"{query_id(ws.spark, checkpoint)}-{batch_id}"
-        append_once(bad, ws.log_path("quarantine"), label)
-        append_once(whole.where("broken IS NOT NULL").select("broken.*"), ws.log_path("unreadable"), label)
-        store_batch(ws, stage(judged_batch(good, as_of, rules, vocab), "judged"))
+        own = Workspace(batch.sparkSession, ws.root)  # the stream's session, whose settings are its own
+        spare_shuffles(own.spark)
+        steps = Staging(own.spark, "ingest-steps", "zstd")
+        try:
+            whole = steps(batch, "delivered")
+            good, bad = split_sound(whole.where("raw IS NOT NULL").select("raw.*"))
+            label = f"{query_id(own.spark, checkpoint)}-{batch_id}"
+            append_once(bad, own.log_path("quarantine"), label)
+            append_once(whole.where("broken IS NOT NULL").select("broken.*"), own.log_path("unreadable"), label)
+            judged = steps(judged_batch(good, as_of, rules, vocab), "judged")
+            steps.free(whole)
+            store_batch(own, judged, steps)
+        finally:
+            steps.clear()
+        if vacuum:
+            own.postings.vacuum()
+            own.companies.vacuum()
 
     return run_batches(rows.unionByName(lost, allowMissingColumns=True), checkpoint, store)
 

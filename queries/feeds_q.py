@@ -305,7 +305,7 @@ def land_feeds(spark, sf) -> str:
     stories = "array(named_struct('objectID', '1', 'title', 'Ask: Who is hiring? (May)', 'created_at', '2001-05-01T00:00:00Z'), named_struct('objectID', '2', 'title', 'Ask: Who is hiring? (June)', 'created_at', '2001-06-01T00:00:00Z'), named_struct('objectID', '3', 'title', 'Freelancer? Seeking one?', 'created_at', '2001-07-01T00:00:00Z'))"
     spark.range(1).selectExpr(f"to_json(named_struct('hits', {stories})) AS value").write.text(f"{root}/source=hn_stories/token=all")
     for i, name in enumerate(FEEDS):
-        orders.where(F.col("o_orderkey") % 5 == i).selectExpr("token", f"to_json({BODIES[name]}) AS value").write.partitionBy("token").text(f"{root}/source={name}")
+        orders.where(F.col("o_orderkey") % 5 == i).selectExpr("token", f"to_json({BODIES[name]}) AS value").write.partitionBy("token").text(f"{root}/source={name}", compression="gzip")
         spark.createDataFrame([("{ not json",)], "value string").write.text(f"{root}/source={name}/token=torn")
         spark.createDataFrame([('{"hits": []}' if name == "hn_algolia" else '{"jobs": []}',)] if name != "lever" else [("",)], "value string").write.text(f"{root}/source={name}/token=vacant")
     return root
@@ -378,5 +378,5 @@ def stream_ingest_feeds(spark, sf):
 
     landing, root = land_feeds(spark, sf), scratch(spark, "ingest-feeds")
     ws = Workspace(spark, f"{root}/ws")
-    ingest(ws, landing, list(D.SOURCES.values()), f"{root}/checkpoint", AS_OF, files_per_trigger=6, lines=True).awaitTermination()
+    ingest(ws, landing, list(D.SOURCES.values()), f"{root}/checkpoint", AS_OF, files_per_trigger=6, lines=True, vacuum=True).awaitTermination()
     return ws.postings.read().select("posting_key", "source")

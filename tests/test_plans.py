@@ -350,3 +350,54 @@ def test_folding_and_whole_copies_keep_the_rows(spark, tmp_path):
     assert "folded" in kinds and kinds.count("whole") > 1
     assert {(r.a, r.b): r.v for r in table.read(parts=["x"]).collect()} == {k: v for k, v in want.items() if k[1] == "x"}
     assert table.vacuum() > 0 and {(r.a, r.b): r.v for r in table.read().collect()} == want
+
+
+def test_stream_ingest_keeps_on_disk_what_the_tables_need(spark, tmp_path, landing):
+    """Its steps, its shuffle files and old copies are gone at its end, and the session's own settings are as before."""
+    import time
+    from pathlib import Path
+
+    from postmill.session import shared_dir
+
+    def steps():
+        return {p for p in Path(shared_dir(spark)).rglob("*.parquet") if p.stat().st_size}
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = steps(), shuffled()
+    plain, spare = Workspace(spark, str(tmp_path / "p")), Workspace(spark, str(tmp_path / "s"))
+    S.ingest(plain, landing, SOURCES["greenhouse"], str(tmp_path / "cp1"), NOW, files_per_trigger=1).awaitTermination()
+    S.ingest(spare, landing, SOURCES["greenhouse"], str(tmp_path / "cp2"), NOW, files_per_trigger=1, vacuum=True).awaitTermination()
+    for _ in range(50):  # files are deleted in the background
+        if shuffled() <= before[1]:
+            break
+        time.sleep(0.2)
+    assert steps() <= before[0] and shuffled() <= before[1]
+    assert {tuple(r) for r in plain.postings.read().collect()} == {tuple(r) for r in spare.postings.read().collect()}
+    for table in (spare.postings, spare.companies):
+        records = table.records()
+        whole, later = table._current(records)
+        assert {p.name for p in (tmp_path / "s").glob(f"{table.root.rsplit('/', 1)[1]}/data/*")} == {r.path.split("/")[1] for r in (whole, *later)}
+        assert len(records) > 2
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(name) == "false"
+
+
+def test_a_whole_copy_of_many_changes_shuffles_keys_only(spark, tmp_path, monkeypatch):
+    plans = []
+    write = StoredTable._write
+    monkeypatch.setattr(StoredTable, "_write", lambda self, rows, *more: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or write(self, rows, *more))
+    kinds = "a int, b string, v int"
+    rows = spark.range(300).selectExpr("CAST(id AS INT) a", "CAST(id % 3 AS STRING) b", "0 v")
+    for i, few in enumerate((10, 1000)):
+        table = StoredTable(spark, str(tmp_path / f"t{i}"), {"a": "int", "b": "string", "v": "int"}, ("a", "b"), share=0.9)
+        table.commit(rows.unionByName(spark.createDataFrame([(None, "x", 0)], kinds)))
+        table.commit(spark.range(295, 500).selectExpr("CAST(id AS INT) a", "CAST(id % 3 AS STRING) b", "1 v"), gone=rows.where("a < 3"))
+        plans.clear()
+        table._copy(table.records(), few=few)
+        assert [r.kind for r in table.records()] == ["whole", "changed", "whole"]
+        assert "Exchange hashpartitioning" not in plans[0] and "BroadcastHashJoin" in plans[0]
+        want = {(None, "x", 0), *[(k, str(k % 3), int(k >= 295)) for k in range(3, 500)]}
+        assert {tuple(r) for r in table.read().collect()} == want and table.read().count() == len(want)
