@@ -60,10 +60,18 @@ def dealt(df: DataFrame, rows: int, few: int = FEW_ROWS) -> DataFrame:
     return df.hint("merge") if rows > few else df
 
 
+#: Ends a query where a side of a join turns out to be empty, with tasks of the other side's shuffle still at work.
+ENDS_EARLY = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+
+
 def spare_shuffles(spark: SparkSession) -> None:
     """Delete the shuffle files of each query of this session at its end. Otherwise they are kept until the driver
-    collects garbage, which may be never where its heap is large. For sessions of one job: its steps are written."""
+    collects garbage, which may be never where its heap is large. For sessions of one job: its steps are written.
+    No query ends before its shuffles do, since what their tasks write after its end would stay."""
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    excluded = spark.conf.get("spark.sql.adaptive.optimizer.excludedRules", None)
+    if ENDS_EARLY not in (excluded or ""):
+        spark.conf.set("spark.sql.adaptive.optimizer.excludedRules", f"{excluded},{ENDS_EARLY}" if excluded else ENDS_EARLY)
 
 
 def discard(spark: SparkSession, path: str) -> bool:

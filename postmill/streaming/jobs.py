@@ -129,7 +129,8 @@ def ingest(
             append_once(whole.where("broken IS NOT NULL").select("broken.*"), own.log_path("unreadable"), label)
             judged = steps(judged_batch(good, as_of, rules, vocab), "judged")
             steps.free(whole)
-            store_batch(own, judged, steps)
+            if not judged.isEmpty():
+                store_batch(own, judged, steps)
         finally:
             steps.clear()
         if vacuum:

@@ -381,8 +381,26 @@ def test_stream_ingest_keeps_on_disk_what_the_tables_need(spark, tmp_path, landi
         whole, later = table._current(records)
         assert {p.name for p in (tmp_path / "s").glob(f"{table.root.rsplit('/', 1)[1]}/data/*")} == {r.path.split("/")[1] for r in (whole, *later)}
         assert len(records) > 2
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    assert spark.conf.get(name) == "false"
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert spark.conf.get("spark.sql.adaptive.optimizer.excludedRules", None) is None
+
+
+def test_spared_shuffles_leave_nothing_where_a_side_is_empty(spark, tmp_path):
+    """A join with nothing writes its other side's shuffle, which is deleted as any other."""
+    from postmill.session import ENDS_EARLY, spare_shuffles
+
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.optimizer.excludedRules", "some.Rule")
+    for _ in range(2):
+        spare_shuffles(own)
+    assert own.conf.get("spark.sql.adaptive.optimizer.excludedRules") == f"some.Rule,{ENDS_EARLY}"
+    own.conf.set("spark.sql.adaptive.optimizer.excludedRules", ENDS_EARLY)
+    own.range(1000).write.parquet(str(tmp_path / "some"))
+    own.range(0).write.parquet(str(tmp_path / "none"))
+    some, none = own.read.parquet(str(tmp_path / "some")), own.read.parquet(str(tmp_path / "none"))
+    joined = some.join(none.hint("merge"), "id", "left_anti")
+    assert len(joined.collect()) == 1000
+    assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
 def test_a_whole_copy_of_many_changes_shuffles_keys_only(spark, tmp_path, monkeypatch):
