@@ -19,12 +19,13 @@ class Workspace:
     spark: SparkSession
     root: str
 
-    def _table(self, name: str, schema: dict[str, str], key: str) -> StoredTable:
-        return StoredTable(self.spark, f"{self.root}/{name}", schema, key)
+    def _table(self, name: str, schema: dict[str, str], key: str, codec: str | None = None) -> StoredTable:
+        return StoredTable(self.spark, f"{self.root}/{name}", schema, key, codec=codec)
 
     @property
     def postings(self) -> StoredTable:
-        return self._table("postings", S.POSTING, "posting_key")
+        # keys are digests in hexadecimal digits, which zstd halves
+        return self._table("postings", S.POSTING, "posting_key", "zstd")
 
     @property
     def companies(self) -> StoredTable:

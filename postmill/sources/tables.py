@@ -8,7 +8,7 @@ commit may carry a label: one whose label is recorded is not taken in twice.
 So a commit costs its own rows and no more. Reading lays the commits over the last whole copy. Once they
 hold more than ``share`` of its rows a new whole copy is written, so a row is rewritten about once while the
 table changes by that share; many small commits are folded into one in between. ``vacuum`` deletes folders
-that no reader of the current table needs. Rows are compressed by zstd, as keys are mostly digests in hexadecimal digits.
+that no reader of the current table needs.
 
 A table has one writer at a time: feeds that share a workspace are united into one stream or one run. Where
 a catalog offers ``MERGE INTO``, use that instead.
@@ -41,7 +41,8 @@ def absent(problem: AnalysisException) -> bool:
 @dataclass(frozen=True)
 class StoredTable:
     """``schema`` maps column to type; ``key`` (a column or several) is unique. ``part`` may name a key
-    column by which every folder is partitioned, for reads of few of its values."""
+    column by which every folder is partitioned, for reads of few of its values; ``codec`` how rows are
+    compressed, by default as the session says."""
 
     spark: SparkSession
     root: str
@@ -50,6 +51,7 @@ class StoredTable:
     part: str | None = None
     share: float = 0.1
     fold_at: int = 16
+    codec: str | None = None
 
     @property
     def keys(self) -> list[str]:
@@ -153,8 +155,7 @@ class StoredTable:
     def _write(self, rows: DataFrame, records: list[Row], kind: str, label: str | None) -> Row:
         number, path = (records[-1].number + 1 if records else 0), f"data/{uuid.uuid4().hex}"
         writer = rows.select(*self.schema, GONE).withColumn(NUMBER, F.lit(number).cast("bigint")).write
-        writer = writer.option("compression", "zstd")
-        (writer.partitionBy(self.part) if self.part else writer).parquet(f"{self.root}/{path}")
+        (writer.partitionBy(self.part) if self.part else writer).parquet(f"{self.root}/{path}", compression=self.codec)
         written = self.spark.read.schema(ddl({**self.schema, GONE: "boolean"})).parquet(f"{self.root}/{path}")
         return self._record(Row(number=number, kind=kind, path=path, rows=written.count(), label=label))
 
